@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_crf, token_file, toxicity_fm
+from . import decontaminate, ngram_join, quality_crf, token_file, toxicity_fm
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = quality_crf.remainder(5) == 0
@@ -41,4 +45,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_crf, op5_decontaminate, op7_token_files, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_quality_crf, op5_decontaminate, op7_token_files, op9_toxicity)}
