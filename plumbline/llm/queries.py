@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, quality_crf, token_file, toxicity_fm
+from . import decontaminate, ngram_join, phrase_dedup, quality_crf, suffix_dedup, token_file, toxicity_fm
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -31,6 +31,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.contamination(docs.select("doc_id", "text"), benchmark))
 
 
+def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +42,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(files)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = quality_crf.remainder(3) == 1
@@ -45,4 +53,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_quality_crf, op5_decontaminate, op7_token_files, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_quality_crf, op5_decontaminate, op6_phrase_dedup, op7_token_files, op8_suffix_dedup, op9_toxicity)}
