@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, phrase_dedup, quality_crf, suffix_dedup, token_file, toxicity_fm
+from . import ann, decontaminate, ngram_join, packing, phrase_dedup, quality_crf, suffix_dedup, token_file, toxicity_fm
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -53,4 +57,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_quality_crf, op5_decontaminate, op6_phrase_dedup, op7_token_files, op8_suffix_dedup, op9_toxicity)}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit, op3_ngram_join, op4_quality_crf, op5_decontaminate, op6_phrase_dedup, op7_token_files, op8_suffix_dedup, op9_toxicity, op10_ann)}
