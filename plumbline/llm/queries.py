@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, ngram_join, packing, phrase_dedup, quality_crf, suffix_dedup, token_file, toxicity_fm
+from . import ann, decontaminate, line_dedup, ngram_join, packing, phrase_dedup, quality_crf, suffix_dedup, token_file, toxicity_fm
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -62,4 +67,4 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit, op3_ngram_join, op4_quality_crf, op5_decontaminate, op6_phrase_dedup, op7_token_files, op8_suffix_dedup, op9_toxicity, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit, op3_ngram_join, op4_quality_crf, op5_decontaminate, op6_phrase_dedup, op7_token_files, op8_suffix_dedup, op9_toxicity, op10_ann)}
