@@ -139,21 +139,15 @@ def removed_windows(docs: DataFrame, window: int, gram: int, by_words: bool, jud
         marked = np.add.reduceat((place < 0).astype(np.int64), first) if len(first) else count
         use = np.repeat((count > 1) | (marked > 0), count) & (place >= 0)
         doc, place = np.concatenate([doc0, doc[use]]), np.concatenate([place0, place[use]])
-        # one row for each document and bucket
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order]
-        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-        offsets = np.append(cut, len(doc)).astype(np.int32)
-        for k in range(0, len(cut), 1 << 14):
-            o = offsets[k : k + (1 << 14) + 1]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[cut[k : k + (1 << 14)]]), "places": pa.ListArray.from_arrays(pa.array(o - o[0]), pa.array(place[o[0] : o[-1]].astype(np.int32)))})
+        for k in range(0, len(doc), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[k : k + (1 << 16)]), "place": pa.array(place[k : k + (1 << 16)].astype(np.int32))})
 
-    places = rows.select("doc_id", "text").mapInArrow(anchors, "bucket int, h binary, doc binary, place binary").repartition(F.col("bucket")).mapInArrow(recur, "doc_id bigint, places array<int>")
+    places = rows.select("doc_id", "text").mapInArrow(anchors, "bucket int, h binary, doc binary, place binary").repartition(F.col("bucket")).mapInArrow(recur, "doc_id bigint, place int")
 
     digests = rows.filter(F.octet_length("text") >= window).select("doc_id", "tk", F.unhex(F.md5(F.col("text").cast("binary"))).alias("m"))
     firsts = digests.groupBy("m").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = digests.join(firsts, "m").filter("doc_id > first").select("doc_id", F.array().cast("array<int>").alias("places"), "tk")
-    gathered = places.withColumn("tk", F.lit(None).cast("bigint")).unionByName(copies).groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"), F.collect_set("tk").alias("copies"))
+    copies = digests.join(firsts, "m").filter("doc_id > first").select("doc_id", F.lit(None).cast("int").alias("place"), "tk")
+    gathered = places.withColumn("tk", F.lit(None).cast("bigint")).unionByName(copies).groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_set("tk").alias("copies"))
     found = rows.join(gathered, "doc_id").withColumn("copy", F.array_contains("copies", F.col("tk")))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
