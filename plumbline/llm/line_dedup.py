@@ -181,7 +181,7 @@ def brute_force(texts: list[tuple[int, str | None]]) -> list[tuple[int, int, int
     import re
 
     lines, by_token = [], {}
-    for d, text in sorted((x for x in texts if x[1] is not None), key=lambda x: x[0]):
+    for d, text in sorted({x for x in texts if x[1] is not None}):
         for k, line in enumerate(text.split("\n")):
             w = [x for x in re.split("[\x20\x09-\x0d]+", line.lower()) if x]
             if w:
