@@ -8,9 +8,10 @@ lists are then probed by binary search, for the documents that the short ones na
 1. Whole shingle sets, once for each distinct set; equal sets are one class.
 2. A frequency sketch of fixed size over all shingles orders a set by rarity, so that long lists are the ones set
    aside. It only orders: any order gives the same links.
-3. Short-list rows (shingle, document) meet by shingle. Up to `short` rows of a shingle pair up directly. Longer lists
+3. Short-list rows (shingle, document) meet by shingle; LEAST - 1 more lists than must be are merged, so that a partner stands
+   on LEAST of them, and chance meetings of one shingle name nobody. Up to `short` rows of a shingle pair up directly. Longer lists
    go out as members: a task that sees more than `short` rows of one shingle sends the rest past the shuffle by shingle,
-   so no shingle gathers more than short + 1 rows a task.
+   so a shingle gathers few rows a task, however common it is.
 4. Whole sets of the named documents are compared: pairs one document at a time, long lists in blocks of at most
    `block` members, against every block of the list; a block pair sends back a spanning forest, never its pairs.
 5. Components over the links of step 4.
@@ -62,6 +63,15 @@ def needed(n: int | np.ndarray, num: int, den: int):
     return (num * n + den - 1) // den
 
 
+#: Occurrences on the short lists that name a candidate.
+LEAST = 3
+
+
+def merge_least(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """With T - LEAST lists set aside (fewer for small sets), a partner stands on at least this many of the others."""
+    return np.minimum(LEAST, needed(n, num, den))
+
+
 def linked(common, n, m, num: int, den: int):
     """Jaccard of at least num / den, in whole numbers."""
     return den * common >= num * (n + m - common)
@@ -184,7 +194,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
                 rank = rarity.value[(value & K.U(CELLS - 1)).astype(np.int64)]
                 order = np.lexsort((value, rank, doc))
                 position = np.arange(len(value)) - off[doc]
-                shorts = size - needed(size, num, den) + 1
+                shorts = size - needed(size, num, den) + merge_least(size, num, den)
                 use = fresh[doc] & (position < shorts[doc])
                 token, owner = value[order][use], doc[use]
                 # rows of one shingle beyond `short` in this piece go past the shuffle
@@ -236,11 +246,15 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
                     b.append(first + y)
         a, b = np.concatenate(a), np.concatenate(b)
         ok = (doc[a] != doc[b]) & (np.minimum(size[a], size[b]).astype(np.int64) * den >= np.maximum(size[a], size[b]).astype(np.int64) * num)
-        pair = np.unique(np.stack([doc[a[ok]], doc[b[ok]]], 1), axis=0)
+        a, b = a[ok], b[ok]
+        least = merge_least(np.minimum(size[a], size[b]).astype(np.int64), num, den)
+        pair, back, times = np.unique(np.stack([doc[a], doc[b]], 1), axis=0, return_inverse=True, return_counts=True)
+        wants = np.full(len(pair), LEAST, np.int64)
+        np.minimum.at(wants, back.ravel(), least)
         long = K.ranges(at[count > short], count[count > short])
         for k in range(0, len(pair), 1 << 18):
-            p = pair[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(p), np.int8)), "key": pa.array(p[:, 0]), "key2": pa.array(np.zeros(len(p), np.int64)), "doc": pa.array(p[:, 1]), "n": pa.array(np.zeros(len(p), np.int32))})
+            own = slice(k, k + (1 << 18))
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(times[own]), np.int8)), "key": pa.array(pair[own, 0]), "key2": pa.array(wants[own]), "doc": pa.array(pair[own, 1]), "n": pa.array(times[own].astype(np.int32))})
         for k in range(0, len(long), 1 << 18):
             p = long[k : k + (1 << 18)]
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(p), 2, np.int8)), "key": pa.array(key[p]), "key2": pa.array(np.zeros(len(p), np.int64)), "doc": pa.array(doc[p]), "n": pa.array(size[p])})
@@ -248,7 +262,8 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     dealt = rows.mapInArrow(postings, "kind tinyint, spread bigint, key bigint, key2 bigint, doc bigint, n int").repartition(F.col("spread")).drop("spread")
     found = keep(dealt.mapInArrow(meet, "kind tinyint, key bigint, key2 bigint, doc bigint, n int"), "lists")
     every = found.filter("kind = 0").select("doc", "n", F.col("key").alias("k1"), F.col("key2").alias("k2"))
-    pairs = found.filter("kind = 1").select(F.col("key").alias("a"), F.col("doc").alias("b")).distinct()
+    # all short lists that two documents share count together; a pair that shares a long list too is compared there anyway
+    pairs = found.filter("kind = 1").groupBy(F.col("key").alias("a"), F.col("doc").alias("b")).agg(F.sum("n").alias("n"), F.min("key2").alias("least")).filter("n >= least").select("a", "b")
     members = found.filter("kind = 2").select(F.col("key").alias("list"), F.col("doc")).distinct()
 
     # A work unit is one document with its partners, or two blocks of a long list.
@@ -271,19 +286,26 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     def compare(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates(["doc", "s"]).sort_values("doc")
-        docs_, values, own = pdf["doc"].tolist(), [np.frombuffer(s, K.U) for s in pdf["s"]], pdf["own"].to_numpy()
+        pdf = pdf.drop_duplicates(["u", "i", "j", "own", "doc", "s"]).sort_values(["u", "own", "doc"], kind="stable")
+        docs_, values, own, u = pdf["doc"].tolist(), [np.frombuffer(s, K.U) for s in pdf["s"]], pdf["own"].to_numpy(), pdf["u"].to_numpy()
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        if i < 0:
-            left, right = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
+        kept: list[tuple[int, int]] = []
+        if i < 0:  # many documents, each with its partners
+            ends = np.flatnonzero(np.append(u[1:] != u[:-1], True)) + 1
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                heads = a + np.flatnonzero(own[a:b] == 0)
+                index = Lists([values[k] for k in range(a + len(heads), b)])
+                kept += [(int(k), int(a + len(heads) + x)) for k in heads for x in index.search(values[k], num, den)]
         else:
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        index = Lists([values[k] for k in right])
-        edges = [(int(k), int(right[x])) for k in left for x in index.search(values[k], num, den)]
-        kept = forest(len(docs_), edges)
+            index = Lists([values[k] for k in right])
+            kept = forest(len(docs_), [(int(k), int(right[x])) for k in left for x in index.search(values[k], num, den)])
         return pd.DataFrame({"a": [docs_[x] for x, _ in kept], "b": [docs_[y] for _, y in kept]}, dtype="int64")
 
-    links = units.join(sets, "doc").groupBy("u", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    # stars share a group, as a group costs more than a star; a block pair is one by itself
+    many = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group = F.when(F.col("i") < 0, F.pmod(F.xxhash64("u"), F.lit(many))).otherwise(F.col("u"))
+    links = units.join(sets, "doc").groupBy(group.alias("g"), "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
     # Nodes are classes of equal sets, by their smallest doc_id; empty sets are in none.
     classes = every.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
