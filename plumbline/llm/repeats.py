@@ -81,10 +81,12 @@ class Texts:
 Judge = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def removed_windows(docs: DataFrame, window: int, gram: int, by_words: bool, judge: Judge, piece_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+def removed_windows(docs: DataFrame, window: int, gram: int, by_words: bool, judge: Judge, piece_bytes: int = 2 << 20, most_windows: int = 300_000) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, text, tk: a hash of the text), and (doc_id, runs: array<struct<tk, start, n>>) of the starts
     of windows whose units also start earlier: in a smaller doc_id, or earlier in the same document.
 
+    A task holds the contexts of its part of the anchors, and judges them in shards of about most_windows windows.
+
     judge(contexts, doc, start, n, anchor) gets contexts of whole anchors, ordered by document and start, and returns for each
     window (n of each context, in order) whether an equal window of another context starts earlier."""
     spark = docs.sparkSession
@@ -201,14 +203,27 @@ def removed_windows(docs: DataFrame, window: int, gram: int, by_words: bool, jud
         if not parts:
             return
         doc, tk, start, n, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-        # an anchor that no other context holds now cannot repeat
-        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        use = np.flatnonzero(count[back] > 1)
-        use = use[np.lexsort((start[use], doc[use]))]
-        doc, tk, start, n, h, texts = doc[use], tk[use], start[use], n[use], h[use], [texts[k] for k in use]
+        order = np.lexsort((start, doc))
+        doc, tk, start, n, h, texts = doc[order], tk[order], start[order], n[order], h[order], [texts[k] for k in order.tolist()]
+        # equal contexts: all windows of the later ones repeat; the first goes on
+        firsts: dict[tuple[int, bytes], int] = {}
+        head = np.array([firsts.setdefault(key, k) for k, key in enumerate(zip(h.tolist(), texts, strict=True))], np.int64)
+        del firsts
+        later = (doc != doc[head]) | (start != start[head])
+        yield pa.RecordBatch.from_pydict({x: pa.array(y[later]) for x, y in zip(names, (doc, tk, start, n), strict=True)})
+        # an anchor that one context alone holds cannot repeat
+        stay = np.flatnonzero(head == np.arange(len(head)))
+        _, back, count = np.unique(h[stay], return_inverse=True, return_counts=True)
+        use = stay[count[back] > 1]
+        shards = max(1, -(-int(n[use].sum()) // most_windows))
+        of = (K.mix(h[use].view(K.U)) % K.U(shards)).astype(np.int64)
+        for shard in range(shards):
+            yield from judged_shard(*(x[use[of == shard]] for x in (doc, tk, start, n, h)), texts, use[of == shard])
+
+    def judged_shard(doc, tk, start, n, h, texts, at) -> Iterator[pa.RecordBatch]:
         if not len(doc):
             return
-        gone = judge(texts, doc, start, n, h)
+        gone = judge([texts[k] for k in at.tolist()], doc, start, n, h)
         row, first = np.repeat(np.arange(len(doc)), n), np.cumsum(n) - n
         at = np.flatnonzero(gone)
         if len(at):

@@ -55,7 +55,7 @@ class SuffixFamily:
         return gone
 
 
-def family(window: int, batch: int = 1 << 17):
+def family(window: int, batch: int = 1 << 16):
     def judge(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         own, gone, first = SuffixFamily(window), [], np.concatenate([[0], np.cumsum(n)])
         ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1  # batches end with a document
@@ -82,7 +82,7 @@ SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 def substring_dedup(docs: DataFrame, window: int = 100, gram: int = 32, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs, and on request the kept bytes."""
-    rows, runs = removed_windows(docs, window, gram, False, family(window))
+    rows, runs = removed_windows(docs, window, gram, False, family(window), piece_bytes=512 << 10)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
