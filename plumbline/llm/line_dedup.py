@@ -68,17 +68,31 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(rank)), ",").cast("array<int>")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once a row: inside a lambda a plain column would be computed for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def tokens(words: Column, rank: Column) -> Column:
     """Distinct tokens in order: the rank in the top byte, a hash below it; long, ascending by rarity."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    ranks = F.transform(hashed, lambda h: F.get(rank, F.pmod(h, F.lit(BUCKETS)).cast("int")))
-    at = lambda a, i, k: F.get(a, i + k)
-    many = F.transform(
-        F.sequence(F.lit(0), F.size(words) - SHINGLE),
-        lambda i: F.shiftleft(F.least(*[at(ranks, i, k) for k in range(SHINGLE)]).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*[at(hashed, i, k) for k in range(SHINGLE)]), 9)),
-    )
-    one = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(words, " "), F.size(words)), 9))
-    return F.array_sort(F.array_distinct(F.when(F.size(words) >= SHINGLE, many).otherwise(one)))
+
+    def many(w: Column) -> Column:
+        return _let(F.transform(w, lambda x: F.xxhash64(x)), ranked)
+
+    def ranked(h: Column) -> Column:
+        return _let(F.struct(h.alias("h"), F.transform(h, lambda x: F.get(rank, F.pmod(x, F.lit(BUCKETS)).cast("int"))).alias("r")), shingles)
+
+    def shingles(s: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(s["h"]) - SHINGLE),
+            lambda i: F.shiftleft(F.least(*[F.get(s["r"], i + k) for k in range(SHINGLE)]).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*[F.get(s["h"], i + k) for k in range(SHINGLE)]), 9)),
+        )
+
+    def all_of(w: Column) -> Column:
+        one = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(w, " "), F.size(w)), 9))
+        return F.array_sort(F.array_distinct(F.when(F.size(w) >= SHINGLE, many(w)).otherwise(one)))
+
+    return _let(words, all_of)
 
 
 def _image(t: Column) -> list[Column]:
