@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -23,35 +22,3 @@ def register(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-@register(
-    "scope_summary",
-    """
-    SELECT l_suppkey AS group_key,
-           CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_sf,
-           CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS in_sf,
-           CAST(sum(CASE WHEN l_linestatus <> 'F' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS parked_sf,
-           CAST(count(*) AS BIGINT) AS zones,
-           CAST(count(DISTINCT l_partkey) AS BIGINT) AS pages,
-           bool_or(l_linestatus <> 'F') AS any_parked
-    FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_suppkey
-    """,
-)
-def scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4: booked rows grouped by scope key, with in-scope and parked totals."""
-    sf, inside = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_linestatus") == "F"
-    return (
-        table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_returnflag") != "R")
-        .groupBy(F.col("l_suppkey").alias("group_key"))
-        .agg(
-            F.sum(sf).cast("double").alias("total_sf"),
-            F.sum(F.when(inside, sf).otherwise(0)).cast("double").alias("in_sf"),
-            F.sum(F.when(~inside, sf).otherwise(0)).cast("double").alias("parked_sf"),
-            F.count(F.lit(1)).alias("zones"),
-            F.countDistinct("l_partkey").alias("pages"),
-            F.bool_or(~inside).alias("any_parked"),
-        )
-        .orderBy(F.desc("total_sf"), "group_key")
-    )
