@@ -12,8 +12,9 @@ lists are then probed by binary search, for the documents that the short ones na
    on LEAST of them, and chance meetings of one shingle name nobody. Up to `short` rows of a shingle pair up directly. Longer lists
    go out as members: a task that sees more than `short` rows of one shingle sends the rest past the shuffle by shingle,
    so a shingle gathers few rows a task, however common it is.
-4. Whole sets of the named documents are compared: pairs one document at a time, long lists in blocks of at most
-   `block` members, against every block of the list; a block pair sends back a spanning forest, never its pairs.
+4. Whole sets of the named documents are compared: pairs one document at a time, long lists (or all that they join, where
+   that sends fewer sets) in blocks of about `block` members, against every block; a block pair sends back a spanning forest,
+   never its pairs.
 5. Components over the links of step 4.
 
 Nulls and edge cases: null or wordless text has an empty set, links with nothing and is its own component; a text of
@@ -266,8 +267,20 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     pairs = found.filter("kind = 1").groupBy(F.col("key").alias("a"), F.col("doc").alias("b")).agg(F.sum("n").alias("n"), F.min("key2").alias("least")).filter("n >= least").select("a", "b")
     members = found.filter("kind = 2").select(F.col("key").alias("list"), F.col("doc")).distinct()
 
-    # A work unit is one document with its partners, or two blocks of a long list.
-    by_list = members.join(members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "list")
+    # Near copies share many long lists, and would send their whole sets once for each. What long lists join, directly or by way
+    # of others, is compared as one group where that sends less than the lists do one by one; both compare every pair of a list.
+    members = keep(members, "members")
+    first = members.groupBy("list").agg(F.min("doc").alias("a"))
+    joined = connected_components(members.join(first, "list").select("a", F.col("doc").alias("b")))
+    of = keep(members.join(joined, F.col("doc") == F.col("id")).select("component", "list", "doc"), "joined")
+    cost = lambda n: n * F.ceil(n / F.lit(block))
+    by_list = of.groupBy("component", "list").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.sum(cost(F.col("n"))).alias("lists"))
+    whole = of.select("component", "doc").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    at_once = by_list.join(whole, "component").select("component", (cost(F.col("n")) <= F.col("lists")).alias("at_once"))
+    groups = of.join(at_once, "component").select(F.when(F.col("at_once"), F.col("component")).otherwise(F.col("list")).alias("list"), "doc").distinct()
+
+    # A work unit is one document with its partners, or two blocks of a group.
+    by_list = groups.join(groups.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "list")
     placed = by_list.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = placed.select(F.col("list").alias("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "own")
     star = pairs.select(F.col("a").alias("u"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("b").alias("doc"), F.lit(1).alias("own"))
