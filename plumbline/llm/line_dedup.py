@@ -36,8 +36,14 @@ def needed(n: Column) -> Column:
     return F.ceil(n * NUM / DEN).cast("int")
 
 
+def _spaced(text: Column) -> Column:
+    """Every white space as a blank, so that words split at one character, which takes no pattern."""
+    odd = [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"]
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.regexp_replace(text, "[\\x09\\x0B-\\x0D]", " ")).otherwise(text)
+
+
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(_spaced(line)), " "), lambda w: w != "")
 
 
 def _release(spark) -> None:
@@ -53,14 +59,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _identity(words: Column) -> tuple[Column, Column]:
-    """128 bits of a line's words, as two numbers."""
-    digest = F.md5(F.array_join(words, " ").cast("binary"))
-    return F.xxhash64(digest), F.xxhash64(F.reverse(digest))
+    """96 bits of a line's words, as two numbers."""
+    joined = F.array_join(words, " ")
+    return F.xxhash64(joined), F.hash(joined).cast("bigint")
 
 
 def rarity(docs: DataFrame) -> Column:
     """Literal array: class (4 log2) of the number of words in each bucket, over all words."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(F.lower(_spaced(F.col("text"))), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()  # at most BUCKETS rows
     rank = ["0"] * BUCKETS
     for r in counts:
@@ -90,7 +96,7 @@ def tokens(words: Column, rank: Column) -> Column:
 
     def all_of(w: Column) -> Column:
         one = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(w, " "), F.size(w)), 9))
-        return F.array_sort(F.array_distinct(F.when(F.size(w) >= SHINGLE, many(w)).otherwise(one)))
+        return F.sort_array(F.array_distinct(F.when(F.size(w) >= SHINGLE, many(w)).otherwise(one)))
 
     return _let(words, all_of)
 
@@ -149,8 +155,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # whole sets of the classes that share a token, from their first lines
     wanted = shared.select("x", "x2").distinct().join(classes, ["x", "x2"]).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "x", "x2")).alias("wanted"))
     text = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    at = text.join(wanted, "doc_id").withColumn("lines", F.split("text", "\n"))
-    at = at.select("doc_id", F.explode(F.transform("wanted", lambda w: F.struct(w["line_no"].alias("line_no"), w["x"].alias("x"), w["x2"].alias("x2"), F.get("lines", w["line_no"]).alias("line")))).alias("w"))
+    pick = lambda ls: F.transform("wanted", lambda w: F.struct(w["line_no"].alias("line_no"), w["x"].alias("x"), w["x2"].alias("x2"), F.get(ls, w["line_no"]).alias("line")))
+    at = text.join(wanted, "doc_id").select("doc_id", F.explode(_let(F.split("text", "\n"), pick)).alias("w"))
     at = at.select("doc_id", "w.line_no", "w.x", "w.x2", _words(F.col("w.line")).alias("words"))
     own, own2 = _identity(F.col("words"))
     at = at.filter((own == F.col("x")) & (own2 == F.col("x2"))).select("doc_id", "line_no", "x", "x2", tokens(F.col("words"), rank).alias("t")).dropDuplicates(["x", "x2"])
@@ -184,7 +190,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     # a row that repeats an id may be shorter than the line numbers found
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    kept = F.array_join(_let(lines, lambda ls: F.transform(left, lambda i: F.get(ls, i))), "\n")
+    text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
     removed = F.when(F.col("__gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("bigint")
     return rows.select(*[(text.alias("text") if c == "text" else docs[c]) for c in own], n.alias("n_lines"), removed.alias("n_removed"))
