@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _boxes(pdf) -> tuple[np.ndarray, np.ndarray]:
@@ -20,6 +21,20 @@ def _shared(b: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.clip(w, 0, None) * np.clip(h, 0, None)
 
 
+def _grouped(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run() on each group. Groups share a pandas call by a hash of their keys, as a call costs more than a small group; a
+    group is one page's rows, never a corpus'."""
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def each(pdf):
+        import pandas as pd
+
+        parts = [run(g) for _, g in pdf.drop(columns="__b").groupby(keys, sort=False, dropna=False)]
+        return pd.concat(parts) if parts else pdf.iloc[:0]
+
+    return rows.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("__b").applyInPandas(each, schema)
+
+
 def _fold(rows: DataFrame, keys: list[str], step, extra: str = "") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + extra
 
@@ -28,7 +43,7 @@ def _fold(rows: DataFrame, keys: list[str], step, extra: str = "") -> DataFrame:
         pdf = pdf.assign(__a=-a).sort_values(["__a", "id"], kind="stable").drop(columns="__a")
         return step(pdf, *_boxes(pdf))
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return _grouped(rows, keys, run, schema)
 
 
 def greedy_nms(boxes: DataFrame, keys: list[str], most: float = 0.7) -> DataFrame:
@@ -116,25 +131,18 @@ def spread_points(points: DataFrame, keys: list[str], gap: float = 6.0, most: in
                     break
         return pdf.iloc[kept]
 
-    return points.groupBy(*keys).applyInPandas(run, schema)
+    return _grouped(points, keys, run, schema)
 
 
 def guarded_openings(openings: DataFrame, keys: list[str], area: str, wall_area: str, share: float = 0.35, most: int = 24) -> DataFrame:
     """Four or more openings of like size (0.6 to 1.6 medians, 70% of them) are a grid and deduct nothing; else
-    the largest count while their sum stays within the share of the wall."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in openings.schema.fields)
-
-    def run(pdf):
-        pdf = pdf.sort_values([area, "id"], ascending=[False, True], kind="stable")
-        v = pdf[area].to_numpy(float)
-        median = np.sort(v)[len(v) // 2]
-        if len(v) >= 4 and ((v >= 0.6 * median) & (v <= 1.6 * median)).mean() >= 0.7:
-            return pdf.iloc[:0]
-        limit, total, kept = share * float(pdf[wall_area].iloc[0]), 0.0, []
-        for k, x in enumerate(v):
-            if total + x <= limit and len(kept) < most:
-                total += x
-                kept.append(k)
-        return pdf.iloc[kept]
-
-    return openings.groupBy(*keys).applyInPandas(run, schema)
+    the largest count while their sum stays within the share of the wall. Native: (keys, position, area)."""
+    from ..functions.folds import budgeted, upper_median
+
+    g = openings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(area).alias("a"), F.col("id").alias("i")))).alias("__o"), F.max(wall_area).alias("__w"))
+    values = F.transform("__o", lambda o: o["a"])
+    g = g.withColumn("__v", values).withColumn("__m", upper_median(F.col("__v")))
+    alike = F.size(F.filter("__v", lambda v: (v >= 0.6 * F.col("__m")) & (v <= 1.6 * F.col("__m"))))
+    g = g.filter(~((F.size("__v") >= 4) & (alike >= 0.7 * F.size("__v"))))
+    kept = g.withColumn("__k", budgeted(F.col("__v"), share * F.col("__w"), count=most)).select(*keys, F.posexplode("__k").alias("position", area))
+    return kept.select(*keys, "position", area)

@@ -16,7 +16,9 @@ NAMES = [
     "Vertical rib panel", "Horizontal panel", "Vertical panel", "Soffit return", "Louver screen", "Roof membrane", "Nichiha panel", "Perforated metal", "AP-1 panel", "A-402 sheet", "North Elevation", "AI suggestion 4", "PVC trim",
     "A very long architect name of a wall finish that runs on and on", "=SUM(A1)", "Stone base", "Composite metal panel", "FCP panel smooth", "Shingle siding",
 ]
-NAME = F.get(F.array(*[F.lit(n) for n in NAMES]), (F.col("p_partkey") % len(NAMES)).cast("int"))
+def name_column():
+    return F.get(F.array(*[F.lit(n) for n in NAMES]), (F.col("p_partkey") % len(NAMES)).cast("int"))
+
 
 
 def sql_text(s: str) -> str:
@@ -43,7 +45,7 @@ def sql_like(column: str, pattern: str) -> str:
 
 
 def named(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", NAME.alias("name"))
+    return table(spark, sf_dir, "part").select("p_partkey", name_column().alias("name"))
 
 
 _T = f"WITH t AS (SELECT p_partkey, {NAME_SQL} AS name, upper(trim(regexp_replace({NAME_SQL}, '\\s+', ' ', 'g'))) AS u, trim(regexp_replace({NAME_SQL}, '\\s+', ' ', 'g')) AS raw FROM part) "
