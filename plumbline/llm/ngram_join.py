@@ -288,13 +288,21 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     units = keep(blocks.unionByName(star).unionByName(heads), "units")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's set for each unit that it is in, by few documents at a time."""
         for batch in batches:
-            for piece in K.pieces(batch, "text"):
+            for piece in K.pieces(batch, "text", 256 << 10):
                 value, off = shingle_sets(piece.column("text"), n)
-                yield pa.RecordBatch.from_pydict({"doc": piece.column("doc_id"), "s": pa.array([value[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())})
-
-    active = units.select(F.col("doc").alias("doc_id")).distinct()
-    sets = rows.join(active, "doc_id", "left_semi").mapInArrow(whole_sets, "doc bigint, s binary")
+                each = np.array([value[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], object)
+                listed = piece.column("units")
+                per = np.diff(listed.offsets.to_numpy())
+                unit, ids, sizes = listed.flatten(), np.repeat(piece.column("doc_id").to_numpy(), per), np.repeat(each, per)
+                for k in range(0, len(ids), 256):
+                    yield pa.RecordBatch.from_arrays([*(x.slice(k, 256) for x in unit.flatten()), pa.array(ids[k : k + 256]), pa.array(sizes[k : k + 256], pa.binary())], names=["u", "i", "j", "own", "doc", "s"])
+
+    # The texts of the documents in question move once, and their sets go straight to the units. The ids grow with the corpus:
+    # they are merged with the texts at every size, and not broadcast.
+    active = units.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("u", "i", "j", "own")).alias("units"))
+    sets = rows.join(active.hint("merge"), "doc_id").mapInArrow(whole_sets, "u bigint, i int, j int, own int, doc bigint, s binary")
 
     def compare(pdf):
         import pandas as pd
@@ -318,7 +326,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     # stars share a group, as a group costs more than a star; a block pair is one by itself
     many = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = F.when(F.col("i") < 0, F.pmod(F.xxhash64("u"), F.lit(many))).otherwise(F.col("u"))
-    links = units.join(sets, "doc").groupBy(group.alias("g"), "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    links = sets.groupBy(group.alias("g"), "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
     # Nodes are classes of equal sets, by their smallest doc_id; empty sets are in none.
     classes = every.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
