@@ -169,6 +169,14 @@ def components(spark, sf_dir):
     return graph.components(e, "a", "b")
 
 
+@register("components_all")
+def components_all(spark, sf_dir):
+    """K1 over every part-supplier edge of lineitem; no SQL: a test holds it against brute force. Parts are even
+    nodes, suppliers odd ones."""
+    e = table(spark, sf_dir, "lineitem").select((F.col("l_partkey").cast("bigint") * 2).alias("a"), (F.col("l_suppkey").cast("bigint") * 2 + 1).alias("b"))
+    return graph.components(e, "a", "b").select(F.when(F.col("node") % 2 == 0, "part").otherwise("supplier").alias("kind"), F.floor(F.col("node") / 2).alias("key"), "component")
+
+
 @register("line_clusters", "WITH l AS (SELECT p_partkey AS id, p_brand AS page, (p_partkey * 37) % 2000 AS c, (p_partkey * 91) % 500 AS a0, (p_partkey * 91) % 500 + p_size * 4 + 10 AS a1 FROM part) SELECT p.page, p.id AS a, q.id AS b FROM l p JOIN l q ON p.page = q.page AND p.id < q.id AND abs(p.c - q.c) < 45 AND least(p.a1, q.a1) - greatest(p.a0, q.a0) > 0.5 * least(p.a1 - p.a0, q.a1 - q.a0)")
 def line_clusters(spark, sf_dir):
     """J21."""
@@ -193,6 +201,18 @@ def weld_rollup(spark, sf_dir):
     return graph.weld_rollup(pieces, e, "sf").select("cluster", "area_sf", "members")
 
 
+@register("weld_rollup_all")
+def weld_rollup_all(spark, sf_dir):
+    """G7 over the boxes of all parts, in shares of a page of 1100 points; pieces of one page and type whose boxes lie within 0.015
+    are linked. No SQL: a test holds it against brute force."""
+    share = F.struct(*[(F.col(f"box.{c}") / 1100).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_retailprice").alias("sf"))
+    pieces = boxes(spark, sf_dir).select("id", "page", share.alias("box")).join(part, "id")
+    other = pieces.select("page", "type", F.col("id").alias("other"), F.col("box").alias("o"))
+    e = spatial.box_join(pieces, other, ["page", "type"], "box", "o", 0.1, 0.015, F.col("id") < F.col("other")).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return graph.weld_rollup(pieces.select("id", "sf", "box.*"), e, "sf")
+
+
 @register("tiled_inference")
 def tiled_inference(spark, sf_dir):
     """K6: a stand-in model (mean of a vector) through the hook; no SQL."""

@@ -181,3 +181,40 @@ def test_reconcile(spark):
     assert sorted(map(tuple, made.collect())) == [("a", "unavailable"), ("b", "fail"), ("c", "pass")]
     flags = reconcile.classified_flags(spark.createDataFrame([("Scale could not be read",), ("Scale could not be read",), ("nothing",)], "t string"), "t")
     assert [tuple(r) for r in flags.collect()] == [("Scale could not be read", "SCALE_UNREAD", "critical", "page")]
+
+
+def forest(edges):
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for e in edges for n in e}
+
+
+def test_components_of_all_edges(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    want = forest([(p * 2, s * 2 + 1) for p, s in rows])
+    got = {r["key"] * 2 + (r["kind"] == "supplier"): r["component"] for r in QUERIES["components_all"](spark, SF).collect()}
+    assert got == want and {r[0] for r in rows} == {n // 2 for n in got if n % 2 == 0}
+
+
+def test_weld_of_all_pieces(spark):
+    pieces = [(r["p_partkey"], (r["p_brand"], r["p_type"]), r["p_retailprice"], r["p_size"]) for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    at = {k: (x / 1100, y / 1100, (x + size + 5) / 1100, (y + k % 60 + 5) / 1100) for k, _, _, size in pieces for x, y in [(k * 37 % 1000, k * 91 % 1000)]}
+    near = lambda a, b: all(a[i] - 0.015 <= b[i + 2] and b[i] <= a[i + 2] + 0.015 for i in (0, 1))
+    own = forest([(k, k) for k, *_ in pieces] + [(a, b) for a, g, *_ in pieces for b, h, *_ in pieces if a < b and g == h and near(at[a], at[b])])
+    span = {c: [f(at[k][i] for k in own if own[k] == c) for i, f in enumerate((min, min, max, max))] for c in set(own.values())}
+    own = {k: k if span[c][2] - span[c][0] > 0.55 and span[c][3] - span[c][1] > 0.55 else c for k, c in own.items()}
+    want = {c: (round(sum(sf for k, _, sf, _ in pieces if own[k] == c), 2), sum(x == c for x in own.values())) for c in set(own.values())}
+    got = {r["cluster"]: (round(r["area_sf"], 2), r["members"]) for r in QUERIES["weld_rollup_all"](spark, SF).collect()}
+    assert got == want and sum(n for _, n in got.values()) == 200 and len(got) < 200
+
+
+def test_weld_that_sprawls_is_taken_apart(spark):
+    tall = [(k, 10.0, 0.1, 0.1 * k, 0.2, 0.1 * k + 0.1) for k in range(8)]
+    wide = [(20 + k, 10.0, 0.1 * k, 0.1 * k, 0.1 * k + 0.1, 0.1 * k + 0.1) for k in range(8)]
+    p = spark.createDataFrame(tall + wide, "id int, sf double, x0 double, y0 double, x1 double, y1 double")
+    e = spark.createDataFrame([(k, k + 1) for b in (0, 20) for k in range(b, b + 7)], "a int, b int")
+    got = {r["cluster"]: (r["area_sf"], r["members"]) for r in graph.weld_rollup(p, e, "sf").collect()}
+    assert got == {0: (80.0, 8)} | {20 + k: (10.0, 1) for k in range(8)}
