@@ -33,7 +33,7 @@ def auto_trim(pieces: DataFrame, page: str, ft_per_pt: float, bucket: float = 6.
     flat = box.withColumn("oo", F.struct(F.lit(0.0).alias("x0"), F.col("o.y0").alias("y0"), F.lit(0.0).alias("x1"), F.col("o.y1").alias("y1")))
     meet = F.least("hi", F.col("o.y1")) - F.greatest("lo", F.col("o.y0")) >= 0.3 * (F.col("hi") - F.col("lo"))
     sides = box_join(probe, flat, [page], "b", "oo", 200.0, test=meet).groupBy(page, "eid").agg(F.bool_or(F.col("o.x0") < F.col("xc") - 4).alias("l"), F.bool_or(F.col("o.x1") > F.col("xc") + 4).alias("r"))
-    outer = up.join(sides.filter("l and r"), [page, "eid"], "left_anti").withColumn("k", F.round(F.col("xc") / bucket))
+    outer = up.join(sides.filter("l and r"), [page, "eid"], "left_anti").withColumn("k", F.bround(F.col("xc") / bucket))
     corner = interval_union(outer, [page, "k"], "lo", "hi").groupBy(page).agg(F.sum("union_length").alias("pt")).withColumn("kind", F.lit("corner"))
     span = pieces.select(page, F.array_min(xs).alias("a"), F.array_max(xs).alias("b"))
     base = interval_union(span, [page], "a", "b").select(page, (2 * F.col("union_length")).alias("pt"), F.lit("base_top").alias("kind"))

@@ -107,6 +107,19 @@ def auto_trim(spark, sf_dir):
     return measure.auto_trim(p, "page", 0.5).filter("kind = 'base_top'")
 
 
+@register("auto_trim_all")
+def auto_trim_all(spark, sf_dir):
+    """All four kinds; every fifth part has a gable, every part of odd number a hole. No SQL: a test holds it against brute force."""
+    b, c = boxes(spark, sf_dir), lambda n: F.col(f"box.{n}")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    wide, high = c("x1") - c("x0"), c("y1") - c("y0")
+    roof = F.when(F.col("id") % 5 == 0, F.array(pt(c("x0") + wide / 2, c("y1") + wide / 2))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    points = F.concat(F.array(pt(c("x0"), c("y0")), pt(c("x1"), c("y0")), pt(c("x1"), c("y1"))), roof, F.array(pt(c("x0"), c("y1"))))
+    x, y = [c("x0") + wide * k / 4 for k in (1, 3)], [c("y0") + high * k / 4 for k in (1, 3)]
+    holes = F.when(F.col("id") % 2 == 1, F.array(F.array(pt(x[0], y[0]), pt(x[1], y[0]), pt(x[1], y[1]), pt(x[0], y[1])))).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>"))
+    return measure.auto_trim(b.select("page", "id", points.alias("points"), holes.alias("holes")), "page", 0.5)
+
+
 @register("spaced_values", None)
 def spaced_values(spark, sf_dir):
     """Folds over the sorted quantities of each order; no SQL: each step depends on the last kept value."""

@@ -4,6 +4,7 @@ import glob
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,52 @@ def test_weld_that_sprawls_is_taken_apart(spark):
     e = spark.createDataFrame([(k, k + 1) for b in (0, 20) for k in range(b, b + 7)], "a int, b int")
     got = {r["cluster"]: (r["area_sf"], r["members"]) for r in graph.weld_rollup(p, e, "sf").collect()}
     assert got == {0: (80.0, 8)} | {20 + k: (10.0, 1) for k in range(8)}
+
+
+def trim(faces, rate):
+    """auto_trim.compute of one page: faces are (points, holes)."""
+
+    def union(spans):
+        total, end = 0.0, -math.inf
+        for a, b in sorted(spans):
+            total, end = total + max(0.0, b - max(a, end)), max(end, b)
+        return total
+
+    sides = lambda p: list(zip(p, p[1:] + p[:1]))
+    boxes = [(min(x), min(y), max(x), max(y)) for p, _ in faces for x, y in [tuple(zip(*p))]]
+    lines, rake, hole = {}, 0.0, sum(math.dist(a, b) for _, hs in faces for h in hs for a, b in sides(h))
+    for (ax, ay), (bx, by) in (e for p, _ in faces for e in sides(p)):
+        long, deg = math.dist((ax, ay), (bx, by)), math.degrees(math.atan2(abs(by - ay), abs(bx - ax)))
+        if long < max(3.0, 1 / rate):
+            continue
+        xc, lo, hi = (ax + bx) / 2, min(ay, by), max(ay, by)
+        beside = [o for o in boxes if min(hi, o[3]) - max(lo, o[1]) >= 0.3 * (hi - lo)]
+        if deg >= 60 and not (any(o[0] < xc - 4 for o in beside) and any(o[2] > xc + 4 for o in beside)):
+            lines.setdefault(round(xc / 6), []).append((lo, hi))
+        rake += long if 30 < deg < 60 else 0.0
+    feet = {"corner": sum(map(union, lines.values())), "base_top": 2 * union([(o[0], o[2]) for o in boxes]), "opening": hole, "rake": rake}
+    return {k: v * rate for k, v in feet.items() if v * rate >= (4 if k == "rake" else 1)}
+
+
+def test_auto_trim_of_every_kind(spark):
+    got, want = {}, {}
+    for r in QUERIES["auto_trim_all"](spark, SF).collect():
+        got.setdefault(r["page"], {})[r["kind"]] = r["lf"]
+    for r in spark.read.parquet(f"{SF}/part.parquet").collect():
+        k = r["p_partkey"]
+        x, y = k * 37 % 1000, k * 91 % 1000
+        w, h = r["p_size"] + 5, k % 60 + 5
+        points = [(x, y), (x + w, y), (x + w, y + h), *([(x + w / 2, y + h + w / 2)] if k % 5 == 0 else []), (x, y + h)]
+        hole = [(x + w * i / 4, y + h * j / 4) for i, j in ((1, 1), (3, 1), (3, 3), (1, 3))]
+        want.setdefault(r["p_brand"], []).append((points, [hole] if k % 2 else []))
+    want = {page: trim(faces, 0.5) for page, faces in want.items()}
+    assert {p: set(v) for p, v in got.items()} == {p: set(v) for p, v in want.items()}
+    assert all(abs(got[p][k] - v) <= 0.0501 for p in want for k, v in want[p].items())
+    assert {k for v in want.values() for k in v} == {"corner", "base_top", "opening", "rake"}
+
+
+def test_auto_trim_puts_lines_in_the_nearest_even_bucket(spark):
+    faces = [([(15.0, 0.0), (90.0, 0.0), (90.0, 40.0), (15.0, 40.0)], []), ([(13.0, 20.0), (88.0, 20.0), (88.0, 60.0), (13.0, 60.0)], [])]
+    p = spark.createDataFrame([(1, k, *f) for k, f in enumerate(faces)], "page int, id int, points array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>")
+    got = {r["kind"]: r["lf"] for r in measure.auto_trim(p, "page", 0.5).collect()}
+    assert got == {k: round(v, 1) for k, v in trim(faces, 0.5).items()}
