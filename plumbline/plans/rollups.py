@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.naming import scope_family
 from ..operators import export, reconcile, review, rollup, windows
 from .registry import register, table
 
@@ -288,6 +289,28 @@ def declared_vs_found(spark, sf_dir):
     return reconcile.unmatched(left, right, "tokens", "family", "item_id").select("item_id", "text")
 
 
+def _declared_and_found(spark, sf_dir):
+    tokens = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 9)
+    named = lambda name, key: table(spark, sf_dir, name).select(key, "text", tokens.alias("tokens"), scope_family(F.col("text")).alias("family"))
+    return named("benchmark", "item_id"), named("documents", "doc_id")
+
+
+@register("declared_vs_found_all")
+def declared_vs_found_all(spark, sf_dir):
+    """J24 over the documents of all languages, with families: each item, and whether it is found. No SQL: a test holds it against
+    brute force."""
+    declared, found = _declared_and_found(spark, sf_dir)
+    missing = reconcile.unmatched(declared, found, "tokens", "family", "item_id").select("item_id", F.lit(False).alias("__f"))
+    return declared.join(missing, "item_id", "left").select("item_id", "text", "family", F.coalesce("__f", F.lit(True)).alias("found"))
+
+
+@register("found_not_declared")
+def found_not_declared(spark, sf_dir):
+    """Documents that share neither a long word nor a family with an item."""
+    declared, found = _declared_and_found(spark, sf_dir)
+    return reconcile.unmatched(found, declared, "tokens", "family", "doc_id").select("doc_id", "family")
+
+
 @register("check_status", "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'fail' WHEN bool_or(l_returnflag = 'N') THEN 'unavailable' ELSE 'pass' END AS status FROM lineitem GROUP BY 1")
 def check_status(spark, sf_dir):
     outcome = F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "N", "unavailable").otherwise("pass")

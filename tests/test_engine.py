@@ -268,3 +268,28 @@ def test_auto_trim_puts_lines_in_the_nearest_even_bucket(spark):
     p = spark.createDataFrame([(1, k, *f) for k, f in enumerate(faces)], "page int, id int, points array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>")
     got = {r["kind"]: r["lf"] for r in measure.auto_trim(p, "page", 0.5).collect()}
     assert got == {k: round(v, 1) for k, v in trim(faces, 0.5).items()}
+
+
+def both_sides(spark, folder=SF):
+    from plumbline.functions.naming import scope_family
+
+    read = lambda n, k: {r[k]: ({w for w in re.split("[^a-z]+", r["text"].lower()) if len(w) >= 9}, r["f"]) for r in spark.read.parquet(f"{folder}/{n}.parquet").withColumn("f", scope_family(F.col("text"))).collect()}
+    return read("benchmark", "item_id"), read("documents", "doc_id")
+
+
+def alone(left, right):
+    tokens, families = set().union(*(t for t, _ in right.values())), {f for _, f in right.values()} - {"unassigned", "junk-name"}
+    return {k for k, (t, f) in left.items() if not t & tokens and f not in families}
+
+
+def test_declared_and_found_both_ways(spark):
+    declared, found = both_sides(spark)
+    assert {r["item_id"] for r in QUERIES["declared_vs_found_all"](spark, SF).filter("not found").collect()} == alone(declared, found)
+    assert {r["doc_id"] for r in QUERIES["found_not_declared"](spark, SF).collect()} == alone(found, declared)
+
+
+def test_declared_and_found_meet_in_any_language_or_family(spark, tmp_path):
+    spark.createDataFrame([(1, "abcdefghijk"), (2, "cedar one"), (3, "lonely"), (4, "brick")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "x abcdefghijk", "en"), (2, "shingle two", "fr"), (3, "soffit", "es")], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["item_id"]: r["found"] for r in QUERIES["declared_vs_found_all"](spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: False, 4: False}
+    assert {(r["doc_id"], r["family"]) for r in QUERIES["found_not_declared"](spark, str(tmp_path)).collect()} == {(3, "soffit")}
