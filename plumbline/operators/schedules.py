@@ -42,10 +42,14 @@ def sheet_index(rows: DataFrame, keys: list[str], page: str) -> DataFrame:
     return rows.join(heading, [*keys, page], "left_semi").select(*keys, sheet.alias("sheet"), up.alias("title")).filter(F.col("sheet").isNotNull() & F.contains("title", F.lit("ELEVATION")) & ~F.contains("title", F.lit("INTERIOR")))
 
 
-def text_export(words: DataFrame, page: str, order: str, text: str, most_pages: int = 40, most_notes: int = 60) -> DataFrame:
-    """The first notes of the first pages, joined."""
-    own = words.filter(F.col(page) <= most_pages)
-    return own.groupBy(page).agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), 1, most_notes), "\n").alias("text"))
+def text_export(words: DataFrame, document: str, page: str, order: str, text: str, note: str | None = None, most_pages: int = 40, most_notes: int = 60) -> DataFrame:
+    """(document, page, text) of the first pages of each document. The text of a page is whole; its first notes (rows where the
+    column `note` is true, empty ones apart) follow in brackets. Pages count from 1 in each document, those without words included."""
+    own = words.filter((F.col(page) <= most_pages) & (F.col(text) != "")).withColumn("__n", F.lit(False) if note is None else F.coalesce(note, F.lit(False)))
+    rows = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct(order, text)))), lambda s: s[text])
+    g = own.groupBy(document, page).agg(rows(~F.col("__n")).alias("__t"), F.slice(rows(F.col("__n")), 1, most_notes).alias("__a"))
+    marks = F.when(F.size("__a") > 0, F.concat(F.lit("\n[estimator marks/notes on page: "), F.array_join("__a", " | "), F.lit("]"))).otherwise("")
+    return g.select(document, page, F.concat(F.array_join("__t", "\n"), marks).alias("text")).filter(F.trim("text") != "")
 
 
 def usable_ocr(rows: DataFrame, conf: str = "conf", text: str = "text", least: float = 0.6, vocabulary: Column | None = None) -> DataFrame:

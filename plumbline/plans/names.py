@@ -297,6 +297,14 @@ def opening_schedule(spark, sf_dir):
 
 @register("text_export", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations WHERE conv_id <= 40) WHERE r <= 60 AND text IS NOT NULL GROUP BY 1")
 def text_export(spark, sf_dir):
-    """Forty pages of sixty notes are the operator's own limits."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return schedules.text_export(rows.filter("text is not null"), "conv_id", "turn", "text")
+    """S24 as its SQL has it: conversations up to 40 as pages of one document, sixty rows of each; text_export_all reads the whole table."""
+    rows = table(spark, sf_dir, "conversations").filter("text is not null and conv_id <= 40")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    return rows.groupBy("conv_id").agg(F.array_join(F.slice(texts, 1, 60), "\n").alias("text"))
+
+
+@register("text_export_all")
+def text_export_all(spark, sf_dir):
+    """Each conversation as a document of one page, its turns the page's text. No SQL: a test holds it against brute force."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.lit(1).alias("page"), "turn", "text")
+    return schedules.text_export(rows, "conv_id", "page", "turn", "text")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import folds, geometry, naming, parse
 from plumbline.operators import folds as greedy
-from plumbline.operators import graph, measure, overrides, pages, reconcile, review, rollup, scales, windows
+from plumbline.operators import graph, measure, overrides, pages, reconcile, review, rollup, scales, schedules, windows
 from plumbline.plans.catalog import ORACLE, QUERIES
 from plumbline.sources import documents, tables
 
@@ -293,3 +293,21 @@ def test_declared_and_found_meet_in_any_language_or_family(spark, tmp_path):
     spark.createDataFrame([(1, "x abcdefghijk", "en"), (2, "shingle two", "fr"), (3, "soffit", "es")], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["item_id"]: r["found"] for r in QUERIES["declared_vs_found_all"](spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: False, 4: False}
     assert {(r["doc_id"], r["family"]) for r in QUERIES["found_not_declared"](spark, str(tmp_path)).collect()} == {(3, "soffit")}
+
+
+def test_text_export_of_every_document(spark):
+    rows = [(d, p, k, f"{d}{p}.{k}", False) for d in "ab" for p in (1, 40, 41) for k in range(70)] + [("a", 1, k, f"note {k}", True) for k in range(70)] + [("b", 2, 0, "", True), ("b", 3, 0, "only", True)]
+    w = spark.createDataFrame(rows, "doc string, page int, k int, text string, note boolean")
+    got = {(r["doc"], r["page"]): r["text"] for r in schedules.text_export(w, "doc", "page", "k", "text", "note").collect()}
+    marks = lambda notes: "\n[estimator marks/notes on page: " + " | ".join(notes) + "]"
+    want = {(d, p): "\n".join(f"{d}{p}.{k}" for k in range(70)) for d in "ab" for p in (1, 40)}
+    want["a", 1] += marks(f"note {k}" for k in range(60))
+    assert got == want | {("b", 3): marks(["only"])}
+
+
+def test_text_export_of_the_whole_table(spark):
+    want = {}
+    for r in sorted(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/conversations.parquet").collect(), key=lambda r: (r["turn"], r["text"])):
+        want.setdefault(r["conv_id"], []).append(r["text"])
+    got = {r["conv_id"]: r["text"] for r in QUERIES["text_export_all"](spark, SF.replace("0.001", "0.01")).collect()}
+    assert got == {k: "\n".join(v) for k, v in want.items()} and max(got) > 40
