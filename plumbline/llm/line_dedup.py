@@ -3,75 +3,61 @@
 A line's tokens are its distinct word shingles (five words; a shorter line is one token), so a line is removed when an
 earlier line (smaller doc_id, or earlier in the document), kept or not, has a Jaccard similarity of 4/5 or more.
 
-1. Equal lines are one class; all but its first line repeat. Only classes go on.
-2. Tokens are ordered by rarity. A shingle is at most as frequent as its rarest word, so words are counted over the whole
-   corpus, in a table of fixed size, and a shingle ranks by the least count among its words, then by hash.
-3. Prefix filter: similar sets share a token of the first n - ceil(4n/5) + 1. Prefix tokens meet; those of one class fall away.
-4. Length filter, positional filter (what can still be shared after the common token's places) and a bitmap filter (the
-   tokens in which two sets differ, counted from 256-bit images) stand in the join itself, so it gives few rows. Each class
-   first meets only the earliest class of each of its tokens, one row a token; only classes without a match so far
-   meet all others. So a group of near copies gives rows in proportion to its size where its first line resembles the rest.
-5. Jaccard is verified on the whole sets.
+1. Equal lines are one class; all but its first line repeat. A line of fewer than five words has no other partner. Copies of
+   a class that holds more than 1 / HOT of all lines (at most HOT classes do) fall away before tokens are made.
+2. Tokens are ordered by rarity: shingles of all lines are counted in a table of fixed size, and a token ranks by the count of
+   its cell against the mean, then by its hash. So the passages that many lines share come last.
+3. Prefix filter: similar sets share a token of the first n - ceil(4n/5) + 1. Only those cross the network, once, as (token,
+   class, length, position). A token that one class alone holds goes no further.
+4. Length and positional filters: a pair needs lengths within 4/5, and its common prefix tokens with what can follow the last
+   of them must reach the overlap. Each class first meets only the earliest class of each of its tokens, one row a token; only
+   classes without a match so far meet all others. So a group of near copies gives rows in proportion to its size where its
+   first line resembles the rest.
+5. Jaccard is verified on the whole sets of the pairs that are left.
+
+Tables between steps are deleted when the last reader is done, and shuffle files with the step that wrote them.
 
 Nulls and edge cases: a null text stays null, with no lines; blank lines (no words) are never removed and match nothing;
 rows without doc_id stay as they are; rows that repeat a doc_id take part as one document (equal places are one place),
-and both return; words are split at white space and lower-cased; other columns pass through, whatever their names.
+and both return; words are split at white space and lower-cased; other columns pass through, whatever their names, but columns
+named n_lines and n_removed are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import keep
+from .shared import drop, fresh, keep, quoted
 
-#: Buckets of the word counts; the table of classes is a literal of the plan.
-BUCKETS = 8192
+#: Cells of the shingle counts; the table of their ranks is a literal of the plan.
+CELLS = 1 << 16
+#: Classes with more than this share of all lines are at most so many, and are broadcast.
+HOT = 8192
 SHINGLE, NUM, DEN = 5, 4, 5
+#: Bits of the filter of documents whose lines are compared.
+BITS = 1 << 20
 
 
 def needed(n: Column) -> Column:
     return F.ceil(n * NUM / DEN).cast("int")
 
 
-def _spaced(text: Column) -> Column:
-    """Every white space as a blank, so that words split at one character, which takes no pattern."""
-    odd = [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"]
-    return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.regexp_replace(text, "[\\x09\\x0B-\\x0D]", " ")).otherwise(text)
+def _plain(line: Column) -> Column:
+    """The line's words, lower-cased, one blank between them. A pattern runs only where there is something to change."""
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(low, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(low, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(low))
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(_spaced(line)), " "), lambda w: w != "")
-
-
-def _release(spark) -> None:
-    """Lets Spark drop the shuffle files of what has been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words) of the lines that have words."""
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
-
-
-def _identity(words: Column) -> tuple[Column, Column]:
+def _identity(plain: Column) -> tuple[Column, Column]:
     """96 bits of a line's words, as two numbers."""
-    joined = F.array_join(words, " ")
-    return F.xxhash64(joined), F.hash(joined).cast("bigint")
-
-
-def rarity(docs: DataFrame) -> Column:
-    """Literal array: class (4 log2) of the number of words in each bucket, over all words."""
-    words = docs.select(F.explode(F.split(F.replace(F.lower(_spaced(F.col("text"))), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()  # at most BUCKETS rows
-    rank = ["0"] * BUCKETS
-    for r in counts:
-        rank[r["b"]] = str(min(255, int(4 * (r["count"].bit_length() + r["count"] / (1 << r["count"].bit_length())))))
-    return F.split(F.lit(",".join(rank)), ",").cast("array<int>")
+    return F.xxhash64(plain), F.hash(plain)
 
 
 def _let(value: Column, then) -> Column:
@@ -79,122 +65,155 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def tokens(words: Column, rank: Column) -> Column:
-    """Distinct tokens in order: the rank in the top byte, a hash below it; long, ascending by rarity."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    return rows.filter("doc_id is not null and text is not null")
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, line_no, plain) of all lines; plain is empty where there are no words."""
+    rows = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", "line_no", _plain(F.col("line")).alias("plain"))
 
-    def many(w: Column) -> Column:
-        return _let(F.transform(w, lambda x: F.xxhash64(x)), ranked)
 
-    def ranked(h: Column) -> Column:
-        return _let(F.struct(h.alias("h"), F.transform(h, lambda x: F.get(rank, F.pmod(x, F.lit(BUCKETS)).cast("int"))).alias("r")), shingles)
+def _with_hashes(lines: DataFrame, *columns: str) -> DataFrame:
+    """columns and h, the hashes of the line's words, of lines with a shingle at least."""
+    # a generator of one element: what follows reads the array instead of computing it again
+    return lines.select(*columns, F.explode(F.array(F.transform(F.split("plain", " "), lambda w: F.xxhash64(w)))).alias("h")).filter(F.size("h") >= SHINGLE)
 
-    def shingles(s: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(s["h"]) - SHINGLE),
-            lambda i: F.shiftleft(F.least(*[F.get(s["r"], i + k) for k in range(SHINGLE)]).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*[F.get(s["h"], i + k) for k in range(SHINGLE)]), 9)),
-        )
 
-    def all_of(w: Column) -> Column:
-        one = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(w, " "), F.size(w)), 9))
-        return F.sort_array(F.array_distinct(F.when(F.size(w) >= SHINGLE, many(w)).otherwise(one)))
+def _shingle(h: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)])
 
-    return _let(words, all_of)
 
+def _all_shingles() -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("h") - SHINGLE), lambda i: _shingle(F.col("h"), i))
 
-def _image(t: Column) -> list[Column]:
-    """256-bit image of a token set, as four numbers: a token's last two bits choose the number, six others the bit."""
 
-    def one(k: int) -> Column:
-        own = F.filter(t, lambda x: x.bitwiseAND(F.lit(3)) == k)
-        return F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(x, 2).bitwiseAND(F.lit(63)).cast("int"))))
+def rarity(hashed: DataFrame) -> Column:
+    """Literal array: rank of each cell by how many shingles of all lines fall in it, against the mean; 16 ranks double it."""
+    at = hashed.select("h", F.explode(F.sequence(F.lit(0), F.size("h") - SHINGLE)).alias("i"))
+    cell = _shingle(F.col("h"), F.col("i")).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    counts = at.groupBy(cell.alias("cell")).count().collect()  # at most CELLS rows
+    mean = sum(r["count"] for r in counts) / CELLS
+    rank = ["0"] * CELLS
+    for r in counts:
+        rank[r["cell"]] = str(max(0, min(255, round(64 + 16 * math.log2(r["count"] / mean)))))
+    return F.split(F.lit(",".join(rank)), ",").cast("array<int>")
 
-    return [one(k).alias(f"g{k}") for k in range(4)]
+
+def _prefix(hashed: DataFrame, rank: Column) -> DataFrame:
+    """(x, token, m): the prefix of each line's tokens; m packs how many tokens the line has, and how many come before."""
+    token = lambda v: F.shiftleft(F.get(rank, v.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(v, 9))
+    each = hashed.select("x", F.explode(F.array(F.transform(_all_shingles(), token))).alias("t"))
+    t = each.select("x", F.sort_array(F.array_distinct("t")).alias("t"))
+    n = F.size("t")
+    at = t.select("x", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), n - needed(n) + 1)).alias("p", "token"))
+    return at.select("x", "token", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("p")).alias("m"))
 
 
 def _pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Candidate (x, x2, y, y2) of two tables of prefix tokens, through all filters."""
+    """Candidate (doc_id, line_no, d, l) of two tables of prefix tokens, through order, length and positional filters."""
     a, b = later.alias("a"), earlier.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
-    least = F.ceil((n + m) * NUM / (NUM + DEN))
     order = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") < F.col("a.line_no")))
-    length = (F.least(n, m) * DEN >= F.greatest(n, m) * NUM)
-    # with the first common token at these places, no more than this can be shared
+    length = F.least(n, m) * DEN >= F.greatest(n, m) * NUM
+    least = F.ceil((n + m) * NUM / (NUM + DEN)).cast("int")
+    # with the first common token at these places, no more than this can be shared; later common tokens stand further on
     place = F.least(n - F.col("a.p"), m - F.col("b.p")) >= least
-    differ = sum((F.bit_count(F.col(f"a.g{k}").bitwiseXOR(F.col(f"b.g{k}"))) for k in range(1, 4)), F.bit_count(F.col("a.g0").bitwiseXOR(F.col("b.g0"))))
-    join = (F.col("a.token") == F.col("b.token")) & order & length & place & (differ <= n + m - 2 * least)
-    return a.join(b, join).select("a.x", "a.x2", F.col("b.x").alias("y"), F.col("b.x2").alias("y2")).distinct()
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & order & length & place).select("a.doc_id", "a.line_no", F.col("b.doc_id").alias("d"), F.col("b.line_no").alias("l"), least.alias("least"), (n - F.col("a.p")).alias("u"), (m - F.col("b.p")).alias("v"))
+    # all common tokens up to the last of these are among these: they, and what can still follow in either
+    both = met.groupBy("doc_id", "line_no", "d", "l").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("least"), F.min("u").alias("u"), F.min("v").alias("v"))
+    return both.filter(F.col("c") + F.least("u", "v") - 1 >= F.col("least")).select("doc_id", "line_no", "d", "l")
+
+
+def _bits(ids: DataFrame) -> Column:
+    """Literal array of BITS bits, one set for each doc_id: a filter of fixed size that lets some others through."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    words = ids.select((place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # at most BITS / 64 rows
+    bits = ["0"] * (BITS // 64)
+    for r in words:
+        bits[r["w"]] = str(r["b"])
+    return F.split(F.lit(",".join(bits)), ",").cast("array<bigint>")
+
+
+def _sets(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, t) with the distinct shingles of the given lines. Texts move once, and only those in question."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    bit = F.call_function("getbit", F.get(_bits(lines.select("doc_id")), (place / 64).cast("int")), (place % 64).cast("int"))
+    wanted = lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    pick = lambda ls: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get(ls, i).alias("line")))
+    at = texts.filter(bit == 1).join(wanted.hint("merge"), "doc_id").select("doc_id", F.explode(_let(F.split("text", "\n"), pick)).alias("w"))
+    at = at.select("doc_id", "w.line_no", _plain(F.col("w.line")).alias("plain"))
+    return _with_hashes(at, "doc_id", "line_no").select("doc_id", "line_no", F.array_distinct(_all_shingles()).alias("t"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, line_no) of pairs whose whole sets reach the similarity. A repeated id may give a place more than one text."""
+    pairs = keep(pairs, "pairs")
+    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))).distinct()
+    sets = keep(_sets(texts, ends), "sets")
+    b = sets.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("t").alias("s"))
+    both = F.size(F.array_intersect("s", "t"))
+    near = pairs.join(sets, ["doc_id", "line_no"]).join(b, ["d", "l"]).filter(both * DEN >= (F.size("s") + F.size("t") - both) * NUM)
+    out = keep(near.select("doc_id", "line_no").distinct(), "near")
+    drop(pairs, sets)
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, x2) of pairs whose whole sets reach the similarity."""
-    a = sets.select("x", "x2", F.col("t").alias("s"))
-    b = sets.select(F.col("x").alias("y"), F.col("x2").alias("y2"), "t")
-    both = F.size(F.array_intersect("s", "t"))
-    return pairs.join(a, ["x", "x2"]).join(b, ["y", "y2"]).filter(both * DEN >= (F.size("s") + F.size("t") - both) * NUM).select("x", "x2").distinct()
-
-
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of the lines to remove."""
-    spark = docs.sparkSession
-    rank = rarity(docs)
-    x, x2 = _identity(F.col("words"))
-    told = lines_of(docs).select("doc_id", "line_no", x.alias("x"), x2.alias("x2"), "words")
-    lines = keep(told.drop("words"), "lines")
-    # the first line of each class: the least document, and its least line there; both combine before the shuffle
-    per_doc = lines.groupBy("x", "x2", "doc_id").agg(F.min("line_no").alias("line_no"))
-    classes = keep(per_doc.groupBy("x", "x2").agg(F.min_by("line_no", "doc_id").alias("line_no"), F.min("doc_id").alias("doc_id")), "classes")
-
-    t = told.select("x", "x2", tokens(F.col("words"), rank).alias("t"))
-    prefix = t.select("x", "x2", F.posexplode(F.slice("t", 1, F.size("t") - needed(F.size("t")) + 1)).alias("p", "token"))
-    # a class counts once for each token, wherever its copies stand: equal rows fall together before the shuffle
-    once = prefix.distinct()
-    seen = once.withColumn("c", F.count(F.lit(1)).over(_by("token"))).filter("c > 1").drop("c")
-    shared = keep(seen, "tokens")
-    _release(spark)
-
-    # whole sets of the classes that share a token, from their first lines
-    wanted = shared.select("x", "x2").distinct().join(classes, ["x", "x2"]).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "x", "x2")).alias("wanted"))
-    text = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    pick = lambda ls: F.transform("wanted", lambda w: F.struct(w["line_no"].alias("line_no"), w["x"].alias("x"), w["x2"].alias("x2"), F.get(ls, w["line_no"]).alias("line")))
-    at = text.join(wanted, "doc_id").select("doc_id", F.explode(_let(F.split("text", "\n"), pick)).alias("w"))
-    at = at.select("doc_id", "w.line_no", "w.x", "w.x2", _words(F.col("w.line")).alias("words"))
-    own, own2 = _identity(F.col("words"))
-    at = at.filter((own == F.col("x")) & (own2 == F.col("x2"))).select("doc_id", "line_no", "x", "x2", tokens(F.col("words"), rank).alias("t")).dropDuplicates(["x", "x2"])
-    sets = keep(at.select("*", F.size("t").alias("n"), *_image(F.col("t"))), "sets")
-    _release(spark)
-
-    light = shared.join(sets.drop("t"), ["x", "x2"])
-    light = keep(light, "light")
-    first = light.groupBy("token").agg(F.min_by(F.struct("x", "x2", "p", "doc_id", "line_no", "n", "g0", "g1", "g2", "g3"), F.struct("doc_id", "line_no")).alias("f")).select("token", "f.*")
-    near = keep(_verified(_pairs(light, first), sets), "near")
-    rest = light.join(near, ["x", "x2"], "left_anti")
-    more = _verified(_pairs(rest, light), sets)
-    matched = near.unionByName(more).distinct()
-
-    firsts = classes.join(matched, ["x", "x2"]).select("doc_id", "line_no")
-    copies = lines.join(classes.select("x", "x2", F.col("doc_id").alias("d"), F.col("line_no").alias("l")), ["x", "x2"]).filter("doc_id <> d or line_no <> l").select("doc_id", "line_no")
-    return firsts.unionByName(copies)
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, gone): the numbers of the lines to remove, of documents that have any."""
+    texts = _texts(docs, id_col, text_col)
+    x, x2 = _identity(F.col("plain"))
+    once = lines_of(texts).select("doc_id", "line_no", F.explode(F.array("plain")).alias("plain"))  # so that the filter doesn't compute it again
+    lines = keep(once.filter("plain <> ''").select("doc_id", "line_no", x.alias("x"), x2.alias("x2")), "lines")
+    # the first line of each class: places as one number, so that the least combines before the shuffle
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")
+    found = lines.groupBy("x", "x2").agg(F.min(place.cast("decimal(38,0)")).alias("at"), F.count(F.lit(1)).alias("c"))
+    line_no = F.pmod("at", F.lit(1 << 32).cast("decimal(38,0)"))
+    classes = keep(found.select("x", "x2", "c", line_no.cast("int").alias("line_no"), ((F.col("at") - line_no) / F.lit(1 << 32).cast("decimal(11,0)")).cast("bigint").alias("doc_id")), "classes")
+    total = classes.agg(F.sum("c")).first()[0] or 0
+
+    rank = rarity(_with_hashes(lines_of(texts)))
+    hot = classes.filter((F.col("c") > 1) & (F.col("c") * HOT > total)).select(F.col("x").alias("hx"), F.col("doc_id").alias("hd"), F.col("line_no").alias("hl"))  # fewer than HOT rows
+    copy = (F.col("x") == F.col("hx")) & ((F.col("doc_id") != F.col("hd")) | (F.col("line_no") != F.col("hl")))
+    told = lines_of(texts).select("doc_id", "line_no", x.alias("x"), "plain").join(F.broadcast(hot), copy, "left_anti")
+    by_token = Window.partitionBy("token")
+    prefix = _prefix(_with_hashes(told, "x"), rank).withColumns({"lo": F.min("x").over(by_token), "hi": F.max("x").over(by_token)})
+    shared = keep(prefix.filter("lo < hi").groupBy("token", "x").agg(F.max("m").alias("m")), "tokens")
+    place = [F.shiftright("m", 32).cast("int").alias("n"), F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("p")]
+    light = keep(shared.join(classes.select("x", "doc_id", "line_no"), "x").select("token", "doc_id", "line_no", *place), "light")
+    drop(shared)
+    first = light.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "p")).alias("f")).select("token", "f.*")
+    near = _verified(_pairs(light, first), texts)
+    rest = light.join(near, ["doc_id", "line_no"], "left_anti")
+    more = _verified(_pairs(rest, light), texts)
+    drop(light)
+
+    heads = classes.filter("c > 1").select("x", "x2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
+    copies = lines.join(heads, ["x", "x2"]).filter("doc_id <> d or line_no <> l").select("doc_id", "line_no")
+    # one row a document
+    gone = keep(near.unionByName(more).unionByName(copies).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
+    drop(lines, classes, near, more)
+    return gone
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the repeated lines, and columns n_lines and n_removed. A text keeps its other line breaks."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    rows = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
-    lines = F.split("text", "\n")
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    key, gone = fresh(docs.columns, "key", "gone")
+    found = removed_lines(docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    rows = docs.join(found.hint("merge"), F.col(quoted(id_col)).cast("bigint") == F.col(key), "left")
+    text, gone = F.col(quoted(text_col)).cast("string"), F.col(gone)
+    lines = F.split(text, "\n")
     # a row that repeats an id may be shorter than the line numbers found
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     kept = F.array_join(_let(lines, lambda ls: F.transform(left, lambda i: F.get(ls, i))), "\n")
-    text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    removed = F.when(F.col("__gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("bigint")
-    return rows.select(*[(text.alias("text") if c == "text" else docs[c]) for c in own], n.alias("n_lines"), removed.alias("n_removed"))
+    whole = gone.isNull() | text.isNull()
+    removed = F.when(whole, 0).otherwise(F.size(lines) - F.size(left)).cast("bigint")
+    n = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    columns = [(F.when(whole, text).otherwise(kept) if c == text_col else F.col(quoted(c))).alias(c) for c in own]
+    return rows.select(*columns, n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def brute_force(texts: list[tuple[int, str | None]]) -> list[tuple[int, int, int, str | None]]:

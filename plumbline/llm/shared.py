@@ -5,27 +5,63 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_own = ""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is named (tests)."""
-    global _own
+    """A new path in the folder that driver and executors share, which spark.checkpoint.dir names. Where it is unset, a local
+    session (tests) gets a folder of its own; a cluster is refused, as its machines would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own = _own or tempfile.mkdtemp(prefix="plumbline-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="plumbline-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes a table to the shared folder and reads it back: a lineage cut that survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}-{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table to the shared folder and reads it back: a lineage cut that survives a lost executor.
+    The shuffle files that only this write needs go when it is done."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}-{name}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*kept: DataFrame) -> None:
+    """Deletes tables of keep() that nothing reads any more. Only space is at stake: a store that Arrow does not know keeps them."""
+    for df in kept:
+        for file in df.inputFiles()[:1]:
+            try:
+                fs, path = pafs.FileSystem.from_uri(file.rsplit("/", 1)[0])
+                fs.delete_dir(path)
+            except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                return
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """names, changed until none is among the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
