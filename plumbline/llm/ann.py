@@ -2,12 +2,14 @@
 
 A bounded, documented sample gives a neighbour graph; the graph is cut into balanced parts; a small network learns which
 part a vector belongs to. Every row is indexed under its likeliest part. A query goes to as many of its most probable
-parts as the sample's own queries need to reach `target` recall (all parts, if it must), and what stands there is ranked
-by exact cosine. Parts are searched in blocks of bounded size, so a part of any size, or one vector's many copies, is
-spread over tasks; each block sends back at most k rows a query.
+parts as the sample's own queries need to reach `target` recall, and on to the next ones until these hold k others; what
+stands there is ranked by exact cosine. Tables of all sizes are parted alike, of at least two parts once there are 2 * NODES
+vectors. Parts are searched in blocks of bounded size, so a part of any size, or one vector's many copies, is spread over
+tasks; each block sends back at most k rows a query.
 
 Nulls and edge cases: null, zero and non-finite vectors, and those of another length than most of the sample, take no
-part; rows without vec_id take no part; a row that repeats id and vector counts once; fewer than k candidates give all;
+part; rows without vec_id take no part; a row that repeats id and vector counts once; of an id with several vectors each
+is searched, or searches, and its best score counts, so that no id comes twice; fewer than k candidates give all;
 ties go to the smaller vec_id; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -23,6 +25,10 @@ from pyspark.sql import functions as F
 from .shared import keep
 
 
+#: Nodes of the neighbour graph for each part, at least; and parts that a table gets where it has so many nodes.
+NODES, FEW_PARTS = 32, 8
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -144,7 +150,7 @@ class Index:
         x = np.array(sorted(r["v"] for r in sample if len(r["v"]) == width))
         x = np.unique(x / np.abs(x).max(1, keepdims=True), axis=0)  # copies tell the graph nothing
         x = unit(x)
-        parts = max(1, min(-(-total // per_part), len(x) // 32))
+        parts = max(1, min(max(FEW_PARTS, -(-total // per_part)), len(x) // NODES))
         if parts < 2:
             return cls(None, 1, 1, width)
         rng = np.random.default_rng(3)
@@ -162,11 +168,16 @@ class Index:
         recall = np.cumsum(np.bincount(needs, minlength=parts)) / len(needs)
         return cls(router, parts, int(np.argmax(recall >= target)) + 1, width)
 
-    def place(self, v: np.ndarray, probes: int) -> np.ndarray:
+    def order(self, v: np.ndarray) -> np.ndarray:
+        """All parts of each vector, the most probable first."""
         if self.router is None:
             return np.zeros((len(v), 1), np.int32)
-        s = self.router.scores(unit(v / np.abs(v).max(1, keepdims=True)))
-        return np.argsort(-s, 1, kind="stable")[:, :probes].astype(np.int32)
+        return np.argsort(-self.router.scores(unit(v / np.abs(v).max(1, keepdims=True))), 1, kind="stable").astype(np.int32)
+
+    def visits(self, order: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+        """How many parts each query visits: `probes`, or as many as hold k ids and its own, if that is more."""
+        enough = np.cumsum(held[order], 1) > k
+        return np.maximum(self.probes, np.where(enough.any(1), enough.argmax(1) + 1, order.shape[1]))
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,22 +194,28 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     shared = spark.sparkContext.broadcast(index)  # a network of bounded size
     schema = "part int, vec_id bigint, v binary"
 
-    def placing(probes: int):
+    def placing(held: np.ndarray | None):
+        """Rows by their likeliest part, or (with held: ids in each part) queries by every part that they visit."""
+
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
                 v, fit = _matrix(batch.column("v"), own.width)
                 if len(v):
-                    part = own.place(v, probes)
+                    order = own.order(v)
+                    n = np.ones(len(v), np.int64) if held is None else own.visits(order, held, k)
+                    part = order[np.arange(order.shape[1])[None] < n[:, None]]
                     ids = batch.column("vec_id").to_numpy()[fit]
                     raw = np.array([x.tobytes() for x in v], object)
-                    m = part.shape[1]
-                    yield pa.RecordBatch.from_pydict({"part": pa.array(part.ravel()), "vec_id": pa.array(np.repeat(ids, m)), "v": pa.array(np.repeat(raw, m), pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"part": pa.array(part), "vec_id": pa.array(np.repeat(ids, n)), "v": pa.array(np.repeat(raw, n), pa.binary())})
 
         return place
 
-    indexed = keep(candidates.mapInArrow(placing(1), schema), "index")
-    asked = keep(usable(queries, id_col, vector_col).mapInArrow(placing(index.probes), schema), "queries")
+    indexed = keep(candidates.mapInArrow(placing(None), schema), "index")
+    held = np.zeros(index.parts, np.int64)
+    for r in indexed.groupBy("part").agg(F.countDistinct("vec_id").alias("n")).collect():  # at most `parts` rows
+        held[r["part"]] = r["n"]
+    asked = keep(usable(queries, id_col, vector_col).mapInArrow(placing(held), schema), "queries")
     # at most `parts` rows each, and parts is bounded by the sample
     blocks = {r["part"]: (max(1, -(-r["c"] // block)), max(1, -(-r["q"] // block))) for r in indexed.select("part", F.lit(1).alias("c"), F.lit(0).alias("q")).unionByName(asked.select("part", F.lit(0).alias("c"), F.lit(1).alias("q"))).groupBy("part").agg(F.sum("c").alias("c"), F.sum("q").alias("q")).collect()}
     table = spark.createDataFrame([(p, c, q) for p, (c, q) in sorted(blocks.items())], "part int, cb int, qb int")
@@ -209,27 +226,30 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     def search(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates(["vec_id", "v", "ask"])
+        pdf = pdf.drop_duplicates(["vec_id", "v", "ask"]).sort_values(["ask", "vec_id"], kind="stable")
         ask, ids = pdf["ask"].to_numpy(), pdf["vec_id"].to_numpy()
         v = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1)
         own, c = ids[~ask], v[~ask]
         norm = np.sqrt((c * c).sum(1))
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
         out = []
         for q, x in zip(ids[ask], v[ask], strict=True):
-            s = (c @ x) / norm
+            s = (c @ x) / norm if len(own) else np.zeros(0)
             s[own == q] = -np.inf
-            n = int(np.isfinite(s).sum())
+            best_of = np.maximum.reduceat(s, first) if len(first) else s  # one for each id
+            n = int(np.isfinite(best_of).sum())
             if not n:
                 continue
             # all that could be among the best, then the exact measure: equal vectors get equal scores
-            line = np.partition(s, len(s) - min(k, n))[len(s) - min(k, n)]
+            line = np.partition(best_of, len(best_of) - min(k, n))[len(best_of) - min(k, n)]
             at = np.flatnonzero(s >= line - 1e-9 * abs(line) - 1e-12)
             exact = (c[at] * x).sum(1) / (norm[at] * np.sqrt((x * x).sum()))
-            best = np.lexsort((own[at], -exact))[:k]
-            out += [(q, own[at[b]], exact[b]) for b in best]
+            best = np.lexsort((own[at], -exact))
+            _, nearest_of = np.unique(own[at][best], return_index=True)
+            out += [(q, own[at[b]], exact[b]) for b in best[np.sort(nearest_of)][:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = cands.unionByName(asks).groupBy("part", "c", "q").applyInPandas(search, "query_id bigint, vec_id bigint, score double").distinct()
+    found = cands.unionByName(asks).groupBy("part", "c", "q").applyInPandas(search, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,7 +5,8 @@ length of the longest suffix that occurs in an item tell which windows end there
 neighbouring pairs occur in no item are passed over: no window can touch them.
 
 Nulls and edge cases: a null text has no words; items without id or words take no part; an id that comes twice owns
-the windows of both texts; documents without id keep their row (id null); empty tables give no rows, and no hits.
+the windows of both texts; documents without id keep their row (id null); empty tables give no rows, and no hits; columns
+pass whatever their names: where docs has one named like a result column, the result column gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import kernel as K
+from .shared import fresh, keep, quoted
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -152,20 +155,15 @@ class Automaton:
         return spans, found
 
 
-def automata(benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000, id_col: str = "item_id", text_col: str = "text") -> list[Automaton]:
-    """The items as automata of at most most_words words each (one item may be longer): what a worker holds is bounded,
-    and a larger benchmark is dealt to more automata, which documents pass one after another."""
-    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    items = benchmark.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+def item_shards(benchmark: DataFrame, most_words: int = 1_000_000, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in shards of about most_words words each (one item may be longer), one shard at a time on the driver: what the
+    driver and a worker hold is bounded, and documents pass the automata of a larger benchmark one after another."""
+    items = benchmark.filter(F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).cast("string").alias("item_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     total = items.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] // 2
     shards = max(1, -(-total // most_words))
-    del text
-    out = []
     for k in range(shards):
         part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        rows = sorted((r["item_id"], r["text"] or "") for r in part.toLocalIterator())
-        out.append(Automaton([(name, tokens(text)) for name, text in rows], window))
-    return out
+        yield sorted((r["item_id"], tokens(r["text"] or "")) for r in part.toLocalIterator())
 
 
 def tokens(text: str) -> list[bytes]:
@@ -175,15 +173,15 @@ def tokens(text: str) -> list[bytes]:
     return [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
 
 
-HITS = "n_words bigint, n_hit bigint, hit_runs array<bigint>, items array<string>"
+HITS = {"n_words": "bigint", "n_hit": "bigint", "hit_runs": "array<bigint>", "items": "array<string>"}
 
 
-def _scan(automaton) -> object:
+def _scan(shared, text_col: str, names: list[str]) -> object:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Automaton = pickle.loads(automaton.value)
+        own: Automaton = pickle.loads(shared.value)
         for batch in batches:
-            for piece in K.pieces(batch, "text"):
-                buf, off = K.flat(piece.column("text"))
+            for piece in K.pieces(batch, text_col):
+                buf, off = K.flat(piece.column(text_col))
                 buf = K.LOWER[buf]
                 s, e, woff = K.words(buf, off, K.NON_ALNUM)
                 hashes = K.span_hash(K.sums(buf), s, e)
@@ -197,28 +195,34 @@ def _scan(automaton) -> object:
                         runs.setdefault(d, []).extend((x + p - int(woff[d]), x + q - int(woff[d])) for p, q in spans)
                         found.setdefault(d, set()).update(items)
                 n = piece.num_rows
-                hit, merged, names = np.zeros(n, np.int64), [[]] * n, [[]] * n
-                before, owned = piece.column("hit_runs").to_pylist(), piece.column("items").to_pylist()
+                hit, merged, owners = np.zeros(n, np.int64), [[]] * n, [[]] * n
+                before, owned = piece.column(names[2]).to_pylist(), piece.column(names[3]).to_pylist()
                 for d in {*runs, *(k for k in range(n) if before[k])}:
-                    all_runs = runs.get(d, []) + list(zip(before[d][::2], before[d][1::2], strict=True))
-                    p = np.array(all_runs, np.int64)
+                    p = np.array(runs.get(d, []) + list(zip(before[d][::2], before[d][1::2], strict=True)), np.int64)
                     _, p0, p1 = K.union_runs(np.zeros(len(p), np.int64), p[:, 0], p[:, 1])
                     hit[d], merged[d] = (p1 - p0).sum(), np.stack([p0, p1], 1).ravel().tolist()
-                    names[d] = sorted(found.get(d, set()) | set(owned[d]))
-                new = {"n_words": pa.array(np.diff(woff)), "n_hit": pa.array(hit), "hit_runs": pa.array(merged, pa.list_(pa.int64())), "items": pa.array(names, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(f.name, piece.column(f.name)) for f in piece.schema], names=piece.schema.names)
+                    owners[d] = sorted(found.get(d, set()) | set(owned[d]))
+                new = dict(zip(names, (pa.array(np.diff(woff)), pa.array(hit), pa.array(merged, pa.list_(pa.int64())), pa.array(owners, pa.list_(pa.string()))), strict=True))
+                yield pa.RecordBatch.from_arrays([new.get(f.name, piece.column(k)) for k, f in enumerate(piece.schema)], names=piece.schema.names)
 
     return scan
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000, text_col: str = "text") -> DataFrame:
-    """docs (its columns, text_col as `text`) with n_words, n_hit, hit_runs (word start, word end, start, end, ..) and items.
-    No shuffle: each automaton is one pass over the rows in place."""
-    spark = docs.sparkSession
-    out = docs.withColumn("text", F.col(text_col).cast("string"))
-    out = out.withColumns({"n_words": F.lit(0).cast("bigint"), "n_hit": F.lit(0).cast("bigint"), "hit_runs": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
-    for automaton in automata(benchmark, window, most_words):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(pickle.dumps(automaton, 5))), out.schema)
+    """docs with n_words, n_hit, hit_runs (word start, word end, start, end, ..) and items after its own columns.
+    No shuffle: each automaton is one pass over the rows in place; between two of them the rows are written."""
+    spark, names = docs.sparkSession, fresh(docs.columns, *HITS)
+    empty = [F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.array().cast("array<bigint>"), F.array().cast("array<string>")]
+    out = docs.withColumns(dict(zip(names, empty, strict=True)))
+    if not isinstance(docs.schema[text_col].dataType, StringType):
+        out = out.withColumn(text_col, F.col(quoted(text_col)).cast("string"))
+    shared = None
+    for items in item_shards(benchmark, most_words):
+        if shared is not None:
+            out = keep(out, "hits")
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(pickle.dumps(Automaton(items, window), 5))
+        out = out.mapInArrow(_scan(shared, text_col, names), out.schema)
     return out
 
 
@@ -234,19 +238,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     """docs without the hit runs longer than max_span words; documents whose hit words exceed max_coverage of all go.
     A short item that a document quotes whole is a run too, but stays where it is not longer than max_span."""
     columns = docs.columns
+    n_words, n_hit, hit_runs, _ = fresh(columns, *HITS)
     found = contamination(docs, benchmark, window)
-    clean = found.filter(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    clean = found.filter(F.col(n_hit) <= max_coverage * F.col(n_words))
     schema = clean.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, runs = batch.column("text").to_pylist(), batch.column("hit_runs").to_pylist()
+            texts, runs = batch.column("text").to_pylist(), batch.column(hit_runs).to_pylist()
             for k, r in enumerate(runs):
                 if r and texts[k] is not None:
                     texts[k] = without(texts[k], [(a, b) for a, b in zip(r[::2], r[1::2], strict=True) if b - a > max_span])
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
 
-    return clean.mapInArrow(cut, schema).select(*[F.col(f"`{c}`") for c in columns])
+    return clean.mapInArrow(cut, schema).select(*[F.col(quoted(c)) for c in columns])
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> str:

@@ -8,8 +8,8 @@ bin opens. Longer documents come first. A document longer than a bin fills whole
 Documents are dealt at random (by a hash of their id) to shards of about `per_shard` documents, each packed by one task:
 a hot source is spread over all shards, no text moves, and no task's input grows with the corpus.
 
-Nulls and edge cases: a null or empty text is its end mark alone, one token; a null source conflicts with nothing; rows
-without doc_id are left out; rows that repeat an id are packed each; ties go by doc_id, and to the older bin; an
+Nulls and edge cases: a null or empty text is its end mark alone, one token, and no duplicate of others; a null source or
+cluster conflicts with nothing; rows without doc_id are left out; rows that repeat an id are packed each; ties go by doc_id, and to the older bin; an
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -28,6 +28,10 @@ from . import kernel as K
 SCHEMA = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, bin_id string, position int, bin_tokens bigint"
 
 
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
+
+
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, most_per_source: int) -> list[int]:
     """Bin of each item, items as ordered."""
     source_bit: dict = {}
@@ -64,7 +68,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, mos
 def pack(docs: DataFrame, capacity: int = 4096, most_per_source: int = 4, per_shard: int = 4096, source_col: str = "source", cluster: object = None) -> DataFrame:
     """A row for each document and bin it stands in (SCHEMA). cluster: a column; by default equal lower-cased texts."""
     text = F.col("text").cast("string")
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.col(source_col).cast("string").alias("source"), (F.xxhash64(F.lower(text)) if cluster is None else cluster.cast("bigint")).alias("cluster"))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.col(source_col).cast("string").alias("source"), (F.when(F.length(text) > 0, F.xxhash64(F.lower(text))) if cluster is None else cluster.cast("bigint")).alias("cluster"))
     shards = max(1, -(-docs.count() // per_shard))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,17 +77,16 @@ def pack(docs: DataFrame, capacity: int = 4096, most_per_source: int = 4, per_sh
                 _, _, woff = K.words(*K.flat(piece.column("text")), K.SPACES)
                 yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n": pa.array(np.diff(woff) + 1), "source": piece.column("source"), "cluster": piece.column("cluster")})
 
-    def pack_shard(pdf):
-        import pandas as pd
-
-        shard = int(pdf["shard"].iloc[0])
-        pdf = pdf.sort_values(["doc_id", "n", "source", "cluster"], kind="stable")
+    def pack_shard(table: pa.Table) -> pa.Table:
+        # Arrow keeps a cluster with nulls a 64-bit number
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "n", "source", "cluster")])
+        shard, columns = table["shard"][0].as_py(), [table[c].to_pylist() for c in ("doc_id", "n", "source", "cluster")]
         items, whole = [], []
-        for doc, n, source, cluster in zip(pdf["doc_id"].tolist(), pdf["n"].tolist(), pdf["source"].tolist(), pdf["cluster"].tolist(), strict=True):
+        for doc, n, source, cluster in zip(*columns, strict=True):
             for p in range(n // capacity):
                 whole.append((doc, p, p * capacity, capacity))
             if n % capacity:
-                items.append((n % capacity, doc, n // capacity, source if isinstance(source, str) else None, None if cluster != cluster else cluster))
+                items.append((n % capacity, doc, n // capacity, source, cluster))
         items.sort(key=lambda x: (-x[0], x[1]))
         bins = best_fit([x[0] for x in items], [x[3] for x in items], [x[4] for x in items], capacity, most_per_source)
         base = len(whole)
@@ -95,7 +98,7 @@ def pack(docs: DataFrame, capacity: int = 4096, most_per_source: int = 4, per_sh
         for x, b in zip(items, bins, strict=True):
             out.append((x[1], x[2], x[2] * capacity, x[0], f"{shard}-{base + b}", place.get(b, 0), fill[b]))
             place[b] = place.get(b, 0) + 1
-        return pd.DataFrame(out, columns=["doc_id", "piece", "first_token", "n_tokens", "bin_id", "position", "bin_tokens"])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=NAMES)
 
     counted = rows.mapInArrow(count, "doc_id bigint, n bigint, source string, cluster bigint")
-    return counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(pack_shard, SCHEMA)
+    return counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(pack_shard, SCHEMA)

@@ -1,8 +1,11 @@
 """Operator 6: substring dedup with automata of repeated phrases.
 
-Recurring passages are confirmed by content (repeats.py); each shard of anchors compiles its recurring windows into Aho-Corasick
-automata over word ids (pyahocorasick), of at most `most` phrases each, and streams its contexts through them to locate
-every occurrence. A located phrase that also starts earlier (smaller doc_id, or earlier in the document) is removed.
+Recurring passages are confirmed by content (repeats.py): whatever stands around an anchor that recurs. Anchors are dealt to
+shards; each shard compiles the phrases (windows) that recur in its passages into Aho-Corasick automata over word ids
+(pyahocorasick), of about `most` phrases each, and streams all its passages, of all documents, through them to locate every
+occurrence. A located phrase that also starts earlier (smaller doc_id, or earlier in the document) is removed. Only passages
+can hold a phrase, so a document streams past the shards of its own anchors and not past all. Passages that are equal as a
+whole, and whole later copies of a text, are judged by their first one before that.
 
 Nulls and edge cases: a null or empty text has no words and stays; texts shorter than a window stay whole; rows without
 doc_id are left out; rows that repeat an id and a text are the same document and both return; overlaps count; passages
@@ -62,21 +65,14 @@ def _compile_and_stream(own, contexts, doc, start, n, first, gone, window) -> No
     for value, (r, o) in enumerate(zip(row[at].tolist(), offset[at].tolist(), strict=True)):
         automaton.add_word(words[r][o : o + window], value)
     automaton.make_automaton()
-    earliest: dict[int, tuple[int, int]] = {}
-    own_doc, own_start, own_first, own_n = doc[own].tolist(), start[own].tolist(), first[own].tolist(), counts.tolist()
-    streamed = np.unique(row[again]).tolist()
-    located = []
-    for r in streamed:
-        for end, value in automaton.iter(words[r]):
-            o = end + 1 - window
-            if o < own_n[r]:
-                key = (own_doc[r], own_start[r] + o)
-                if value not in earliest or key < earliest[value]:
-                    earliest[value] = key
-                located.append((value, key, own_first[r] + o))
-    for value, key, place in located:
-        if key > earliest[value]:
-            gone[place] = True
+    located = [(value, r, end + 1 - window) for r, w in enumerate(words) for end, value in automaton.iter(w)]
+    value, r, o = (np.array(x, np.int64) for x in zip(*located, strict=True))
+    place = np.stack([doc[own][r], start[own][r] + o])
+    order = np.lexsort((place[1], place[0], value))
+    head = np.append(True, value[order][1:] != value[order][:-1])
+    earliest = place[:, order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]]
+    later = (place[:, order] != earliest).any(0)
+    gone[first[own][r[order[later]]] + o[order[later]]] = True
 
 
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"

@@ -2,12 +2,13 @@
 
 Each line is good or bad. Its features are its own shape and that of the lines beside it; the chain's transition
 weights tie neighbours. Forward-backward gives each line's marginal; a document's score is their mean, weighted by line
-length. The model is fitted by maximum likelihood on a bounded, documented sample of labelled documents, whose lines
-take the document's label; every text is scored whole.
+length. The model (weights, transitions and starts) is fitted by maximum likelihood on a bounded, documented sample of labelled
+documents, whose lines take the document's label; texts are read whole, in the fit as in the score.
 
 Nulls and edge cases: a null or empty text is one empty line and gets a score; rows with null labels or ids do not
-train; repeated labels of an id count once (the largest); with no usable labels every score is 0.5; columns of other
-names pass by untouched.
+train; repeated labels of an id count once (the largest); with no usable labels every score is 0.5; an empty table gives no
+rows; a column that has the name of the score is replaced, all others pass by untouched; a null doc_id is scored (op4 gives it a
+null held_out).
 """
 
 from __future__ import annotations
@@ -119,7 +120,8 @@ class LineCRF:
             balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
             weight = each * np.repeat(balance, n) / len(n)
             y = np.repeat(labels, n).astype(np.float64)
-            m, v = np.zeros(width + 4), np.zeros(width + 4)
+            m, v = np.zeros(width + 5), np.zeros(width + 5)
+            head = loff[:-1]
             inner = np.ones(len(x), bool)
             inner[loff[1:] - 1] = False
             pair = np.flatnonzero(inner)
@@ -131,10 +133,12 @@ class LineCRF:
                 q = pair_marginals(p[pair], p[pair + 1], tr)
                 observed = np.stack([(1 - y[pair]), 0 * y[pair], 0 * y[pair], y[pair]], 1)
                 gt = (weight[pair, None] * (observed - q)).sum(0) - ridge * tr.ravel()
-                g = np.concatenate([gw, gt])
+                gs = ((y[head] - p[head]) * weight[head]).sum() - ridge * st[1]
+                g = np.concatenate([gw, gt, [gs]])
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
                 move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                w, tr = w + move[:width], np.clip(tr + move[width:].reshape(2, 2), -4, 4)
+                w, tr = w + move[:width], np.clip(tr + move[width:-1].reshape(2, 2), -4, 4)
+                st = np.clip(st + np.array([-1, 1]) * move[-1], -4, 4)  # only their difference counts
         return cls(w, tr, st)
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -165,14 +169,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most_docs: int = 3000, most_lines: int = 40) -> LineCRF:
-    """Fits on at most most_docs documents and, of each, its first most_lines lines (a bound of the fit alone)."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most_docs: int = 3000) -> LineCRF:
+    """Fits on at most most_docs labelled documents (a bound of the fit alone), each read whole."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in K.pieces(batch, "text"):
                 x, _, loff = line_features(*K.flat(piece.column("text")))
-                yield pa.RecordBatch.from_pydict({"y": piece.column("y"), "doc_id": piece.column("doc_id"), "x": pa.array([x[a : min(b, a + most_lines)].tobytes() for a, b in zip(loff[:-1], loff[1:], strict=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"y": piece.column("y"), "doc_id": piece.column("doc_id"), "x": pa.array([x[a:b].tobytes() for a, b in zip(loff[:-1], loff[1:], strict=True)], pa.binary())})
 
     rows = training_rows(docs, labels, label, usable, most_docs).select("doc_id", "text", "y").mapInArrow(features, "y int, doc_id bigint, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))

@@ -1,9 +1,12 @@
 """Operator 8: exact byte-substring dedup with a logarithmic family of suffix arrays.
 
-Places whose content recurs are found by content (repeats.py) and meet by anchor. In each shard of anchors documents arrive in
-order, in batches. A batch gets a suffix array: its suffixes, here as far as a match must reach, in sorted order. Equal
-neighbours repeat within the batch; a merge-scan against each existing level finds those that earlier batches hold. What
-is new becomes a level, and levels of like size merge, so a shard of n suffixes has about log(n) levels.
+Places whose content recurs are found by content (repeats.py) and meet by anchor, so the index is dealt to shards that hold
+all that can match. In each shard documents arrive in order, in batches. A batch gets a suffix array, by prefix doubling as far
+as a match must reach. Suffixes that are one in it repeat within the batch; a merge-scan of the rest against each existing
+level gives the length of their longest match with earlier batches, and a match of `depth` bytes or more removes. What has no
+such match becomes a level, and levels of like size merge, so a shard of n suffixes has about log(n) levels.
+A level holds its text once and the places of its suffixes in order. Contexts that are equal as a whole, and whole later copies of
+a text, are judged by their first one before that.
 
 Nulls and edge cases: a null or empty text has no bytes and stays; texts under 100 bytes stay whole; rows without doc_id
 are left out; rows that repeat an id and a text are the same document and both return; cuts may fall inside a
@@ -23,35 +26,84 @@ from . import kernel as K
 from .repeats import Texts, removed_units, removed_windows
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
+
+
+def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of each suffix by its first `depth` bytes: from 8 bytes by doubling, the last step overlapping."""
+    n = len(text)
+    padded = np.zeros(n + max(depth, 8), np.uint8)
+    padded[:n] = text
+    width = min(8, depth)
+    words = np.ndarray(n, ">u8", padded.data, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (8 - width))
+    rank = _ranks(words)
+    while width < depth:
+        move = min(width, depth - width)
+        later = np.zeros(n, np.uint64)
+        later[: max(n - move, 0)] = rank[move:] + np.uint64(1)
+        rank = _ranks(rank * np.uint64(n + 2) + later)
+        width += move
+    return rank
+
+
+class Level:
+    """A text, and the places of distinct suffixes in it, in the order of their first `depth` bytes."""
+
+    def __init__(self, text: np.ndarray, places: np.ndarray, depth: int):
+        self.text, self.places, self.depth = text, places, depth
+
+    def keys(self, at: slice | np.ndarray = slice(None)) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.text, self.depth)[self.places[at]].copy()
+
+    def merged(self, other: Level) -> Level:
+        a, b = (x.keys().view(f"S{self.depth}").ravel() for x in (self, other))
+        places = np.concatenate([self.places, other.places + len(self.text)])
+        return Level(np.concatenate([self.text, other.text]), places[np.argsort(np.concatenate([a, b]), kind="stable")], self.depth)
+
+    def longest(self, keys: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """Merge-scan: the longest match, up to depth, of each of some suffixes (in order) with any of the level's: it is with
+        a neighbour in the order."""
+        out, flat, at = np.zeros(len(keys), np.int64), keys.view(f"S{self.depth}").ravel(), 0
+        for low in range(0, len(self.places), block):
+            own = self.keys(slice(max(low - 1, 0), low + block))  # one more to the left: a neighbour across the edge
+            mine = own.view(f"S{self.depth}").ravel()
+            to = len(flat) if low + block >= len(self.places) else int(np.searchsorted(flat, mine[-1], "right"))
+            k = np.searchsorted(mine, flat[at:to])
+            for near in (np.minimum(k, len(mine) - 1), np.maximum(k - 1, 0)):
+                differ = own[near] != keys[at:to]
+                out[at:to] = np.maximum(out[at:to], np.where(differ.any(1), differ.argmax(1), self.depth))
+            at = to
+        return out
+
+
 class SuffixFamily:
-    """Levels of sorted, distinct suffixes cut at `depth` bytes."""
+    """Levels of suffixes, told apart by their first `depth` bytes, smaller and younger ones last."""
 
     def __init__(self, depth: int):
         self.depth, self.levels = depth, []
 
     def add(self, text: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Takes a batch in document order; which of its suffixes stand in an earlier batch, or earlier in this one.
+        """Takes a batch in document order; which of its suffixes match an earlier batch, or earlier in this one, for depth bytes.
         owner tells equal places (document and start) apart from different ones."""
-        keys = np.lib.stride_tricks.sliding_window_view(text, self.depth)[starts].copy().view(f"S{self.depth}").ravel()
-        array = np.argsort(keys, kind="stable")
-        ordered = keys[array]
+        rank = suffix_ranks(text, self.depth)[starts]
+        array = np.argsort(rank, kind="stable")
         new = np.ones(len(array), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
+        new[1:] = rank[array[1:]] != rank[array[:-1]]
         head = np.maximum.accumulate(np.where(new, np.arange(len(array)), 0))
         gone = np.zeros(len(array), bool)
         gone[array] = ~new & (owner[array] != owner[array[head]])
-        fresh, at = ordered[new], np.flatnonzero(new)
-        known = np.zeros(len(fresh), bool)
-        for level in self.levels:  # merge-scan
-            k = np.searchsorted(level, fresh)
-            known |= level[np.minimum(k, len(level) - 1)] == fresh
+        fresh = Level(text, starts[array[new]], self.depth)
+        keys, match = fresh.keys(), np.zeros(int(new.sum()), np.int64)
+        for level in self.levels:
+            match = np.maximum(match, level.longest(keys))
         held = np.zeros(len(array), bool)
-        held[at] = known
+        held[new] = match >= self.depth
         gone[array] |= held[head]
-        if (~known).any():
-            self.levels.append(fresh[~known])
-        while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
-            self.levels[-2:] = [np.sort(np.concatenate(self.levels[-2:]), kind="stable")]
+        if (match < self.depth).any():
+            self.levels.append(Level(text, fresh.places[match < self.depth], self.depth))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1].places) > len(self.levels[-2].places):
+            self.levels[-2:] = [self.levels[-2].merged(self.levels[-1])]
         return gone
 
 

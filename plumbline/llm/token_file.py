@@ -266,7 +266,8 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """A row for each document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids on request."""
     # One row a file: the running sum runs over the list of files, not over documents.
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = files.withColumn("before", before).select("path", "before").repartition(F.col("path"))
+    # a task for each file, by a number that adaptive execution leaves alone
+    listed = files.withColumn("before", before).select("part", "path", "before").repartitionByRange(max(1, files.count()), "part").select("path", "before")
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
