@@ -25,8 +25,15 @@ CODE_THEN_NAME = r"\b([A-Z]{1,4}-?\d{1,2}[A-Z]?)\s*[:=–-]\s*([A-Z][A-Z\s/&]{6,
 SHEETS = [r"^[A-Z]{1,2}\d{1,2}\.\d{1,2}[A-Za-z]?$", r"^[A-Z]{1,2}-\d{2,3}[A-Za-z]?$", r"^[A-Z]{1,2}\d{3}[A-Za-z]?$"]
 
 
+# Lengths inside other texts.
+LOOSE_FEET = r"(\d+)\s*'\s*-?\s*(\d+)?"
+HEIGHT_OF = r"(?i)H\s*[:=]\s*(\d+)\s*'\s*-?\s*(\d+)?"
+EXPLICIT_SF = r"(?i)-?\s*([\d,]+(?:\.\d+)?)\s*sf"
+SIZE_FEET, SIZE_INCHES, SIZE_BARE = r"(\d+)\s*'\s*[-\s]?\s*(\d+(?:\.\d+)?)?\s*\"?", r"(\d+(?:\.\d+)?)\s*\"", r"(\d+(?:\.\d+)?)"
+
+
 def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.expr("null").cast("double") if group < 0 else F.regexp_extract(text, pattern, group).try_cast("double")
+    return F.regexp_extract(text, pattern, group).try_cast("double")
 
 
 def feet_inches(text: Column) -> Column:
@@ -38,20 +45,25 @@ def feet_inches(text: Column) -> Column:
 
 def loose_feet(text: Column) -> Column:
     """M2: the first feet-inches anywhere in a text."""
-    pattern = r"(\d+)\s*'\s*-?\s*(\d+)?"
-    return F.when(text.rlike(pattern), _number(text, pattern, 1) + F.coalesce(_number(text, pattern, 2), F.lit(0.0)) / 12)
+    return F.when(text.rlike(LOOSE_FEET), _number(text, LOOSE_FEET, 1) + F.coalesce(_number(text, LOOSE_FEET, 2), F.lit(0.0)) / 12)
 
 
 def height_of(text: Column) -> Column:
     """M2: H: 12'-6 in a subject."""
-    pattern = r"(?i)H\s*[:=]\s*(\d+)\s*'\s*-?\s*(\d+)?"
-    return F.when(text.rlike(pattern), _number(text, pattern, 1) + F.coalesce(_number(text, pattern, 2), F.lit(0.0)) / 12)
+    return F.when(text.rlike(HEIGHT_OF), _number(text, HEIGHT_OF, 1) + F.coalesce(_number(text, HEIGHT_OF, 2), F.lit(0.0)) / 12)
+
+
+def schedule_feet(text: Column) -> Column:
+    """M2: a size of a schedule: feet and inches, or inches alone, or a bare number of feet; 0 for anything else."""
+    t = F.replace(F.translate(F.trim(F.coalesce(text, F.lit(""))), "”’", "\"'"), F.lit("''"), F.lit('"'))
+    part = lambda pattern, k: _number(t, pattern, k)
+    feet = F.round(part(SIZE_FEET, 1) + F.coalesce(part(SIZE_FEET, 2), F.lit(0.0)) / 12, 3)
+    return F.when(t.rlike(SIZE_FEET), feet).when(t.rlike(SIZE_INCHES), F.round(part(SIZE_INCHES, 1) / 12, 3)).otherwise(F.coalesce(part(SIZE_BARE, 1), F.lit(0.0)))
 
 
 def explicit_sf(text: Column) -> Column:
     """M3: '1,234.5 sf'."""
-    pattern = r"(?i)-?\s*([\d,]+(?:\.\d+)?)\s*sf"
-    return F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast("double")
+    return F.regexp_replace(F.regexp_extract(text, EXPLICIT_SF, 1), ",", "").try_cast("double")
 
 
 def scale_candidates(text: Column) -> Column:

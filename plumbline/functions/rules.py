@@ -20,8 +20,8 @@ def first_match(rules: Iterable[tuple[Column, object]], default: object) -> Colu
 
 def has(text: Column, *parts: str) -> Column:
     """Any of the parts stands in the text."""
-    out = F.contains(text, F.lit(parts[0]))
-    for p in parts[1:]:
+    out = F.lit(False)
+    for p in parts:
         out = out | F.contains(text, F.lit(p))
     return out
 

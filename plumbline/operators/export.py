@@ -14,7 +14,7 @@ def bid_lines(pages: DataFrame, material: str, sf: str, rates: DataFrame) -> Dat
     """Quantity is the sum of whole square feet of the pages above zero; amount = quantity x conversion x rate.
     rates: material, rate, conv."""
     q = pages.filter(F.col(sf) > 0).groupBy(material).agg(F.sum(F.bround(sf, 0).cast("bigint")).alias("qty"), F.concat(F.lit("="), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.bround(sf, 0).cast("bigint").alias("v")))), lambda s: s["v"].cast("string")), "+")).alias("formula"))
-    return q.join(F.broadcast(rates), material).withColumn("amount", (F.col("qty") * F.col("conv").cast("decimal(12,4)") * F.col("rate").cast("decimal(12,4)")).cast("decimal(18,2)").cast("double"))
+    return q.join(rates, material).withColumn("amount", (F.col("qty") * F.col("conv").cast("decimal(12,4)") * F.col("rate").cast("decimal(12,4)")).cast("decimal(18,2)").cast("double"))
 
 
 def proposal_quantity(pages: DataFrame, material: str, sf: str) -> DataFrame:

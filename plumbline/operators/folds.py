@@ -21,10 +21,10 @@ def _shared(b: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.clip(w, 0, None) * np.clip(h, 0, None)
 
 
-def _grouped(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
-    """run() on each group. Groups share a pandas call by a hash of their keys, as a call costs more than a small group; a
-    group is one page's rows, never a corpus'."""
-    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _grouped(rows: DataFrame, keys: list[str], run, schema: str, per_call: int = 20_000) -> DataFrame:
+    """run() on each group. Groups share a pandas call by a hash of their keys, as a call costs more than a small group: about
+    per_call rows a call, at any size of the table. A group is one page's rows, never a corpus'."""
+    buckets = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // per_call))
 
     def each(pdf):
         import pandas as pd
@@ -93,26 +93,50 @@ def outermost(boxes: DataFrame, keys: list[str], slack: float = 2.0) -> DataFram
     return _fold(boxes, keys, step, ", nested int")
 
 
-def shaved(boxes: DataFrame, keys: list[str], drop: float = 0.55, low: float = 0.05, grid: int = 200) -> DataFrame:
-    """Largest first over a grid of occupied cells; a box that is over 55% occupied goes, one over 5% loses the
-    occupied share of `area`. The cells that a box claims are its own from then on."""
+def filled(outline: list, width: int, height: int) -> np.ndarray:
+    """The cells of a grid that a polygon covers: its inside by the even-odd rule, and every cell that its outline runs through.
+    outline: (x, y) in shares of the grid."""
+    p = np.array([(int(x * width), int(y * height)) for x, y in outline], np.int64).reshape(-1, 2)
+    out = np.zeros((height, width), bool)
+    q = np.roll(p, -1, 0)
+    for row in range(max(0, int(p[:, 1].min())), min(height - 1, int(p[:, 1].max())) + 1):
+        cross = (p[:, 1] > row) != (q[:, 1] > row)
+        x = np.sort(p[cross, 0] + (row - p[cross, 1]) * (q[cross, 0] - p[cross, 0]) / (q[cross, 1] - p[cross, 1]))
+        for a, b in zip(x[::2], x[1::2]):
+            out[row, max(0, int(np.ceil(a))) : max(0, min(width, int(np.floor(b)) + 1))] = True
+    for (ax, ay), (bx, by) in zip(p.tolist(), q.tolist(), strict=True):
+        n = max(abs(bx - ax), abs(by - ay), 1)
+        xs, ys = np.round(np.linspace(ax, bx, n + 1)).astype(int), np.round(np.linspace(ay, by, n + 1)).astype(int)
+        on = (xs >= 0) & (xs < width) & (ys >= 0) & (ys < height)
+        out[ys[on], xs[on]] = True
+    return out
+
+
+def shaved(pieces: DataFrame, keys: list[str], first: str = "Panel wall", drop: float = 0.55, low: float = 0.05, width: int = 900) -> DataFrame:
+    """Pieces (id, material, points in shares of the page, area_sf, patch, aspect: height over width) claim the cells that they
+    cover: filled walls first, then the largest. A piece over 55% claimed goes; one over 5% loses the claimed share of area_sf; a
+    patch stays whole, as its host was shaved for it; one that covers no cell goes."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
-    def step(pdf, b, a):
-        x0, y0, x1, y1 = b[:, 0].min(), b[:, 1].min(), b[:, 2].max(), b[:, 3].max()
-        to = lambda v, o, e: np.clip(np.round((v - o) / max(e - o, 1e-9) * grid).astype(int), 0, grid)
-        cx0, cx1, cy0, cy1 = to(b[:, 0], x0, x1), to(b[:, 2], x0, x1), to(b[:, 1], y0, y1), to(b[:, 3], y0, y1)
-        used, kept, areas = np.zeros((grid, grid), bool), [], []
-        for k in range(len(b)):
-            own = used[cy0[k] : cy1[k], cx0[k] : cx1[k]]
-            share = float(own.mean()) if own.size else 0.0
-            if share > drop:
+    def run(pdf):
+        order = sorted(range(len(pdf)), key=lambda k: (not str(pdf["material"].iloc[k]).startswith(first), -pdf["area_sf"].iloc[k], pdf["id"].iloc[k]))
+        kept, areas = [], []
+        height = max(1, int(width * float(pdf["aspect"].iloc[0])))
+        claimed = np.zeros((height, width), bool)
+        for k in order:
+            own = filled([(q["x"], q["y"]) for q in pdf["points"].iloc[k]], width, height)
+            cells = int(own.sum())
+            share = int((own & claimed).sum()) / cells if cells else 1.0
+            patch = bool(pdf["patch"].iloc[k])
+            if not cells or (share > drop and not patch):
                 continue
+            claimed |= own
             kept.append(k)
-            areas.append(a[k] * (1 - share) if share > low else a[k])
-            own[:] = True
-        return pdf.iloc[kept].assign(area=np.array(areas, float))
+            area = float(pdf["area_sf"].iloc[k])
+            areas.append(round(area * (1 - share), 1) if share > low and not patch else area)
+        return pdf.iloc[kept].assign(area_sf=areas)
 
-    return _fold(boxes, keys, step, ", area double")
+    return _grouped(pieces, keys, run, schema)
 
 
 def spread_points(points: DataFrame, keys: list[str], gap: float = 6.0, most: int = 1500) -> DataFrame:

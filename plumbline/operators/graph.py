@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own = ""
-
-
-def _keep(df: DataFrame) -> DataFrame:
-    """A round's edges in the folder that all executors share (spark.checkpoint.dir; a temporary one where it is unset)."""
-    global _own
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own = _own or tempfile.mkdtemp(prefix="plumbline-")
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.folder import keep
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,7 +14,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Large-star and small-star rounds: a minimum per node, combined before the shuffle, then a join on the node. Their number
     grows with the logarithm of the largest component."""
     all_nodes = edges.select(F.explode(F.array(a, b)).alias("node")).filter("node is not null").distinct()
-    now = _keep(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = keep(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "graph")
     mark = None
     while True:
         row = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -40,7 +26,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _keep(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        now = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "graph")
     best = now.groupBy("u").agg(F.min("v").alias("component"))
     return all_nodes.join(best, all_nodes["node"] == best["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import filled
@@ -54,3 +54,32 @@ def checked_value(value: str, low: float = 0.0) -> object:
     """a value that is missing or below the bound stops the job with a message."""
     v = F.col(value)
     return F.when(v.isNull() | (v < low), F.raise_error(F.concat(F.lit(f"{value} must be a number of {low} or more: "), F.coalesce(v.cast("string"), F.lit("null"))))).otherwise(v)
+
+
+# Fixed value: the name that an accepted suggestion takes.
+ACCEPTED = "AI wall (accepted)"
+
+
+def with_accepted(pieces: DataFrame, events: DataFrame, keys: list[str], order: list[str], material: str = "material") -> DataFrame:
+    """The latest event of a suggested piece decides: accepted, it is booked under the accepted name, and before_accept keeps its
+    own; undone, it is the suggestion again. Events of pieces that were never suggested change nothing. events: keys, undo, order."""
+    last = latest_per_key(events.select(*keys, "undo", *order), keys, order).select(*keys, (~F.col("undo")).alias("__a"))
+    on = F.coalesce(F.col("suggest_only"), F.lit(False)) & F.coalesce(F.col("__a"), F.lit(False))
+    out = pieces.join(last, keys, "left").withColumn("before_accept", F.when(on, F.col(material)))
+    return out.withColumns({material: F.when(on, ACCEPTED).otherwise(F.col(material)), "suggest_only": F.coalesce(F.col("suggest_only"), F.lit(False)) & ~on}).drop("__a")
+
+
+def confirmations(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The keys whose latest event confirms them, and when. Display alone: no sum reads it."""
+    last = latest_per_key(events.select(*dict.fromkeys([*keys, "confirmed", *order])), keys, order)
+    return last.filter(F.coalesce(F.col("confirmed"), F.lit(True))).select(*dict.fromkeys([*keys, order[0]]))
+
+
+def parked(zones: DataFrame, keys: list[str], order: list[str], index: str = "scope_index") -> DataFrame:
+    """Zones with their place in the list, kept while they are parked."""
+    return zones.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def restored(live: DataFrame, back: DataFrame, keys: list[str], index: str = "scope_index") -> DataFrame:
+    """Parked zones among the live ones at their old places: `position` in the list, ties by the index alone."""
+    return live.unionByName(back).withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(index)) - 1)

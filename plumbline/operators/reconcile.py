@@ -141,3 +141,8 @@ def story_table(levels: DataFrame, page: str, label: str, feet: str) -> DataFram
     up, low = F.upper(label), F.col(feet)
     roof, grade = up.rlike("ROOF|PARAPET"), up.rlike("GRADE")
     return levels.groupBy(page).agg(F.countDistinct(label, feet).alias("levels"), (F.max(F.when(roof, low)) - F.min(F.when(grade, low))).alias("height_ft"))
+
+
+def sheet_pages(matches: DataFrame, pages: DataFrame, sheet: str, kind: str, page: str) -> DataFrame:
+    """The pages of each kind, in order, of the sheets that the matches (sheet, kind) name."""
+    return matches.select(sheet, kind).distinct().join(pages.select(sheet, page), sheet).groupBy(kind).agg(F.array_sort(F.collect_set(page)).alias("pages"))

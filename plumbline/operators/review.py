@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import agreement
+from .windows import latest_per_key
 
 # The measured risk of each reader class (walls, booked too high, rate %, upper bound %).
 RISK = [
@@ -44,21 +44,27 @@ def review_queue(zones: DataFrame, cls: str, sf: str, *ties: str) -> DataFrame:
     return ranked.withColumn("review_rank", review_rank(F.col(cls), F.col("risk_rank"))).drop("risk_rank").orderBy("review_rank", F.desc(F.coalesce(F.col(sf), F.lit(0))), *ties)
 
 
+# What the queue tells the reviewer.
+WHY_MEASURED = "this reader booked more SF than the wall on %d of %d benchmark walls (%.0f%%)"
+WHY_MARKUP = "your own marked polygon — exact by geometry, nothing to re-measure"
+WHY_UNMEASURED = "this reader has no corpus measurement — review it before the graded ones"
+
+
 def why(cls: Column, wrong: Column, walls: Column, rate: Column) -> Column:
     """X8."""
-    told = F.format_string("this reader booked more SF than the wall on %d of %d benchmark walls (%.0f%%)", wrong, walls, rate)
-    return F.when(cls == "markup", "your own marked polygon — exact by geometry, nothing to re-measure").when(walls.isNull(), "this reader has no corpus measurement — review it before the graded ones").otherwise(told)
+    return F.when(cls == "markup", WHY_MARKUP).when(walls.isNull(), WHY_UNMEASURED).otherwise(F.format_string(WHY_MEASURED, wrong, walls, rate))
 
 
 def agreement_percent(auto: Column, final: Column) -> Column:
-    """100 min / max, whole percent; null where nothing is final."""
-    return F.when(final > 0, F.bround(100 * agreement(auto, F.greatest(final, F.lit(1.0))), 0))
+    """100 min / max, the divisor 1 at least, as a whole percent; null where nothing is final."""
+    return F.when(final > 0, F.bround(100 * (F.least(auto, final) / F.greatest(auto, final, F.lit(1.0))), 0))
 
 
-def autonomy(finals: DataFrame, autos: DataFrame, job: str, final: str, auto: str) -> DataFrame:
-    """Mean agreement over jobs whose latest final is above zero."""
-    j = finals.join(autos, job).filter(F.col(final) > 0)
-    return j.agg(F.count(F.lit(1)).alias("jobs"), F.round(F.avg(agreement_percent(F.col(auto), F.col(final))), 1).alias("autonomy"))
+def autonomy(finals: DataFrame, autos: DataFrame, job: str, final: str, auto: str, order: list[str] | None = None) -> DataFrame:
+    """Mean agreement, a whole percent, over jobs whose latest final (by order, where it is given) is above zero."""
+    latest = finals if order is None else latest_per_key(finals, [job], order).drop("hits")
+    j = latest.join(autos, job).filter(F.col(final) > 0)
+    return j.agg(F.count(F.lit(1)).alias("jobs"), F.bround(F.avg(agreement_percent(F.col(auto), F.col(final))), 0).alias("autonomy"))
 
 
 def bench_scores(results: DataFrame, gold: str, got: str, cover: str) -> DataFrame:
@@ -67,6 +73,13 @@ def bench_scores(results: DataFrame, gold: str, got: str, cover: str) -> DataFra
     return results.agg(F.count(F.lit(1)).alias("walls"), F.count_if(F.col(cover) >= 0.3).alias("found"), F.count_if(F.col(cover) >= 0.7).alias("covered"), F.count_if(right).alias("money_right"))
 
 
+def page_compare(walls: DataFrame, keys: list[str], gold: str, got: str, cover: str) -> DataFrame:
+    """Per page the marked and the measured sum, and how many walls are found and right in money."""
+    right = (F.col(cover) >= 0.7) & (F.abs(F.col(got) - F.col(gold)) <= 0.15 * F.col(gold))
+    whole = lambda c: F.round(F.sum(F.col(c).cast("decimal(18,2)")), 1).cast("double")
+    return walls.groupBy(*keys).agg(whole(gold).alias("his_total"), whole(got).alias("our_total"), F.count_if(F.col(cover) >= 0.3).alias("found"), F.count_if(right).alias("money_right"))
+
+
 def convention_flags(pieces: DataFrame, area: str, suggest: str, holes: str) -> DataFrame:
     """Large auto pieces without openings, with the share of such walls that are booked net."""
     open_ = (~F.coalesce(F.col(suggest), F.lit(False))) & (F.coalesce(F.size(holes), F.lit(0)) == 0) & (F.col(area) >= 400)

@@ -135,3 +135,18 @@ def union_all(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+# Fixed value: what is drawn as a filled wall comes before all other readings.
+FIRST_FAMILY = "Panel wall"
+
+
+def global_total(zones: DataFrame, net: str) -> DataFrame:
+    """One row, the sum of all booked zones."""
+    return zones.agg(total(net).alias("total_sf"), F.count(F.lit(1)).alias("zones"))
+
+
+def family_first(pieces: DataFrame, keys: list[str], material: str, area: str, *ties: str) -> DataFrame:
+    """T4: pieces with their place: filled walls first, then the largest."""
+    order = [F.when(F.startswith(F.col(material), F.lit(FIRST_FAMILY)), 0).otherwise(1), F.desc(area), *ties]
+    return pieces.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

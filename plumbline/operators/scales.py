@@ -17,7 +17,7 @@ def consensus(votes: DataFrame, keys: list[str], tolerance: float = 0.03) -> Dat
     Anchors and candidates of one page meet by bands of the logarithm, so the join is an equi join."""
     import math
 
-    band = math.log1p(tolerance) * 1.01
+    band = -math.log1p(-tolerance) * 1.01  # the low side is the wider one
     b = F.floor(F.log("ft_per_pt") / band).cast("bigint")
     anchors = votes.select(*keys, F.col("ft_per_pt").alias("a")).distinct().withColumn("__b", F.explode(F.sequence(F.floor(F.log("a") / band).cast("bigint") - 1, F.floor(F.log("a") / band).cast("bigint") + 1)))
     pairs = anchors.join(votes.withColumn("__b", b), [*keys, "__b"]).filter(F.abs(F.col("ft_per_pt") - F.col("a")) / F.col("a") <= tolerance)

@@ -5,18 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import LEGEND_KEY
+from ..functions.parse import LEGEND_KEY, schedule_feet
+from ..functions.rules import has
+
+# A quantity, its unit, and what is measured by length and no wall.
+SCHEDULE_NUMBER = r"^[\d,]+(?:\.\d+)?$"
+SCHEDULE_UNIT = r"(?i)^(sf|sq|s\.?f\.?)$"
+HEADER_WORDS = {"mark": ["MARK", "TYPE", "TAG", "ID", "NO"], "width": ["WIDTH", "WIDE", "'W", "W."], "height": ["HEIGHT", "HGT", "HEIG", "HIGH", "HT"], "qty": ["QTY", "QUANTITY", "COUNT"], "size": ["SIZE", "DIMENSION", "ROUGH OPENING", "R.O."]}
+LINEAR = r"(?i)\b(trim|railing|handrail|guardrail|watertable|decking|downspout|gutter|drip|flashing|coping)\b"
 
 
 def rows_of_words(words: DataFrame, keys: list[str], y: str = "y", x: str = "x", text: str = "text", band: float = 4.0) -> DataFrame:
     """Words of a band of heights, left to right, as one row: (keys, row, words, line)."""
-    g = words.groupBy(*keys, F.round(F.col(y) / band).cast("int").alias("row")).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(text).alias("t")))).alias("w"))
+    g = words.groupBy(*keys, F.bround(F.col(y) / band).cast("int").alias("row")).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(text).alias("t")))).alias("w"))
     return g.withColumn("words", F.transform("w", lambda v: v["t"])).withColumn("line", F.array_join("words", " ")).drop("w")
 
 
-def material_schedule(rows: DataFrame, keys: list[str], pattern: str = LEGEND_KEY, least: float = 50, least_rows: int = 2) -> DataFrame:
-    """Rows with a key, then a number of 50 or more, then SF; at least two on the page; the largest of each key."""
-    key = F.get(F.filter("words", lambda w: w.rlike(pattern)), F.lit(0))
+def material_schedule(rows: DataFrame, legend: DataFrame, keys: list[str], least: float = 50, least_rows: int = 2) -> DataFrame:
+    """(keys, key, sf, material). In a row, a key, then a number as one of the next two words, then a unit; numbers of
+    50 or more, the largest of each key; keys that the legend (keys, key, material) gives a wall material, two at least."""
+    w = F.col("words")
+    at = lambda i: F.get(w, i)
+
+    def entry(i: Column) -> Column:
+        j = F.when(at(i + 1).rlike(SCHEDULE_NUMBER), i + 1).when(at(i + 2).rlike(SCHEDULE_NUMBER), i + 2)
+        sf = F.when(at(j + 1).rlike(SCHEDULE_UNIT), F.regexp_replace(at(j), ",", "").try_cast("double"))
+        return F.struct(at(i).alias("key"), sf.alias("sf"))
+
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda i: at(i).rlike(LEGEND_KEY))
+    each = rows.filter(F.size(w) >= 2).select(*keys, F.explode(F.transform(places, entry)).alias("e")).select(*keys, "e.*").filter(F.col("sf") >= least)
+    best = each.groupBy(*keys, "key").agg(F.bround(F.max("sf"), 0).cast("bigint").alias("sf"))
+    named = best.join(legend.select(*keys, "key", "material"), [*keys, "key"]).filter((F.col("material") != "") & ~F.col("material").rlike(LINEAR))
+    enough = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least_rows).drop("__n")
+    return named.join(enough, keys, "left_semi")
+
+
+def loose_schedule(rows: DataFrame, keys: list[str], least: float = 50, least_rows: int = 2) -> DataFrame:
+    """(keys, key, sf, material) of rows that begin with a key and hold a number with a unit somewhere; the rest of the row is the
+    material; the largest of each key, on pages with two rows or more."""
+    key = F.get(F.filter("words", lambda w: w.rlike(LEGEND_KEY)), F.lit(0))
     sf = F.regexp_replace(F.regexp_extract("line", r"(?i)([\d,]{2,})\s*(?:SF|S\.F\.|SQ)", 1), ",", "").try_cast("bigint")
     name = F.trim(F.regexp_replace(F.regexp_replace("line", r"(?i)[\d,]{2,}\s*(?:SF|S\.F\.|SQ).*$", ""), r"^\S+\s*", ""))
     found = rows.select(*keys, key.alias("key"), sf.alias("sf"), name.alias("material")).filter(F.col("key").isNotNull() & (F.col("sf") >= least))
@@ -24,14 +51,27 @@ def material_schedule(rows: DataFrame, keys: list[str], pattern: str = LEGEND_KE
     return found.join(enough, keys, "left_semi").groupBy(*keys, "key").agg(F.max("sf").alias("sf"), F.max_by("material", F.struct("sf", "material")).alias("material"))
 
 
-def opening_schedule(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mark, W x H in feet and inches, quantity; sides above 0 and up to 60 feet."""
-    size = r"(\d+)'\s*-?\s*(\d+)?\"?\s*[xX]\s*(\d+)'\s*-?\s*(\d+)?"
-    part = lambda k: F.coalesce(F.regexp_extract("line", size, k).try_cast("double"), F.lit(0.0))
-    w, h = part(1) + part(2) / 12, part(3) + part(4) / 12
-    qty = F.coalesce(F.regexp_extract("line", r"(?i)QTY[.:]?\s*(\d+)", 1).try_cast("int"), F.lit(1))
-    out = rows.filter(F.col("line").rlike(size)).select(*keys, F.get("words", F.lit(0)).alias("mark"), w.alias("width_ft"), h.alias("height_ft"), qty.alias("qty"))
-    return out.filter("width_ft > 0 and width_ft <= 60 and height_ft > 0 and height_ft <= 60").withColumn("area_sf", F.round(F.col("width_ft") * F.col("height_ft") * F.col("qty"), 2))
+def opening_schedule(rows: DataFrame, keys: list[str], number: str = "row", most: float = 60.0) -> DataFrame:
+    """Tables as rows of cells (keys name a table, `row` 0 is its header): (keys, row, door, mark, width_ft, height_ft, qty, area_sf).
+    Columns are found by words of the header: a width and a height, or one size as 'w x h'; sides above 0 and up to 60 feet."""
+    cols = F.transform("cells", lambda c: F.trim(F.upper(F.coalesce(c, F.lit("")))))
+
+    def first(words: list[str]) -> Column:
+        return F.get(F.filter(F.sequence(F.lit(0), F.size("__c") - 1), lambda i: has(F.get("__c", i), *words)), F.lit(0))
+
+    at = {name: first(words) for name, words in HEADER_WORDS.items()}
+    header = rows.filter((F.col(number) == 0) & (F.size("cells") > 0)).select(*keys, cols.alias("__c")).select(*keys, *[c.alias(f"__{n}") for n, c in at.items()], has(F.array_join("__c", " "), "DOOR").alias("door"))
+    header = header.filter("__width is not null or __height is not null or __size is not null")
+    own = rows.filter(F.col(number) > 0).join(header, keys)
+    cell = lambda n: F.get("cells", F.col(f"__{n}"))
+    both = F.col("__width").isNotNull() & F.col("__height").isNotNull()
+    sides = F.split(cell("size"), "[xX×]")
+    pair = F.size(sides) == 2
+    side = lambda n, k: F.when(both, schedule_feet(cell(n))).when(pair, schedule_feet(F.get(sides, F.lit(k))))
+    qty = F.coalesce(F.regexp_extract(cell("qty"), r"\d+", 0).try_cast("int"), F.lit(1))
+    mark = F.coalesce(F.left(F.trim(F.nullif(cell("mark"), F.lit(""))), F.lit(12)), F.lit("?"))
+    out = own.select(*keys, number, "door", mark.alias("mark"), side("width", 0).alias("w"), side("height", 1).alias("h"), qty.alias("qty")).filter((F.col("w") > 0) & (F.col("h") > 0) & (F.col("w") <= most) & (F.col("h") <= most))
+    return out.select(*keys, number, "door", "mark", F.bround("w", 2).alias("width_ft"), F.bround("h", 2).alias("height_ft"), "qty", F.bround(F.col("w") * F.col("h") * F.col("qty"), 1).alias("area_sf"))
 
 
 def sheet_index(rows: DataFrame, keys: list[str], page: str) -> DataFrame:

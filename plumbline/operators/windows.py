@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folder import keep
+
 
 def latest_per_key(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Replay of a log, the last row of each key with the number of its rows. An aggregate, so it combines before the
@@ -61,19 +63,24 @@ def scale_outliers(rows: DataFrame, keys: list[str], scale: str, weight: Column,
     return out.withColumn("ratio", F.col(scale) / F.col("median")).withColumn("outlier", F.coalesce(agreed, F.lit(False)) & (F.col("ratio") >= 2)).drop("__n", "__near")
 
 
-def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """sorted[n // 2], by position, without gathering a group."""
+def _at_rank(rows: DataFrame, keys: list[str], value: str, rank, name: str) -> DataFrame:
+    """The value at a place (from 0, of the number of rows) of each key's sorted list. Equal values are counted before the
+    window, and combine before the shuffle; it runs over distinct values."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"__r": F.row_number().over(w.orderBy(value)), "__n": F.count(F.lit(1)).over(w)})
-    return ranked.filter(F.col("__r") == F.floor(F.col("__n") / 2) + 1).select(*keys, F.col(value).alias("median"))
+    run = counts.withColumns({"__to": F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum("__c").over(w)})
+    at = rank(F.col("__n"))
+    return run.filter((F.col("__to") > at) & (F.col("__to") - F.col("__c") <= at)).select(*keys, F.col(value).alias(name))
+
+
+def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """sorted[n // 2]."""
+    return _at_rank(rows, keys, value, lambda n: F.floor(n / 2), "median")
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, percent: float) -> DataFrame:
     """The value at index int(p / 100 n), at most the last."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"__r": F.row_number().over(w.orderBy(value)), "__n": F.count(F.lit(1)).over(w)})
-    at = F.least(F.floor(F.col("__n") * percent / 100), F.col("__n") - 1)
-    return ranked.filter(F.col("__r") == at + 1).select(*keys, F.col(value).alias("value"))
+    return _at_rank(rows, keys, value, lambda n: F.least(F.floor(n * percent / 100), n - 1), "value")
 
 
 def mode_consensus(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -92,11 +99,15 @@ def missing_in_series(rows: DataFrame, prefix: str, letter: str) -> DataFrame:
 
 
 def dropped_by_budget(rows: DataFrame, order: list[Column], size: str, most_rows: int, most_size: float) -> DataFrame:
-    """Newest first, what lies beyond the number or the size that may stay. Ordered by a range partition of the key: the
-    running sum is over one bounded listing of files."""
-    w = Window.orderBy(*order)
-    run = rows.withColumns({"__r": F.row_number().over(w), "__s": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return run.filter((F.col("__r") > most_rows) | (F.col("__s") > most_size)).drop("__r", "__s")
+    """In order, what lies beyond the number or the size that may stay. Rows are dealt by ranges of the order and written
+    once; each range runs by itself, on top of the sums of the ranges before it (a row each)."""
+    ranges = keep(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"), F.sum(size).alias("__z"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__r0"), F.coalesce(F.sum("__z").over(before), F.lit(0)).alias("__s0"))
+    w = Window.partitionBy("__p").orderBy(*order)
+    run = ranges.withColumns({"__r": F.row_number().over(w), "__s": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(F.broadcast(sums), "__p")  # a row a range
+    return run.filter((F.col("__r") + F.col("__r0") > most_rows) | (F.col("__s") + F.col("__s0") > most_size)).select(*rows.columns)
 
 
 def trimmed_ends(rows: DataFrame, keys: list[str], order: str, valid: Column) -> DataFrame:

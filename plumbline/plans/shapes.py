@@ -98,17 +98,8 @@ def union_area(spark, sf_dir):
     return measure.union_area(b.select("page", F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y1")).alias("points")), ["page"], "points", 1.0)
 
 
-@register("auto_trim", f"WITH b AS ({BOX_SQL}), i AS (SELECT page, x0 AS a, x1 AS b FROM b), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY page ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM i), g AS (SELECT *, sum(n) OVER (PARTITION BY page ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m), u AS (SELECT page, k, max(b) - min(a) AS l FROM g GROUP BY 1, 2) SELECT page, 'base_top' AS kind, round(2 * sum(l) * 0.5::DOUBLE, 1) AS lf FROM u GROUP BY 1")
+@register("auto_trim")
 def auto_trim(spark, sf_dir):
-    """The base and top row here; tests cover the other kinds."""
-    b = boxes(spark, sf_dir)
-    pt = lambda x, y: F.struct(F.col(f"box.{x}").alias("x"), F.col(f"box.{y}").alias("y"))
-    p = b.select("page", "id", F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y1")).alias("points"), F.array().cast("array<array<struct<x:double,y:double>>>").alias("holes"))
-    return measure.auto_trim(p, "page", 0.5).filter("kind = 'base_top'")
-
-
-@register("auto_trim_all")
-def auto_trim_all(spark, sf_dir):
     """All four kinds; every fifth part has a gable, every part of odd number a hole. No SQL: a test holds it against brute force."""
     b, c = boxes(spark, sf_dir), lambda n: F.col(f"box.{n}")
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -152,8 +143,14 @@ def outermost_frames(spark, sf_dir):
 
 @register("overlap_shave")
 def overlap_shave(spark, sf_dir):
-    """U13."""
-    return folds.shaved(_flat(spark, sf_dir), ["page"])
+    """Boxes in shares of a page of 1100; every seventh is a filled wall, every eleventh a patch. No SQL: each step depends on
+    what was claimed."""
+    pt = lambda x, y: F.struct((F.col(f"box.{x}") / 1100).alias("x"), (F.col(f"box.{y}") / 1100).alias("y"))
+    k, b = F.col("id"), boxes(spark, sf_dir)
+    area = (F.col("box.x1") - F.col("box.x0")) * (F.col("box.y1") - F.col("box.y0"))
+    material = F.when(k % 7 == 0, "Panel wall (drawn fill)").otherwise("Wall area")
+    rows = b.select("page", "id", material.alias("material"), F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y1")).alias("points"), area.alias("area_sf"), (k % 11 == 0).alias("patch"), F.lit(1.0).alias("aspect"))
+    return folds.shaved(rows, ["page"]).select("page", "id", "material", "area_sf", "patch")
 
 
 @register("snap_points")
@@ -172,20 +169,12 @@ def openings_cap(spark, sf_dir):
 @register(
     "components",
     """
-    WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey * 7 % 1500 AS b FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey * 7 % 1500, c_custkey FROM customer WHERE c_custkey % 3 = 0),
+    WITH RECURSIVE l AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
          r AS (SELECT a AS n, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n)
-    SELECT n AS node, min(c) AS component FROM r GROUP BY 1""",
+    SELECT CASE WHEN n % 2 = 0 THEN 'part' ELSE 'supplier' END AS kind, n // 2 AS key, min(c) AS component FROM r GROUP BY n""",
 )
 def components(spark, sf_dir):
-    """K1."""
-    e = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 1500).alias("b"))
-    return graph.components(e, "a", "b")
-
-
-@register("components_all")
-def components_all(spark, sf_dir):
-    """K1 over every part-supplier edge of lineitem; no SQL: a test holds it against brute force. Parts are even
-    nodes, suppliers odd ones."""
+    """K1 over every part-supplier edge of lineitem. Parts are even nodes, suppliers odd ones."""
     e = table(spark, sf_dir, "lineitem").select((F.col("l_partkey").cast("bigint") * 2).alias("a"), (F.col("l_suppkey").cast("bigint") * 2 + 1).alias("b"))
     return graph.components(e, "a", "b").select(F.when(F.col("node") % 2 == 0, "part").otherwise("supplier").alias("kind"), F.floor(F.col("node") / 2).alias("key"), "component")
 
@@ -198,26 +187,21 @@ def line_clusters(spark, sf_dir):
     return graph.line_edges(rows, ["page"])
 
 
+_SHARES = f"b AS (SELECT id, page, p_type AS type, p_retailprice AS sf, x0 / 1100.0::DOUBLE AS x0, y0 / 1100.0::DOUBLE AS y0, x1 / 1100.0::DOUBLE AS x1, y1 / 1100.0::DOUBLE AS y1 FROM ({BOX_SQL}) JOIN part ON p_partkey = id)"
+
+
 @register(
     "weld_rollup",
-    """
-    WITH RECURSIVE p AS (SELECT p_partkey AS id, p_retailprice AS s FROM part), e AS (SELECT p_partkey AS a, p_partkey * 2 AS b FROM part WHERE p_partkey % 4 = 0 AND p_partkey * 2 <= (SELECT count(*) FROM part) UNION ALL SELECT p_partkey * 2, p_partkey FROM part WHERE p_partkey % 4 = 0 AND p_partkey * 2 <= (SELECT count(*) FROM part)),
-         r AS (SELECT id AS n, id AS c FROM p UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n), m AS (SELECT n, min(c) AS c FROM r GROUP BY 1)
-    SELECT c AS cluster, CAST(sum(CAST(s AS DECIMAL(18,2))) AS DOUBLE) AS area_sf, CAST(count(*) AS BIGINT) AS members FROM p JOIN m ON id = n GROUP BY 1""",
+    f"""
+    WITH RECURSIVE {_SHARES}, e AS (SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.page = b.page AND a.type = b.type AND a.id <> b.id AND a.x0 - 0.015 <= b.x1 AND b.x0 <= a.x1 + 0.015 AND a.y0 - 0.015 <= b.y1 AND b.y0 <= a.y1 + 0.015),
+         r AS (SELECT id AS n, id AS c FROM b UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n), m AS (SELECT n, min(c) AS c FROM r GROUP BY 1),
+         w AS (SELECT c, max(x1) - min(x0) > 0.55 AND max(y1) - min(y0) > 0.55 AS wide FROM m JOIN b ON id = n GROUP BY 1),
+         g AS (SELECT b.*, CASE WHEN wide THEN id ELSE c END AS cluster FROM b JOIN m ON id = n JOIN w USING (c))
+    SELECT cluster, CAST(sum(CAST(sf AS DECIMAL(18,2))) AS DOUBLE) AS area_sf, CAST(count(*) AS BIGINT) AS members, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM g GROUP BY 1""",
 )
 def weld_rollup(spark, sf_dir):
-    """G7."""
-    part = table(spark, sf_dir, "part")
-    n = part.agg(F.count(F.lit(1)).alias("n"))
-    pieces = part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("sf"), *[F.lit(v).alias(c) for c, v in (("x0", 0.1), ("y0", 0.1), ("x1", 0.2), ("y1", 0.2))])
-    e = part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 2).alias("b")).join(F.broadcast(n), F.col("b") <= F.col("n")).drop("n")
-    return graph.weld_rollup(pieces, e, "sf").select("cluster", "area_sf", "members")
-
-
-@register("weld_rollup_all")
-def weld_rollup_all(spark, sf_dir):
     """G7 over the boxes of all parts, in shares of a page of 1100 points; pieces of one page and type whose boxes lie within 0.015
-    are linked. No SQL: a test holds it against brute force."""
+    are linked."""
     share = F.struct(*[(F.col(f"box.{c}") / 1100).alias(c) for c in ("x0", "y0", "x1", "y1")])
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_retailprice").alias("sf"))
     pieces = boxes(spark, sf_dir).select("id", "page", share.alias("box")).join(part, "id")

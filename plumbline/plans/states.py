@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import overrides
+from ..sources.folder import shared_path
 from ..sources.tables import upsert as upsert_rows
 from ..streaming import corrections as stream
 from .registry import register, table
@@ -65,11 +63,6 @@ def upsert(spark, sf_dir):
     return upsert_rows(old, new, ["user_id"], "at").select("user_id", "value", "hits")
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _source(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -79,14 +72,14 @@ def _source(spark, sf_dir):
 
 
 def _is_folder(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    """A table of one file is the file itself."""
+    return not any(f.rstrip("/").endswith(path.rsplit("/", 1)[1]) for f in spark.read.parquet(path).inputFiles())
 
 
 @register("learn_stream", "SELECT user_id, event_type, value, hits FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS hits FROM events) WHERE r = 1")
 def learn_stream(spark, sf_dir):
     """The stream's table equals the batch's."""
-    at = _folder(spark)
+    at = shared_path(spark, "stream")
     rows = _source(spark, sf_dir).select("user_id", "event_type", "value", "ts", "event_id")
     stream.learn_stream(rows, ["user_id"], ["ts", "event_id"], f"{at}/table", f"{at}/state").awaitTermination()
     return stream.newest(spark, f"{at}/table").select("user_id", "event_type", "value", "hits")
@@ -95,7 +88,7 @@ def learn_stream(spark, sf_dir):
 @register("job_state_stream", f"SELECT user_id, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS r FROM events) WHERE r = 1")
 def job_state_stream(spark, sf_dir):
     """R4."""
-    at = _folder(spark)
+    at = shared_path(spark, "stream")
     rows = _source(spark, sf_dir).select("user_id", F.col("event_type").alias("state"), "ts")
     stream.job_state_stream(rows, "user_id", "state", "ts", f"{at}/table", f"{at}/state").awaitTermination()
     return stream.newest(spark, f"{at}/table").select("user_id", "state")

@@ -70,7 +70,7 @@ def decoded(payload: str) -> object:
 def pinned(jobs: DataFrame, manifest: DataFrame, width: int = 44) -> DataFrame:
     """Jobs of a manifest, by the first 44 characters; a prefix that comes twice counts once."""
     m = manifest.groupBy(F.left("job_prefix", F.lit(width)).alias("__k")).agg(F.min_by(F.struct("file", "pages"), "file").alias("__m"))
-    return jobs.join(F.broadcast(m), F.left("job_id", F.lit(width)) == F.col("__k")).select(*jobs.columns, "__m.file", "__m.pages")
+    return jobs.join(m, F.left("job_id", F.lit(width)) == F.col("__k")).select(*jobs.columns, "__m.file", "__m.pages")
 
 
 def best_files(files: DataFrame, job: str, name: str, size: str, words: list[str], most: int = 8) -> DataFrame:

@@ -6,36 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import latest_per_key
+from ..sources.folder import drop_path
 
 
 def learn_stream(events: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str):
-    """Each batch is folded into the latest row of each key. The table has two versions in turn, named by the batch, so a
-    batch that is run again writes the same; the reader takes the newest. Returns the running query."""
+    """Each batch is folded into the latest row of each key. The table's versions are named by the batch, so a batch that is run
+    again writes the same; the last two stay, and the reader takes the newest. A batch whose predecessor's version is gone fails: a
+    lost file is no empty table. Each batch writes the whole table, which has one row a key. Returns the running query."""
     hits = "hits"
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         new = latest_per_key(batch, keys, order)
-        try:
-            old = spark.read.parquet(f"{table}/v={number - 1}") if number else None
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        both = new if old is None else old.unionByName(new)
+        both = new if not number else batch.sparkSession.read.parquet(f"{table}/__version={number - 1}").unionByName(new)
         rest = [c for c in new.columns if c not in (*keys, hits)]
         out = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"), F.sum(hits).alias(hits)).select(*keys, "r.*", hits)
-        out.write.mode("overwrite").parquet(f"{table}/v={number}")
+        out.write.mode("overwrite").parquet(f"{table}/__version={number}")
+        drop_path(f"{table}/__version={number - 2}")
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest(spark: SparkSession, table: str) -> DataFrame:
-    """The table after the last batch."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    last = max(int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
-    return spark.read.parquet(f"{table}/v={last}")
+    """The table after the last batch. A version holds every key of the one before it."""
+    rows = spark.read.parquet(table)
+    last = rows.agg(F.max("__version")).first()[0]
+    return rows.filter(F.col("__version") == last).drop("__version")
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -60,6 +60,7 @@ def test_lengths_and_scales(spark):
 
 def test_names(spark):
     t = F.col("t")
+    assert values(spark, [("TXOX BRICK VENEER",), ("T.O. BRICK",), ("T.O. BRICKWORK",)], "t string", naming.canon(t)["group"]) == [("Brick / masonry (non-BFS)",), (naming.UNCLASSIFIED,), (naming.UNCLASSIFIED,)]
     rows = [("Lap / horizontal - 4in courses",), ("FC-1",), ("NO",), ("Panel wall (drawn fill)",), (None,)]
     c = naming.canon(t)
     assert values(spark, rows, "t string", c["group"], c["cls"]) == [("Lap siding (horizontal)", "pattern"), ("FC-1", "code"), (naming.UNCLASSIFIED, "junk"), ("Drawn wall fill (confirm)", "generic"), (naming.UNCLASSIFIED, "junk")]
@@ -137,6 +138,11 @@ def test_scale_consensus(spark):
     votes = [("p", k, v) for k in range(6) for v in ([0.11, 0.22] if k < 3 else [0.11])]
     out = scales.consensus(spark.createDataFrame(votes, "page string, id int, ft_per_pt double"), ["page"]).collect()
     assert [(r["ft_per_pt"], r["support"]) for r in out] == [(0.11, 6)]
+    # six votes on the low side of 3%, wherever the edges of bands lie
+    for k in range(12):
+        a = 0.1 * 1.0025**k
+        votes = spark.createDataFrame([("p", n, v) for n, v in enumerate([a, a, a * 0.9705, a * 0.9705, a * 0.972, a * 0.972])], "page string, id int, ft_per_pt double")
+        assert [r["support"] for r in scales.consensus(votes, ["page"]).collect()] == [6]
 
 
 def test_greedy_steps_shrink(spark):
@@ -146,8 +152,27 @@ def test_greedy_steps_shrink(spark):
     kept = greedy.greedy_nms(b, ["page"]).collect()
     again = greedy.greedy_nms(spark.createDataFrame(kept, b.schema), ["page"]).count()
     assert 0 < len(kept) < 90 and again == len(kept)
-    area = {r["id"]: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"]) for r in b.collect()}
-    assert all(r["area"] <= area[r["id"]] + 1e-9 for r in greedy.shaved(b, ["page"]).collect())
+
+
+def test_shaved_claims_cells_in_order(spark):
+    """Rectangles against sets of cells, edges included; filled walls first, patches whole."""
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for k in range(40):
+        x, y = rnd.randrange(60), rnd.randrange(60)
+        w, h = 5 + rnd.randrange(30), 5 + rnd.randrange(30)
+        rows.append((1, k, "Panel wall 1" if k % 6 == 0 else "Wall area", [((x + 0.5) / 100, (y + 0.5) / 100), ((x + w + 0.5) / 100, (y + 0.5) / 100), ((x + w + 0.5) / 100, (y + h + 0.5) / 100), ((x + 0.5) / 100, (y + h + 0.5) / 100)], float(w * h), k % 9 == 0, 1.0))
+    claimed = set()
+    for _, k, m, p, a, patch, _ in sorted(rows, key=lambda r: (not r[2].startswith("Panel wall"), -r[4], r[1])):
+        own = {(i, j) for i in range(int(p[0][0] * 100), int(p[2][0] * 100) + 1) for j in range(int(p[0][1] * 100), int(p[2][1] * 100) + 1)}
+        share = len(own & claimed) / len(own)
+        if patch or share <= 0.55:
+            claimed |= own
+            want[k] = round(a * (1 - share), 1) if share > 0.05 and not patch else a
+    t = spark.createDataFrame(rows, "page int, id int, material string, points array<struct<x:double,y:double>>, area_sf double, patch boolean, aspect double")
+    assert {r["id"]: r["area_sf"] for r in greedy.shaved(t, ["page"], width=100).collect()} == want and 3 < len(want) < 40
+    triangle = greedy.filled([(0.0, 0.0), (0.5, 0.0), (0.0, 0.5)], 10, 10)
+    assert triangle.sum() == 21 and triangle[0, :6].all() and not triangle[5, 1:].any()
 
 
 def test_components(spark):
@@ -196,7 +221,7 @@ def forest(edges):
 def test_components_of_all_edges(spark):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
     want = forest([(p * 2, s * 2 + 1) for p, s in rows])
-    got = {r["key"] * 2 + (r["kind"] == "supplier"): r["component"] for r in QUERIES["components_all"](spark, SF).collect()}
+    got = {r["key"] * 2 + (r["kind"] == "supplier"): r["component"] for r in QUERIES["components"](spark, SF).collect()}
     assert got == want and {r[0] for r in rows} == {n // 2 for n in got if n % 2 == 0}
 
 
@@ -208,7 +233,7 @@ def test_weld_of_all_pieces(spark):
     span = {c: [f(at[k][i] for k in own if own[k] == c) for i, f in enumerate((min, min, max, max))] for c in set(own.values())}
     own = {k: k if span[c][2] - span[c][0] > 0.55 and span[c][3] - span[c][1] > 0.55 else c for k, c in own.items()}
     want = {c: (round(sum(sf for k, _, sf, _ in pieces if own[k] == c), 2), sum(x == c for x in own.values())) for c in set(own.values())}
-    got = {r["cluster"]: (round(r["area_sf"], 2), r["members"]) for r in QUERIES["weld_rollup_all"](spark, SF).collect()}
+    got = {r["cluster"]: (round(r["area_sf"], 2), r["members"]) for r in QUERIES["weld_rollup"](spark, SF).collect()}
     assert got == want and sum(n for _, n in got.values()) == 200 and len(got) < 200
 
 
@@ -248,7 +273,7 @@ def trim(faces, rate):
 
 def test_auto_trim_of_every_kind(spark):
     got, want = {}, {}
-    for r in QUERIES["auto_trim_all"](spark, SF).collect():
+    for r in QUERIES["auto_trim"](spark, SF).collect():
         got.setdefault(r["page"], {})[r["kind"]] = r["lf"]
     for r in spark.read.parquet(f"{SF}/part.parquet").collect():
         k = r["p_partkey"]
@@ -284,14 +309,14 @@ def alone(left, right):
 
 def test_declared_and_found_both_ways(spark):
     declared, found = both_sides(spark)
-    assert {r["item_id"] for r in QUERIES["declared_vs_found_all"](spark, SF).filter("not found").collect()} == alone(declared, found)
+    assert {r["item_id"] for r in QUERIES["declared_vs_found"](spark, SF).filter("not found").collect()} == alone(declared, found)
     assert {r["doc_id"] for r in QUERIES["found_not_declared"](spark, SF).collect()} == alone(found, declared)
 
 
 def test_declared_and_found_meet_in_any_language_or_family(spark, tmp_path):
     spark.createDataFrame([(1, "abcdefghijk"), (2, "cedar one"), (3, "lonely"), (4, "brick")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "x abcdefghijk", "en"), (2, "shingle two", "fr"), (3, "soffit", "es")], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r["item_id"]: r["found"] for r in QUERIES["declared_vs_found_all"](spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: False, 4: False}
+    assert {r["item_id"]: r["found"] for r in QUERIES["declared_vs_found"](spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: False, 4: False}
     assert {(r["doc_id"], r["family"]) for r in QUERIES["found_not_declared"](spark, str(tmp_path)).collect()} == {(3, "soffit")}
 
 
@@ -309,5 +334,96 @@ def test_text_export_of_the_whole_table(spark):
     want = {}
     for r in sorted(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/conversations.parquet").collect(), key=lambda r: (r["turn"], r["text"])):
         want.setdefault(r["conv_id"], []).append(r["text"])
-    got = {r["conv_id"]: r["text"] for r in QUERIES["text_export_all"](spark, SF.replace("0.001", "0.01")).collect()}
+    got = {r["conv_id"]: r["text"] for r in QUERIES["text_export"](spark, SF.replace("0.001", "0.01")).collect()}
     assert got == {k: "\n".join(v) for k, v in want.items()} and max(got) > 40
+
+
+def test_rows_round_half_to_even(spark):
+    w = spark.createDataFrame([("p", float(y), float(y), str(y)) for y in (6, 10, 14, 18)], "page string, y double, x double, text string")
+    assert {r["line"]: r["row"] for r in schedules.rows_of_words(w, ["page"]).collect()} == {"6 10": 2, "14 18": 4}
+
+
+def test_material_schedule_pairs_key_number_and_unit(spark):
+    lines = ["FC-1 PANEL 1,200 SF", "FC-1 90 sf FC-1 PANEL 300 EA", "MP-2 40 SF", "MP-2 75 s.f.", "GS-3 GUTTER 500 SF", "BR-4 a b 900 SF", "ZZ-9 800 SQ"]
+    rows = spark.createDataFrame([("p", x.split()) for x in lines], "page string, words array<string>")
+    legend = spark.createDataFrame([("p", "FC-1", "Panel"), ("p", "MP-2", "Metal"), ("p", "GS-3", "Metal gutter"), ("p", "BR-4", "Brick")], "page string, key string, material string")
+    got = {(r["key"], r["sf"], r["material"]) for r in schedules.material_schedule(rows, legend, ["page"]).collect()}
+    assert got == {("FC-1", 1200, "Panel"), ("MP-2", 75, "Metal")}
+    assert schedules.material_schedule(rows.limit(1), legend, ["page"]).count() == 0
+
+
+def test_two_levels_are_two_means(spark):
+    from plumbline.operators import learned
+
+    rnd = random.Random(3)
+    groups = {"far": [rnd.gauss(70, 6) for _ in range(200)] + [rnd.gauss(140, 6) for _ in range(150)], "near": [rnd.gauss(70, 5) for _ in range(200)] + [rnd.gauss(85, 5) for _ in range(150)], "outlier": [rnd.gauss(70, 1) for _ in range(400)] + [95.0], "few": [0.0] * 100 + [90.0] * 100}
+    t = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {r["g"]: r for r in learned.two_levels(t, ["g"], "v").collect()}
+    for g, vs in groups.items():  # every cut is tried
+        v, best = sorted(vs), None
+        for k in range(1, len(v)):
+            a, b = v[:k], v[k:]
+            sse = sum((x - sum(a) / len(a)) ** 2 for x in a) + sum((x - sum(b) / len(b)) ** 2 for x in b)
+            if v[k - 1] < v[k] and (best is None or sse < best[0] - 1e-9):
+                best = (sse, v[k - 1], sum(b) / len(b) - sum(a) / len(a))
+        assert got[g]["cut"] == pytest.approx(best[1]) and got[g]["separated"] == (best[2] > 22 and len(v) > 300)
+
+
+def test_agreement_counts_the_latest_final(spark):
+    finals = spark.createDataFrame([("a", 1, 50.0), ("a", 2, 0.5), ("b", 1, 200.0), ("c", 1, 10.0), ("c", 2, 0.0)], "job string, at int, final double")
+    autos = spark.createDataFrame([("a", 0.25), ("b", 100.0), ("c", 10.0)], "job string, auto double")
+    # a: 25 of at least 1; b: 50; c has no final any more
+    assert [tuple(r) for r in review.autonomy(finals, autos, "job", "final", "auto", ["at"]).collect()] == [(2, 38.0)]
+
+
+def test_stream_without_its_last_version_fails(spark, tmp_path):
+    import shutil
+
+    from plumbline.streaming import corrections as stream
+
+    schema = "k string, v int, ts int"
+    for n, rows in enumerate(([("a", 1, 1), ("b", 1, 1)], [("a", 2, 2)], [("c", 3, 3)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = lambda: stream.learn_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], ["ts"], str(tmp_path / "table"), str(tmp_path / "state"))
+        run().awaitTermination()
+        assert sorted(p.name for p in (tmp_path / "table").iterdir()) == [f"__version={k}" for k in range(max(0, n - 1), n + 1)]
+    assert sorted((r["k"], r["v"], r["hits"]) for r in stream.newest(spark, str(tmp_path / "table")).collect()) == [("a", 2, 2), ("b", 1, 1), ("c", 3, 1)]
+    shutil.rmtree(tmp_path / "table" / "__version=2")
+    spark.createDataFrame([("d", 4, 4)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        run().awaitTermination()
+
+
+def test_union_of_real_polygons(spark):
+    rnd = random.Random(2)
+    polygons = [[(rnd.random() * 40, rnd.random() * 40) for _ in range(rnd.randrange(3, 8))] for _ in range(25)] + [[(1.0, 1.0), (1.0, 9.0)], [(3.0, 3.0)] * 4]
+    t = spark.createDataFrame([(k % 2, p) for k, p in enumerate(polygons)], "page int, points array<struct<x:double,y:double>>")
+
+    def within(x, y, p):
+        odd = False
+        for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1]):
+            odd ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+        return odd
+
+    for size in (1.0, 0.5):
+        n = int(40 / size) + 1
+        want = {g: sum(any(within((i + 0.5) * size, (j + 0.5) * size, p) for k, p in enumerate(polygons) if k % 2 == g) for i in range(n) for j in range(n)) * size * size for g in (0, 1)}
+        assert {r["page"]: r["area"] for r in measure.union_area(t, ["page"], "points", size).collect()} == want
+
+
+def test_ranges_of_a_budget(spark):
+    rows = [(k, (k * 37) % 101, (k * 7) % 13 + 1) for k in range(300)]
+    t = spark.createDataFrame(rows, "id int, at int, size int").repartition(5)
+    order, used, want = sorted(rows, key=lambda r: (-r[1], r[0])), 0, set()
+    for n, (k, _, size) in enumerate(order, 1):
+        used += size
+        if n > 120 or used > 700:
+            want.add(k)
+    assert {r["id"] for r in windows.dropped_by_budget(t, [F.desc("at"), F.col("id")], "size", 120, 700).collect()} == want
+
+
+def test_opening_schedule_resolves_headers(spark):
+    tables_ = {"w": [["Mark", "Width", "Height", "Qty"], ["A", "4'-0\"", "6'-6\"", "2"], ["B", "48\"", "3", None], [None, "61'", "3'", "1"], ["short"]], "d": [["DOOR NO", "SIZE"], ["D1", "3'-0\" x 7'-0\""], ["D2", "no size"]], "x": [["Name", "Finish"], ["a", "b"]]}
+    rows = spark.createDataFrame([(t, k, r) for t, rs in tables_.items() for k, r in enumerate(rs)], "t string, row int, cells array<string>")
+    got = {(r["t"], r["door"], r["mark"], r["width_ft"], r["height_ft"], r["qty"], r["area_sf"]) for r in schedules.opening_schedule(rows, ["t"]).collect()}
+    assert got == {("w", False, "A", 4.0, 6.5, 2, 52.0), ("w", False, "B", 4.0, 3.0, 1, 12.0), ("d", True, "D1", 3.0, 7.0, 1, 21.0)}
