@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import kernel as K
-from .shared import fresh, keep, quoted
+from .shared import fresh, keep, map_batches, quoted
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -222,7 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
             out = keep(out, "hits")
             shared.unpersist()
         shared = spark.sparkContext.broadcast(pickle.dumps(Automaton(items, window), 5))
-        out = out.mapInArrow(_scan(shared, text_col, names), out.schema)
+        out = map_batches(out, _scan(shared, text_col, names), out.schema)
     return out
 
 
@@ -251,7 +251,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
                     texts[k] = without(texts[k], [(a, b) for a, b in zip(r[::2], r[1::2], strict=True) if b - a > max_span])
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
 
-    return clean.mapInArrow(cut, schema).select(*[F.col(quoted(c)) for c in columns])
+    return map_batches(clean, cut, schema).select(*[F.col(quoted(c)) for c in columns])
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> str:

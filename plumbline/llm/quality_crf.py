@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import map_batches
 
 _CLASS = np.zeros((256, 6), np.float32)  # letters, capitals, digits, marks that prose is full of, other marks, beyond ASCII
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)], 0] = 1
@@ -195,7 +196,7 @@ def score(docs: DataFrame, model: LineCRF, text_col: str = "text", into: str = "
                 found = pa.array(own.score(piece.column(text_col)), pa.float64())
                 yield piece.set_column(piece.schema.get_field_index(into), into, found)
 
-    return out.mapInArrow(run, out.schema)
+    return map_batches(out, run, out.schema)
 
 
 def remainder(n: int) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -68,3 +70,17 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id bigint, text string, ...) of the rows that have an id: a row without one names no document."""
     cols = [F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
     return docs.filter(F.col(f"`{id_col}`").isNotNull()).select(*cols, *[F.col(f"`{c}`") for c in more])
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any name: names with dots travel as plain ones and come back."""
+    if all(c.isidentifier() for c in df.columns):
+        return df.mapInArrow(function, schema)
+    own, out = df.columns, schema.fieldNames()
+    plain = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in function(b.rename_columns(own) for b in batches):
+            yield batch.rename_columns(plain.fieldNames())
+
+    return df.toDF(*[f"c{k}" for k in range(len(own))]).mapInArrow(run, plain).toDF(*out)
