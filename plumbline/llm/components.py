@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import drop, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(id, component): each node that has an edge, with the smallest node it is connected to.
 
     Each round is a minimum per node (combined before the shuffle) and a join on the node. The rounds needed grow with
-    the logarithm of the largest component; each is written to the shared folder, so a lost executor costs one round.
+    the logarithm of the largest component; each is written to the shared folder, so a lost executor costs one round, and the one before goes.
     Edges with a null end are ignored; loops and repeats do no harm; no edges give no rows."""
     pairs = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).filter("a is not null and b is not null and a <> b")
     now = keep(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        now = keep(small.filter("a <> b").distinct(), "edges")
+        last, now = now, keep(small.filter("a <> b").distinct(), "edges")
+        drop(last)
         after = _state(now)
         if after == before:
             break

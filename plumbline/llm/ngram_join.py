@@ -12,11 +12,15 @@ lists are then probed by binary search, for the documents that the short ones na
    on LEAST of them, and chance meetings of one shingle name nobody. Up to `short` rows of a shingle pair up directly. Longer lists
    go out as members: a task that sees more than `short` rows of one shingle sends the rest past the shuffle by shingle,
    so a shingle gathers few rows a task, however common it is.
-4. Whole sets of the named documents are compared: pairs one document at a time, long lists (or all that they join, where
-   that sends fewer sets) in blocks of about `block` members, against every block; a block pair sends back a spanning forest,
-   never its pairs.
+4. Whole sets of the named documents are compared: pairs one document at a time; long lists (or all that they join, where
+   that sends fewer sets) in blocks of about `block` members, each within itself and with the list's first document. What links
+   with that one, by whatever way, is done; only the rest of a list of several blocks meets all of it, block by block. So a
+   group of near copies sends sets in proportion to its size, and a list whose members do not resemble its first document
+   as the rest times the list. A block sends back a spanning forest, never its pairs.
 5. Components over the links of step 4.
 
+The short lists are merged by sorting and counting, the long ones probed by binary search (Lists.search).
+
 Nulls and edge cases: null or wordless text has an empty set, links with nothing and is its own component; a text of
 fewer than n words has one shingle, its whole sequence; rows without doc_id are left out; rows with equal doc_id are one
 node (their sets unite in one class row each, and both rows return); extra columns are ignored.
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import connected_components
-from .shared import identified, keep
+from .shared import drop, identified, keep, salted_join
 
 CELLS = 1 << 18
 
@@ -273,19 +277,20 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     first = members.groupBy("list").agg(F.min("doc").alias("a"))
     joined = connected_components(members.join(first, "list").select("a", F.col("doc").alias("b")))
     of = keep(members.join(joined, F.col("doc") == F.col("id")).select("component", "list", "doc"), "joined")
-    cost = lambda n: n * F.ceil(n / F.lit(block))
-    by_list = of.groupBy("component", "list").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.sum(cost(F.col("n"))).alias("lists"))
+    by_list = of.groupBy("component", "list").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.sum("n").alias("lists"))
     whole = of.select("component", "doc").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    at_once = by_list.join(whole, "component").select("component", (cost(F.col("n")) <= F.col("lists")).alias("at_once"))
-    groups = of.join(at_once, "component").select(F.when(F.col("at_once"), F.col("component")).otherwise(F.col("list")).alias("list"), "doc").distinct()
-
-    # A work unit is one document with its partners, or two blocks of a group.
-    by_list = groups.join(groups.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "list")
-    placed = by_list.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = placed.select(F.col("list").alias("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "own")
+    at_once = by_list.join(whole, "component").select("component", (F.col("n") <= F.col("lists")).alias("at_once"))
+    groups = salted_join(of, at_once, "component", "doc").select(F.when(F.col("at_once"), F.col("component")).otherwise(F.col("list")).alias("list"), "doc").distinct()
+
+    # A work unit is one document with its partners, or a block of a group with the group's first document.
+    sizes = groups.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.min("doc").alias("head"))
+    placed = salted_join(groups, sizes, "list", "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = keep(placed, "placed")
+    blocks = placed.select(F.col("list").alias("u"), F.col("own").alias("i"), F.lit(0).alias("j"), "doc", F.lit(1).alias("own"))
+    first = sizes.filter("blocks > 1").select(F.col("list").alias("u"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), F.col("head").alias("doc"), F.lit(0).alias("own"))
     star = pairs.select(F.col("a").alias("u"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("b").alias("doc"), F.lit(1).alias("own"))
     heads = pairs.select("a").distinct().select(F.col("a").alias("u"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("a").alias("doc"), F.lit(0).alias("own"))
-    units = keep(blocks.unionByName(star).unionByName(heads), "units")
+    units = keep(blocks.unionByName(first).unionByName(star).unionByName(heads), "units")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document's set for each unit that it is in, by few documents at a time."""
@@ -299,34 +304,55 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
                 for k in range(0, len(ids), 256):
                     yield pa.RecordBatch.from_arrays([*(x.slice(k, 256) for x in unit.flatten()), pa.array(ids[k : k + 256]), pa.array(sizes[k : k + 256], pa.binary())], names=["u", "i", "j", "own", "doc", "s"])
 
-    # The texts of the documents in question move once, and their sets go straight to the units. The ids grow with the corpus:
-    # they are merged with the texts at every size, and not broadcast.
-    active = units.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("u", "i", "j", "own")).alias("units"))
-    sets = rows.join(active.hint("merge"), "doc_id").mapInArrow(whole_sets, "u bigint, i int, j int, own int, doc bigint, s binary")
-
     def compare(pdf):
+        """Stars: documents (own = 0) with their partners (1). Blocks: members (1) with each other and with the first document (0). The
+        rest of a list (own = 0) with a block (1): i >= 0 and j >= 0 tell its part and the block."""
         import pandas as pd
 
         pdf = pdf.drop_duplicates(["u", "i", "j", "own", "doc", "s"]).sort_values(["u", "own", "doc"], kind="stable")
         docs_, values, own, u = pdf["doc"].tolist(), [np.frombuffer(s, K.U) for s in pdf["s"]], pdf["own"].to_numpy(), pdf["u"].to_numpy()
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         kept: list[tuple[int, int]] = []
-        if i < 0:  # many documents, each with its partners
+        if int(pdf["i"].iloc[0]) < 0:  # many documents, each with its partners
             ends = np.flatnonzero(np.append(u[1:] != u[:-1], True)) + 1
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 heads = a + np.flatnonzero(own[a:b] == 0)
                 index = Lists([values[k] for k in range(a + len(heads), b)])
                 kept += [(int(k), int(a + len(heads) + x)) for k in heads for x in index.search(values[k], num, den)]
         else:
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            right = np.flatnonzero(own == 1)
             index = Lists([values[k] for k in right])
+            left = np.flatnonzero(own == 0) if bool(pdf["rest"].iloc[0]) else range(len(docs_))
             kept = forest(len(docs_), [(int(k), int(right[x])) for k in left for x in index.search(values[k], num, den)])
         return pd.DataFrame({"a": [docs_[x] for x, _ in kept], "b": [docs_[y] for _, y in kept]}, dtype="int64")
 
-    # stars share a group, as a group costs more than a star; a block pair is one by itself
+    # stars share a group, as a group costs more than a star; a block is one by itself
     many = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = F.when(F.col("i") < 0, F.pmod(F.xxhash64("u"), F.lit(many))).otherwise(F.col("u"))
-    links = sets.groupBy(group.alias("g"), "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+    def compared(units: DataFrame, rest: bool) -> DataFrame:
+        # The texts of the documents in question move once, and their sets go straight to the units. The ids grow with the corpus:
+        # they are merged with the texts at every size, and not broadcast.
+        active = units.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("u", "i", "j", "own")).alias("units"))
+        sets = rows.join(active.hint("merge"), "doc_id").mapInArrow(whole_sets, "u bigint, i int, j int, own int, doc bigint, s binary")
+        return sets.withColumn("rest", F.lit(rest)).groupBy(group.alias("g"), "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+    links = keep(compared(units, False), "links")
+    drop(units)
+    several = placed.filter("blocks > 1")
+    if not several.isEmpty():
+        joined_so_far = keep(connected_components(links), "parts")
+        of_doc = joined_so_far.select(F.col("id").alias("doc"), F.col("component").alias("c"))
+        of_head = joined_so_far.select(F.col("id").alias("head"), F.col("component").alias("h"))
+        heads = several.select("list", "head").distinct().join(of_head, "head", "left").select("list", F.coalesce("h", "head").alias("h"))
+        apart = salted_join(several.join(of_doc, "doc", "left"), heads, "list", "doc").filter(F.coalesce("c", "doc") != F.col("h"))
+        apart = keep(apart.select("list", "doc", "blocks"), "apart")
+        parts = apart.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+        left = salted_join(apart, parts, "list", "doc").select(F.col("list").alias("u"), F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "doc", F.lit(0).alias("own"))
+        right = salted_join(several, parts, "list", "doc").select(F.col("list").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"), "doc", F.lit(1).alias("own"))
+        rest = keep(left.unionByName(right), "rest")
+        links = links.unionByName(keep(compared(rest, True), "links"))
+        drop(rest, apart, joined_so_far)
+    drop(members, of, placed)
 
     # Nodes are classes of equal sets, by their smallest doc_id; empty sets are in none.
     classes = every.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))

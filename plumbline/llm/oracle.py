@@ -67,9 +67,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 
 _OP8 = r"""
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-bytes AS (SELECT doc_id, i, substr(h, 2 * i - 1, 2) AS byte, CASE WHEN 2 * (i + 99) <= length(h) THEN md5(substr(h, 2 * i - 1, 200)) END AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM texts)),
-firsts AS (SELECT s, min((doc_id, i)) AS first FROM bytes WHERE s IS NOT NULL GROUP BY s),
-repeats AS (SELECT doc_id, i, byte, coalesce((doc_id, i) <> first, false)::INT AS again FROM bytes LEFT JOIN firsts USING (s)),
+pieces AS (SELECT doc_id, length(h) // 2 AS n, base, substr(h, 2 * base + 1, 2 * 599) AS p FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 500)) AS base FROM texts)),
+bytes AS (
+  SELECT doc_id, base + k AS i, substr(p, 2 * k - 1, 2) AS byte, CASE WHEN base + k + 99 <= n THEN hash(substr(p, 2 * k - 1, 200)) END AS s
+  FROM (SELECT doc_id, n, base, p, unnest(range(1, least(501, n - base + 1))) AS k FROM pieces)),
+firsts AS (SELECT s, min(doc_id * 1000000000 + i) AS first FROM bytes WHERE s IS NOT NULL GROUP BY s),
+repeats AS (SELECT doc_id, i, byte, coalesce(doc_id * 1000000000 + i <> first, false)::INT AS again FROM bytes LEFT JOIN firsts USING (s)),
 judged AS (SELECT doc_id, i, byte, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM repeats),
 runs AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS begins FROM judged),
 kept AS (SELECT doc_id, sum(gone) AS n, count(*) FILTER (begins) AS spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (gone = 0), '') AS h FROM runs GROUP BY doc_id)

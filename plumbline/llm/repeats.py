@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import identified
+from .shared import identified, salted_join
 
 LOW = K.U(0xFFFFFFFF)
 
@@ -148,7 +148,7 @@ def removed_windows(docs: DataFrame, window: int, gram: int, by_words: bool, jud
 
     digests = rows.filter(F.octet_length("text") >= window).select("doc_id", "tk", F.unhex(F.md5(F.col("text").cast("binary"))).alias("m"))
     firsts = digests.groupBy("m").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = digests.join(firsts, "m").filter("doc_id > first").select("doc_id", F.lit(None).cast("int").alias("place"), "tk")
+    copies = salted_join(digests, firsts, "m", "doc_id").filter("doc_id > first").select("doc_id", F.lit(None).cast("int").alias("place"), "tk")
     gathered = places.withColumn("tk", F.lit(None).cast("bigint")).unionByName(copies).groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_set("tk").alias("copies"))
     found = rows.join(gathered, "doc_id").withColumn("copy", F.array_contains("copies", F.col("tk")))
 
