@@ -10,17 +10,19 @@ from ..functions.rules import first_match, has
 # Phrases of sheet titles.
 SITE = ["SITE PLAN", "LANDSCAPE PLAN", "GRADING PLAN", "UTILITY PLAN", "PAVING PLAN", "DRAINAGE PLAN", "EROSION CONTROL", "LIMIT OF WORK", "PLANTING PLAN", "CIVIL SITE"]
 WALLS = ["SIDING", "BRICK", "MASON", "EIFS", "STUCCO", "METAL PANEL", "MTL PANEL", "FIBER CEMENT", "HARDIE", "NICHIHA", "CMU", "VENEER", "CURTAIN WALL", "STOREFRONT", "SPANDREL", "CLADDING", "WALL TYPE", "MATERIAL LEGEND", "MATERIAL SCHEDULE", "ALUCOBOND", "CLAPBOARD", "SHINGLE", "SHAKE", "PRECAST"]
-VIEWS_3D = ["AXONOMETRIC", "ISOMETRIC", "PERSPECTIVE", "3D VIEW", "3-D VIEW", "AERIAL VIEW", "BIRD'S EYE", "BIRDS EYE", "BIRD'S-EYE", "EYE VIEW", "RENDERING", "RENDERED VIEW", "PHOTOREALISTIC", "MASSING"]
+VIEWS_3D = ["AXONOMETRIC", "AXONOMETRICS", "ISOMETRIC", "PERSPECTIVE", "3D VIEW", "3-D VIEW", "3D MASSING", "MASSING MODEL", "MASSING DIAGRAM", "MASSING STUDY", "AERIAL VIEW", "AERIAL PERSPECTIVE", "BIRD'S EYE", "BIRDS EYE", "BIRD'S-EYE", "EYE VIEW", "RENDERING", "RENDERINGS", "RENDERED VIEW", "EXTERIOR RENDERING", "3D RENDERING", "PHOTOREALISTIC", "MASSING"]
 ELEVATION_TITLE = r"\b(north|south|east|west|front|rear|left|right|side|partial|overall|exterior|building)\s+[\w\s]{0,18}elevation"
 ELEVATION_TITLE_3D = r"\b(north|south|east|west|front|rear|left|right|side|partial|overall|exterior|building|typ(?:ical)?)\s+[\w\s]{0,18}elevation"
 PLAN_TITLE = r"\b((FIRST|SECOND|THIRD|GROUND|\d+(ST|ND|RD|TH))\s+)?(FLOOR|ROOF)\s+PLAN\b"
+PLANS, ELEVATIONS = ["roof plan", "floor plan"], ["elevation", "return", "soffit"]
+NOT_A_TITLE, SERIES_400 = r"\b(SEE|REFER|PER|FOR|TYP)\b|\bINTERIOR\b", r"^A-?4(\d|\.)"
 
 
 def elevation_page(text: Column, levels: Column, long_lines: Column, by_ocr: Column | None = None) -> Column:
     """an elevation title; else not a plan; else the words; else a bare page with levels and long lines; else the OCR's word."""
     t = F.lower(F.coalesce(text, F.lit("")))
     ocr = F.coalesce(by_ocr, F.lit(False)) if by_ocr is not None else F.lit(False)
-    return first_match([(t.rlike(ELEVATION_TITLE), True), (has(t, "roof plan", "floor plan"), ocr), (has(t, "elevation", "return", "soffit"), True), ((F.length(t) < 60) & (levels >= 3) & (long_lines >= 3), True)], ocr)
+    return first_match([(t.rlike(ELEVATION_TITLE), True), (has(t, *PLANS), ocr), (has(t, *ELEVATIONS), True), ((F.length(t) < 60) & (levels >= 3) & (long_lines >= 3), True)], ocr)
 
 
 def site_sheet(text: Column) -> Column:
@@ -65,8 +67,7 @@ def admission(title: Column, sheet: Column) -> Column:
     """struct<admit, reason>."""
     pair = lambda a, r: F.struct(F.lit(a).alias("admit"), F.lit(r).alias("reason"))
     u = F.upper(F.coalesce(title, F.lit("")))
-    note = u.rlike(r"\b(SEE|REFER|PER|FOR|TYP)\b") | u.rlike(r"\bINTERIOR\b")
-    return first_match([(has(u, "ELEVATION") & ~note, pair(True, "title")), (F.coalesce(sheet, F.lit("")).rlike(r"^A-?4(\d|\.)"), pair(True, "series"))], pair(False, "none"))
+    return first_match([(has(u, "ELEVATION") & ~u.rlike(NOT_A_TITLE), pair(True, "title")), (F.coalesce(sheet, F.lit("")).rlike(SERIES_400), pair(True, "series"))], pair(False, "none"))
 
 
 def in_title_block(x: Column, y: Column, width: Column, height: Column) -> Column:
