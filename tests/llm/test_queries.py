@@ -247,3 +247,17 @@ def test_suffix_match_lengths():
         common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), depth)
         for block in (7, 1 << 15):
             assert own.longest(matrix, block).tolist() == [max(common(a, b) for b in set(keys)) for a in asked]
+
+
+def test_line_dedup_of_extreme_ids_and_repeats(spark):
+    """Ids at both ends, a line that repeats within the first document that has it, and one that all documents share."""
+    from plumbline.llm import line_dedup as L
+
+    rnd = random.Random(11)
+    common, ids = "a line that all of the documents share word for word here", [-(2**63), -5, -1, 0, 7, 2**40, 2**63 - 1]
+    rows = []
+    for d in ids:
+        own = [" ".join(f"w{rnd.randrange(400)}" for _ in range(12)) for _ in range(4)]
+        rows.append((d, "\n".join([own[0], common, own[1], "", common.upper(), own[0] + " tail", own[2], "tiny", own[3], "\t" + common.replace(" ", "  ") + "\x0b"])))
+    out = L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in out.collect()) == sorted(L.brute_force(rows))
