@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import colours, overrides, reconcile, review, rollup, vectors
+from ..operators import colours, openings, overrides, reconcile, review, rollup, vectors
 from .names import _T, ANSWERS, name_column, sql_text
 from .registry import register, table
 from .shapes import BOX_SQL, boxes
@@ -218,3 +218,33 @@ def sheet_pages(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     out = reconcile.sheet_pages(rows.filter("l_linenumber = 1").select("l_partkey", F.col("l_returnflag").alias("kind")), rows, "l_partkey", "kind", "l_suppkey")
     return out.select("kind", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+@register("fill_regions", f"WITH b AS (SELECT id, (x1 - x0) * (y1 - y0) AS a, id % 3 AS k FROM ({BOX_SQL})) SELECT id, a::DOUBLE AS area_pt2, 4 AS corners FROM b WHERE a >= 0.0012 * 500000 AND id % 4 <> 0")
+def fill_regions(spark, sf_dir):
+    """Outlines with a point beside a corner, outlines that run back on themselves, and every fourth too dark."""
+    b, k = boxes(spark, sf_dir), F.col("id")
+    at = lambda x, y, d=0.0: F.struct((F.col(f"box.{x}") + d).alias("x"), F.col(f"box.{y}").alias("y"))
+    plain = [at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1")]
+    points = F.when(k % 3 == 0, F.array(*plain)).when(k % 3 == 1, F.array(plain[0], at("x0", "y0", 0.25), *plain[1:])).otherwise(F.array(plain[0], plain[2], at("x1", "y1", -1.0), plain[0]))
+    fill = F.when(k % 4 == 0, F.array(F.lit(0.5), F.lit(0.5), F.lit(0.5))).otherwise(F.array(F.lit(0.9), F.lit(0.91), F.lit(0.9)))
+    out = openings.fill_regions(b.select("id", "box", fill.alias("fill"), points.alias("points")), "fill", "box", "points", F.lit(500000.0))
+    return out.select("id", "area_pt2", F.size("points").alias("corners"))
+
+
+@register("gap_openings", "SELECT p_partkey AS page, 0 AS position, 100::DOUBLE AS x0, 102::DOUBLE AS y0, 180::DOUBLE AS x1, (106 + 8 * (p_size % 20))::DOUBLE AS y1 FROM part WHERE p_size % 20 >= 4 AND p_partkey % 3 <> 0 AND p_partkey % 7 <> 0")
+def gap_openings(spark, sf_dir):
+    """A wall for each part with courses every 8 points that stop at a door of as many rows as its size tells; every third lacks a jamb,
+    the door of every seventh is known."""
+    d = lambda c: c.cast("double").alias
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), (F.col("p_size") % 20).alias("m"))
+    at = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(600.0).alias("y1"))
+    pieces = part.select("page", F.lit(1).alias("id"), F.array(at(0, 0), at(600, 0), at(600, 600), at(0, 600)).alias("points"), box.alias("box"))
+    rows = part.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(74))))
+    door = F.col("k").between(13, F.col("m") + 13)
+    ends = F.when(door, F.array(F.struct(F.lit(2.0).alias("lo"), F.lit(100.0).alias("hi")), F.struct(F.lit(180.0).alias("lo"), F.lit(598.0).alias("hi")))).otherwise(F.array(F.struct(F.lit(2.0).alias("lo"), F.lit(598.0).alias("hi"))))
+    courses = rows.withColumn("e", F.explode(ends)).select("page", F.col("k").alias("seq"), F.lit("h").alias("axis"), d(F.col("k") * 8)("c"), "e.lo", "e.hi")
+    jamb = part.withColumn("c", F.explode(F.when(F.col("page") % 3 == 0, F.array(F.lit(101.0))).otherwise(F.array(F.lit(101.0), F.lit(179.0))))).select("page", F.lit(100).alias("seq"), F.lit("v").alias("axis"), "c", F.lit(96.0).alias("lo"), F.lit(280.0).alias("hi"))
+    known = part.filter("page % 7 = 0").select("page", F.lit(1).alias("id"), F.lit(100.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(180.0).alias("x1"), F.lit(280.0).alias("y1"))
+    return openings.gap_openings(pieces, courses.unionByName(jamb), known, ["page"], 0.1).drop("id")

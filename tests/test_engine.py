@@ -427,3 +427,45 @@ def test_opening_schedule_resolves_headers(spark):
     rows = spark.createDataFrame([(t, k, r) for t, rs in tables_.items() for k, r in enumerate(rs)], "t string, row int, cells array<string>")
     got = {(r["t"], r["door"], r["mark"], r["width_ft"], r["height_ft"], r["qty"], r["area_sf"]) for r in schedules.opening_schedule(rows, ["t"]).collect()}
     assert got == {("w", False, "A", 4.0, 6.5, 2, 52.0), ("w", False, "B", 4.0, 3.0, 1, 12.0), ("d", True, "D1", 3.0, 7.0, 1, 21.0)}
+
+
+def test_openings_where_the_pattern_stops(spark):
+    """Courses every 8 points with a door and a window left out; only the door has lines along both its edges."""
+    from plumbline.operators import openings
+
+    square = [(0.0, 0.0), (600.0, 0.0), (600.0, 400.0), (0.0, 400.0)]
+    door, window, short = (100.0, 100.0, 180.0, 240.0), (300.0, 100.0, 380.0, 240.0), (450.0, 100.0, 520.0, 124.0)
+    hairs = []
+    for y in range(8, 400, 8):
+        edges = sorted((b[0], b[2]) for b in (door, window, short) if b[1] <= y <= b[3])
+        at = 2.0
+        for a, z in edges:
+            hairs.append(("h", float(y), at, a))
+            at = z
+        hairs.append(("h", float(y), at, 598.0))
+    hairs += [("v", 101.0, 90.0, 245.0), ("v", 179.0, 100.0, 200.0), ("v", 301.0, 100.0, 240.0), ("v", 450.0, 0.0, 400.0), ("v", 520.0, 0.0, 400.0)]
+    lines = spark.createDataFrame([(1, n, *h) for n, h in enumerate(hairs)], "page int, seq int, axis string, c double, lo double, hi double")
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    piece = spark.createDataFrame([(1, 7, square, (0.0, 0.0, 600.0, 400.0)), (1, 8, [(900.0, 0.0), (950.0, 0.0), (950.0, 50.0)], (900.0, 0.0, 950.0, 50.0))], f"page int, id int, points array<struct<x:double,y:double>>, box {box}")
+    none = spark.createDataFrame([], "page int, id int, x0 double, y0 double, x1 double, y1 double")
+    rows = [round(y / 4) for y in range(104, 241, 8)]
+    want = [(1, 7, 0, 100.0, min(rows) * 4 - 2.0, 180.0, max(rows) * 4 + 2.0)]
+    assert [tuple(r) for r in openings.gap_openings(piece, lines, none, ["page"], 0.1).collect()] == want
+    known = spark.createDataFrame([(1, 7, 100.0, 100.0, 180.0, 200.0)], none.schema)
+    assert openings.gap_openings(piece, lines, known, ["page"], 0.1).count() == 0
+    assert openings.gap_openings(piece, lines, none, ["page"], 1.0).count() == 0  # 80 feet wide
+    turned = lines.withColumn("axis", F.when(F.col("axis") == "h", "v").otherwise("h"))
+    flat = spark.createDataFrame([(1, 7, [(y, x) for x, y in square], (0.0, 0.0, 400.0, 600.0))], piece.schema)
+    assert [tuple(r)[3:] for r in openings.gap_openings(flat, turned, none, ["page"], 0.1).collect()] == [(want[0][4], 100.0, want[0][6], 180.0)]
+
+
+def test_fill_regions(spark):
+    from plumbline.operators import openings
+
+    light, dark, box = [0.9, 0.9, 0.91], [0.5, 0.5, 0.5], (0.0, 0.0, 40.0, 30.0)
+    square = [(0.0, 0.0), (0.2, 0.3), (40.0, 0.0), (40.0, 30.0), (39.8, 30.2), (0.0, 30.0)]
+    rows = [(1, light, box, square), (2, dark, box, square), (3, light, box, [(0.0, 0.0), (40.0, 30.0), (40.0, 29.0), (0.0, 0.0)]), (4, light, (0.0, 0.0, 4.0, 3.0), square), (5, light, box, [(0.0, 0.0), (0.1, 0.1), (40.0, 0.0)])]
+    t = spark.createDataFrame(rows, "id int, fill array<double>, box struct<x0:double,y0:double,x1:double,y1:double>, points array<struct<x:double,y:double>>")
+    got = {r["id"]: (r["area_pt2"], [tuple(p) for p in r["points"]]) for r in openings.fill_regions(t, "fill", "box", "points", F.lit(500000.0)).collect()}
+    corners = [(0.0, 0.0), (40.0, 0.0), (40.0, 30.0), (0.0, 30.0)]
+    assert got == {1: (1200.0, corners), 3: (1200.0, corners)}
