@@ -248,3 +248,16 @@ def gap_openings(spark, sf_dir):
     jamb = part.withColumn("c", F.explode(F.when(F.col("page") % 3 == 0, F.array(F.lit(101.0))).otherwise(F.array(F.lit(101.0), F.lit(179.0))))).select("page", F.lit(100).alias("seq"), F.lit("v").alias("axis"), "c", F.lit(96.0).alias("lo"), F.lit(280.0).alias("hi"))
     known = part.filter("page % 7 = 0").select("page", F.lit(1).alias("id"), F.lit(100.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(180.0).alias("x1"), F.lit(280.0).alias("y1"))
     return openings.gap_openings(pieces, courses.unionByName(jamb), known, ["page"], 0.1).drop("id")
+
+
+@register("framed_openings", "SELECT p_partkey AS page, 0 AS position, 100::DOUBLE AS x0, 100::DOUBLE AS y0, (112 + p_size)::DOUBLE AS x1, 150::DOUBLE AS y1 FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+def framed_openings(spark, sf_dir):
+    """A wall for each part with a window: every second has a nested frame, every third two mullions and others one."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.col("p_size").cast("double").alias("n"))
+    at = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    box = lambda *v: F.struct(*[(F.lit(float(c)) if isinstance(c, int) else c).alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), v, strict=True)])
+    walls = part.select("page", F.lit(1).alias("id"), F.array(at(0, 0), at(600, 0), at(600, 600), at(0, 600)).alias("points"), box(0, 0, 600, 600).alias("box"))
+    window = part.select("page", F.lit(1).alias("id"), box(100, 100, 112 + F.col("n"), 150).alias("box"))
+    frame = part.filter("page % 2 = 0").select("page", F.lit(2).alias("id"), box(100, 100, 112 + F.col("n"), 149).alias("box"))
+    line = lambda x: part.select("page", F.lit(x).alias("x1"), F.lit(105.0).alias("y1"), F.lit(x).alias("x2"), F.lit(145.0).alias("y2"))
+    return openings.framed_openings(walls, window.unionByName(frame), line(105.0).unionByName(line(107.0).filter("page % 3 = 0")), ["page"], 0.1).drop("wall")

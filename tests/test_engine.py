@@ -469,3 +469,26 @@ def test_fill_regions(spark):
     got = {r["id"]: (r["area_pt2"], [tuple(p) for p in r["points"]]) for r in openings.fill_regions(t, "fill", "box", "points", F.lit(500000.0)).collect()}
     corners = [(0.0, 0.0), (40.0, 0.0), (40.0, 30.0), (0.0, 30.0)]
     assert got == {1: (1200.0, corners), 3: (1200.0, corners)}
+
+
+def test_framed_openings(spark):
+    from plumbline.operators import openings
+
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    wall = spark.createDataFrame([(1, 5, [(0.0, 0.0), (300.0, 0.0), (300.0, 200.0), (0.0, 200.0)], (0.0, 0.0, 300.0, 200.0))], f"page int, id int, points array<struct<x:double,y:double>>, box {box}")
+    rects = {
+        1: (10, 10, 60, 60), 2: (13, 13, 57, 57), 3: (14, 14, 30, 30),  # a frame, and two within it: nothing by themselves
+        4: (100, 10, 150, 60), 5: (200, 10, 250, 60), 6: (0, 100, 290, 130),  # two lines inside, one line, a band across
+        7: (280, 100, 320, 140), 8: (100, 100, 105, 140), 9: (100, 120, 220, 200), 10: (102, 122, 218, 198), 11: (10, 120, 90, 195), 12: (12, 122, 88, 193),  # outside, too narrow, two large ones
+    }
+    r = spark.createDataFrame([(1, k, tuple(map(float, v))) for k, v in rects.items()], f"page int, id int, box {box}")
+    s = spark.createDataFrame([(1, 125.0, 15.0, 125.0, 55.0), (1, 110.0, 30.0, 140.0, 30.0), (1, 110.0, 40.0, 112.0, 40.0), (1, 225.0, 15.0, 225.0, 55.0)], "page int, x1 double, y1 double, x2 double, y2 double")
+    got = [tuple(x)[2:] for x in openings.framed_openings(wall, r, s, ["page"], 0.1).orderBy("position").collect()]
+    # 9600 + 6000 + 2500 + 2500 of at most 24000
+    assert got == [(0, 100.0, 120.0, 220.0, 200.0), (1, 10.0, 120.0, 90.0, 195.0), (2, 10.0, 10.0, 60.0, 60.0), (3, 100.0, 10.0, 150.0, 60.0)]
+    low = wall.withColumn("points", F.expr("transform(points, p -> struct(p.x as x, p.y * 0.999 as y))"))
+    tight = rects | {13: (230, 65, 299, 199), 14: (232, 67, 297, 197)}
+    r = spark.createDataFrame([(1, k, tuple(map(float, v))) for k, v in tight.items()], f"page int, id int, box {box}")
+    got = [tuple(x)[3:] for x in openings.framed_openings(low, r, s, ["page"], 0.1).orderBy("position").collect()]
+    # 9600 + 9246 leave 5130: the third is passed over, two small ones fit
+    assert got == [(100.0, 120.0, 220.0, 200.0), (230.0, 65.0, 299.0, 199.0), (10.0, 10.0, 60.0, 60.0), (100.0, 10.0, 150.0, 60.0)]
