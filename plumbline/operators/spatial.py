@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cover, inside
+from ..functions.geometry import cover, distance, inside
 
 
 def cell(v: Column, size: float) -> Column:
@@ -107,3 +107,32 @@ def strip_integral(rows: DataFrame, key: str, c: str, h: str) -> DataFrame:
     left, right = F.col(c) - F.lag(c).over(w), F.lead(c).over(w) - F.col(c)
     width = (F.coalesce(left, F.lit(0.0)) + F.coalesce(right, F.lit(0.0))) / 2
     return cols.withColumn("__a", width * F.col("__h")).groupBy(key).agg(F.sum("__a").alias("area"))
+
+
+def snapped_vertices(vertices: DataFrame, corners: DataFrame, lines: DataFrame, keys: list[str], id_col: str, reach: float) -> DataFrame:
+    """Vertices (id, x, y) moved to the nearest corner (x, y) less than `reach` away, ties by the corner; without one, x to the nearest
+    upright line and y to the nearest level one (axis, c) less than `reach` away, whatever its ends. Adds snapped: corner, line or none."""
+    near = nearest(vertices.select(*keys, id_col, "x", "y"), corners.select(*keys, F.col("x").alias("__cx_"), F.col("y").alias("__cy_"), F.struct("x", "y").alias("__t")), keys, ("x", "y"), ("__cx_", "__cy_"), reach, id_col, "__t")
+    near = near.withColumn("__on", F.coalesce(F.col("distance") < reach, F.lit(False)))
+
+    def to_line(axis: str, v: str, into: str) -> DataFrame:
+        c = lines.filter(F.col("axis") == axis).select(*keys, F.col("c").alias("__c")).distinct()
+        band = F.floor(F.col("__c") / reach).cast("bigint")
+        own = near.filter(~F.col("__on")).select(*keys, id_col, v, F.explode(F.array(*[F.floor(F.col(v) / reach).cast("bigint") + k for k in (-1, 0, 1)])).alias("__b"))
+        d = F.abs(F.col("__c") - F.col(v))
+        return own.join(c.withColumn("__b", band), [*keys, "__b"]).filter(d < reach).groupBy(*keys, id_col).agg(F.min_by("__c", F.struct(d, F.col("__c"))).alias(into))
+
+    out = near.join(to_line("v", "x", "__vx"), [*keys, id_col], "left").join(to_line("h", "y", "__hy"), [*keys, id_col], "left")
+    x = F.when(F.col("__on"), F.col("__cx_")).otherwise(F.coalesce("__vx", "x"))
+    y = F.when(F.col("__on"), F.col("__cy_")).otherwise(F.coalesce("__hy", "y"))
+    how = F.when(F.col("__on"), "corner").when(F.col("__vx").isNotNull() | F.col("__hy").isNotNull(), "line").otherwise("none")
+    return out.select(*keys, id_col, x.alias("x"), y.alias("y"), how.alias("snapped"))
+
+
+def nearest_region(points: DataFrame, regions: DataFrame, keys: list[str], reach: float, id_col: str, region: str, size: float = 200.0) -> DataFrame:
+    """(keys, id, region, distance): for each point (x, y) the polygon (points, box) nearest to it within reach, 0 inside, ties by the
+    region; points without one are left out."""
+    p = points.withColumn("__p", F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1")))
+    pairs = box_join(p, regions.select(*keys, region, "points", "box"), keys, "__p", "box", max(size, reach), reach)
+    far = pairs.withColumn("distance", distance(F.col("x"), F.col("y"), F.col("points"))).filter(F.col("distance") <= reach)
+    return far.groupBy(*keys, id_col).agg(F.min(F.struct("distance", F.col(region))).alias("__r")).select(*keys, id_col, F.col(f"__r.{region}").alias(region), F.col("__r.distance").alias("distance"))

@@ -256,3 +256,33 @@ def pattern_signatures(spark, sf_dir):
     """G8."""
     lines = table(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_size") % 3 == 0, "h").otherwise("v").alias("axis"), (F.col("p_partkey") * 37 % 2000).alias("c")).distinct()
     return graph.signature(lines, ["p_brand"])
+
+
+_SNAP = """
+    WITH v AS (SELECT p_partkey AS id, p_brand AS page, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y FROM part), c AS (SELECT DISTINCT p_brand AS page, p_partkey * 53 % 1000 AS cx, p_partkey * 29 % 1000 AS cy FROM part WHERE p_partkey % 2 = 0),
+         u AS (SELECT DISTINCT p_brand AS page, p_partkey * 71 % 1000 AS c FROM part WHERE p_partkey % 6 = 1), h AS (SELECT DISTINCT p_brand AS page, p_partkey * 43 % 1000 AS c FROM part WHERE p_partkey % 6 = 5),
+         n AS (SELECT v.page, id, arg_min((cx, cy), ((x - cx) * (x - cx) + (y - cy) * (y - cy), cx, cy)) AS t FROM v JOIN c ON c.page = v.page AND (x - cx) * (x - cx) + (y - cy) * (y - cy) < 900 GROUP BY 1, 2),
+         a AS (SELECT v.page, id, arg_min(c, (abs(x - c), c)) AS t FROM v JOIN u ON u.page = v.page AND abs(x - c) < 30 GROUP BY 1, 2), b AS (SELECT v.page, id, arg_min(c, (abs(y - c), c)) AS t FROM v JOIN h ON h.page = v.page AND abs(y - c) < 30 GROUP BY 1, 2)
+    SELECT v.page, v.id, CASE WHEN n.t IS NOT NULL THEN n.t[1] ELSE coalesce(a.t, x) END::DOUBLE AS x, CASE WHEN n.t IS NOT NULL THEN n.t[2] ELSE coalesce(b.t, y) END::DOUBLE AS y,
+           CASE WHEN n.t IS NOT NULL THEN 'corner' WHEN a.t IS NOT NULL OR b.t IS NOT NULL THEN 'line' ELSE 'none' END AS snapped
+    FROM v LEFT JOIN n ON n.page = v.page AND n.id = v.id LEFT JOIN a ON a.page = v.page AND a.id = v.id LEFT JOIN b ON b.page = v.page AND b.id = v.id"""
+
+
+@register("snapped_vertices", _SNAP)
+def snapped_vertices(spark, sf_dir):
+    """J30."""
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part").withColumnRenamed("p_brand", "page")
+    at = lambda m: (k * m % 1000).cast("double")
+    corners = part.filter(k % 2 == 0).select("page", at(53).alias("x"), at(29).alias("y")).distinct()
+    lines = part.filter(k % 6 == 1).select("page", F.lit("v").alias("axis"), at(71).alias("c")).unionByName(part.filter(k % 6 == 5).select("page", F.lit("h").alias("axis"), at(43).alias("c")))
+    return spatial.snapped_vertices(part.select(k.alias("id"), "page", at(37).alias("x"), at(91).alias("y")), corners, lines, ["page"], "id", 30.0)
+
+
+@register("tagged_regions", f"WITH b AS ({BOX_SQL}), p AS (SELECT p_partkey AS tag, p_brand AS page, p_partkey * 53 % 1000 AS x, p_partkey * 29 % 1000 AS y FROM part), d AS (SELECT p.page, tag, id, sqrt(pow(greatest(x0 - x, x - x1, 0), 2) + pow(greatest(y0 - y, y - y1, 0), 2)) AS d FROM p JOIN b USING (page)) SELECT page, tag, arg_min(id, (round(d, 6), id)) AS id, round(min(d), 6) AS distance FROM d WHERE d <= 60 GROUP BY 1, 2")
+def tagged_regions(spark, sf_dir):
+    """Rectangles, so that the distance has a closed form."""
+    k = F.col("p_partkey")
+    pt = lambda x, y: F.struct(F.col(f"box.{x}").alias("x"), F.col(f"box.{y}").alias("y"))
+    faces = boxes(spark, sf_dir).select("page", "id", "box", F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y1")).alias("points"))
+    tags = table(spark, sf_dir, "part").select(k.alias("tag"), F.col("p_brand").alias("page"), (k * 53 % 1000).cast("double").alias("x"), (k * 29 % 1000).cast("double").alias("y"))
+    return spatial.nearest_region(tags, faces, ["page"], 60.0, "tag", "id").withColumn("distance", F.round("distance", 6))
