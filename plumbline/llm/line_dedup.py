@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import drop, fresh, keep, quoted
+from .shared import drop, fresh, keep, quoted, salted_join
 
 #: Cells of the shingle counts; the table of their ranks is a literal of the plan.
 CELLS = 1 << 16
@@ -191,7 +191,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drop(light)
 
     heads = classes.filter("c > 1").select("x", "x2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    copies = lines.join(heads, ["x", "x2"]).filter("doc_id <> d or line_no <> l").select("doc_id", "line_no")
+    copies = salted_join(lines, heads, ["x", "x2"], "doc_id", 16).filter("doc_id <> d or line_no <> l").select("doc_id", "line_no")
     # one row a document
     gone = keep(near.unionByName(more).unionByName(copies).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
     drop(lines, classes, near, more)

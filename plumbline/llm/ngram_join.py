@@ -355,8 +355,8 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     drop(members, of, placed)
 
     # Nodes are classes of equal sets, by their smallest doc_id; empty sets are in none.
-    classes = every.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
-    member = every.filter("n > 0").join(classes, ["k1", "k2", "n"]).select("doc", "rep")
+    classes = every.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    member = salted_join(every.filter("n > 0"), classes, ["k1", "k2", "n"], "doc", 8).select("doc", "rep")
     # a document that stands for its set in a task is linked to its class, and so are repeated ids
     edges = links.unionByName(member.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
     parts = connected_components(edges)

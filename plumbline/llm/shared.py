@@ -72,11 +72,12 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.filter(F.col(f"`{id_col}`").isNotNull()).select(*cols, *[F.col(f"`{c}`") for c in more])
 
 
-def salted_join(rows: DataFrame, small: DataFrame, key: str, salt_on: str, salts: int = 32) -> DataFrame:
+def salted_join(rows: DataFrame, small: DataFrame, key: str | list[str], salt_on: str, salts: int = 32) -> DataFrame:
     """rows joined with a table of one row a key; a key's rows are dealt to several tasks by the column salt_on."""
+    keys = [key] if isinstance(key, str) else key
     salt = fresh([*rows.columns, *small.columns], "salt")[0]
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn(salt, F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int")).join(copies, [key, salt]).drop(salt)
+    return rows.withColumn(salt, F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int")).join(copies, [*keys, salt]).drop(salt)
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
