@@ -386,9 +386,11 @@ def test_stream_without_its_last_version_fails(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         run = lambda: stream.learn_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], ["ts"], str(tmp_path / "table"), str(tmp_path / "state"))
         run().awaitTermination()
-        assert sorted(p.name for p in (tmp_path / "table").iterdir()) == [f"__version={k}" for k in range(max(0, n - 1), n + 1)]
+        assert sorted(p.name for p in (tmp_path / "table" / "manifest").iterdir()) == [f"version={k}" for k in range(max(0, n - 1), n + 1)]
+    buckets = sorted(p.name for v in (tmp_path / "table" / "rows").iterdir() for p in v.iterdir() if p.is_dir())
+    assert len(buckets) == 3  # a of the second batch, b of the first, c of the third
     assert sorted((r["k"], r["v"], r["hits"]) for r in stream.newest(spark, str(tmp_path / "table")).collect()) == [("a", 2, 2), ("b", 1, 1), ("c", 3, 1)]
-    shutil.rmtree(tmp_path / "table" / "__version=2")
+    shutil.rmtree(tmp_path / "table" / "manifest" / "version=2")
     spark.createDataFrame([("d", 4, 4)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         run().awaitTermination()
