@@ -98,9 +98,21 @@ def union_area(spark, sf_dir):
     return measure.union_area(b.select("page", F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y1")).alias("points")), ["page"], "points", 1.0)
 
 
-@register("auto_trim")
+@register(
+    "auto_trim",
+    f"""
+    WITH f AS (SELECT page, id, x0, y0, x1, y1, x1 - x0 AS w, y1 - y0 AS h, id % 5 = 0 AS gable, y1 + CASE WHEN id % 5 = 0 THEN (x1 - x0) / 2.0 ELSE 0 END AS top FROM ({BOX_SQL})),
+         e AS (SELECT page, id, x0 AS xc, y0 AS lo, y1 AS hi FROM f UNION ALL SELECT page, id, x1, y0, y1 FROM f),
+         m AS (SELECT e.page, e.id, xc, lo, hi, bool_or(o.x0 < xc - 4) AND bool_or(o.x1 > xc + 4) AS inner_ FROM e JOIN f o ON o.page = e.page AND least(hi, top) - greatest(lo, o.y0) >= 0.3 * (hi - lo) GROUP BY ALL),
+         i AS (SELECT page, 'corner' AS kind, CAST(round_even(xc / 6.0, 0) AS INTEGER) AS k, lo AS a, hi AS b FROM m WHERE NOT inner_ UNION ALL SELECT page, 'base_top', 0, x0, x1 FROM f),
+         s AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY page, kind, k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM i),
+         g AS (SELECT *, sum(n) OVER (PARTITION BY page, kind, k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isle FROM s),
+         u AS (SELECT page, kind, max(b) - min(a) AS l FROM g GROUP BY page, kind, k, isle),
+         t AS (SELECT page, kind, sum(l) * CASE WHEN kind = 'base_top' THEN 2 ELSE 1 END AS pt FROM u GROUP BY 1, 2 UNION ALL SELECT page, 'rake', sum(w * sqrt(2)) FROM f WHERE gable GROUP BY 1 UNION ALL SELECT page, 'opening', sum(w + h) FROM f WHERE id % 2 = 1 GROUP BY 1)
+    SELECT page, kind, round(pt * 0.5::DOUBLE, 1) AS lf FROM t WHERE pt * 0.5 >= CASE WHEN kind = 'rake' THEN 4 ELSE 1 END""",
+)
 def auto_trim(spark, sf_dir):
-    """All four kinds; every fifth part has a gable, every part of odd number a hole. No SQL: a test holds it against brute force."""
+    """All four kinds; every fifth part has a gable, every part of odd number a hole."""
     b, c = boxes(spark, sf_dir), lambda n: F.col(f"box.{n}")
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     wide, high = c("x1") - c("x0"), c("y1") - c("y0")
