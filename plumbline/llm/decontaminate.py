@@ -176,7 +176,9 @@ def tokens(text: str) -> list[bytes]:
 HITS = {"n_words": "bigint", "n_hit": "bigint", "hit_runs": "array<bigint>", "items": "array<string>"}
 
 
-def _scan(shared, text_col: str, names: list[str]) -> object:
+def _scan(shared, text_col: str, names: list[str], cut: tuple[int, float] | None = None) -> object:
+    """Marks hits; with cut (max_span, max_coverage) the runs that are too long go, and so do documents that are hit too much."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Automaton = pickle.loads(shared.value)
         for batch in batches:
@@ -203,26 +205,35 @@ def _scan(shared, text_col: str, names: list[str]) -> object:
                     hit[d], merged[d] = (p1 - p0).sum(), np.stack([p0, p1], 1).ravel().tolist()
                     owners[d] = sorted(found.get(d, set()) | set(owned[d]))
                 new = dict(zip(names, (pa.array(np.diff(woff)), pa.array(hit), pa.array(merged, pa.list_(pa.int64())), pa.array(owners, pa.list_(pa.string()))), strict=True))
-                yield pa.RecordBatch.from_arrays([new.get(f.name, piece.column(k)) for k, f in enumerate(piece.schema)], names=piece.schema.names)
+                if cut:
+                    texts = piece.column(text_col).to_pylist()
+                    for d in range(n):
+                        long = [(a, b) for a, b in zip(merged[d][::2], merged[d][1::2], strict=True) if b - a > cut[0]]
+                        if long and texts[d] is not None:
+                            texts[d] = without(texts[d], long)
+                    new[text_col] = pa.array(texts, piece.schema.field(text_col).type)
+                out = pa.RecordBatch.from_arrays([new.get(f.name, piece.column(k)) for k, f in enumerate(piece.schema)], names=piece.schema.names)
+                yield out.filter(pa.array(hit <= cut[1] * np.diff(woff))) if cut else out
 
     return scan
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000, text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000, text_col: str = "text", cut: tuple[int, float] | None = None) -> DataFrame:
     """docs with n_words, n_hit, hit_runs (word start, word end, start, end, ..) and items after its own columns.
-    No shuffle: each automaton is one pass over the rows in place; between two of them the rows are written."""
+    No shuffle: each automaton is one pass over the rows in place; between two of them the rows are written. The last one cuts (_scan)."""
     spark, names = docs.sparkSession, fresh(docs.columns, *HITS)
     empty = [F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.array().cast("array<bigint>"), F.array().cast("array<string>")]
     out = docs.withColumns(dict(zip(names, empty, strict=True)))
     if not isinstance(docs.schema[text_col].dataType, StringType):
         out = out.withColumn(text_col, F.col(quoted(text_col)).cast("string"))
-    shared = None
-    for items in item_shards(benchmark, most_words):
+    shared, shards = None, item_shards(benchmark, most_words)
+    items = next(shards)
+    while items is not None:
         if shared is not None:
             out = keep(out, "hits")
             shared.unpersist()
-        shared = spark.sparkContext.broadcast(pickle.dumps(Automaton(items, window), 5))
-        out = map_batches(out, _scan(shared, text_col, names), out.schema)
+        shared, items = spark.sparkContext.broadcast(pickle.dumps(Automaton(items, window), 5)), next(shards, None)
+        out = map_batches(out, _scan(shared, text_col, names, cut if items is None else None), out.schema)
     return out
 
 
@@ -237,21 +248,8 @@ def digests(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span: int = 9, max_coverage: float = 0.5) -> DataFrame:
     """docs without the hit runs longer than max_span words; documents whose hit words exceed max_coverage of all go.
     A short item that a document quotes whole is a run too, but stays where it is not longer than max_span."""
-    columns = docs.columns
-    n_words, n_hit, hit_runs, _ = fresh(columns, *HITS)
-    found = contamination(docs, benchmark, window)
-    clean = found.filter(F.col(n_hit) <= max_coverage * F.col(n_words))
-    schema = clean.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, runs = batch.column("text").to_pylist(), batch.column(hit_runs).to_pylist()
-            for k, r in enumerate(runs):
-                if r and texts[k] is not None:
-                    texts[k] = without(texts[k], [(a, b) for a, b in zip(r[::2], r[1::2], strict=True) if b - a > max_span])
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
-
-    return map_batches(clean, cut, schema).select(*[F.col(quoted(c)) for c in columns])
+    found = contamination(docs, benchmark, window, cut=(max_span, max_coverage))
+    return found.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> str:

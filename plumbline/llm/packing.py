@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import small_batches
 
 SCHEMA = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, bin_id string, position int, bin_tokens bigint"
 
@@ -67,6 +68,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, mos
 
 def pack(docs: DataFrame, capacity: int = 4096, most_per_source: int = 4, per_shard: int = 4096, source_col: str = "source", cluster: object = None) -> DataFrame:
     """A row for each document and bin it stands in (SCHEMA). cluster: a column; by default equal lower-cased texts."""
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.col(source_col).cast("string").alias("source"), (F.when(F.length(text) > 0, F.xxhash64(F.lower(text))) if cluster is None else cluster.cast("bigint")).alias("cluster"))
     shards = max(1, -(-docs.count() // per_shard))

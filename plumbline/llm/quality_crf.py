@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import map_batches
+from .shared import map_batches, small_batches
 
 _CLASS = np.zeros((256, 6), np.float32)  # letters, capitals, digits, marks that prose is full of, other marks, beyond ASCII
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)], 0] = 1
@@ -164,6 +164,7 @@ def pair_marginals(p: np.ndarray, q: np.ndarray, tr: np.ndarray) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int) -> DataFrame:
     """(doc_id, text, label) of at most `most` labelled documents, the first by a hash of the id."""
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y"))
     ids = known.groupBy("doc_id").agg(F.max("y").alias("y")).filter(usable).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` rows of two numbers

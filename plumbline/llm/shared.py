@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,13 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on whole texts reach Python workers in batches of about 4 MB, however many rows that is, unless the session has a
+    limit of its own: an executor holds a batch twice or more for each of its tasks."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(4 << 20))
+
+
 def drop(*kept: DataFrame) -> None:
     """Deletes tables of keep() that nothing reads any more. Only space is at stake: a store that Arrow does not know keeps them."""
     for df in kept:
@@ -68,6 +76,7 @@ def quoted(column: str) -> str:
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """(doc_id bigint, text string, ...) of the rows that have an id: a row without one names no document."""
+    small_batches(docs.sparkSession)
     cols = [F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
     return docs.filter(F.col(f"`{id_col}`").isNotNull()).select(*cols, *[F.col(f"`{c}`") for c in more])
 
@@ -82,6 +91,7 @@ def salted_join(rows: DataFrame, small: DataFrame, key: str | list[str], salt_on
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """mapInArrow for columns of any name: names with dots travel as plain ones and come back."""
+    small_batches(df.sparkSession)
     if all(c.isidentifier() for c in df.columns):
         return df.mapInArrow(function, schema)
     own, out = df.columns, schema.fieldNames()
