@@ -1,10 +1,12 @@
 """The queries of this folder as DuckDB SQL over whole tables, written from their contracts and not from the operators.
 
-The others have none: op2 and op10 depend on order and on a fit, op4 and op9 on fitted models, op7 on a tokenizer; tests hold
+The others have none: op2 and op10 depend on order and on a fit, op4 and op9 on fitted models, op7 on a tokenizer, op11 on eigenvectors; tests hold
 these against plain versions, round trips or held-out accuracy."""
 
 from __future__ import annotations
 
+from .sharding import PRIME, round_keys
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP1 = r"""
@@ -79,4 +81,61 @@ kept AS (SELECT doc_id, sum(gone) AS n, count(*) FILTER (begins) AS spans, coale
 SELECT doc_id, (length(t.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256 FROM texts t LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_line_dedup": _OP1, "op3_ngram_join": _OP3, "op5_decontaminate": _OP5, "op6_phrase_dedup": _OP6, "op8_suffix_dedup": _OP8}
+_OP12 = rf"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM texts)),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM places, (SELECT unnest([1, 2, 3]) AS size) WHERE i + size - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS p FROM grams WHERE size >= 2 AND f >= 10),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(p[1:k], ' ') AS x, array_to_string(p[k + 1:size], ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, u.f AS l, v.f AS r, (1000000::HUGEINT * c.a * c.a) // (u.f::HUGEINT * v.f) AS score
+  FROM cuts c JOIN grams u ON u.lang = c.lang AND u.phrase = x JOIN grams v ON v.lang = c.lang AND v.phrase = y),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM candidates s
+  JOIN (SELECT lang, a, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS part FROM candidates WHERE size = 3) t
+  ON t.lang = s.lang AND t.part = s.phrase AND 100 * t.a >= 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest ANTI JOIN inside USING (lang, phrase))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def _shards(rows: str, shards: int, seed: int) -> str:
+    """The permutation of numbered rows (doc_id, size, text_crc32, row_no), from its definition; a walk is a recursion."""
+    left, right = "v // b", "v % b"
+    steps = []
+    for k, (shift, factor) in enumerate(round_keys(seed)):
+        t = f"(({{}} + {shift}) % {PRIME})"
+        value = lambda half, t=t, factor=factor: f"((({t.format(half)} * {t.format(half)} % {PRIME}) * {t.format(half)} % {PRIME}) * {factor} % {PRIME})"
+        change = f"le, (ri + {value('le')}) % b AS ri" if k % 2 else f"(le + {value('ri')}) % a AS le, ri"
+        steps.append(f"SELECT row_no, n, a, b, {change} FROM ")
+    inner = f"(SELECT row_no, n, a, b, {left} AS le, {right} AS ri FROM walk WHERE steps = 0 OR v >= n)"
+    for step in steps:
+        inner = f"({step}{inner})"
+    return f"""
+WITH RECURSIVE rows AS ({rows}),
+sizes AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM rows),
+walk AS (
+  SELECT row_no, n, a, (n + a - 1) // a AS b, row_no AS v, 0 AS steps FROM rows, sizes
+  UNION ALL
+  SELECT row_no, n, a, b, le * b + ri AS v, 1 AS steps FROM {inner})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (v % {shards})::INTEGER AS shard, (v // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM rows JOIN walk USING (row_no) WHERE steps = 1 AND v < n
+"""
+
+
+_TABLE = "list_transform(range(256), lambda b: list_reduce(list_concat([b::BIGINT], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))))"  # CRC-32, reflected
+_ROWS = f"""
+SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_no
+FROM (
+  SELECT doc_id, len(bytes) + 1 AS size, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(c >> 8, crcs[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32
+  FROM (SELECT doc_id, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+       (SELECT {_TABLE} AS crcs))
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": _OP1, "op3_ngram_join": _OP3, "op5_decontaminate": _OP5, "op6_phrase_dedup": _OP6, "op8_suffix_dedup": _OP8, "op12_collocations": _OP12,
+    "op13_shards": _shards(_ROWS, shards=8, seed=13),
+}

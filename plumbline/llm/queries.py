@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, ngram_join, packing, phrase_dedup, quality_crf, suffix_dedup, token_file, toxicity_fm
+from . import ann, collocations, decontaminate, line_dedup, ngram_join, packing, phrase_dedup, quality_crf, sharding, suffix_dedup, token_file, toxicity_fm, whitening
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -67,4 +67,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit, op3_ngram_join, op4_quality_crf, op5_decontaminate, op6_phrase_dedup, op7_token_files, op8_suffix_dedup, op9_toxicity, op10_ann)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.collocations(docs, max_n=3, least=10, share=50, top=2000).drop("words", "cut")
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.measured(table(spark, sf_dir, "documents"))
+    placed = sharding.shard(docs, [F.col(c) for c in docs.columns], shards=8, seed=13)
+    return placed.select(*docs.columns, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_ALL = (
+    op1_line_dedup, op2_best_fit, op3_ngram_join, op4_quality_crf, op5_decontaminate, op6_phrase_dedup, op7_token_files, op8_suffix_dedup,
+    op9_toxicity, op10_ann, op11_whitening, op12_collocations, op13_shards,
+)
+QUERIES = {f.__name__: f for f in _ALL}
