@@ -15,6 +15,7 @@ RUNGS = [0.0833, 0.1667, 0.3333, 0.6667, 1.0, 1.333, 2.0, 2.667, 4.0, 5.333, 6.0
 CODE = r"\b([A-Z]{1,4}-?\d{1,2}[A-Z]?)\b"
 CODE_TAG = r"^([A-Z]{1,4})[-.]?(\d{1,2}[A-Z]?)$"
 LEGEND_KEY = r"^[A-Z]{1,3}[-.]?\d{1,2}$"
+LOOSE_KEY = r"^(?:[A-Z]{1,3}\d{0,2}[A-Z]?(?:-[A-Z]{1,4}\d{0,2}[A-Z]?)?|\d{1,2}[A-Z]?)$"
 CODE_FAMILIES = {
     "FIBER CEMENT": ["FC", "FCP", "FCS", "FCL", "FCB", "FBC", "HDFC", "SFC", "FSH", "FSV", "LS"],
     "METAL PANEL": ["MP", "CMP", "LPSS", "SS", "IMP"],

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folder import keep
+from ..sources.folder import drop_kept, keep
+from .spatial import points_in_polygons
+
+# Fixed value: how far a line may lean, as a share of its length, and still be upright or level.
+STRAIGHT = 0.15
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -26,7 +30,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "graph")
+        last, now = now, keep(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "graph")
+        drop_kept(last)
     best = now.groupBy("u").agg(F.min("v").alias("component"))
     return all_nodes.join(best, all_nodes["node"] == best["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -66,14 +71,27 @@ def trains(lines: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
     return extent.join(spacing, [*keys, "component"]).filter(F.col("lines") >= least)
 
 
-def signature(segments: DataFrame, keys: list[str], step: float = 6.0) -> DataFrame:
-    """The axis with more lines and their upper-median spacing in buckets of 6 points. Columns axis, c."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys, "axis").orderBy("c")
-    gaps = segments.withColumn("gap", F.col("c") - F.lag("c").over(w)).filter("gap > 0")
-    n = Window.partitionBy(*keys, "axis")
-    ranked = gaps.withColumns({"__r": F.row_number().over(n.orderBy("gap")), "__n": F.count(F.lit(1)).over(n)})
-    median = ranked.filter(F.col("__r") == F.floor(F.col("__n") / 2) + 1)
-    best = median.groupBy(*keys).agg(F.min_by(F.struct("axis", "gap"), F.struct(-F.col("__n"), F.col("axis"))).alias("b"))
-    return best.select(*keys, F.concat_ws(":", F.col("b.axis"), F.round(F.col("b.gap") / step).cast("int")).alias("signature"))
+def signatures(pieces: DataFrame, segments: DataFrame, keys: list[str], id_col: str, size: float = 256.0) -> DataFrame:
+    """(keys, id, signature): the pattern of each piece, from segments whose middle lies in its outline: 8 points long at least, upright
+    or level within 0.15 of their length. An axis has a spacing if its distinct places, in whole points, have three gaps of over a point: their upper median.
+    Upright wins with as many lines; v or h and the spacing in steps of 6 points, else plain. pieces: points, box; segments: x0, y0, x1, y1."""
+    dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
+    length = F.sqrt(dx * dx + dy * dy)
+    axis = F.when(dx < STRAIGHT * length, "v").when(dy < STRAIGHT * length, "h")
+    mids = segments.withColumns({"__l": length, "__axis": axis, "__mx": (F.col("x0") + F.col("x1")) / 2, "__my": (F.col("y0") + F.col("y1")) / 2}).filter((F.col("__l") >= 8) & F.col("__axis").isNotNull())
+    held = points_in_polygons(mids.select(*keys, "__axis", "__mx", "__my"), pieces.select(*keys, id_col, "points", "box"), keys, "__mx", "__my", "points", "box", size)
+    place = F.bround(F.when(F.col("__axis") == "v", F.col("__mx")).otherwise(F.col("__my"))).cast("bigint")
+    lines = held.groupBy(*keys, id_col, "__axis", place.alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    gap = F.col("__c") - F.lag("__c").over(Window.partitionBy(*keys, id_col, "__axis").orderBy("__c"))
+    gaps = lines.withColumn("__g", gap).groupBy(*keys, id_col, "__axis", "__g").agg(F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__k"))
+    # gaps are counted by their size first, so an axis is a short list of sizes however many lines it has
+    own = gaps.groupBy(*keys, id_col, "__axis").agg(F.sum("__n").alias("lines"), F.array_sort(F.collect_list(F.when(F.col("__g") > 1, F.struct("__g", "__k")))).alias("__s"))
+    total = F.aggregate("__s", F.lit(0).cast("bigint"), lambda s, g: s + g["__k"])
+    before = lambda i: F.aggregate(F.slice("__s", 1, i), F.lit(0).cast("bigint"), lambda s, g: s + g["__k"])
+    middle = F.get(F.filter("__s", lambda g, i: (before(i) <= F.floor(total / 2)) & (before(i) + g["__k"] > F.floor(total / 2))), F.lit(0))["__g"]
+    own = own.withColumn("spacing", F.when(total >= 3, middle))
+    both = own.groupBy(*keys, id_col).agg(*[F.max(F.when(F.col("__axis") == x, F.col(c))).alias(f"{x}_{c}") for x in "vh" for c in ("lines", "spacing")])
+    code = lambda x: F.concat(F.lit(x), F.bround(F.col(f"{x}_spacing") / 6).cast("int").cast("string"))
+    upright = F.col("v_spacing").isNotNull() & (F.col("h_spacing").isNull() | (F.col("v_lines") >= F.coalesce("h_lines", F.lit(0))))
+    named = both.select(*keys, id_col, F.when(upright, code("v")).when(F.col("h_spacing").isNotNull(), code("h")).otherwise("plain").alias("signature"))
+    return pieces.select(*keys, id_col).join(named, [*keys, id_col], "left").select(*keys, id_col, F.coalesce("signature", F.lit("plain")).alias("signature"))

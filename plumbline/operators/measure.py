@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import _edges, inside
+from ..functions.rules import has
 from .windows import interval_union
 
+# Words of views that cannot be measured.
+PERSPECTIVE = ("3D", "PERSPECTIVE", "ISOMETRIC", "AXONOMET")
+
 
 def edges(pieces: DataFrame, keys: list[str], outline: str = "points") -> DataFrame:
     """(keys, x0, y0, x1, y1) of each edge of each outline."""
@@ -108,10 +112,29 @@ def tag_cuts(tags: DataFrame, face: str, tag: str, along: str) -> DataFrame:
     return mean.select(face, tag, ((F.col("m") + F.lead("m").over(w)) / 2).alias("cut")).filter("cut is not null")
 
 
-def view_scale(anchors: DataFrame, piece: str, distance: Column, scale: str, most: float) -> DataFrame:
-    """The scales printed nearest below a piece; they must agree, else it is a risk."""
-    near = anchors.withColumn("__d", distance).filter((F.col("__d") >= 0) & (F.col("__d") <= most))
-    return near.groupBy(piece).agg(F.countDistinct(F.round(scale, 4)).alias("__n"), F.min_by(scale, F.struct("__d", scale)).alias("__s")).select(piece, F.when(F.col("__n") == 1, F.col("__s")).alias("view_scale"), (F.col("__n") > 1).alias("scale_risk"))
+def view_scales(pieces: DataFrame, anchors: DataFrame, pages: DataFrame, page: str, id_col: str) -> DataFrame:
+    """Pieces (box, area_sf) with the scale printed under their view: area_sf, view_scale, scale_risk. anchors: (page, x, y, scale, title) of
+    printed scales; pages: (page, height, scale).
+
+    A view's anchors lie from 8 points above the piece's foot to 0.35 of the page below it, and sideways within 60 points and 0.6 of
+    its width. If they differ (4 places), the piece is a risk and stays; the nearest one otherwise: a perspective's piece
+    goes, and one more than 1% off the page's scale is measured anew by the square of their ratio. Pages whose anchors all
+    agree with the page and name no perspective stay as they are. A page has a few anchors, so pieces meet those of their page."""
+    persp = lambda t: F.coalesce(has(F.upper(t), *PERSPECTIVE), F.lit(False))
+    known = anchors.join(pages.select(page, F.col("height").alias("__h"), F.col("scale").alias("__ps")), page)
+    off = F.abs(F.col("scale") - F.col("__ps")) > 0.01 * F.col("__ps")
+    mixed = known.filter(off | persp("title")).select(page).distinct()
+    b, wide = F.col("box"), F.col("box.x1") - F.col("box.x0")
+    d = F.col("y") - b["y1"]
+    fit = (d >= -8) & (d <= 0.35 * F.col("__h")) & F.col("x").between(b["x0"] - 0.6 * wide - 60, b["x1"] + 0.6 * wide + 60)
+    near = pieces.select(page, id_col, "box").join(known.join(mixed, page, "left_semi"), page).filter(fit).withColumn("__d", d)
+    best = near.groupBy(page, id_col).agg(F.countDistinct(F.round("scale", 4)).alias("__n"), F.min(F.struct("__d", "scale", "title")).alias("__a"), F.first("__ps").alias("__ps"))
+    own = pieces.join(best, [page, id_col], "left")
+    risk = F.coalesce(F.col("__n") > 1, F.lit(False))
+    own = own.filter(risk | ~persp("__a.title"))
+    new = F.when(~risk & (F.abs(F.col("__a.scale") - F.col("__ps")) > 0.01 * F.col("__ps")), F.col("__a.scale"))
+    area = F.when(new.isNull(), F.col("area_sf")).otherwise(F.bround(F.col("area_sf") * F.pow(new / F.col("__ps"), F.lit(2)), 1))
+    return own.withColumns({"area_sf": area, "view_scale": new, "scale_risk": risk}).drop("__n", "__a", "__ps")
 
 
 def rescaled(area: Column, old: Column, new: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import on_rung
 
+# Points between elevations, least rise of a pair, width of a group of slopes, least agreement, and plausible scales.
+ELEVATION_GAP, LEAST_RISE, SLOPE_SHARE, AGREEMENT, FEET_PER_INCH = 250.0, 8.0, 0.06, 0.94, (0.5, 40)
+
 
 def consensus(votes: DataFrame, keys: list[str], tolerance: float = 0.03) -> DataFrame:
     """Votes has (keys, id, ft_per_pt), several candidates a dimension. Each candidate is an anchor; a dimension
@@ -46,16 +49,25 @@ def two_frames(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFram
     return first.select(*keys, "ft_per_pt").join(s, keys, "full_outer").select(*keys, F.coalesce("ft_per_pt", "__s").alias("ft_per_pt"))
 
 
-def scale_from_levels(levels: DataFrame, page: str, x: str, y: str, feet: str, column_gap: float = 250.0, tolerance: float = 0.06) -> DataFrame:
-    """Level marks in columns (x gaps over 250); slopes of neighbours in each, falling down the page; the largest
-    group of slopes within 6% of one of them gives the median, with at least two slopes."""
-    w = Window.partitionBy(page).orderBy(x, y)
-    new = F.when(F.col(x) - F.lag(x).over(w) > column_gap, 1).otherwise(0)
-    col = levels.withColumn("__n", new).withColumn("__col", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    v = Window.partitionBy(page, "__col").orderBy(y)
-    slope = (F.col(feet) - F.lag(feet).over(v)) / (F.col(y) - F.lag(y).over(v))
-    slopes = col.withColumn("s", -slope).filter("s > 0").select(page, "s", F.monotonically_increasing_id().alias("k"))
-    # a page has a few dozen marks: the pairs are within a page
-    near = slopes.alias("a").join(slopes.alias("b"), page).filter(F.abs(F.col("b.s") - F.col("a.s")) <= tolerance * F.col("a.s"))
-    groups = near.groupBy(page, F.col("a.s").alias("anchor")).agg(F.count(F.lit(1)).alias("n"), F.median("b.s").alias("ft_per_pt"))
-    return groups.groupBy(page).agg(F.min_by(F.struct("ft_per_pt", "n"), F.struct(-F.col("n"), F.col("anchor"))).alias("b")).select(page, "b.ft_per_pt", "b.n").filter("n >= 2")
+def scale_from_levels(levels: DataFrame, page: str, y: str, feet: str) -> DataFrame:
+    """(page, ft_per_pt, quality, marks). Distinct level marks (y down the page, feet) fall into elevations where their heights are
+    over 250 points apart. In each, slopes of all pairs 8 points or more apart that fall down the page; the largest group of slopes
+    within 6% of one of them, the steepest first, gives its median where it has two at least. The page's scale is the median of
+    its elevations, within 0.5 to 40 feet an inch; elevations must agree to 0.94. A page has 40 marks at most, so pairs are formed within its arrays."""
+    marks = levels.select(page, F.col(y).cast("double").alias("__y"), F.col(feet).cast("double").alias("__f")).distinct()
+    new = F.when(F.col("__y") - F.lag("__y").over(Window.partitionBy(page).orderBy("__y", "__f")) > ELEVATION_GAP, 1).otherwise(0)
+    order = Window.partitionBy(page).orderBy("__y", "__f").rowsBetween(Window.unboundedPreceding, 0)
+    own = marks.withColumn("__n", new).withColumn("__e", F.sum("__n").over(order)).groupBy(page, "__e").agg(F.array_sort(F.collect_list(F.struct("__y", "__f"))).alias("m"))
+    slope = lambda a, b: (b["__f"] - a["__f"]) / (b["__y"] - a["__y"])
+    later = lambda a, i: F.filter(F.slice("m", i + 2, F.size("m")), lambda b: b["__y"] - a["__y"] >= LEAST_RISE)
+    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(later(a, i), lambda b: slope(a, b))))
+    own = own.withColumn("s", F.array_sort(F.filter(pairs, lambda s: s < 0))).filter(F.size("s") >= 2)
+    near = lambda p: F.filter("s", lambda s: F.abs(s - p) <= SLOPE_SHARE * F.abs(p))
+    own = own.withColumn("k", F.transform("s", lambda p: F.size(near(p))))
+    own = own.withColumn("g", near(F.get("s", (F.array_position("k", F.array_max("k")) - 1).cast("int")))).filter(F.size("g") >= 2)
+    middle = (F.get("g", F.floor((F.size("g") - 1) / 2).cast("int")) + F.get("g", F.floor(F.size("g") / 2).cast("int"))) / 2
+    fits = own.select(page, middle.alias("s"), F.size("m").alias("marks"))
+    out = fits.groupBy(page).agg(F.abs(F.median("s")).alias("ft_per_pt"), (F.max("s") - F.min("s")).alias("spread"), F.sum("marks").alias("marks"), F.count(F.lit(1)).alias("n"))
+    quality = 1 - F.least(F.lit(1.0), F.col("spread") / F.col("ft_per_pt"))
+    fit = (F.col("ft_per_pt") * 72).between(*FEET_PER_INCH) & ((F.col("n") == 1) | (quality >= AGREEMENT))
+    return out.filter(fit).select(page, "ft_per_pt", F.round(quality, 4).alias("quality"), "marks")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import LEGEND_KEY, schedule_feet
+from ..functions.parse import LEGEND_KEY, LOOSE_KEY, schedule_feet
 from ..functions.rules import has
 
 # A quantity, its unit, and what is measured by length and no wall.
 SCHEDULE_NUMBER = r"^[\d,]+(?:\.\d+)?$"
 SCHEDULE_UNIT = r"(?i)^(sf|sq|s\.?f\.?)$"
 HEADER_WORDS = {"mark": ["MARK", "TYPE", "TAG", "ID", "NO"], "width": ["WIDTH", "WIDE", "'W", "W."], "height": ["HEIGHT", "HGT", "HEIG", "HIGH", "HT"], "qty": ["QTY", "QUANTITY", "COUNT"], "size": ["SIZE", "DIMENSION", "ROUGH OPENING", "R.O."]}
+INDEX_HEADING = r"(SHEET\s+INDEX|DRAWING\s+INDEX|DRAWING\s+LIST|SHEET\s+LIST|LIST\s+OF\s+DRAWINGS)"
+INDEX_SHEET = r"^A[A-Z]?\d{1,2}\.\d{1,2}[A-Z]?$"
 LINEAR = r"(?i)\b(trim|railing|handrail|guardrail|watertable|decking|downspout|gutter|drip|flashing|coping)\b"
 
 
@@ -40,15 +42,23 @@ def material_schedule(rows: DataFrame, legend: DataFrame, keys: list[str], least
     return named.join(enough, keys, "left_semi")
 
 
-def loose_schedule(rows: DataFrame, keys: list[str], least: float = 50, least_rows: int = 2) -> DataFrame:
-    """(keys, key, sf, material) of rows that begin with a key and hold a number with a unit somewhere; the rest of the row is the
-    material; the largest of each key, on pages with two rows or more."""
-    key = F.get(F.filter("words", lambda w: w.rlike(LEGEND_KEY)), F.lit(0))
-    sf = F.regexp_replace(F.regexp_extract("line", r"(?i)([\d,]{2,})\s*(?:SF|S\.F\.|SQ)", 1), ",", "").try_cast("bigint")
-    name = F.trim(F.regexp_replace(F.regexp_replace("line", r"(?i)[\d,]{2,}\s*(?:SF|S\.F\.|SQ).*$", ""), r"^\S+\s*", ""))
-    found = rows.select(*keys, key.alias("key"), sf.alias("sf"), name.alias("material")).filter(F.col("key").isNotNull() & (F.col("sf") >= least))
-    enough = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least_rows).drop("__n")
-    return found.join(enough, keys, "left_semi").groupBy(*keys, "key").agg(F.max("sf").alias("sf"), F.max_by("material", F.struct("sf", "material")).alias("material"))
+def loose_schedule(rows: DataFrame, legend: DataFrame, document: str, page: str, least: float = 50) -> DataFrame:
+    """(document, key, sf, material). Each word of a row that is a loose key (with a digit or a dash) and is followed, as one of the next
+    two words, by a number of `least` or more and a unit, declares an area; what the page's legend (document, page, key, material) calls a length does
+    not. The largest of each key stands, with its page's material or none; one row is enough. rows: (document, page, row, words)."""
+    w = F.col("words")
+    at = lambda i: F.get(w, i)
+
+    def entry(i: Column) -> Column:
+        j = F.when(at(i + 1).rlike(SCHEDULE_NUMBER), i + 1).when(at(i + 2).rlike(SCHEDULE_NUMBER), i + 2)
+        sf = F.when(at(j + 1).rlike(SCHEDULE_UNIT), F.regexp_replace(at(j), ",", "").try_cast("double"))
+        return F.struct(at(i).alias("key"), i.alias("at"), sf.alias("sf"))
+
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda i: at(i).rlike(LOOSE_KEY) & at(i).rlike("[0-9-]"))
+    each = rows.filter(F.size(w) >= 2).select(document, page, "row", F.explode(F.transform(places, entry)).alias("e")).select(document, page, "row", "e.*").filter(F.col("sf") >= least)
+    named = each.join(legend.select(document, page, "key", "material"), [document, page, "key"], "left").withColumn("material", F.coalesce("material", F.lit("")))
+    best = F.min_by(F.struct("sf", "material"), F.struct(-F.col("sf"), F.col(page), F.col("row"), F.col("at"), F.col("material")))
+    return named.filter(~F.col("material").rlike(LINEAR)).groupBy(document, "key").agg(best.alias("b")).select(document, "key", F.bround("b.sf", 0).cast("bigint").alias("sf"), "b.material")
 
 
 def opening_schedule(rows: DataFrame, keys: list[str], number: str = "row", most: float = 60.0) -> DataFrame:
@@ -76,9 +86,9 @@ def opening_schedule(rows: DataFrame, keys: list[str], number: str = "row", most
 
 def sheet_index(rows: DataFrame, keys: list[str], page: str) -> DataFrame:
     """On the first five pages under an index heading, elevation sheets of the A series that are not interior."""
-    heading = rows.filter(F.upper("line").rlike(r"(SHEET\s+INDEX|DRAWING\s+INDEX|DRAWING\s+LIST|SHEET\s+LIST|LIST\s+OF\s+DRAWINGS)") & (F.col(page) <= 5)).select(*keys, page).distinct()
+    heading = rows.filter(F.upper("line").rlike(INDEX_HEADING) & (F.col(page) <= 5)).select(*keys, page).distinct()
     up = F.upper("line")
-    sheet = F.get(F.filter("words", lambda w: w.rlike(r"^A[A-Z]?\d{1,2}\.\d{1,2}[A-Z]?$")), F.lit(0))
+    sheet = F.get(F.filter("words", lambda w: w.rlike(INDEX_SHEET)), F.lit(0))
     return rows.join(heading, [*keys, page], "left_semi").select(*keys, sheet.alias("sheet"), up.alias("title")).filter(F.col("sheet").isNotNull() & F.contains("title", F.lit("ELEVATION")) & ~F.contains("title", F.lit("INTERIOR")))
 
 

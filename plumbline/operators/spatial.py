@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.geometry import cover, distance, inside
 
 
+# Fixed value: how the reader of fills begins its names.
+FILLED = "Panel wall"
+
+
 def cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("bigint")
 
@@ -89,8 +93,9 @@ def line_votes(words: DataFrame, segments: DataFrame, keys: list[str], reach: fl
 
 
 def small_faces_kept(faces: DataFrame, keys: list[str], group: str, area: str, box: str, size: float = 0.25, gap: float = 0.06, id_col: str = "id") -> DataFrame:
-    """Faces of 100 or more, and smaller ones from 30 whose group has a large face within the gap."""
-    big, small = faces.filter(F.col(area) >= 100), faces.filter((F.col(area) >= 30) & (F.col(area) < 100) & (F.col(group) != "Panel wall"))
+    """Faces of 100 or more, and smaller ones from 30 whose group has a large face within the gap. Names that begin with FILLED are those of
+    plain fills, which say nothing of a pattern: their small faces go."""
+    big, small = faces.filter(F.col(area) >= 100), faces.filter((F.col(area) >= 30) & (F.col(area) < 100) & ~F.startswith(F.coalesce(F.col(group), F.lit("")), F.lit(FILLED)))
     other = big.select(*keys, group, F.col(box).alias("__b"))
     return big.unionByName(box_join(small, other, [*keys, group], box, "__b", size, gap, how="left_semi", id_col=id_col))
 

@@ -292,13 +292,26 @@ def schedule_rows(spark, sf_dir):
     return schedules.material_schedule(rows.select("l_orderkey", words.alias("words")), legend, ["l_orderkey"])
 
 
-@register("loose_schedule", "WITH s AS (SELECT l_orderkey, l_partkey % 90 AS k, CAST(l_quantity AS BIGINT) * 10 AS sf FROM lineitem), f AS (SELECT * FROM s WHERE sf >= 50), e AS (SELECT l_orderkey FROM f GROUP BY 1 HAVING count(*) >= 2) SELECT l_orderkey, 'FC-' || k AS key, max(sf) AS sf, 'PANEL' AS material FROM f WHERE l_orderkey IN (SELECT l_orderkey FROM e) GROUP BY 1, 2")
+@register(
+    "loose_schedule",
+    """
+    WITH r AS (SELECT l_orderkey AS d, l_linenumber % 3 AS page, l_linenumber AS line, 'FC-P' || l_partkey % 90 AS key, l_partkey % 90 AS k, CAST(l_quantity AS BIGINT) * 10 AS sf, l_linenumber % 5 AS form FROM lineitem),
+         e AS (SELECT d, page, line, key, k, sf, 0 AS pos FROM r WHERE form IN (0, 1) UNION ALL SELECT d, page, line, key, k, sf, 3 FROM r WHERE form = 4 UNION ALL SELECT d, page, line, '9', NULL, 60, 0 FROM r WHERE form = 4),
+         m AS (SELECT *, CASE WHEN k IS NULL OR k % 7 = 0 THEN '' ELSE 'Panel ' || k END AS material FROM e WHERE sf >= 50 AND NOT coalesce(k % 7 <> 0 AND k % 5 = 0, false))
+    SELECT d AS l_orderkey, key, max(sf) AS sf, arg_min(material, (-sf, page, line, pos)) AS material FROM m GROUP BY 1, 2""",
+)
 def loose_schedule(spark, sf_dir):
-    """S9."""
-    key = F.concat(F.lit("FC-"), (F.col("l_partkey") % 90).cast("string"))
-    sf = (F.col("l_quantity").cast("bigint") * 10).cast("string")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.array(key, F.lit("PANEL"), sf, F.lit("SF")).alias("words")).withColumn("line", F.array_join("words", " "))
-    return schedules.loose_schedule(rows, ["l_orderkey"])
+    """Rows of five forms: a key and its number; a word between them; no unit; the number out of reach; and two keys in one row.
+    Every fifth key is measured by length, and every seventh has no name."""
+    rows = table(spark, sf_dir, "lineitem")
+    k, n = F.col("l_partkey") % 90, F.col("l_linenumber") % 5
+    key = F.concat(F.lit("FC-P"), k.cast("string"))
+    sf = F.format_number((F.col("l_quantity").cast("bigint") * 10).cast("bigint"), 0)
+    word = lambda *parts: F.array(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    words = F.when(n == 0, word(key, sf, "SF")).when(n == 1, word("x", key, "PANEL", sf, "s.f.", "y")).when(n == 2, word(key, "PANEL", sf, "EA")).when(n == 3, word(key, "A", "B", sf, "SF")).otherwise(word("9", "60", "sf", key, sf, "SQ"))
+    page = (F.col("l_linenumber") % 3).alias("page")
+    legend = rows.filter(k % 7 != 0).select("l_orderkey", page, key.alias("key"), F.when(k % 5 == 0, F.lit("Metal coping")).otherwise(F.concat(F.lit("Panel "), k.cast("string"))).alias("material")).distinct()
+    return schedules.loose_schedule(rows.select("l_orderkey", page, F.col("l_linenumber").alias("row"), words.alias("words")), legend, "l_orderkey", "page")
 
 
 @register(

@@ -62,7 +62,7 @@ def small_faces(spark, sf_dir):
     """On a page of 1000 points; filled walls are no small faces."""
     part = F.struct(*[(F.col(f"box.{c}") / 1000).alias(c) for c in ("x0", "y0", "x1", "y1")])
     area = (F.col("box.x1") - F.col("box.x0")) * (F.col("box.y1") - F.col("box.y0")) / 10
-    faces = boxes(spark, sf_dir).select("id", "page", F.when(F.col("id") % 2 == 0, "Wall").otherwise("Panel wall").alias("group"), area.alias("area"), part.alias("box"))
+    faces = boxes(spark, sf_dir).select("id", "page", F.when(F.col("id") % 2 == 0, "Vertical panel - 2.0' seams").otherwise("Panel wall (drawn fill)").alias("group"), area.alias("area"), part.alias("box"))
     return spatial.small_faces_kept(faces, ["page"], "group", "area", "box", gap=0.06).select("id")
 
 
@@ -175,11 +175,46 @@ def tag_cuts(spark, sf_dir):
     return measure.tag_cuts(table(spark, sf_dir, "part"), "p_brand", "p_type", "p_size").withColumn("cut", F.round("cut", 6))
 
 
-@register("view_scales", "WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity - 10 AS d, CASE WHEN l_returnflag = 'R' THEN 4 ELSE 8 END AS s FROM lineitem WHERE l_quantity BETWEEN 10 AND 35) SELECT l_orderkey, CASE WHEN count(DISTINCT s) = 1 THEN arg_min(s, (d, s)) END::DOUBLE AS view_scale, count(DISTINCT s) > 1 AS scale_risk FROM a GROUP BY 1")
+@register(
+    "view_scales",
+    f"""
+    WITH b AS (SELECT id, id // 80 AS page, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) / 10.0::DOUBLE AS area FROM ({BOX_SQL})),
+         a AS (SELECT p_partkey // 80 AS page, p_partkey * 53 % 1000 AS x, p_partkey * 29 % 1000 AS y, CASE WHEN p_partkey % 3 = 0 THEN 4.0 WHEN p_partkey % 3 = 1 THEN 8.0 ELSE 8.04 END::DOUBLE AS s, p_partkey % 11 = 0 AS p FROM part WHERE p_partkey % 13 = 0),
+         mixed AS (SELECT DISTINCT page FROM a WHERE abs(s - 8.0) > 0.08 OR p),
+         n AS (SELECT b.id, a.y - b.y1 AS d, s, p, CASE WHEN p THEN '3D view' ELSE 'Elevation' END AS title FROM b JOIN a ON a.page = b.page AND a.page IN (FROM mixed) WHERE a.y - b.y1 BETWEEN -8 AND 350 AND a.x BETWEEN b.x0 - 0.6 * (b.x1 - b.x0) - 60 AND b.x1 + 0.6 * (b.x1 - b.x0) + 60),
+         g AS (SELECT id, count(DISTINCT round(s, 4)) AS n, arg_min(s, (d, s, title)) AS s, arg_min(p, (d, s, title)) AS p FROM n GROUP BY id)
+    SELECT b.id, CASE WHEN n = 1 AND abs(s - 8) > 0.08 THEN round_even(area * pow(s / 8, 2), 1) ELSE area END::DOUBLE AS area_sf, CASE WHEN n = 1 AND abs(s - 8) > 0.08 THEN s END::DOUBLE AS view_scale, coalesce(n > 1, false) AS scale_risk
+    FROM b LEFT JOIN g USING (id) WHERE coalesce(n > 1 OR NOT p, true)""",
+)
 def view_scales(spark, sf_dir):
-    """G23."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("s", F.when(F.col("l_returnflag") == "R", 4.0).otherwise(8.0))
-    return measure.view_scale(rows, "l_orderkey", F.col("l_quantity") - 10, "s", 25.0)
+    """Notes at 4, 8 and 8.04 feet on pages of 8, some under a perspective."""
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    page = F.expr("p_partkey div 80").alias("page")
+    pieces = boxes(spark, sf_dir).select("id", F.expr("id div 80").alias("page"), "box", ((F.col("box.x1") - F.col("box.x0")) * (F.col("box.y1") - F.col("box.y0")) / 10).alias("area_sf"))
+    scale = F.when(k % 3 == 0, 4.0).when(k % 3 == 1, 8.0).otherwise(8.04)
+    anchors = part.filter(k % 13 == 0).select(page, (k * 53 % 1000).cast("double").alias("x"), (k * 29 % 1000).cast("double").alias("y"), scale.alias("scale"), F.when(k % 11 == 0, "3D view").otherwise("Elevation").alias("title"))
+    sheets = part.select(page).distinct().select("page", F.lit(1000.0).alias("height"), F.lit(8.0).alias("scale"))
+    return measure.view_scales(pieces, anchors, sheets, "page", "id").select("id", "area_sf", "view_scale", "scale_risk")
+
+
+@register(
+    "level_scales",
+    """
+    WITH m AS (SELECT DISTINCT l_orderkey AS p, (l_linenumber * 60 + (l_linenumber >= 5)::INT * (250 + l_orderkey % 2 * 50))::DOUBLE AS y, CASE WHEN l_quantity > 44 THEN l_quantity - 30 ELSE 100 - l_linenumber * 6 - (l_orderkey % 7 = 0 AND l_linenumber >= 5)::INT * l_linenumber * 2 END::DOUBLE AS f FROM lineitem),
+         c AS (SELECT *, sum(n) OVER (PARTITION BY p ORDER BY y, f ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT *, (y - lag(y, 1, y) OVER (PARTITION BY p ORDER BY y, f) > 250)::INT AS n FROM m)),
+         s AS (SELECT *, row_number() OVER (PARTITION BY p, e ORDER BY s) AS r FROM (SELECT a.p, a.e, (b.f - a.f) / (b.y - a.y) AS s FROM c a JOIN c b ON a.p = b.p AND a.e = b.e AND b.y - a.y >= 8) WHERE s < 0),
+         k AS (SELECT p, e, arg_min(s, (-n, s)) AS s, max(n) AS n FROM (SELECT a.p, a.e, a.r, a.s, count(*) AS n FROM s a JOIN s b ON a.p = b.p AND a.e = b.e AND abs(b.s - a.s) <= 0.06 * abs(a.s) GROUP BY ALL) GROUP BY 1, 2 HAVING max(n) >= 2),
+         g AS (SELECT k.p, k.e, median(s.s) AS s FROM k JOIN s ON s.p = k.p AND s.e = k.e AND abs(s.s - k.s) <= 0.06 * abs(k.s) GROUP BY 1, 2),
+         w AS (SELECT g.p, abs(median(s)) AS f, max(s) - min(s) AS spread, sum(marks) AS marks, count(*) AS n FROM g JOIN (SELECT p, e, count(*) AS marks FROM c GROUP BY 1, 2) USING (p, e) GROUP BY 1)
+    SELECT p AS l_orderkey, round(f, 8) AS ft_per_pt, round(1 - least(1, spread / f), 4) AS quality, marks::BIGINT AS marks FROM w WHERE f * 72 BETWEEN 0.5 AND 40 AND (n = 1 OR 1 - least(1, spread / f) >= 0.94)""",
+)
+def level_scales(spark, sf_dir):
+    """Marks every 60 points, two elevations where the gap is over 250, some misread."""
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    y = n * 60 + F.when(n >= 5, 250 + o % 2 * 50).otherwise(0)
+    feet = F.when(F.col("l_quantity") > 44, F.col("l_quantity") - 30).otherwise(100 - n * 6 - F.when((o % 7 == 0) & (n >= 5), n * 2).otherwise(0))
+    marks = table(spark, sf_dir, "lineitem").select("l_orderkey", y.cast("double").alias("y"), feet.cast("double").alias("feet"))
+    return scales.scale_from_levels(marks, "l_orderkey", "y", "feet").withColumn("ft_per_pt", F.round("ft_per_pt", 8))
 
 
 @register("marked_areas", "SELECT p_partkey AS seq, CASE WHEN p_partkey % 4 = 0 THEN p_partkey * 3 ELSE round((p_size + 4) * (p_partkey % 30 + 2) / 81.0, 1) END::DOUBLE AS area_sf, p_partkey % 4 = 0 AS sf_exact FROM part WHERE p_partkey % 5 <> 1")
@@ -247,15 +282,28 @@ def scale_votes(spark, sf_dir):
 @register(
     "pattern_signatures",
     """
-    WITH d AS (SELECT DISTINCT p_brand, CASE WHEN p_size % 3 = 0 THEN 'h' ELSE 'v' END AS axis, p_partkey * 37 % 2000 AS c FROM part),
-         g AS (SELECT p_brand, axis, c - lag(c) OVER (PARTITION BY p_brand, axis ORDER BY c) AS gap FROM d),
-         m AS (SELECT p_brand, axis, list_sort(list(gap))[len(list(gap)) // 2 + 1] AS gap, count(*) AS n FROM g WHERE gap > 0 GROUP BY 1, 2)
-    SELECT p_brand, arg_min(axis, (-n, axis)) || ':' || CAST(round(arg_min(gap, (-n, axis)) / 6.0) AS INTEGER) AS signature FROM m GROUP BY 1""",
+    WITH p AS (SELECT p_partkey AS id, p_partkey // 80 AS page, p_partkey * 37 % 1000 AS x0, p_partkey * 91 % 1000 AS y0 FROM part),
+         l AS (SELECT l_partkey // 80 AS page, l_partkey * 37 % 1000 + l_quantity * 3 + 0.25 AS x, l_partkey * 91 % 1000 + l_linenumber * 20 - 9.75 AS y, l_orderkey % 3 > 0 AS v, CASE WHEN l_orderkey % 11 = 0 THEN 5 ELSE 12 + l_orderkey % 9 END AS n, l_orderkey % 4 AS lean FROM lineitem),
+         s AS (SELECT page, x + CASE WHEN v THEN lean ELSE n END / 2.0 AS mx, y + CASE WHEN v THEN n ELSE lean END / 2.0 AS my, v, n, lean, sqrt(n * n + lean * lean) AS len FROM l),
+         m AS (SELECT id, v, round_even(CASE WHEN v THEN mx ELSE my END::DOUBLE, 0)::BIGINT AS c FROM s JOIN p ON p.page = s.page AND mx BETWEEN x0 AND x0 + 200 AND my BETWEEN y0 AND y0 + 160 WHERE len >= 8 AND lean < 0.15 * len),
+         g AS (SELECT id, v, c - lag(c) OVER (PARTITION BY id, v ORDER BY c) AS gap FROM (SELECT DISTINCT id, v, c FROM m)),
+         w AS (SELECT id, v, list_sort(list(gap)) AS w FROM g WHERE gap > 1 GROUP BY 1, 2),
+         a AS (SELECT id, v, count(*) AS n, CASE WHEN len(any_value(w)) >= 3 THEN any_value(w)[len(any_value(w)) // 2 + 1] END AS s FROM m LEFT JOIN w USING (id, v) GROUP BY 1, 2),
+         b AS (SELECT id, max(n) FILTER (v) AS vn, max(s) FILTER (v) AS vs, max(n) FILTER (NOT v) AS hn, max(s) FILTER (NOT v) AS hs FROM a GROUP BY 1)
+    SELECT id, CASE WHEN vs IS NOT NULL AND (hs IS NULL OR vn >= coalesce(hn, 0)) THEN 'v' || round_even(vs / 6.0::DOUBLE, 0)::INT WHEN hs IS NOT NULL THEN 'h' || round_even(hs / 6.0::DOUBLE, 0)::INT ELSE 'plain' END AS signature FROM p LEFT JOIN b USING (id)""",
 )
 def pattern_signatures(spark, sf_dir):
-    """G8."""
-    lines = table(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_size") % 3 == 0, "h").otherwise("v").alias("axis"), (F.col("p_partkey") * 37 % 2000).alias("c")).distinct()
-    return graph.signature(lines, ["p_brand"])
+    """Pieces of 200 by 160 points, each with the lines of its own and of pieces that lie over it."""
+    k, page = F.col("p_partkey"), F.expr("p_partkey div 80").alias("page")
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = k * 37 % 1000, k * 91 % 1000
+    box = F.struct(x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + 200).cast("double").alias("x1"), (y + 160).cast("double").alias("y1"))
+    pieces = table(spark, sf_dir, "part").select(k.alias("id"), page, F.array(at(x, y), at(x + 200, y), at(x + 200, y + 160), at(x, y + 160)).alias("points"), box.alias("box"))
+    lk, o = F.col("l_partkey"), F.col("l_orderkey")
+    lx, ly = lk * 37 % 1000 + F.col("l_quantity") * 3 + 0.25, lk * 91 % 1000 + F.col("l_linenumber") * 20 - 9.75
+    n, lean, v = F.when(o % 11 == 0, 5).otherwise(12 + o % 9), o % 4, o % 3 > 0
+    segments = table(spark, sf_dir, "lineitem").select(F.expr("l_partkey div 80").alias("page"), lx.alias("x0"), ly.alias("y0"), (lx + F.when(v, lean).otherwise(n)).alias("x1"), (ly + F.when(v, n).otherwise(lean)).alias("y1"))
+    return graph.signatures(pieces, segments, ["page"], "id").select("id", "signature")
 
 
 _SNAP = """

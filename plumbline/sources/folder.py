@@ -29,6 +29,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_kept(*tables: DataFrame) -> None:
+    """Deletes the files of kept tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            drop_path(file.rsplit("/", 1)[0])
+
+
 def drop_path(path: str) -> None:
     """Deletes a folder, if it is there. Only space is at stake: a store that Arrow does not know keeps it."""
     try:

@@ -494,3 +494,61 @@ def test_framed_openings(spark):
     got = [tuple(x)[3:] for x in openings.framed_openings(low, r, s, ["page"], 0.1).orderBy("position").collect()]
     # 9600 + 9246 leave 5130: the third is passed over, two small ones fit
     assert got == [(100.0, 120.0, 220.0, 200.0), (230.0, 65.0, 299.0, 199.0), (10.0, 10.0, 60.0, 60.0), (100.0, 10.0, 150.0, 60.0)]
+
+
+def test_loose_schedule_by_the_rule(spark):
+    """One row is enough; a second key of a row counts; numbers out of reach do not; the material is the legend's."""
+    rows = [("d", 0, 1, "12A 75 sq FC-PL 1,240 SF".split()), ("d", 1, 1, "x FC1 METAL 300 s.f. y".split()), ("d", 2, 1, "FC1 A B 900 SF".split()), ("d", 2, 2, "FC1 310 EA".split()), ("d", 3, 1, "T2 80 SF".split()), ("d", 3, 2, "THE 80 SF".split()), ("e", 0, 1, "FC1 49 SF".split())]
+    legend = [("d", 0, "FC-PL", "Fiber cement"), ("d", 3, "T2", "Metal coping"), ("d", 2, "FC1", "elsewhere")]
+    got = schedules.loose_schedule(spark.createDataFrame(rows, "doc string, page int, row int, words array<string>"), spark.createDataFrame(legend, "doc string, page int, key string, material string"), "doc", "page")
+    assert sorted(map(tuple, got.collect())) == [("d", "12A", 75, ""), ("d", "FC-PL", 1240, "Fiber cement"), ("d", "FC1", 300, "")]
+
+
+def test_small_faces_of_plain_fills_go(spark):
+    box = lambda x: (x, 0.0, x + 0.02, 0.02)
+    rows = [(1, "Panel wall (drawn fill)", 500.0, box(0.0)), (2, "Panel wall (drawn fill)", 50.0, box(0.03)), (3, "Vertical panel - 2.0' seams", 500.0, box(0.1)), (4, "Vertical panel - 2.0' seams", 50.0, box(0.13)), (5, None, 40.0, box(0.14))]
+    from plumbline.operators import spatial
+
+    faces = spark.createDataFrame([(i, "p", g, a, b) for i, g, a, b in rows], "id int, page string, grp string, area double, box struct<x0: double, y0: double, x1: double, y1: double>")
+    assert sorted(r["id"] for r in spatial.small_faces_kept(faces, ["page"], "grp", "area", "box").collect()) == [1, 3, 4]
+
+
+def test_scale_from_stacked_elevations(spark):
+    """Two elevations that agree; one misread mark; equal slopes count once each; too few slopes, disagreement and odd scales give none."""
+    up = lambda y0, n, step=60.0, ft=6.0: [(y0 + step * k, 100 - ft * k) for k in range(n)]
+    pages = {
+        "two": up(0, 4) + up(600, 3), "misread": [*up(0, 4), (30.0, 500.0)], "pair": up(0, 2), "apart": up(0, 3) + up(600, 3, 60.0, 7.0),
+        "odd": up(0, 4, 60.0, 60.0), "level": [(float(k), 100.0) for k in range(0, 100, 10)], "close": up(0, 5, 3.0, 0.3),
+    }
+    df = spark.createDataFrame([(p, y, f) for p, m in pages.items() for y, f in m * 2], "page string, y double, feet double")
+    got = {r["page"]: (round(r["ft_per_pt"], 9), r["quality"], r["marks"]) for r in scales.scale_from_levels(df, "page", "y", "feet").collect()}
+    # "close": only pairs 8 points apart count: (0,9), (0,12), (3,12)
+    assert got == {"two": (0.1, 1.0, 7), "misread": (0.1, 1.0, 5), "close": (0.1, 1.0, 5)}
+
+
+def test_pattern_signature_by_the_rule(spark):
+    """Ties go to upright lines, three gaps are needed, lines outside, short or leaning do not count."""
+    square = [(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)]
+    v = lambda xs, y=10.0, n=40.0: [(float(x), y, float(x), y + n) for x in xs]
+    h = lambda ys: [(10.0, float(y), 50.0, float(y)) for y in ys]
+    cases = {
+        "v2": v([10, 22, 34, 46]) + h([10, 40, 70, 90]), "h5": h([10, 40, 70, 99]), "plain": v([10, 22, 34]), "v1": v([10, 11, 16, 22, 28]), "h2": v([10, 22, 34, 46], n=5.0) + h([10, 22, 34, 46]),
+        "v3": v([200, 212, 224, 236]) + v([10, 28, 46, 64]), "plain2": [], "h3": [(10.0, 10.0 + 18 * k, 50.0, 10.0 + 18 * k + 5) for k in range(4)] + [(10.0, 10.0 + 9 * k, 50.0, 10.0 + 9 * k + 30) for k in range(9)],
+    }
+    pieces = spark.createDataFrame([(k, "p", square, (0.0, 0.0, 100.0, 100.0)) for k in cases], "id string, kind string, points array<struct<x: double, y: double>>, box struct<x0: double, y0: double, x1: double, y1: double>").withColumn("page", F.col("id"))
+    segments = spark.createDataFrame([(k, *s) for k, ss in cases.items() for s in ss], "page string, x0 double, y0 double, x1 double, y1 double")
+    got = {r["id"]: r["signature"] for r in graph.signatures(pieces, segments, ["page"], "id").collect()}
+    assert got == {k: k.rstrip("2") if k == "plain2" else k for k in cases}
+
+
+def test_view_scales_by_the_rule(spark):
+    """A note below at another scale measures anew, a perspective drops, two notes that differ are a risk, a note far aside does not count."""
+    box = lambda x, y: (float(x), float(y), x + 100.0, y + 100.0)
+    pieces = [("p", 1, box(0, 0)), ("p", 2, box(300, 0)), ("p", 3, box(600, 0)), ("p", 4, box(900, 0)), ("q", 5, box(0, 0)), ("p", 6, box(0, 500))]
+    notes = [("p", 50.0, 92.0, 4.0, "elevation"), ("p", 350.0, 130.0, 8.0, "3d View"), ("p", 650.0, 120.0, 8.0, "a"), ("p", 650.0, 140.0, 4.0, "b"), ("q", 50.0, 120.0, 8.05, "a"), ("p", 1200.0, 120.0, 4.0, "aside")]
+    out = measure.view_scales(
+        spark.createDataFrame([(p, i, b, 10.0) for p, i, b in pieces], "page string, id int, box struct<x0: double, y0: double, x1: double, y1: double>, area_sf double"),
+        spark.createDataFrame(notes, "page string, x double, y double, scale double, title string"),
+        spark.createDataFrame([("p", 1000.0, 8.0), ("q", 1000.0, 8.0)], "page string, height double, scale double"), "page", "id",
+    )
+    assert sorted((r["id"], r["area_sf"], r["view_scale"], r["scale_risk"]) for r in out.collect()) == [(1, 2.5, 4.0, False), (3, 10.0, None, True), (4, 10.0, None, False), (5, 10.0, None, False), (6, 10.0, None, False)]
