@@ -38,16 +38,15 @@ def lowered(text: Column) -> Column:
 
 
 def ngrams(docs: DataFrame, max_n: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, n, phrase): a row for each n-gram of 1 .. max_n words at each place."""
+    """(phrase, lang): a row for each n-gram of 1 .. max_n words at each place."""
     texts = docs.select(F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     pieces = texts.select("lang", F.explode(F.split(lowered(F.col("text")), STOPS)).alias("piece"))
     words = pieces.select("lang", F.explode(F.array(F.array_remove(F.split("piece", BLANKS), ""))).alias("w"))  # a generator of one element: split once
     places = words.select("lang", "w", F.posexplode("w").alias("i", "p1"))
-    phrase, grams = F.col("p1"), [F.struct(F.lit(1).alias("n"), F.col("p1").alias("phrase"))]
-    for n in range(2, max_n + 1):
-        phrase = F.concat(phrase, F.lit(" "), F.get(F.col("w"), F.col("i") + (n - 1)))  # null beyond the end of the piece
-        grams.append(F.struct(F.lit(n).alias("n"), phrase.alias("phrase")))
-    return places.select("lang", F.inline(F.array(*grams))).filter("phrase is not null")
+    grams = [F.col("p1")]
+    for n in range(1, max_n):
+        grams.append(F.concat(grams[-1], F.lit(" "), F.get(F.col("w"), F.col("i") + n)))  # null beyond the end of the piece
+    return places.select(F.explode(F.array(*grams)).alias("phrase"), "lang").filter("phrase is not null")
 
 
 def _cuts(candidates: DataFrame) -> DataFrame:
@@ -57,22 +56,28 @@ def _cuts(candidates: DataFrame) -> DataFrame:
     return each.withColumn("right", F.substr("phrase", F.char_length("left") + 2))
 
 
+def score(scale: int) -> Column:
+    """floor(scale a^2 / (l r)) of the columns a, l and r, in Decimal."""
+    a, l, r = (F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r"))
+    return F.call_function("div", a * a * F.lit(scale).cast("decimal(10,0)"), l * r).cast("bigint")
+
+
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, share: int = 50, top: int = 2000, scale: int = 1_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, words, cut, a, l, r, n, score): the first `top` phrases of each language."""
     rows = ngrams(docs, max_n, text_col, lang_col)
-    counts = rows.groupBy("lang", "n", "phrase").agg(F.count(F.lit(1)).alias("a"))
-    total = F.sum(F.when(F.col("n") == 1, F.col("a")).otherwise(0))
+    # the phrase is the first key: where a task's counts outgrow its memory they are sorted, and most phrases differ in their first bytes
+    counts = rows.groupBy("phrase", "lang").agg(F.count(F.lit(1)).alias("a"))
+    one = ~F.contains("phrase", F.lit(" "))
     # words that are rarer than `least` count in n, and are kept as one row a language
-    split = counts.groupBy("lang", "n", F.when(F.col("a") >= least, F.col("phrase")).alias("phrase")).agg(F.sum("a").alias("a"))
-    kept = keep(split.filter("n = 1 or phrase is not null"), "phrases")
-    totals = kept.groupBy("lang").agg(total.alias("total"))
-    phrases = kept.filter("phrase is not null")
+    split = counts.filter((F.col("a") >= least) | one).groupBy(F.when(F.col("a") >= least, F.col("phrase")).alias("phrase"), "lang").agg(F.sum("a").alias("a"))
+    kept = keep(split, "phrases")
+    totals = kept.groupBy("lang").agg(F.sum(F.when(F.coalesce(one, F.lit(True)), F.col("a"))).alias("total"))
+    phrases = kept.filter("phrase is not null").withColumn("n", F.octet_length("phrase") - F.octet_length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
     cuts = _cuts(phrases)
-    big = lambda c: F.col(c).cast("decimal(19,0)")
     scored = (
         cuts.join(phrases.select("lang", F.col("phrase").alias("left"), F.col("a").alias("l")), ["lang", "left"])
         .join(phrases.select("lang", F.col("phrase").alias("right"), F.col("a").alias("r")), ["lang", "right"])
-        .withColumn("score", F.call_function("div", (big("a") * big("a")).cast("decimal(38,0)") * F.lit(scale).cast("decimal(10,0)"), big("l") * big("r")).cast("bigint"))
+        .withColumn("score", score(scale))
     )
     lowest = scored.groupBy("lang", "phrase").agg(F.first("n").alias("words"), F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     first, last = F.regexp_replace("phrase", " [^ ]*$", ""), F.regexp_replace("phrase", "^[^ ]* ", "")

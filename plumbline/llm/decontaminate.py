@@ -72,7 +72,7 @@ class Automaton:
     @staticmethod
     def hashes(tokens: list[bytes]) -> np.ndarray:
         off = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-        return K.span_hash(K.sums(np.frombuffer(b"".join(tokens), np.uint8)), off[:-1], off[1:])
+        return K.word_hash(np.frombuffer(b"".join(tokens), np.uint8), off[:-1], off[1:])
 
     @staticmethod
     def _filter(hashes: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def _scan(shared, text_col: str, names: list[str], cut: tuple[int, float] | None
                 buf, off = K.flat(piece.column(text_col))
                 buf = K.LOWER[buf]
                 s, e, woff = K.words(buf, off, K.NON_ALNUM)
-                hashes = K.span_hash(K.sums(buf), s, e)
+                hashes = K.word_hash(buf, s, e)
                 runs: dict[int, list[tuple[int, int]]] = {}
                 found: dict[int, set[str]] = {}
                 a, b = own.candidates(hashes, woff)

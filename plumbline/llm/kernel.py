@@ -1,8 +1,10 @@
 """Vectorised text kernels shared by the operators: whole Arrow batches as byte buffers, no loop per word.
 
 Texts are UTF-8 buffers with document offsets. Separators of all word rules used here are ASCII, so words can be
-cut on bytes. Hashes are 64-bit polynomials of bytes or of word hashes, finished by a mixer; two spans are taken as
-equal when their hashes and lengths are.
+cut on bytes. Hashes have 64 bits. A word of up to 16 bytes is hashed from its length and its first and last 8 bytes, which
+are all of it; a longer one by polynomials over two prime fields, as powers modulo 2^64 give some long words equal hashes whatever
+the base is. Hashes of a few words are polynomials of theirs. Two words are taken as equal when their hashes are; the constants are
+fixed, so this holds by chance (2^-64 a pair) and not against texts that are made to collide.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Fixed odd multipliers of the polynomials (bytes, words) and of the mixer.
+#: Fixed odd multipliers of the polynomials (bytes, for anchors alone, and words) and of the mixer.
 BYTE_P, WORD_P, MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 SPACES = np.zeros(256, bool)
@@ -90,17 +92,43 @@ def words(buf: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-def sums(buf: np.ndarray) -> np.ndarray:
-    """Running sums of byte times power, from which span_hash takes the hash of any span."""
-    acc = np.empty(len(buf) + 1, U)
-    acc[0] = 0
-    np.cumsum((buf.astype(U) + U(1)) * powers(BYTE_P, len(buf)), out=acc[1:])
-    return acc
+#: Primes below 2^31 and a base for each, for words that are longer than two machine words.
+FIELDS = ((2147483647, 1171250933), (2147483629, 1923405349))
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # the first k of 8 bytes
 
 
-def span_hash(acc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    back = powers(inverse(BYTE_P), len(acc))
-    return mix((acc[ends] - acc[starts]) * back[starts])
+def ends_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First 8 bytes of each span (fewer in a shorter one), and its last 8 (0 unless it is longer than 8), as numbers."""
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[8:-8] = buf
+    at = np.ndarray((len(buf) + 9,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    return at[starts + 8] & _KEEP[np.minimum(size, 8)], np.where(size > 8, at[ends], U(0))
+
+
+def long_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of spans of any length but 0, by polynomials over two prime fields."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, U)
+    first = np.cumsum(size) - size
+    data = buf[ranges(starts, size)].astype(U) + U(1)
+    place, out = ranges(np.zeros(len(size), np.int64), size), np.zeros(len(size), U)
+    for prime, base in FIELDS:
+        power = np.ones(1, U)
+        while len(power) < size.max():
+            power = np.concatenate([power, power * U(pow(base, len(power), prime)) % U(prime)])
+        out = (out << U(32)) ^ (np.add.reduceat(data * power[place] % U(prime), first) % U(prime))
+    return mix(out ^ mix(size.astype(U)))
+
+
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    head, tail = ends_of(buf, starts, ends)
+    size = ends - starts
+    out = mix(head ^ mix(tail + size.astype(U) * WORD_P))
+    long = np.flatnonzero(size > 16)
+    out[long] = long_hash(buf, starts[long], ends[long])
+    return out
 
 
 def gram_hash(hashes: np.ndarray, n: int) -> np.ndarray:

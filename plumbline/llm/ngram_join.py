@@ -47,7 +47,7 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     buf, off = K.flat(texts)
     buf = K.LOWER[buf]
     s, e, woff = K.words(buf, off, K.SPACES)
-    hashes = K.span_hash(K.sums(buf), s, e)
+    hashes = K.word_hash(buf, s, e)
     grams = K.gram_hash(hashes, n)
     starts, per = K.gram_starts(woff, n)
     count = np.diff(woff)

@@ -56,7 +56,7 @@ def line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     to = np.searchsorted(ws, ends)
     n = np.maximum(to - at, 1).astype(np.float32)
     length = np.concatenate([[0], np.cumsum(we - ws)])
-    h = K.span_hash(K.sums(buf), ws, we) if len(ws) else np.zeros(0, K.U)
+    h = K.word_hash(buf, ws, we) if len(ws) else np.zeros(0, K.U)
     again = np.zeros(len(ws) + 1, np.int64)
     again[2 : len(ws) + 1] = np.cumsum(h[1:] == h[:-1]) if len(ws) > 1 else 0
     short = np.concatenate([[0], np.cumsum((we - ws) <= 1)])

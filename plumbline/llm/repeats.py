@@ -44,7 +44,7 @@ class Texts:
             data = np.full(int(self.to[-1]) + 1 if len(s) else 0, 0x20, np.uint8)
             data[K.ranges(self.at, size)] = buf[K.ranges(s, size)]
             self.data = data
-            unit = K.span_hash(K.sums(data), self.at, self.to) if len(s) else np.zeros(0, K.U)
+            unit = K.word_hash(data, self.at, self.to)
             self.base = K.WORD_P
         else:
             self.data, self.off = buf, off
@@ -175,6 +175,10 @@ def removed_windows(docs: DataFrame, window: int, gram: int, by_words: bool, jud
                 same = np.zeros(len(order), bool)
                 o, p = order[1:], order[:-1]
                 same[1:] = (h[o] == h[p]) & (context[o] == context[p]) & (n[o] == n[p])
+                maybe = np.flatnonzero(same)
+                span = lambda rows: [t.raw(a, b) for a, b in zip(s[rows].tolist(), (s[rows] + n[rows] - 1 + window).tolist(), strict=True)]  # noqa: B023, E731
+                for some in np.array_split(maybe, -(-len(maybe) // 1024) or 1):
+                    same[some] = [x == y for x, y in zip(span(order[some]), span(order[some - 1]), strict=True)]
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
                 head = order[head]
                 later = same & ((doc[order] != doc[head]) | (start[order] != start[head]))

@@ -7,8 +7,8 @@ the sizes and copies of texts are: a group of equal texts is spread like any oth
 
 The network works on pairs (left, right) with left < a and right < b, a = ceil(sqrt(n)) and b = ceil(n / a): one half gets a keyed
 cubic of the other modulo its own radix, turn about. Fewer than a of the a * b pairs are no row numbers; a row that lands on one walks on until
-it lands on a number. WALKS steps are enough for certain where a <= WALKS, and short with a chance below 2^-200 elsewhere (each
-step meets less than one in a); a row that still has none stops the query and asks for another seed, as no row may be lost.
+it lands on a number. WALKS more steps are enough for certain where a <= WALKS, and too few with a chance below 2^-150 a row
+elsewhere (of the pairs, less than one in b is no number); such a row stops the query and asks for another seed, as no row may be lost.
 
 Numbering: rows are dealt by ranges of their keys, written, and counted a range; a range's first number is a running sum over ranges (one
 small row each, at most spark.sql.shuffle.partitions of them, which is the bound of what is broadcast). The place of the row in the
@@ -81,7 +81,7 @@ def place(number: Column, n: int, seed: int) -> Column:
         start = F.struct(F.call_function("div", value, F.lit(b)).cast("bigint").alias("left"), F.pmod(value, F.lit(b)).cast("bigint").alias("right"))
         return F.aggregate(keys, start, turn, lambda at: at.left * F.lit(b) + at.right)
 
-    # a first step, then further ones while the value is no row number; -1 lets the first be taken whatever the number is
+    # one step for every number, and further ones while it lands on none
     start = F.struct(number.cast("bigint").alias("v"), F.lit(False).alias("done"))
     step = lambda at, _: F.when(at.done, at).otherwise(_landed(once(at.v), n))
     lost = F.raise_error(F.lit(f"no place in {WALKS} steps: take another seed")).cast("bigint")
@@ -92,11 +92,11 @@ def _landed(value: Column, n: int) -> Column:
     return F.get(F.transform(F.array(value), lambda v: F.struct(v.alias("v"), (v < n).alias("done"))), F.lit(0))
 
 
-def numbered(df: DataFrame, keys: list[Column], into: str) -> DataFrame:
-    """df with a number from 0 for each row in the order of keys, without a task that sees all rows."""
+def numbered(df: DataFrame, keys: list[Column], into: str) -> tuple[DataFrame, int]:
+    """df with a number from 0 for each row in the order of keys, without a task that sees all rows, and the number of rows."""
     names = fresh(df.columns, *[f"k{i}" for i in range(len(keys))], "came", "stood")
     own, came, stood = names[:-2], names[-2], names[-1]
-    first = df.drop(into).withColumns(dict(zip(own, keys, strict=True)))
+    first = df.withColumns(dict(zip(own, keys, strict=True))).drop(into)
     rows = keep(first.withColumn(came, F.monotonically_increasing_id()), "rows")  # before the ranges, which read it twice
     dealt = rows.repartitionByRange(*own, came).sortWithinPartitions(*own, came).drop(*own, came)
     dealt = keep(dealt.withColumn(stood, F.monotonically_increasing_id()), "ranges")  # number of the range, and of the row within it in the lowest 33 bits
@@ -106,13 +106,12 @@ def numbered(df: DataFrame, keys: list[Column], into: str) -> DataFrame:
     before = F.coalesce(F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(counts.withColumn(begin, before).drop(size))
     joined = dealt.withColumn(part, F.shiftrightunsigned(stood, 33)).join(starts, part)
-    return joined.withColumn(into, F.col(begin) + F.col(stood).bitwiseAND(F.lit((1 << 33) - 1))).drop(part, begin, stood)
+    return joined.withColumn(into, F.col(begin) + F.col(stood).bitwiseAND(F.lit((1 << 33) - 1))).drop(part, begin, stood), dealt.count()
 
 
 def shard(df: DataFrame, keys: list[Column], shards: int, seed: int = 13) -> DataFrame:
     """df with row_no (number in the order of keys), shard and slot."""
-    rows = numbered(df, keys, "row_no")
-    n = rows.count()
+    rows, n = numbered(df, keys, "row_no")
     at = fresh(rows.columns, "at")[0]
     placed = rows.withColumn(at, F.explode(F.array(place(F.col("row_no"), max(n, 1), seed))))  # a generator of one element: computed once
     return placed.withColumns({"shard": F.pmod(at, F.lit(shards)).cast("int"), "slot": F.call_function("div", F.col(at), F.lit(shards)).cast("bigint")}).drop(at)

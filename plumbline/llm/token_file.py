@@ -135,7 +135,8 @@ class Reader:
 
 class Encoder:
     """Encodes whole texts with a tokenizers file. Texts are cut before single spaces between visible characters, where a
-    byte-level tokenizer that splits on white space always starts a new piece; each distinct piece is encoded once and kept."""
+    byte-level tokenizer that splits on white space always starts a new piece; each distinct piece is encoded once and kept. A piece is
+    found by its hash and then compared (length, first and last 8 bytes, which are all of most pieces, and the rest of longer ones)."""
 
     SLOTS, MOST = 1 << 22, 1 << 21
 
@@ -154,6 +155,7 @@ class Encoder:
         self.slot_hash, self.slot_entry = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
         self.store, self.stored = np.full(1 << 16, self.end_id, np.uint32), 1
         self.starts, self.counts, self.n = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), 1  # entry 0 is the end id
+        self.sizes, self.heads, self.tails, self.long = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), {}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -172,19 +174,32 @@ class Encoder:
             left = left[(have != h[left]) & (have != 0)]
         return entry
 
-    def _learn(self, hashes: list[int], strings: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch(strings, add_special_tokens=False), strict=True):
+    def _differ(self, entry: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Places of pieces whose entry, if there is one, is of another piece."""
+        size = e - s
+        other = (entry >= 0) & ((self.sizes[entry] != size) | (self.heads[entry] != head) | (self.tails[entry] != tail))
+        for k in np.flatnonzero((entry >= 0) & ~other & (size > 16)).tolist():
+            other[k] = self.long[int(entry[k])] != buf[s[k] : e[k]].tobytes()
+        return np.flatnonzero(other)
+
+    def _learn(self, hashes: list[int], pieces: list[bytes], heads: np.ndarray, tails: np.ndarray) -> None:
+        """Adds pieces; one of hash 0 gets an entry that nothing finds."""
+        for h, piece, head, tail, e in zip(hashes, pieces, heads, tails, self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False), strict=True):
             ids = e.ids
             if self.n == len(self.starts):
-                self.starts, self.counts = np.concatenate([self.starts, self.starts]), np.concatenate([self.counts, self.counts])
+                self.starts, self.counts, self.sizes, self.heads, self.tails = (np.concatenate([x, x]) for x in (self.starts, self.counts, self.sizes, self.heads, self.tails))
             while self.stored + len(ids) > len(self.store):
                 self.store = np.concatenate([self.store, self.store])
             self.store[self.stored : self.stored + len(ids)] = ids
             self.starts[self.n], self.counts[self.n] = self.stored, len(ids)
-            slot = h & (self.SLOTS - 1)
-            while self.slot_hash[slot]:
-                slot = (slot + 1) & (self.SLOTS - 1)
-            self.slot_hash[slot], self.slot_entry[slot] = h, self.n
+            self.sizes[self.n], self.heads[self.n], self.tails[self.n] = len(piece), head, tail
+            if len(piece) > 16:
+                self.long[self.n] = piece
+            if h:
+                slot = h & (self.SLOTS - 1)
+                while self.slot_hash[slot]:
+                    slot = (slot + 1) & (self.SLOTS - 1)
+                self.slot_hash[slot], self.slot_entry[slot] = h, self.n
             self.n, self.stored = self.n + 1, self.stored + len(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +219,9 @@ class Encoder:
         begins[-1] = False
         s = np.flatnonzero(begins)
         e = np.append(s[1:], len(buf))
-        h = K.span_hash(K.sums(buf), s, e)
+        h, (head, tail) = K.word_hash(buf, s, e), K.ends_of(buf, s, e)
         h[h == 0] = 1
+        raw = lambda at: [buf[a:b].tobytes() for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]
         if self.n > self.MOST:
             self._clear()
         entry = self._find(h)
@@ -214,8 +230,13 @@ class Encoder:
             _, first = np.unique(h[new], return_index=True)
             for k in range(0, len(first), 1 << 16):
                 at = new[first[k : k + (1 << 16)]]
-                self._learn(h[at].tolist(), [bytes(buf[a:b]).decode() for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
+                self._learn(h[at].tolist(), raw(at), head[at], tail[at])
             entry[new] = self._find(h[new])
+        other = self._differ(entry, buf, s, e, head, tail)
+        if len(other):
+            begin = self.n
+            self._learn([0] * len(other), raw(other), head[other], tail[other])
+            entry[other] = np.arange(begin, self.n)
         per = np.searchsorted(s, off)
         entry = np.insert(entry, per[1:], 0)  # the end id of each document
         counts = self.counts[entry]

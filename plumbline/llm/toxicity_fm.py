@@ -34,11 +34,11 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf, off = K.flat(texts)
     buf = K.LOWER[buf]
     s, e, woff = K.words(buf, off, K.NON_ALNUM)
-    doc, acc, mask = np.repeat(np.arange(len(off) - 1), np.diff(woff)), K.sums(buf), K.U(BUCKETS - 1)
-    found, docs = [K.span_hash(acc, s, e)], [doc]
+    doc, mask = np.repeat(np.arange(len(off) - 1), np.diff(woff)), K.U(BUCKETS - 1)
+    found, docs = [K.word_hash(buf, s, e)], [doc]
     for n in BEGINNINGS:
         long = np.flatnonzero(e - s > n)
-        found.append(K.mix(K.span_hash(acc, s[long], s[long] + n) ^ K.U(n)))
+        found.append(K.mix(K.word_hash(buf, s[long], s[long] + n) ^ K.U(n)))
         docs.append(doc[long])
     return (np.concatenate(found) & mask).astype(np.int32), np.concatenate(docs)
 
@@ -134,32 +134,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most_doc
     return FactorizationMachine.fit(np.concatenate([np.zeros(0, np.int32), *each]), doc, np.array([r["y"] for r in rows], np.int64))
 
 
-def score(self, texts: pa.Array) -> np.ndarray:
-        bucket, doc = terms(texts)
-        known = self.slot[bucket] > 0
-        bucket, doc = distinct(bucket[known], doc[known])
-        raw, _ = self._raw(self.slot[bucket] - 1, doc, len(texts))
-        return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most_docs: int = 8000, most_words: int = 2000) -> FactorizationMachine:
-    """Fits on at most most_docs documents and most_words distinct terms of each (bounds of the fit alone)."""
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in K.pieces(batch, "text"):
-                bucket, doc = distinct(*terms(piece.column("text")))
-                cut = np.searchsorted(doc, np.arange(piece.num_rows + 1))
-                each = [bucket[a:b] if b - a <= most_words else bucket[a:b][np.argsort(K.mix(bucket[a:b].astype(K.U)), kind="stable")[:most_words]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict({"y": piece.column("y"), "doc_id": piece.column("doc_id"), "x": pa.array([x.tobytes() for x in each], pa.binary())})
-
-    rows = training_rows(docs, labels, label, usable, most_docs).select("doc_id", "text", "y").mapInArrow(features, "y int, doc_id bigint, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    each = [np.frombuffer(r["x"], np.int32) for r in rows]
-    doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    return FactorizationMachine.fit(np.concatenate([np.zeros(0, np.int32), *each]), doc, np.array([r["y"] for r in rows], np.int64))
-
-
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", into: str = "score") -> DataFrame:
     """docs with the score of each whole text, in place and without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast((model.buckets, model.bias, model.weights, model.vectors))  # at most BUCKETS terms
