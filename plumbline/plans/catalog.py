@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import drawings, names, readings, rollups, series, shapes, states
+from . import drawings, grids, names, readings, rollups, series, shapes, states
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "drawings", "names", "readings", "rollups", "series", "shapes", "states"]
+__all__ = ["ORACLE", "QUERIES", "drawings", "grids", "names", "readings", "rollups", "series", "shapes", "states"]
