@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, line_dedup, ngram_join, packing, quality_crf
-from plumbline.llm.shared import keep
+from plumbline.llm.shared import fresh, keep
 
 QUALITY = 0.3
 #: No SQL expresses the fitted classifier; tests hold every stage against a brute-force version.
@@ -28,7 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below QUALITY go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_crf.fit(docs, labels, "quality", quality_crf.remainder(5) != 0)
-    return quality_crf.score(docs, model, into="__score").filter(F.col("__score") >= QUALITY).drop("__score")
+    score = fresh(docs.columns, "score")[0]
+    return quality_crf.score(docs, model, into=score).filter(F.col(score) >= QUALITY).drop(score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, Jaccard of 0.8), the document with the smallest id stays."""
     classes = ngram_join.similarity_classes(docs, n=5, num=4, den=5)
-    later = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(later, F.col("doc_id").cast("bigint") == F.col("__id"), "left_anti")
+    other = fresh(docs.columns, "other")[0]
+    later = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(later, F.col("doc_id").cast("bigint") == F.col(other), "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
