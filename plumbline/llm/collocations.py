@@ -1,9 +1,8 @@
 """Operator 12: collocations, as DataFrame operations over exploded n-grams.
 
-1. Texts are cut into pieces at stops, and equal pieces of a language are counted, so a line that stands in a third of all documents is
-   read once below. Pieces are cut into words; each position gives one row for each n-gram of 1 .. max_n words that starts there, with
-   the piece's count, and rows are summed by (phrase, language). Both sums have partial ones before their shuffle, so a piece or phrase
-   that stands everywhere costs a row a task. Phrases counted `least` times or more are written; everything below reads that table, as parts of such a phrase
+1. Texts are cut into pieces at stops, pieces into words. Each position gives one row for each n-gram of 1 .. max_n words that starts
+   there, and rows are counted by phrase and language, which travel as one text with a tab between (no word holds one). Partial sums
+   come before the shuffle, so a phrase that stands everywhere costs a row a task. Phrases counted `least` times or more are written; everything below reads that table, as parts of such a phrase
    are no rarer than it is.
 2. Each cut of a candidate joins the counts of what stands before and after it. A common first word makes a large key on the side
    of the candidates only (the counts hold each phrase once), which adaptive execution splits. Score: floor(scale a^2 / (l r)) in
@@ -39,16 +38,17 @@ def lowered(text: Column) -> Column:
 
 
 def ngrams(docs: DataFrame, max_n: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(phrase, lang, times): a row for each n-gram of 1 .. max_n words at each place of each different piece, and how often the piece stands."""
-    texts = docs.select(F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
-    pieces = texts.select("lang", F.explode(F.split(lowered(F.col("text")), STOPS)).alias("piece")).filter("piece <> ''")
-    pieces = pieces.groupBy("piece", "lang").agg(F.count(F.lit(1)).alias("times"))
-    words = pieces.select("lang", "times", F.explode(F.array(F.array_remove(F.split("piece", BLANKS), ""))).alias("w"))  # a generator of one element: split once
-    places = words.select("lang", "times", "w", F.posexplode("w").alias("i", "p1"))
-    grams = [F.col("p1")]
+    """(key): a row for each n-gram of 1 .. max_n words at each place: its words, a tab, its language."""
+    lang = F.concat(F.lit("\t"), F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("und")))
+    texts = docs.select(lang.alias("lang"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
+    pieces = texts.select("lang", F.explode(F.split(lowered(F.col("text")), STOPS)).alias("piece"))
+    words = pieces.select("lang", F.explode(F.array(F.array_remove(F.split("piece", BLANKS), ""))).alias("w"))  # a generator of one element: split once
+    places = words.select("lang", "w", F.posexplode("w").alias("i", "p1"))
+    each = [F.col("p1")]
     for n in range(1, max_n):
-        grams.append(F.concat(grams[-1], F.lit(" "), F.get(F.col("w"), F.col("i") + n)))  # null beyond the end of the piece
-    return places.select(F.explode(F.array(*grams)).alias("phrase"), "lang", "times").filter("phrase is not null")
+        each += [F.lit(" "), F.get(F.col("w"), F.col("i") + n)]  # null beyond the end of the piece
+    grams = F.array(*[F.concat(*each[: 2 * n + 1], F.col("lang")) for n in range(max_n)])
+    return places.select(F.explode(grams).alias("key")).filter("key is not null")
 
 
 def _cuts(candidates: DataFrame) -> DataFrame:
@@ -67,11 +67,13 @@ def score(scale: int) -> Column:
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, share: int = 50, top: int = 2000, scale: int = 1_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, words, cut, a, l, r, n, score): the first `top` phrases of each language."""
     rows = ngrams(docs, max_n, text_col, lang_col)
-    # the phrase is the first key: where a task's counts outgrow its memory they are sorted, and most phrases differ in their first bytes
-    counts = rows.groupBy("phrase", "lang").agg(F.sum("times").alias("a"))
-    one = ~F.contains("phrase", F.lit(" "))
+    # where a task's counts outgrow its memory they are sorted, and most keys differ in their first bytes
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("a"))
+    phrase, lang = F.substring_index("key", "\t", 1), F.substr("key", F.instr("key", "\t") + 1)
     # words that are rarer than `least` count in n, and are kept as one row a language
-    split = counts.filter((F.col("a") >= least) | one).groupBy(F.when(F.col("a") >= least, F.col("phrase")).alias("phrase"), "lang").agg(F.sum("a").alias("a"))
+    some = counts.select(phrase.alias("phrase"), lang.alias("lang"), "a").filter((F.col("a") >= least) | ~F.contains("phrase", F.lit(" ")))
+    split = some.groupBy(F.when(F.col("a") >= least, F.col("phrase")).alias("phrase"), "lang").agg(F.sum("a").alias("a"))
+    one = ~F.contains("phrase", F.lit(" "))
     kept = keep(split, "phrases")
     totals = kept.groupBy("lang").agg(F.sum(F.when(F.coalesce(one, F.lit(True)), F.col("a"))).alias("total"))
     phrases = kept.filter("phrase is not null").withColumn("n", F.octet_length("phrase") - F.octet_length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
