@@ -45,30 +45,20 @@ def weld_rollup(pieces: DataFrame, edges: DataFrame, area: str, spread: float =
     return own.groupBy("cluster").agg(F.sum(F.col(area).cast("decimal(18,2)")).cast("double").alias("area_sf"), F.count(F.lit(1)).alias("members"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def line_edges(lines: DataFrame, keys: list[str], gap: float = 45.0, share: float = 0.5) -> DataFrame:
-    """Parallel lines (id, c, a0, a1) less than `gap` apart whose overlap is over half of the shorter. Bands of c make it
-    an equi join."""
+def line_edges(lines: DataFrame, keys: list[str], gap: float = 45.0, share: float = 0.5, course: tuple[float, float] | None = None) -> DataFrame:
+    """Parallel lines (id, c, a0, a1) less than `gap` apart whose overlap is over half of the shorter; with course = (across, along) dashes of
+    one course as well, that far apart at most. Bands of c make it an equi join."""
     band = F.floor(F.col("c") / gap).cast("bigint")
     left = lines.withColumn("__b", F.explode(F.array(band, band + 1)))
     right = lines.withColumn("__b", F.explode(F.array(band, band + 1)))
     pairs = left.alias("p").join(right.alias("q"), [*keys, "__b"]).filter(F.col("p.id") < F.col("q.id"))
     overlap = F.least("p.a1", "q.a1") - F.greatest("p.a0", "q.a0")
     shorter = F.least(F.col("p.a1") - F.col("p.a0"), F.col("q.a1") - F.col("q.a0"))
-    return pairs.filter((F.abs(F.col("p.c") - F.col("q.c")) < gap) & (overlap > share * shorter)).select(*keys, F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-
-
-def trains(lines: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
-    """Clusters of parallel lines with their number, extent and upper-median spacing; regular ones are patterns."""
-    from .windows import upper_median
-
-    own = lines.join(components(line_edges(lines, keys), "a", "b"), F.col("id") == F.col("node")).drop("node")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys, "component").orderBy("c")
-    gaps = own.withColumn("gap", F.col("c") - F.lag("c").over(w)).filter("gap > 0")
-    spacing = upper_median(gaps, [*keys, "component"], "gap").withColumnRenamed("median", "spacing")
-    extent = own.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("lines"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("a0").alias("a0"), F.max("a1").alias("a1"))
-    return extent.join(spacing, [*keys, "component"]).filter(F.col("lines") >= least)
+    apart = F.abs(F.col("p.c") - F.col("q.c"))
+    linked = overlap > share * shorter
+    if course:
+        linked = linked | ((apart <= course[0]) & (overlap > -course[1]))
+    return pairs.filter((apart < gap) & linked).select(*keys, F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
 
 
 def signatures(pieces: DataFrame, segments: DataFrame, keys: list[str], id_col: str, size: float = 256.0) -> DataFrame:

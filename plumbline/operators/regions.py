@@ -147,6 +147,34 @@ def holes(cells: DataFrame, pages: DataFrame, keys: list[str], tile: int = TILE)
     return out.filter(F.col("region") != first)
 
 
+def stroked(segments: DataFrame, keys: list[str], cell: str, rows: str, columns: int) -> DataFrame:
+    """(keys, x, y): the places of a grid that segments (x0, y0, x1, y1, and cells a point) pass, at steps of a cell, with those to the
+    right of and below each: a stroke two cells wide. Places off the grid are not there."""
+    u = lambda c: F.col(c) * F.col(cell)
+    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(u("x1") - u("x0")), F.abs(u("y1") - u("y0")))).cast("int"))
+    along = segments.withColumn("__n", steps).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n"))))
+    at = lambda a, b: F.floor(u(a) + (u(b) - u(a)) * F.col("__k") / F.col("__n")).cast("int")
+    spots = along.select(*keys, rows, at("x0", "x1").alias("__x"), at("y0", "y1").alias("__y")).distinct()
+    wide = spots.select(*keys, rows, F.explode(F.array("__x", F.col("__x") + 1)).alias("x"), "__y").select(*keys, rows, "x", F.explode(F.array("__y", F.col("__y") + 1)).alias("y"))
+    return wide.filter(F.col("x").between(0, columns - 1) & (F.col("y") >= 0) & (F.col("y") < F.col(rows))).select(*keys, "x", "y").distinct()
+
+
+def filled(cells: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+    """(keys, x, y, region): regions of cells (corners count) with their holes. A hole is a component of blank places (sides count) that does
+    not reach around the page's cells; the place left of its first one in scan order is of the region around it. Regions inside a hole stay
+    regions of their own."""
+    own = keep(labelled(cells.select(*keys, "x", "y"), keys, tile=tile, diagonal=True), "regions")
+    # blank places matter within the box of a page's cells and a rim of one place
+    box = own.groupBy(*keys).agg((F.min("x") - 1).alias("x0"), (F.min("y") - 1).alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+    rows = box.select(*keys, "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y")).select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y")
+    gaps = keep(labelled(rows.join(own.select(*keys, "x", "y"), [*keys, "x", "y"], "left_anti"), keys, tile=tile), "gaps")
+    # the rim is one component, and its first place is the box's corner
+    inner = gaps.join(box.select(*keys, F.struct(F.col("y0").alias("y"), F.col("x0").alias("x")).alias("region")), [*keys, "region"], "left_anti")
+    around = own.select(*keys, F.col("region").alias("outer"), F.struct("y", (F.col("x") + 1).alias("x")).alias("region"))
+    held = inner.join(around, [*keys, "region"]).select(*keys, "x", "y", F.col("outer").alias("region"))
+    return own.select(*keys, "x", "y", "region").unionByName(held)
+
+
 def outlines(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, region, ring, points): the rings around each region, corners only, in whole coordinates (a cell is the square from x, y to
     x + 1, y + 1); the region lies to the right, ring 0 begins at its first cell and goes around it, the others around its holes.

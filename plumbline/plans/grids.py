@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import regions
+from ..operators import regions, trains
 from .registry import register, table
 
 #: Pages of 40 by 40 places, about 1000 rows of lineitem each whatever the table's size; tiles are small, so that pages have several.
@@ -100,3 +100,31 @@ def tag_fills(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
     seeds = rows.select(F.expr(f"l_orderkey div {ROWS}").alias("page"), F.col("l_orderkey").alias("seed"), (F.col("l_partkey") * 13 % SIDE).cast("double").alias("x"), (F.col("l_suppkey") * 17 % SIDE).cast("double").alias("y"), F.concat(F.lit("T"), (F.col("l_partkey") % 50).cast("string")).alias("tag"))
     return _named(regions.tag_fills(free, seeds, spots, ["page"], tile=TILE), "region")
+
+
+@register("train_walls")
+def train_walls(spark, sf_dir):
+    """Six clusters of lines a page of about 250 rows, with their area, outline and name."""
+    rows, g = table(spark, sf_dir, "lineitem"), F.col("l_suppkey") % 6
+    page = F.expr("l_orderkey div 60").alias("page")
+    axis = F.when(g % 2 == 0, "v").otherwise("h").alias("axis")
+    a0 = g * 40 + F.col("l_linenumber") * 2
+    lines = rows.select(page, axis, (g * 70 + F.col("l_orderkey") % 15 * (4 + g)).cast("double").alias("c"), a0.cast("double").alias("a0"), (a0 + 90 + F.col("l_quantity")).cast("double").alias("a1"))
+    crossing = rows.filter("l_linenumber = 7").select(page, axis, (g * 70.0).alias("b0"), (g * 70 + F.col("l_quantity") * 4).cast("double").alias("b1"), (g * 40 + F.col("l_partkey") % 100).cast("double").alias("bc"))
+    pages = rows.select(page).distinct().select("page", F.lit(700.0).alias("width"), F.lit(600.0).alias("height"))
+    found = trains.plausible_trains(trains.train_regions(lines, crossing, pages, ["page"]), F.lit(0.111))
+    snaps = F.array(*[F.lit(40.0 * k) for k in range(12)])
+    return found.select("page", "axis", F.col("train.c").alias("first"), F.size("lines").alias("n_lines"), "spacing", "med_len", "material", F.round(trains.train_area(F.col("lines")), 6).alias("area_pt2"), F.size(trains.train_outline(F.col("axis"), F.col("lines"), snaps)).alias("corners"))
+
+
+@register("hatch_areas")
+def hatch_areas(spark, sf_dir):
+    """Patches of strokes at three angles on pages of about 3200 rows; cells that the smaller parts hold are taken."""
+    rows, g = table(spark, sf_dir, "lineitem"), F.col("l_suppkey") % 10
+    page = F.expr("l_orderkey div 800").alias("page")
+    x, y = g % 5 * 170 + F.col("l_partkey") % 20 * 6, F.floor(g / 5) * 280 + 40 + F.col("l_linenumber") * 20
+    lean = F.when(g % 3 == 0, 18.0).when(g % 3 == 1, -18.0).otherwise((F.col("l_quantity") - 25).cast("double"))
+    strokes = rows.select(page, x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + lean).cast("double").alias("x1"), (y + 18).cast("double").alias("y1"))
+    pages = rows.select(page).distinct().select("page", F.lit(900.0).alias("width"), F.lit(600.0).alias("height"), F.lit(0.125).alias("ft_per_pt"))
+    taken = rows.filter("l_suppkey % 10 = 3").select(page, F.explode(F.sequence(F.lit(170), F.lit(220))).alias("x"), (F.col("l_partkey") % 60).cast("int").alias("y")).distinct()
+    return _named(trains.hatched(strokes, taken, pages, ["page"], tile=64, grid=300), "region")
