@@ -279,7 +279,9 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     of = keep(members.join(joined, F.col("doc") == F.col("id")).select("component", "list", "doc"), "joined")
     by_list = of.groupBy("component", "list").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.sum("n").alias("lists"))
     whole = of.select("component", "doc").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    at_once = by_list.join(whole, "component").select("component", (F.col("n") <= F.col("lists")).alias("at_once"))
+    # at once, all that end up apart from the first document meet every block: n / block sets for each of at most n
+    most = F.col("n") + F.col("n").cast("double") * F.col("n") / block
+    at_once = by_list.join(whole, "component").select("component", (most <= F.col("lists")).alias("at_once"))
     groups = salted_join(of, at_once, "component", "doc").select(F.when(F.col("at_once"), F.col("component")).otherwise(F.col("list")).alias("list"), "doc").distinct()
 
     # A work unit is one document with its partners, or a block of a group with the group's first document.
