@@ -106,18 +106,18 @@ def clip_regions(spark, sf_dir):
 _ENDS = "greatest(u0 - {x}, {x} - u0 - 10, 0) <= 20 AND greatest(v0 - {y}, {y} - v0 - 6, 0) <= 20"
 
 
-@register("leaders", f"WITH s AS (SELECT * FROM ({BOX_SQL}) WHERE (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) BETWEEN 625 AND 360000), b AS (SELECT p_brand AS page, p_partkey * 53 % 1000 AS u0, p_partkey * 29 % 1000 AS v0 FROM part WHERE p_partkey % 4 = 0) SELECT DISTINCT s.page, id FROM s JOIN b ON b.page = s.page AND (({_ENDS.format(x='x0', y='y0')}) OR ({_ENDS.format(x='x1', y='y1')}))")
+@register("leaders", f"WITH s AS (SELECT * FROM ({BOX_SQL}) WHERE (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) BETWEEN 625 AND 360000), b AS (SELECT p_partkey // 80 AS page, p_partkey * 53 % 1000 AS u0, p_partkey * 29 % 1000 AS v0 FROM part WHERE p_partkey % 4 = 0) SELECT DISTINCT s.page, id FROM s JOIN b ON b.page = s.page AND (({_ENDS.format(x='x0', y='y0')}) OR ({_ENDS.format(x='x1', y='y1')}))")
 def leaders(spark, sf_dir):
     """the diagonals of boxes near every fourth part's label."""
     k = F.col("p_partkey")
     d = lambda v: v.cast("double")
     segments = boxes(spark, sf_dir).select("page", "id", F.col("box.x0").alias("x1"), F.col("box.y0").alias("y1"), F.col("box.x1").alias("x2"), F.col("box.y1").alias("y2"))
     label = F.struct(d(k * 53 % 1000).alias("x0"), d(k * 29 % 1000).alias("y0"), d(k * 53 % 1000 + 10).alias("x1"), d(k * 29 % 1000 + 6).alias("y1"))
-    blocks = table(spark, sf_dir, "part").filter(k % 4 == 0).select(F.col("p_brand").alias("page"), label.alias("box"))
+    blocks = table(spark, sf_dir, "part").filter(k % 4 == 0).select(F.expr("p_partkey div 80").alias("page"), label.alias("box"))
     return vectors.leaders(segments, blocks, ["page"], "id", "box").select("page", "id")
 
 
-_LINES = "SELECT p_partkey AS id, p_brand AS page, p_partkey % 2 = 0 AS level, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size * 4 AS l, (p_partkey % 5) / 2.0::DOUBLE AS s FROM part"
+_LINES = "SELECT p_partkey AS id, p_partkey // 80 AS page, p_partkey % 2 = 0 AS level, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size * 4 AS l, (p_partkey % 5) / 2.0::DOUBLE AS s FROM part"
 
 
 def _segments(spark, sf_dir):
@@ -125,7 +125,7 @@ def _segments(spark, sf_dir):
     k = F.col("p_partkey")
     x, y, length, skew = (k * 37 % 1000).cast("double"), (k * 91 % 1000).cast("double"), F.col("p_size") * 4.0, (k % 5) / 2
     level = k % 2 == 0
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("page"), x.alias("x1"), y.alias("y1"), F.when(level, x - length).otherwise(x + skew).alias("x2"), F.when(level, y + skew).otherwise(y + length).alias("y2"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.expr("p_partkey div 80").alias("page"), x.alias("x1"), y.alias("y1"), F.when(level, x - length).otherwise(x + skew).alias("x2"), F.when(level, y + skew).otherwise(y + length).alias("y2"))
 
 
 _STRAIGHT = f"SELECT id, page, CASE WHEN level THEN 'h' ELSE 'v' END AS axis, CASE WHEN level THEN x - l ELSE y END::DOUBLE AS a0, CASE WHEN level THEN x ELSE y + l END::DOUBLE AS a1, (CASE WHEN level THEN y ELSE x END + s / 2)::DOUBLE AS c, l::DOUBLE AS length FROM ({_LINES}) WHERE l >= 18 AND s <= 1.5"
@@ -146,7 +146,7 @@ def line_corners(spark, sf_dir):
 @register(
     "level_marks",
     """
-    WITH r AS (SELECT p_partkey AS seq, p_brand AS page, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_partkey % 4 AS k, p_size AS n FROM part WHERE p_partkey % 10 >= 4),
+    WITH r AS (SELECT p_partkey AS seq, p_partkey // 80 AS page, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_partkey % 4 AS k, p_size AS n FROM part WHERE p_partkey % 10 >= 4),
          v AS (SELECT * FROM r WHERE k < 2),
          f AS (SELECT v.page, v.seq, arg_min(CASE WHEN q.k = 1 THEN 'T.O. STEEL ' || q.n || '''-0"' ELSE 'ROOF' END, q.seq) AS label FROM v JOIN r q ON q.page = v.page AND q.seq <> v.seq AND q.k IN (1, 2) AND abs(q.y - v.y) < 30 AND abs(q.x - v.x) < 160 GROUP BY 1, 2),
          t AS (SELECT v.page, v.seq, v.y::DOUBLE AS y, CASE WHEN k = 0 THEN n + 0.5 ELSE n END::DOUBLE AS ft, CASE WHEN k = 1 THEN 'T.O. STEEL ' || n || '''-0"' ELSE f.label END AS label FROM v LEFT JOIN f ON f.page = v.page AND f.seq = v.seq)
@@ -156,7 +156,7 @@ def level_marks(spark, sf_dir):
     """Heights, labels with heights, labels alone and notes, some read with doubt."""
     k, n = F.col("p_partkey"), F.col("p_size").cast("string")
     text = F.when(k % 4 == 0, F.concat(n, F.lit("'-6\""))).when(k % 4 == 1, F.concat(F.lit("T.O. STEEL "), n, F.lit("'-0\""))).when(k % 4 == 2, "ROOF").otherwise("note")
-    rows = table(spark, sf_dir, "part").select(k.alias("seq"), F.col("p_brand").alias("page"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 1000).cast("double").alias("y"), text.alias("text"), F.when(k % 10 >= 4, 0.9).otherwise(0.5).alias("conf"))
+    rows = table(spark, sf_dir, "part").select(k.alias("seq"), F.expr("p_partkey div 80").alias("page"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 1000).cast("double").alias("y"), text.alias("text"), F.when(k % 10 >= 4, 0.9).otherwise(0.5).alias("conf"))
     return vectors.level_marks(rows, ["page"], "seq")
 
 

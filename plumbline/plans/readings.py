@@ -66,14 +66,14 @@ def small_faces(spark, sf_dir):
     return spatial.small_faces_kept(faces, ["page"], "group", "area", "box", gap=0.06).select("id")
 
 
-_KEYED = "WITH w AS (SELECT p_partkey AS k, p_brand AS page, p_partkey * 37 % 1000 + 12 AS x1, p_partkey * 91 % 1000 + 4 AS mid FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS seq, p_brand AS page, p_partkey * 53 % 1000 AS x0, p_partkey * 29 % 1000 AS y0, 'block ' || p_partkey AS text FROM part WHERE p_partkey % 2 = 1) SELECT page, 'K' || k AS key, arg_min(text, {order}) AS text FROM w JOIN b USING (page) WHERE x0 - x1 >= -4 AND x0 - x1 < 180 AND mid BETWEEN y0 - 8 AND y0 + 18 GROUP BY 1, 2"
+_KEYED = "WITH w AS (SELECT p_partkey AS k, p_partkey // 80 AS page, p_partkey * 37 % 1000 + 12 AS x1, p_partkey * 91 % 1000 + 4 AS mid FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS seq, p_partkey // 80 AS page, p_partkey * 53 % 1000 AS x0, p_partkey * 29 % 1000 AS y0, 'block ' || p_partkey AS text FROM part WHERE p_partkey % 2 = 1) SELECT page, 'K' || k AS key, arg_min(text, {order}) AS text FROM w JOIN b USING (page) WHERE x0 - x1 >= -4 AND x0 - x1 < 180 AND mid BETWEEN y0 - 8 AND y0 + 18 GROUP BY 1, 2"
 
 
 def _keyed(spark, sf_dir, by_gap):
     k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
     d = lambda c: c.cast("double")
-    words = part.filter(k % 2 == 0).select(F.col("p_brand").alias("page"), F.concat(F.lit("K"), k.cast("string")).alias("key"), d(k * 37 % 1000).alias("x0"), d(k * 91 % 1000).alias("y0"), d(k * 37 % 1000 + 12).alias("x1"), d(k * 91 % 1000 + 8).alias("y1"))
-    blocks = part.filter(k % 2 == 1).select(F.col("p_brand").alias("page"), k.alias("seq"), d(k * 53 % 1000).alias("bx0"), d(k * 29 % 1000).alias("by0"), d(k * 53 % 1000 + 40).alias("bx1"), d(k * 29 % 1000 + 10).alias("by1"), F.concat(F.lit("block "), k.cast("string")).alias("text"))
+    words = part.filter(k % 2 == 0).select(F.expr("p_partkey div 80").alias("page"), F.concat(F.lit("K"), k.cast("string")).alias("key"), d(k * 37 % 1000).alias("x0"), d(k * 91 % 1000).alias("y0"), d(k * 37 % 1000 + 12).alias("x1"), d(k * 91 % 1000 + 8).alias("y1"))
+    blocks = part.filter(k % 2 == 1).select(F.expr("p_partkey div 80").alias("page"), k.alias("seq"), d(k * 53 % 1000).alias("bx0"), d(k * 29 % 1000).alias("by0"), d(k * 53 % 1000 + 40).alias("bx1"), d(k * 29 % 1000 + 10).alias("by1"), F.concat(F.lit("block "), k.cast("string")).alias("text"))
     return spatial.key_left_of(words, blocks, ["page"], by_gap)
 
 
@@ -92,26 +92,26 @@ def loose_pairs(spark, sf_dir):
 @register(
     "dimension_votes",
     """
-    WITH w AS (SELECT p_partkey AS id, p_brand AS page, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size AS f FROM part WHERE p_partkey % 2 = 0),
-         s AS (SELECT DISTINCT p_brand AS page, p_partkey * 53 % 1000 AS a0, p_partkey * 53 % 1000 + p_size * 8 AS a1, p_partkey * 29 % 1000 AS c FROM part WHERE p_partkey % 2 = 1)
+    WITH w AS (SELECT p_partkey AS id, p_partkey // 80 AS page, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size AS f FROM part WHERE p_partkey % 2 = 0),
+         s AS (SELECT DISTINCT p_partkey // 80 AS page, p_partkey * 53 % 1000 AS a0, p_partkey * 53 % 1000 + p_size * 8 AS a1, p_partkey * 29 % 1000 AS c FROM part WHERE p_partkey % 2 = 1)
     SELECT DISTINCT page, id, f / (a1 - a0)::DOUBLE AS ft_per_pt FROM w JOIN s USING (page) WHERE x BETWEEN a0 + 0.02::DOUBLE * (a1 - a0) AND a1 - 0.02::DOUBLE * (a1 - a0) AND abs(y - c) <= 30 AND f / (a1 - a0)::DOUBLE * 72 BETWEEN 0.5 AND 40""",
 )
 def dimension_votes(spark, sf_dir):
     """J12."""
     k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
     d = lambda c: c.cast("double")
-    words = part.filter(k % 2 == 0).select(k.alias("id"), F.col("p_brand").alias("page"), d(k * 37 % 1000).alias("along"), d(k * 91 % 1000).alias("across"), d(F.col("p_size")).alias("feet"))
-    lines = part.filter(k % 2 == 1).select(F.col("p_brand").alias("page"), d(k * 53 % 1000).alias("a0"), d(k * 53 % 1000 + F.col("p_size") * 8).alias("a1"), d(k * 29 % 1000).alias("c"))
+    words = part.filter(k % 2 == 0).select(k.alias("id"), F.expr("p_partkey div 80").alias("page"), d(k * 37 % 1000).alias("along"), d(k * 91 % 1000).alias("across"), d(F.col("p_size")).alias("feet"))
+    lines = part.filter(k % 2 == 1).select(F.expr("p_partkey div 80").alias("page"), d(k * 53 % 1000).alias("a0"), d(k * 53 % 1000 + F.col("p_size") * 8).alias("a1"), d(k * 29 % 1000).alias("c"))
     return spatial.line_votes(words, lines, ["page"])
 
 
-@register("points_in_triangles", f"WITH b AS ({BOX_SQL}), p AS (SELECT p_partkey AS pt, p_brand AS page, p_partkey * 53 % 1000 + 0.25 AS x, p_partkey * 29 % 1000 + 0.5 AS y FROM part) SELECT b.page, pt, id FROM p JOIN b USING (page) WHERE x > x0 AND x < x1 AND y > y0 AND y < y1 AND (x - x0) * (y1 - y0) + (y - y0) * (x1 - x0) < (x1 - x0) * (y1 - y0)")
+@register("points_in_triangles", f"WITH b AS ({BOX_SQL}), p AS (SELECT p_partkey AS pt, p_partkey // 80 AS page, p_partkey * 53 % 1000 + 0.25 AS x, p_partkey * 29 % 1000 + 0.5 AS y FROM part) SELECT b.page, pt, id FROM p JOIN b USING (page) WHERE x > x0 AND x < x1 AND y > y0 AND y < y1 AND (x - x0) * (y1 - y0) + (y - y0) * (x1 - x0) < (x1 - x0) * (y1 - y0)")
 def points_in_triangles(spark, sf_dir):
     """The lower left half of each box."""
     k = F.col("p_partkey")
     pt = lambda x, y: F.struct(F.col(f"box.{x}").alias("x"), F.col(f"box.{y}").alias("y"))
     faces = boxes(spark, sf_dir).select("page", "id", "box", F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x0", "y1")).alias("points"))
-    points = table(spark, sf_dir, "part").select(k.alias("pt"), F.col("p_brand").alias("page"), (k * 53 % 1000 + 0.25).alias("x"), (k * 29 % 1000 + 0.5).alias("y"))
+    points = table(spark, sf_dir, "part").select(k.alias("pt"), F.expr("p_partkey div 80").alias("page"), (k * 53 % 1000 + 0.25).alias("x"), (k * 29 % 1000 + 0.5).alias("y"))
     return spatial.points_in_polygons(points, faces, ["page"], "x", "y", "points", "box", 100.0).select("page", "pt", "id")
 
 
@@ -228,7 +228,7 @@ def marked_areas(spark, sf_dir):
     return documents.marked_polygons(rows, F.lit(9.0)).select("seq", "area_sf", "sf_exact")
 
 
-@register("gold_outlines", "SELECT page, min_by(seq, (u, seq)) AS seq FROM (SELECT p_brand AS page, p_partkey AS seq, (p_partkey % 3 = 0)::INT AS u, p_size AS w, p_partkey % 4 AS h FROM part WHERE p_size >= 10) GROUP BY page, w, h")
+@register("gold_outlines", "SELECT page, min_by(seq, (u, seq)) AS seq FROM (SELECT p_partkey // 80 AS page, p_partkey AS seq, (p_partkey % 3 = 0)::INT AS u, p_size AS w, p_partkey % 4 AS h FROM part) GROUP BY page, w, h")
 def gold_outlines(spark, sf_dir):
     """Outlines that begin at any corner are one; every third piece has no name."""
     k = F.col("p_partkey")
@@ -236,7 +236,7 @@ def gold_outlines(spark, sf_dir):
     zero, w, h = F.lit(0), F.col("p_size") * 8, (k % 4 + 40)
     corners = F.array(at(zero, zero), at(w, zero), at(w, h), at(zero, h))
     turn = (k % 3).cast("int")
-    rows = table(spark, sf_dir, "part").filter("p_size >= 10").select(F.lit("j").alias("job_id"), F.col("p_brand").alias("page"), k.alias("seq"), F.lit(6).alias("kind"), F.concat(F.slice(corners, turn + 1, 4 - turn), F.slice(corners, 1, turn)).alias("vertices"), F.lit("").alias("content"), F.when(k % 3 == 0, "").otherwise("Brick").alias("subject"))
+    rows = table(spark, sf_dir, "part").select(F.lit("j").alias("job_id"), F.expr("p_partkey div 80").alias("page"), k.alias("seq"), F.lit(6).alias("kind"), F.concat(F.slice(corners, turn + 1, 4 - turn), F.slice(corners, 1, turn)).alias("vertices"), F.lit("").alias("content"), F.when(k % 3 == 0, "").otherwise("Brick").alias("subject"))
     return documents.gold_polygons(rows, F.lit(72.0)).select("page", "seq")
 
 
@@ -307,8 +307,8 @@ def pattern_signatures(spark, sf_dir):
 
 
 _SNAP = """
-    WITH v AS (SELECT p_partkey AS id, p_brand AS page, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y FROM part), c AS (SELECT DISTINCT p_brand AS page, p_partkey * 53 % 1000 AS cx, p_partkey * 29 % 1000 AS cy FROM part WHERE p_partkey % 2 = 0),
-         u AS (SELECT DISTINCT p_brand AS page, p_partkey * 71 % 1000 AS c FROM part WHERE p_partkey % 6 = 1), h AS (SELECT DISTINCT p_brand AS page, p_partkey * 43 % 1000 AS c FROM part WHERE p_partkey % 6 = 5),
+    WITH v AS (SELECT p_partkey AS id, p_partkey // 80 AS page, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y FROM part), c AS (SELECT DISTINCT p_partkey // 80 AS page, p_partkey * 53 % 1000 AS cx, p_partkey * 29 % 1000 AS cy FROM part WHERE p_partkey % 2 = 0),
+         u AS (SELECT DISTINCT p_partkey // 80 AS page, p_partkey * 71 % 1000 AS c FROM part WHERE p_partkey % 6 = 1), h AS (SELECT DISTINCT p_partkey // 80 AS page, p_partkey * 43 % 1000 AS c FROM part WHERE p_partkey % 6 = 5),
          n AS (SELECT v.page, id, arg_min((cx, cy), ((x - cx) * (x - cx) + (y - cy) * (y - cy), cx, cy)) AS t FROM v JOIN c ON c.page = v.page AND (x - cx) * (x - cx) + (y - cy) * (y - cy) < 900 GROUP BY 1, 2),
          a AS (SELECT v.page, id, arg_min(c, (abs(x - c), c)) AS t FROM v JOIN u ON u.page = v.page AND abs(x - c) < 30 GROUP BY 1, 2), b AS (SELECT v.page, id, arg_min(c, (abs(y - c), c)) AS t FROM v JOIN h ON h.page = v.page AND abs(y - c) < 30 GROUP BY 1, 2)
     SELECT v.page, v.id, CASE WHEN n.t IS NOT NULL THEN n.t[1] ELSE coalesce(a.t, x) END::DOUBLE AS x, CASE WHEN n.t IS NOT NULL THEN n.t[2] ELSE coalesce(b.t, y) END::DOUBLE AS y,
@@ -319,18 +319,18 @@ _SNAP = """
 @register("snapped_vertices", _SNAP)
 def snapped_vertices(spark, sf_dir):
     """J30."""
-    k, part = F.col("p_partkey"), table(spark, sf_dir, "part").withColumnRenamed("p_brand", "page")
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part").withColumn("page", F.expr("p_partkey div 80"))
     at = lambda m: (k * m % 1000).cast("double")
     corners = part.filter(k % 2 == 0).select("page", at(53).alias("x"), at(29).alias("y")).distinct()
     lines = part.filter(k % 6 == 1).select("page", F.lit("v").alias("axis"), at(71).alias("c")).unionByName(part.filter(k % 6 == 5).select("page", F.lit("h").alias("axis"), at(43).alias("c")))
     return spatial.snapped_vertices(part.select(k.alias("id"), "page", at(37).alias("x"), at(91).alias("y")), corners, lines, ["page"], "id", 30.0)
 
 
-@register("tagged_regions", f"WITH b AS ({BOX_SQL}), p AS (SELECT p_partkey AS tag, p_brand AS page, p_partkey * 53 % 1000 AS x, p_partkey * 29 % 1000 AS y FROM part), d AS (SELECT p.page, tag, id, sqrt(pow(greatest(x0 - x, x - x1, 0), 2) + pow(greatest(y0 - y, y - y1, 0), 2)) AS d FROM p JOIN b USING (page)) SELECT page, tag, arg_min(id, (round(d, 6), id)) AS id, round(min(d), 6) AS distance FROM d WHERE d <= 60 GROUP BY 1, 2")
+@register("tagged_regions", f"WITH b AS ({BOX_SQL}), p AS (SELECT p_partkey AS tag, p_partkey // 80 AS page, p_partkey * 53 % 1000 AS x, p_partkey * 29 % 1000 AS y FROM part), d AS (SELECT p.page, tag, id, sqrt(pow(greatest(x0 - x, x - x1, 0), 2) + pow(greatest(y0 - y, y - y1, 0), 2)) AS d FROM p JOIN b USING (page)) SELECT page, tag, arg_min(id, (round(d, 6), id)) AS id, round(min(d), 6) AS distance FROM d WHERE d <= 60 GROUP BY 1, 2")
 def tagged_regions(spark, sf_dir):
     """Rectangles, so that the distance has a closed form."""
     k = F.col("p_partkey")
     pt = lambda x, y: F.struct(F.col(f"box.{x}").alias("x"), F.col(f"box.{y}").alias("y"))
     faces = boxes(spark, sf_dir).select("page", "id", "box", F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y1")).alias("points"))
-    tags = table(spark, sf_dir, "part").select(k.alias("tag"), F.col("p_brand").alias("page"), (k * 53 % 1000).cast("double").alias("x"), (k * 29 % 1000).cast("double").alias("y"))
+    tags = table(spark, sf_dir, "part").select(k.alias("tag"), F.expr("p_partkey div 80").alias("page"), (k * 53 % 1000).cast("double").alias("x"), (k * 29 % 1000).cast("double").alias("y"))
     return spatial.nearest_region(tags, faces, ["page"], 60.0, "tag", "id").withColumn("distance", F.round("distance", 6))

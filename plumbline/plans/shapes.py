@@ -11,8 +11,8 @@ from .registry import register, table
 
 __all__ = ["learned"]
 
-#: Part boxes: a corner from the key, a width from the size, a height from the key again. Integers, so both engines agree.
-BOX_SQL = "SELECT p_partkey AS id, p_brand AS page, (p_partkey * 37) % 1000 AS x0, (p_partkey * 91) % 1000 AS y0, (p_partkey * 37) % 1000 + p_size + 5 AS x1, (p_partkey * 91) % 1000 + p_partkey % 60 + 5 AS y1, p_partkey % 3 = 0 AS booked FROM part"
+#: A page holds 80 parts whatever the table's size. Part boxes: a corner from the key, a width from the size, a height from the key again. Integers, so both engines agree.
+BOX_SQL = "SELECT p_partkey AS id, p_partkey // 80 AS page, (p_partkey * 37) % 1000 AS x0, (p_partkey * 91) % 1000 AS y0, (p_partkey * 37) % 1000 + p_size + 5 AS x1, (p_partkey * 91) % 1000 + p_partkey % 60 + 5 AS y1, p_partkey % 3 = 0 AS booked FROM part"
 
 
 def boxes(spark, sf_dir):
@@ -20,7 +20,7 @@ def boxes(spark, sf_dir):
     x, y = k * 37 % 1000, k * 91 % 1000
     d = lambda c: c.cast("double")
     box = F.struct(d(x).alias("x0"), d(y).alias("y0"), d(x + F.col("p_size") + 5).alias("x1"), d(y + k % 60 + 5).alias("y1"))
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("page"), box.alias("box"), (k % 3 == 0).alias("booked"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.expr("p_partkey div 80").alias("page"), box.alias("box"), (k % 3 == 0).alias("booked"))
 
 
 _OVER = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
@@ -42,21 +42,21 @@ def booked_anti_join(spark, sf_dir):
     return spatial.suggestions_kept(b.filter(~F.col("booked")), b.filter("booked"), ["page"], "box", 100.0).select("page", "id")
 
 
-@register("point_in_bbox", f"WITH b AS ({BOX_SQL}), p AS (SELECT p_partkey AS pt, p_brand AS page, (p_partkey * 53) % 1000 AS x, (p_partkey * 29) % 1000 AS y FROM part) SELECT b.page, pt, id FROM p JOIN b ON p.page = b.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+@register("point_in_bbox", f"WITH b AS ({BOX_SQL}), p AS (SELECT p_partkey AS pt, p_partkey // 80 AS page, (p_partkey * 53) % 1000 AS x, (p_partkey * 29) % 1000 AS y FROM part) SELECT b.page, pt, id FROM p JOIN b ON p.page = b.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
 def point_in_bbox(spark, sf_dir):
     """J15."""
     k = F.col("p_partkey")
-    points = table(spark, sf_dir, "part").select(k.alias("pt"), F.col("p_brand").alias("page"), (k * 53 % 1000).cast("double").alias("x"), (k * 29 % 1000).cast("double").alias("y"))
+    points = table(spark, sf_dir, "part").select(k.alias("pt"), F.expr("p_partkey div 80").alias("page"), (k * 53 % 1000).cast("double").alias("x"), (k * 29 % 1000).cast("double").alias("y"))
     return spatial.points_in_boxes(points, boxes(spark, sf_dir), ["page"], "x", "y", "box", 100.0).select("page", "pt", "id")
 
 
-@register("nearest_label", "WITH a AS (SELECT p_partkey AS id, p_brand AS page, (p_partkey * 37) % 1000 AS x, (p_partkey * 91) % 1000 AS y FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS label, p_brand AS page, (p_partkey * 53) % 1000 AS u, (p_partkey * 29) % 1000 AS v FROM part WHERE p_partkey % 2 = 1), d AS (SELECT a.page, id, label, row_number() OVER (PARTITION BY a.page, id ORDER BY (x - u) * (x - u) + (y - v) * (y - v), label) AS r FROM a JOIN b ON a.page = b.page AND (x - u) * (x - u) + (y - v) * (y - v) <= 14400) SELECT a.page, a.id, label FROM a LEFT JOIN (SELECT * FROM d WHERE r = 1) d ON d.page = a.page AND d.id = a.id")
+@register("nearest_label", "WITH a AS (SELECT p_partkey AS id, p_partkey // 80 AS page, (p_partkey * 37) % 1000 AS x, (p_partkey * 91) % 1000 AS y FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS label, p_partkey // 80 AS page, (p_partkey * 53) % 1000 AS u, (p_partkey * 29) % 1000 AS v FROM part WHERE p_partkey % 2 = 1), d AS (SELECT a.page, id, label, row_number() OVER (PARTITION BY a.page, id ORDER BY (x - u) * (x - u) + (y - v) * (y - v), label) AS r FROM a JOIN b ON a.page = b.page AND (x - u) * (x - u) + (y - v) * (y - v) <= 14400) SELECT a.page, a.id, label FROM a LEFT JOIN (SELECT * FROM d WHERE r = 1) d ON d.page = a.page AND d.id = a.id")
 def nearest_label(spark, sf_dir):
     """The nearest within 120."""
     k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
     d = lambda m: (k * m % 1000).cast("double")
-    a = part.filter(k % 2 == 0).select(k.alias("id"), F.col("p_brand").alias("page"), d(37).alias("x"), d(91).alias("y"))
-    b = part.filter(k % 2 == 1).select(k.alias("label"), F.col("p_brand").alias("page"), d(53).alias("u"), d(29).alias("v"))
+    a = part.filter(k % 2 == 0).select(k.alias("id"), F.expr("p_partkey div 80").alias("page"), d(37).alias("x"), d(91).alias("y"))
+    b = part.filter(k % 2 == 1).select(k.alias("label"), F.expr("p_partkey div 80").alias("page"), d(53).alias("u"), d(29).alias("v"))
     return spatial.nearest(a, b, ["page"], ("x", "y"), ("u", "v"), 120.0, "id", "label").select("page", "id", "label")
 
 
@@ -191,15 +191,15 @@ def components(spark, sf_dir):
     return graph.components(e, "a", "b").select(F.when(F.col("node") % 2 == 0, "part").otherwise("supplier").alias("kind"), F.floor(F.col("node") / 2).alias("key"), "component")
 
 
-@register("line_clusters", "WITH l AS (SELECT p_partkey AS id, p_brand AS page, (p_partkey * 37) % 2000 AS c, (p_partkey * 91) % 500 AS a0, (p_partkey * 91) % 500 + p_size * 4 + 10 AS a1 FROM part) SELECT p.page, p.id AS a, q.id AS b FROM l p JOIN l q ON p.page = q.page AND p.id < q.id AND abs(p.c - q.c) < 45 AND least(p.a1, q.a1) - greatest(p.a0, q.a0) > 0.5 * least(p.a1 - p.a0, q.a1 - q.a0)")
+@register("line_clusters", "WITH l AS (SELECT p_partkey AS id, p_partkey // 80 AS page, (p_partkey * 37) % 2000 AS c, (p_partkey * 91) % 500 AS a0, (p_partkey * 91) % 500 + p_size * 4 + 10 AS a1 FROM part) SELECT p.page, p.id AS a, q.id AS b FROM l p JOIN l q ON p.page = q.page AND p.id < q.id AND abs(p.c - q.c) < 45 AND least(p.a1, q.a1) - greatest(p.a0, q.a0) > 0.5 * least(p.a1 - p.a0, q.a1 - q.a0)")
 def line_clusters(spark, sf_dir):
     """J21."""
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("page"), (k * 37 % 2000).alias("c"), (k * 91 % 500).alias("a0"), (k * 91 % 500 + F.col("p_size") * 4 + 10).alias("a1"))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.expr("p_partkey div 80").alias("page"), (k * 37 % 2000).alias("c"), (k * 91 % 500).alias("a0"), (k * 91 % 500 + F.col("p_size") * 4 + 10).alias("a1"))
     return graph.line_edges(rows, ["page"])
 
 
-_SHARES = f"b AS (SELECT id, page, p_type AS type, p_retailprice AS sf, x0 / 1100.0::DOUBLE AS x0, y0 / 1100.0::DOUBLE AS y0, x1 / 1100.0::DOUBLE AS x1, y1 / 1100.0::DOUBLE AS y1 FROM ({BOX_SQL}) JOIN part ON p_partkey = id)"
+_SHARES = f"b AS (SELECT id, page, p_partkey // 2 % 2 AS type, p_retailprice AS sf, x0 / 1100.0::DOUBLE AS x0, y0 / 1100.0::DOUBLE AS y0, x1 / 1100.0::DOUBLE AS x1, y1 / 1100.0::DOUBLE AS y1 FROM ({BOX_SQL}) JOIN part ON p_partkey = id)"
 
 
 @register(
@@ -215,7 +215,7 @@ def weld_rollup(spark, sf_dir):
     """G7 over the boxes of all parts, in shares of a page of 1100 points; pieces of one page and type whose boxes lie within 0.015
     are linked."""
     share = F.struct(*[(F.col(f"box.{c}") / 1100).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_retailprice").alias("sf"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 2 % 2").alias("type"), F.col("p_retailprice").alias("sf"))
     pieces = boxes(spark, sf_dir).select("id", "page", share.alias("box")).join(part, "id")
     other = pieces.select("page", "type", F.col("id").alias("other"), F.col("box").alias("o"))
     e = spatial.box_join(pieces, other, ["page", "type"], "box", "o", 0.1, 0.015, F.col("id") < F.col("other")).select(F.col("id").alias("a"), F.col("other").alias("b"))
