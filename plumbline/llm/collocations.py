@@ -2,7 +2,7 @@
 
 1. Texts are cut into pieces at stops, pieces into words. Each position gives one row for each n-gram of 1 .. max_n words that starts
    there, and rows are counted by phrase and language, which travel as one text with a tab between (no word holds one). Partial sums
-   come before the shuffle, so a phrase that stands everywhere costs a row a task. Phrases counted `least` times or more are written; everything below reads that table, as parts of such a phrase
+   come before the shuffle, so a phrase that stands everywhere costs a row a task. The longest phrases are counted apart. Phrases counted `least` times or more are written; everything below reads that table, as parts of such a phrase
    are no rarer than it is.
 2. Each cut of a candidate joins the counts of what stands before and after it. A common first word makes a large key on the side
    of the candidates only (the counts hold each phrase once), which adaptive execution splits. Score: floor(scale a^2 / (l r)) in
@@ -37,8 +37,8 @@ def lowered(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, CAPITALS, SMALL))
 
 
-def ngrams(docs: DataFrame, max_n: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(key): a row for each n-gram of 1 .. max_n words at each place: its words, a tab, its language."""
+def ngrams(docs: DataFrame, least_n: int, max_n: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(key): a row for each n-gram of least_n .. max_n words at each place: its words, a tab, its language."""
     lang = F.concat(F.lit("\t"), F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("und")))
     texts = docs.select(lang.alias("lang"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     pieces = texts.select("lang", F.explode(F.split(lowered(F.col("text")), STOPS)).alias("piece"))
@@ -47,7 +47,7 @@ def ngrams(docs: DataFrame, max_n: int, text_col: str = "text", lang_col: str =
     each = [F.col("p1")]
     for n in range(1, max_n):
         each += [F.lit(" "), F.get(F.col("w"), F.col("i") + n)]  # null beyond the end of the piece
-    grams = F.array(*[F.concat(*each[: 2 * n + 1], F.col("lang")) for n in range(max_n)])
+    grams = F.array(*[F.concat(*each[: 2 * n + 1], F.col("lang")) for n in range(least_n - 1, max_n)])
     return places.select(F.explode(grams).alias("key")).filter("key is not null")
 
 
@@ -66,15 +66,20 @@ def score(scale: int) -> Column:
 
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, share: int = 50, top: int = 2000, scale: int = 1_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, words, cut, a, l, r, n, score): the first `top` phrases of each language."""
-    rows = ngrams(docs, max_n, text_col, lang_col)
-    # where a task's counts outgrow its memory they are sorted, and most keys differ in their first bytes
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("a"))
     phrase, lang = F.substring_index("key", "\t", 1), F.substr("key", F.instr("key", "\t") + 1)
-    # words that are rarer than `least` count in n, and are kept as one row a language
-    some = counts.select(phrase.alias("phrase"), lang.alias("lang"), "a").filter((F.col("a") >= least) | ~F.contains("phrase", F.lit(" ")))
-    split = some.groupBy(F.when(F.col("a") >= least, F.col("phrase")).alias("phrase"), "lang").agg(F.sum("a").alias("a"))
+
+    def counted(low: int, high: int) -> DataFrame:
+        # where a task's counts outgrow its memory they are sorted, and most keys differ in their first bytes
+        counts = ngrams(docs, low, high, text_col, lang_col).groupBy("key").agg(F.count(F.lit(1)).alias("a"))
+        # words that are rarer than `least` count in n, and are kept as one row a language
+        some = counts.select(phrase.alias("phrase"), lang.alias("lang"), "a").filter((F.col("a") >= least) | ~F.contains("phrase", F.lit(" ")))
+        return keep(some.groupBy(F.when(F.col("a") >= least, F.col("phrase")).alias("phrase"), "lang").agg(F.sum("a").alias("a")), "phrases")
+
+    # the longest phrases, about half of all different ones, apart from the others: their shuffle files are not there at one time
+    kept = counted(1, max(1, max_n - 1))
+    if max_n > 1:
+        kept = kept.unionByName(counted(max_n, max_n))
     one = ~F.contains("phrase", F.lit(" "))
-    kept = keep(split, "phrases")
     totals = kept.groupBy("lang").agg(F.sum(F.when(F.coalesce(one, F.lit(True)), F.col("a"))).alias("total"))
     phrases = kept.filter("phrase is not null").withColumn("n", F.octet_length("phrase") - F.octet_length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
     cuts = _cuts(phrases)
