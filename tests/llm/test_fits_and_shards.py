@@ -90,7 +90,7 @@ def test_whitening_against_fractions(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(300, 6)) * [3, 2.999, 1, 1, 0.2, 0.1] + [1e6, -4e5, 0, 3, 0, 0]
     rows = [(k, v.tolist(), "x") for k, v in enumerate(base)] + [(900 + k, base[0].tolist(), "x") for k in range(200)]
-    odd = [(2000, None, "x"), (2001, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x"), (2002, [float("nan")] * 6, "x"), (2003, [1.0, float("inf"), 0, 0, 0, 0], "x"), (2004, [1.0, 2.0], "x"), (2005, [], "x")]
+    odd = [(2000, None, "x"), (2001, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x"), (2002, [float("nan")] * 6, "x"), (2003, [1.0, float("inf"), 0.0, 0.0, 0.0, 0.0], "x"), (2004, [1.0, 2.0], "x"), (2005, [], "x")]
     repeats = [(1, base[7].tolist(), "x"), (None, base[8].tolist(), "x"), (None, base[8].tolist(), "x")]
     df = spark.createDataFrame(rows + odd + repeats, "vec_id bigint, embedding array<double>, `n` string").withColumns({c: F.lit(1) for c in ("x", "v", "component", "whitened", "a.b")}).repartition(5)
     out = whiten(df, 4).collect()
