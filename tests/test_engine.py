@@ -552,3 +552,14 @@ def test_view_scales_by_the_rule(spark):
         spark.createDataFrame([("p", 1000.0, 8.0), ("q", 1000.0, 8.0)], "page string, height double, scale double"), "page", "id",
     )
     assert sorted((r["id"], r["area_sf"], r["view_scale"], r["scale_risk"]) for r in out.collect()) == [(1, 2.5, 4.0, False), (3, 10.0, None, True), (4, 10.0, None, False), (5, 10.0, None, False), (6, 10.0, None, False)]
+
+
+def test_points_on_a_slope_lie_outside(spark):
+    """A point on the long side of a right triangle, whose left end is in, is not to the left of it, whatever the sides."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    rows = [(w, h, x / 4, y / 4) for w in range(6, 56) for h in range(5, 65) for y in range(1, 4 * h) for x in [28 + 4 * w - w * y / h] if x == int(x)]
+    t = spark.createDataFrame(rows, "w int, h int, x double, y double")
+    p = F.array(at(F.lit(7), F.lit(0)), at(F.col("w") + 7, F.lit(0)), at(F.lit(7), F.col("h")))
+    assert len(rows) > 1000
+    assert t.filter(geometry.inside(F.col("x"), F.col("y"), p)).count() == 0
+    assert t.filter(~geometry.inside(F.col("x") - 0.25, F.col("y"), p)).count() == 0
