@@ -589,3 +589,10 @@ def test_two_levels_of_a_tie_cut_low(spark):
     groups = {"sevenths": [47, 2, 34, 4, 49, 17, 25.5], "eighths": [15, 26, 33, 23, 36, 25, 18, 28], "one": [5, 5]}
     t = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
     assert {(r["g"], r["cut"]) for r in learned.two_levels(t, ["g"], "v").collect()} == {("sevenths", 17.0), ("eighths", 23.0)}
+
+
+def test_callouts_of_large_tables(spark, tmp_path):
+    """Tables of over 80 times 4001 parts lose no callout to a page's limit."""
+    rows = [(15 * k * 4001 + j, "b", 1) for k in range(170) for j in (0, 1)]
+    got, want = part_query_and_sql(spark, tmp_path, "callout_blocks", rows)
+    assert got == want
