@@ -596,3 +596,11 @@ def test_callouts_of_large_tables(spark, tmp_path):
     rows = [(15 * k * 4001 + j, "b", 1) for k in range(170) for j in (0, 1)]
     got, want = part_query_and_sql(spark, tmp_path, "callout_blocks", rows)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["bbox_cover"])
+def test_pages_are_brands(spark, tmp_path, name):
+    """Parts of one brand meet on one page, however far apart their keys are."""
+    rows = [(k + far, brand, 1 + k * 7 % 50) for far, brand in ((0, "one"), (3000, "one"), (6000, "two"), (90000, "one")) for k in range(1, 200)]
+    got, want = part_query_and_sql(spark, tmp_path, name, rows)
+    assert got == want and {r[0] for r in got} == {"one", "two"}
