@@ -80,12 +80,14 @@ def straight(segments: DataFrame, least: float = LEAST_LINE, slack: float = 1.5)
     return own.withColumns({"a0": pick(F.least("x1", "x2"), F.least("y1", "y2")), "a1": pick(F.greatest("x1", "x2"), F.greatest("y1", "y2")), "c": pick((F.col("y1") + F.col("y2")) / 2, (F.col("x1") + F.col("x2")) / 2), "length": pick(dx, dy)})
 
 
-def crossings(lines: DataFrame, keys: list[str], order: str, slack: float = 2.0, size: float = 100.0, most: int = MOST_CORNERS) -> DataFrame:
-    """(keys, h, v, x, y): where an upright line meets a level one within 2 points; the first 4000 of a page by line order.
+def crossings(lines: DataFrame, keys: list[str], order: str, slack: float = 2.0, size: float = 100.0, most: int | None = MOST_CORNERS) -> DataFrame:
+    """(keys, h, v, x, y): where an upright line meets a level one within 2 points; the first 4000 of a page by line order, or all.
     lines: as of straight()."""
     h = lines.filter("axis = 'h'").select(*keys, F.col(order).alias("h"), F.col("c").alias("y"), F.struct((F.col("a0") - slack).alias("x0"), F.col("c").alias("y0"), (F.col("a1") + slack).alias("x1"), F.col("c").alias("y1")).alias("__h"))
     v = lines.filter("axis = 'v'").select(*keys, F.col(order).alias("v"), F.col("c").alias("x"), F.struct(F.col("c").alias("x0"), (F.col("a0") - slack).alias("y0"), F.col("c").alias("x1"), (F.col("a1") + slack).alias("y1")).alias("__v"))
     met = box_join(h, v, keys, "__h", "__v", size).select(*keys, "h", "v", "x", "y")
+    if most is None:
+        return met
     return met.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "v"))).filter(F.col("__r") <= most).drop("__r")
 
 

@@ -120,12 +120,12 @@ def leaders(spark, sf_dir):
 _LINES = "SELECT p_partkey AS id, p_partkey // 80 AS page, p_partkey % 2 = 0 AS level, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size * 4 AS l, (p_partkey % 5) / 2.0::DOUBLE AS s FROM part"
 
 
-def _segments(spark, sf_dir):
+def _segments(spark, sf_dir, page="p_partkey div 80"):
     """Level lines for even parts and upright ones for odd, some askew, some short."""
     k = F.col("p_partkey")
     x, y, length, skew = (k * 37 % 1000).cast("double"), (k * 91 % 1000).cast("double"), F.col("p_size") * 4.0, (k % 5) / 2
     level = k % 2 == 0
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.expr("p_partkey div 80").alias("page"), x.alias("x1"), y.alias("y1"), F.when(level, x - length).otherwise(x + skew).alias("x2"), F.when(level, y + skew).otherwise(y + length).alias("y2"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.expr(page).alias("page"), x.alias("x1"), y.alias("y1"), F.when(level, x - length).otherwise(x + skew).alias("x2"), F.when(level, y + skew).otherwise(y + length).alias("y2"))
 
 
 _STRAIGHT = f"SELECT id, page, CASE WHEN level THEN 'h' ELSE 'v' END AS axis, CASE WHEN level THEN x - l ELSE y END::DOUBLE AS a0, CASE WHEN level THEN x ELSE y + l END::DOUBLE AS a1, (CASE WHEN level THEN y ELSE x END + s / 2)::DOUBLE AS c, l::DOUBLE AS length FROM ({_LINES}) WHERE l >= 18 AND s <= 1.5"
@@ -137,10 +137,10 @@ def straight_lines(spark, sf_dir):
     return vectors.straight(_segments(spark, sf_dir)).select("id", "axis", "a0", "a1", "c", "length")
 
 
-@register("line_corners", f"WITH s AS ({_STRAIGHT}), m AS (SELECT h.page, h.id AS h, v.id AS v, v.c AS x, h.c AS y, row_number() OVER (PARTITION BY h.page ORDER BY h.id, v.id) AS r FROM s h JOIN s v ON h.page = v.page AND h.axis = 'h' AND v.axis = 'v' AND v.c BETWEEN h.a0 - 2 AND h.a1 + 2 AND h.c BETWEEN v.a0 - 2 AND v.a1 + 2) SELECT page, h, v, x, y FROM m WHERE r <= 4000")
+@register("line_corners", f"WITH s AS ({_STRAIGHT.replace('p_partkey // 80 AS page', 'p_brand AS page')}) SELECT h.page, h.id AS h, v.id AS v, v.c AS x, h.c AS y FROM s h JOIN s v ON h.page = v.page AND h.axis = 'h' AND v.axis = 'v' AND v.c BETWEEN h.a0 - 2 AND h.a1 + 2 AND h.c BETWEEN v.a0 - 2 AND v.a1 + 2")
 def line_corners(spark, sf_dir):
     """J22."""
-    return vectors.crossings(vectors.straight(_segments(spark, sf_dir)), ["page"], "id")
+    return vectors.crossings(vectors.straight(_segments(spark, sf_dir, "p_brand")), ["page"], "id", most=None)
 
 
 @register(
