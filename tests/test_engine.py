@@ -598,7 +598,7 @@ def test_callouts_of_large_tables(spark, tmp_path):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["bbox_cover", "nearest_label", "line_clusters", "points_in_triangles", "tagged_regions", "booked_anti_join", "point_in_bbox", "leaders", "line_corners", "legend_pairs", "loose_pairs"])
+@pytest.mark.parametrize("name", ["bbox_cover", "nearest_label", "line_clusters", "points_in_triangles", "tagged_regions", "booked_anti_join", "point_in_bbox", "leaders", "line_corners", "legend_pairs", "loose_pairs", "dimension_votes"])
 def test_pages_are_brands(spark, tmp_path, name):
     """Parts of one brand meet on one page, however far apart their keys are."""
     rows = [(k + far, brand, 1 + k * 7 % 50) for far, brand in ((0, "one"), (3000, "one"), (6000, "two"), (90000, "one")) for k in range(1, 200)]
