@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import folds, geometry, naming, parse
 from plumbline.operators import folds as greedy
-from plumbline.operators import graph, measure, overrides, pages, reconcile, review, rollup, scales, schedules, windows
+from plumbline.operators import graph, measure, openings, overrides, pages, reconcile, review, rollup, scales, schedules, windows
 from plumbline.plans.catalog import ORACLE, QUERIES
 from plumbline.sources import documents, tables
 
@@ -604,3 +604,27 @@ def test_pages_are_brands(spark, tmp_path, name):
     rows = [(k + far, brand, 1 + k * 7 % 50) for far, brand in ((0, "one"), (3000, "one"), (6000, "two"), (90000, "one")) for k in range(1, 200)]
     got, want = part_query_and_sql(spark, tmp_path, name, rows)
     assert got == want and {r[0] for r in got} == {"one", "two"}
+
+
+def test_groups_stream_whole(spark):
+    """Groups of many batches and of one row, with null keys, come whole and in order."""
+    import pandas as pd
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("large")).when(F.col("id") % 7 == 0, F.lit(None)).otherwise((F.col("id") % 500).cast("string")).alias("g"), "id")
+
+    def step(pdf, at):
+        return pd.DataFrame([(pdf["g"].iloc[a], z - a, bool((pdf["id"].iloc[a:z].diff().dropna() < 0).all())) for a, z in zip(at, at[1:])], columns=["g", "n", "down"])
+
+    out = greedy._grouped(rows, ["g"], [F.desc("id")], step, "g string, n bigint, down boolean")
+    assert "count" not in out._jdf.queryExecution().toString().lower()
+    got, want = [tuple(r) for r in out.collect()], {tuple(r) for r in rows.groupBy("g").count().collect()}
+    assert {r[:2] for r in got} == want and len(got) == len(want) and all(r[2] for r in got)
+
+
+@pytest.mark.parametrize("name", ["gap_openings", "framed_openings"])
+def test_openings_broadcast_no_rows(spark, name):
+    """Exploded rows are guessed to be small; a planned broadcast of them fills the driver."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInPandas" in plan
+    met = openings.box_join(*[spark.range(5).select(F.lit(1).alias("page"), F.struct(*[F.col("id").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).alias(b)) for b in "ab"], ["page"], "a", "b", 10.0)
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().sparkPlan().toString()
