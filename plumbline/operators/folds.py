@@ -1,6 +1,6 @@
 """Greedy steps whose result depends on the order, as one fold a page (U7-U10, U13, G9, G10): area descending, id ascending.
 
-Each runs in a grouped pandas function over one page's boxes, which the page bounds; pages are dealt by key.
+Each runs in a pandas function over pages' boxes as they stream; pages are dealt by key.
 """
 
 from __future__ import annotations
@@ -21,42 +21,81 @@ def _shared(b: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.clip(w, 0, None) * np.clip(h, 0, None)
 
 
-def _grouped(rows: DataFrame, keys: list[str], run, schema: str, per_call: int = 20_000) -> DataFrame:
-    """run() on each group. Groups share a pandas call by a hash of their keys, as a call costs more than a small group: about
-    per_call rows a call, at any size of the table. A group is one page's rows, never a corpus'."""
-    buckets = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // per_call))
+def _grouped(rows: DataFrame, keys: list[str], order: list, step, schema: str) -> DataFrame:
+    """step(frame, bounds) on frames of whole groups, whose rows stand in order; a group reaches from one bound to the next. Rows are dealt and
+    sorted by the keys and told apart as they stream: they are computed once, and a task holds a batch and one group, whatever the size of the table.
+    A group is one page's rows, never a corpus'."""
 
-    def each(pdf):
+    def bounds(frame) -> list[int]:
+        own = frame[keys]
+        new = (own.ne(own.shift()) & ~(own.isna() & own.shift().isna())).any(axis=1).to_numpy()
+        return [0, *(np.flatnonzero(new[1:]) + 1).tolist(), len(frame)]
+
+    def each(frames):
         import pandas as pd
 
-        parts = [run(g) for _, g in pdf.drop(columns="__b").groupby(keys, sort=False, dropna=False)]
-        return pd.concat(parts) if parts else pdf.iloc[:0]
+        rest: list = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            if rest and len(bounds(frame)) == 2 and len(bounds(pd.concat([rest[-1].iloc[-1:], frame.iloc[:1]]))) == 2:
+                rest.append(frame)
+                continue
+            whole = pd.concat([*rest, frame], ignore_index=True)
+            at = bounds(whole)
+            if len(at) > 2:
+                yield step(whole.iloc[: at[-2]], at[:-1])
+            rest = [whole.iloc[at[-2] :]]
+        if rest:
+            whole = pd.concat(rest, ignore_index=True)
+            yield step(whole, [0, len(whole)])
+
+    # a number of its own, as small rows can be much work
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInPandas(each, schema)
 
-    return rows.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("__b").applyInPandas(each, schema)
+
+def _one_by_one(run):
+    """A step of _grouped from one that takes the frame of a group."""
+
+    def step(pdf, at):
+        import pandas as pd
+
+        return pd.concat([run(pdf.iloc[a:z]) for a, z in zip(at, at[1:])])
+
+    return step
 
 
 def _fold(rows: DataFrame, keys: list[str], step, extra: str = "") -> DataFrame:
+    """step(boxes, areas) names the rows of a group that stay and, if there is a further column, what it holds for them."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + extra
 
-    def run(pdf):
+    def run(pdf, at):
         b, a = _boxes(pdf)
-        pdf = pdf.assign(__a=-a).sort_values(["__a", "id"], kind="stable").drop(columns="__a")
-        return step(pdf, *_boxes(pdf))
+        kept: list[int] = []
+        more: list[int] = []
+        for p, q in zip(at, at[1:]):
+            own, made = step(b[p:q], a[p:q])
+            kept += [p + k for k in own]
+            more += made
+        out = pdf.iloc[kept]
+        return out.assign(**{extra.split()[1]: np.array(more, np.int32)}) if extra else out
 
-    return _grouped(rows, keys, run, schema)
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return _grouped(rows, keys, [area.desc(), "id"], run, schema)
 
 
 def greedy_nms(boxes: DataFrame, keys: list[str], most: float = 0.7) -> DataFrame:
     """U8: largest first; a box goes when it and a kept one cover each other by more than `most`, either way.
     Columns id, x0, y0, x1, y1."""
 
-    def step(pdf, b, a):
+    def step(b, a):
         kept: list[int] = []
         for k in range(len(b)):
             s = _shared(b[kept], b[k])
             if not len(s) or not (s > most * np.minimum(a[kept], a[k])).any():
                 kept.append(k)
-        return pdf.iloc[kept]
+        return kept, []
 
     return _fold(boxes, keys, step)
 
@@ -64,13 +103,13 @@ def greedy_nms(boxes: DataFrame, keys: list[str], most: float = 0.7) -> DataFram
 def twins_dropped(boxes: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
     """Of boxes of one group with an intersection over union of `least`, the first stays; keys hold the group."""
 
-    def step(pdf, b, a):
+    def step(b, a):
         kept: list[int] = []
         for k in range(len(b)):
             s = _shared(b[kept], b[k])
             if not len(s) or not (s >= least * (a[kept] + a[k] - s)).any():
                 kept.append(k)
-        return pdf.iloc[kept]
+        return kept, []
 
     return _fold(boxes, keys, step)
 
@@ -78,7 +117,7 @@ def twins_dropped(boxes: DataFrame, keys: list[str], least: float = 0.8) -> Data
 def outermost(boxes: DataFrame, keys: list[str], slack: float = 2.0) -> DataFrame:
     """Frames within a kept one go, and are counted by it as `nested`."""
 
-    def step(pdf, b, a):
+    def step(b, a):
         kept, nested = [], []
         for k in range(len(b)):
             o = b[kept]
@@ -88,7 +127,7 @@ def outermost(boxes: DataFrame, keys: list[str], slack: float = 2.0) -> DataFram
             else:
                 kept.append(k)
                 nested.append(0)
-        return pdf.iloc[kept].assign(nested=np.array(nested, np.int32))
+        return kept, nested
 
     return _fold(boxes, keys, step, ", nested int")
 
@@ -136,7 +175,7 @@ def shaved(pieces: DataFrame, keys: list[str], first: str = "Panel wall", drop:
             areas.append(round(area * (1 - share), 1) if share > low and not patch else area)
         return pdf.iloc[kept].assign(area_sf=areas)
 
-    return _grouped(pieces, keys, run, schema)
+    return _grouped(pieces, keys, [], _one_by_one(run), schema)
 
 
 def spread_points(points: DataFrame, keys: list[str], gap: float = 6.0, most: int = 1500) -> DataFrame:
@@ -144,7 +183,6 @@ def spread_points(points: DataFrame, keys: list[str], gap: float = 6.0, most: in
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
 
     def run(pdf):
-        pdf = pdf.sort_values("id", kind="stable")
         xy, grid, kept = pdf[["x", "y"]].to_numpy(float), {}, []
         for k, (x, y) in enumerate(xy):
             cx, cy = int(x // gap), int(y // gap)
@@ -155,7 +193,7 @@ def spread_points(points: DataFrame, keys: list[str], gap: float = 6.0, most: in
                     break
         return pdf.iloc[kept]
 
-    return _grouped(points, keys, run, schema)
+    return _grouped(points, keys, ["id"], _one_by_one(run), schema)
 
 
 def guarded_openings(openings: DataFrame, keys: list[str], area: str, wall_area: str, share: float = 0.35, most: int = 24) -> DataFrame:
