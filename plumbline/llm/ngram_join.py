@@ -9,9 +9,10 @@ lists are then probed by binary search, for the documents that the short ones na
 2. A frequency sketch of fixed size over all shingles orders a set by rarity, so that long lists are the ones set
    aside. It only orders: any order gives the same links.
 3. Short-list rows (shingle, document) meet by shingle; LEAST - 1 more lists than must be are merged, so that a partner stands
-   on LEAST of them, and chance meetings of one shingle name nobody. Up to `short` rows of a shingle pair up directly. Longer lists
-   go out as members: a task that sees more than `short` rows of one shingle sends the rest past the shuffle by shingle,
-   so a shingle gathers few rows a task, however common it is.
+   on LEAST of them, and chance meetings of one shingle name nobody. Up to `short` rows of a shingle pair up directly, and so do longer
+   lists whose sizes leave no more pairs a row than that: unlike documents that share a passage by chance, so LEAST holds for them too.
+   Other lists go out as members: a task that sees more than `short` rows of one shingle marks the list as such and sends the rest past
+   the shuffle by shingle, so a shingle gathers few rows a task, however common it is.
 4. Whole sets of the named documents are compared: pairs one document at a time; long lists (or all that they join, where
    that sends fewer sets) in blocks of about `block` members, each within itself and with the list's first document. What links
    with that one, by whatever way, is done; only the rest of a list of several blocks meets all of it, block by block. So a
@@ -215,13 +216,13 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
                 for t, c, at in zip(token[by][group_at[busy]].tolist(), counts[busy].tolist(), group_at[busy].tolist(), strict=True):
                     extra[by[at : at + c]] = held.get(t, 0)
                     held[t] = held.get(t, 0) + c
-                over = nth + extra > short
+                over, last = nth + extra > short, nth + extra == short  # rows may follow the last one, so it marks its list
                 m = len(token)
                 kind = np.concatenate([np.zeros(len(size), np.int8), np.where(over, 2, 1).astype(np.int8)])
                 key = np.concatenate([k1, token.view(np.int64)])
                 yield pa.RecordBatch.from_pydict({
                     "kind": pa.array(kind), "spread": pa.array(np.concatenate([ids, np.where(over, ids[owner], token.view(np.int64))])), "key": pa.array(key),
-                    "key2": pa.array(np.concatenate([k2, np.zeros(m, np.int64)])), "doc": pa.array(np.concatenate([ids, ids[owner]])), "n": pa.array(np.concatenate([size, size[owner]]).astype(np.int32)),
+                    "key2": pa.array(np.concatenate([k2, last.astype(np.int64)])), "doc": pa.array(np.concatenate([ids, ids[owner]])), "n": pa.array(np.concatenate([size, size[owner]]).astype(np.int32)),
                 })
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,33 +237,34 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
             parts.append([y[~passing] for y in c[1:]])
         if not parts:
             return
-        key, _, doc, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, mark, doc, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.lexsort((doc, key))
-        key, doc, size = key[order], doc[order], size[order]
+        order = np.lexsort((doc, size, key))
+        key, mark, doc, size = key[order], mark[order], doc[order], size[order].astype(np.int64)
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(at, len(key)))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for g in np.unique(count[(count >= 2) & (count <= short)]).tolist():
-            first = at[count == g]
-            for x in range(g - 1):
-                for y in range(x + 1, g):
-                    a.append(first + x)
-                    b.append(first + y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        ok = (doc[a] != doc[b]) & (np.minimum(size[a], size[b]).astype(np.int64) * den >= np.maximum(size[a], size[b]).astype(np.int64) * num)
+        group = np.repeat(np.arange(len(at)), count)
+        # partners of a row: those after it in its list that are not too large
+        ends = np.searchsorted((group << 32) + size, (group << 32) + np.minimum(size * den // num, (1 << 32) - 1), "right")
+        partners = ends - np.arange(len(key)) - 1
+        alone = (count <= short) | ((np.add.reduceat(partners, at) <= count * (short // 2)) & (np.maximum.reduceat(mark, at) == 0)) if len(at) else np.zeros(0, bool)
+        partners[~np.repeat(alone, count)] = 0
+        a = np.repeat(np.arange(len(key)), partners)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(partners) - partners, partners)
+        ok = doc[a] != doc[b]
         a, b = a[ok], b[ok]
-        least = merge_least(np.minimum(size[a], size[b]).astype(np.int64), num, den)
+        a, b = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
+        least = merge_least(np.minimum(size[a], size[b]), num, den)
         pair, back, times = np.unique(np.stack([doc[a], doc[b]], 1), axis=0, return_inverse=True, return_counts=True)
         wants = np.full(len(pair), LEAST, np.int64)
         np.minimum.at(wants, back.ravel(), least)
-        long = K.ranges(at[count > short], count[count > short])
+        long = K.ranges(at[~alone], count[~alone])
         for k in range(0, len(pair), 1 << 18):
             own = slice(k, k + (1 << 18))
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(times[own]), np.int8)), "key": pa.array(pair[own, 0]), "key2": pa.array(wants[own]), "doc": pa.array(pair[own, 1]), "n": pa.array(times[own].astype(np.int32))})
         for k in range(0, len(long), 1 << 18):
             p = long[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(p), 2, np.int8)), "key": pa.array(key[p]), "key2": pa.array(np.zeros(len(p), np.int64)), "doc": pa.array(doc[p]), "n": pa.array(size[p])})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(p), 2, np.int8)), "key": pa.array(key[p]), "key2": pa.array(np.zeros(len(p), np.int64)), "doc": pa.array(doc[p]), "n": pa.array(size[p].astype(np.int32))})
 
     dealt = rows.mapInArrow(postings, "kind tinyint, spread bigint, key bigint, key2 bigint, doc bigint, n int").repartition(F.col("spread")).drop("spread")
     found = keep(dealt.mapInArrow(meet, "kind tinyint, key bigint, key2 bigint, doc bigint, n int"), "lists")
@@ -333,7 +335,12 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
         # The texts of the documents in question move once, and their sets go straight to the units. The ids grow with the corpus:
         # they are merged with the texts at every size, and not broadcast.
         active = units.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("u", "i", "j", "own")).alias("units"))
-        sets = rows.join(active.hint("merge"), "doc_id").mapInArrow(whole_sets, "u bigint, i int, j int, own int, doc bigint, s binary")
+        texts = rows
+        if rest:  # few documents: most texts stay where they are, by a table of fixed size that may let others pass, never lose one
+            cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
+            here = active.select(cell("doc_id").alias("cell")).distinct()
+            texts = rows.withColumn("cell", cell("doc_id")).join(F.broadcast(here), "cell", "left_semi").drop("cell")
+        sets = texts.join(active.hint("merge"), "doc_id").mapInArrow(whole_sets, "u bigint, i int, j int, own int, doc bigint, s binary")
         return sets.withColumn("rest", F.lit(rest)).groupBy(group.alias("g"), "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
     links = keep(compared(units, False), "links")

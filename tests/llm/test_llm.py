@@ -358,3 +358,27 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert all(t == dict(seen[3][0])[d] for d, t in seen[3][1] if not hit[d][1])
     assert {r["doc_id"] for r in seen[4][1]} == {d for d, _ in seen[4][0]}
     same(map(tuple, C.run(spark, str(tmp_path)).collect()), map(tuple, seen[4][1]))
+
+
+def test_lists_of_documents_of_other_sizes_name_nobody(spark, monkeypatch):
+    """A passage that documents of all sizes share by chance makes no group of them; near copies among them are still found."""
+    from plumbline.llm import ngram_join
+
+    seen = {}
+
+    def counted(df, name="table", old=ngram_join.keep):
+        out = old(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", counted)
+    rng = random.Random(3)
+    passages = [" ".join(f"p{c}w{i}" for i in range(80)) for c in range(16)]
+    rows = [(k, " ".join(rng.sample(passages, (1, 2, 3, 5, 8, 13)[k % 6]))) for k in range(60)]
+    rows += [(60, rows[11][1] + " more"), (61, rows[4][1] + " end"), (62, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = sorted(map(tuple, ngram_join.similarity_classes(docs, n=4, num=85, den=100, short=8).collect()))
+    assert got == sorted(ngram_join.brute_force(rows, 4, 85, 100))
+    of = {d: c for d, _, c in got}
+    assert (of[60], of[61], of[62]) == (of[11], of[4], of[5])
+    assert seen["members"] < 1000  # those of lists that mostly hold documents of like size; 2270 when all long lists were groups
