@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..sources.folder import keep
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows by keys, in four parts for each shuffle partition of the session. Adaptive execution joins parts by their bytes on the wire,
+    and rows of a few numbers take many times that in a task that sorts or gathers them; a number of parts that is named stays."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def latest_per_key(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Replay of a log, the last row of each key with the number of its rows. An aggregate, so it combines before the
     shuffle and a hot key costs a row a task; order must be total."""
@@ -38,7 +44,7 @@ def interval_union(rows: DataFrame, keys: list[str], a: str, b: str, stitch: flo
     """Length of the union of intervals, and how many islands they form. Gaps up to stitch close."""
     w = Window.partitionBy(*keys).orderBy(a, b)
     reach = F.max(b).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("__new", F.when(F.col(a) <= reach + stitch, 0).otherwise(1))
+    marked = dealt(rows, keys).withColumn("__new", F.when(F.col(a) <= reach + stitch, 0).otherwise(1))
     island = marked.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     merged = island.groupBy(*keys, "__i").agg((F.max(b) - F.min(a)).alias("__l"))
     return merged.groupBy(*keys).agg(F.sum("__l").alias("union_length"), F.count(F.lit(1)).alias("islands"))
@@ -55,6 +61,7 @@ def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: Column
 def scale_outliers(rows: DataFrame, keys: list[str], scale: str, weight: Column, least: int = 3) -> DataFrame:
     """Weighted-median outliers: with at least three rows, and most weight strictly between half and twice the median, rows
     of twice the median or more are flagged."""
+    rows = dealt(rows, keys)
     m = weighted_median(rows, keys, scale, weight).join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys)
     j = rows.join(m, keys)
     near = j.groupBy(*keys).agg(F.sum(F.when((F.col(scale) > 0.5 * F.col("median")) & (F.col(scale) < 2 * F.col("median")), weight)).alias("__near"))
