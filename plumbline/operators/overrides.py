@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import filled
-from .windows import latest_per_key
+from .windows import dealt, latest_per_key
 
 
 def current(events: DataFrame, keys: list[str], value: str, order: list[str], job: str = "job_id", reset: str = "reset") -> DataFrame:
@@ -77,7 +77,7 @@ def confirmations(events: DataFrame, keys: list[str], order: list[str]) -> DataF
 
 def parked(zones: DataFrame, keys: list[str], order: list[str], index: str = "scope_index") -> DataFrame:
     """Zones with their place in the list, kept while they are parked."""
-    return zones.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return dealt(zones, keys).withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
 def restored(live: DataFrame, back: DataFrame, keys: list[str], index: str = "scope_index") -> DataFrame:

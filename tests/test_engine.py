@@ -628,3 +628,16 @@ def test_openings_broadcast_no_rows(spark, name):
     assert "MapInPandas" in plan
     met = openings.box_join(*[spark.range(5).select(F.lit(1).alias("page"), F.struct(*[F.col("id").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).alias(b)) for b in "ab"], ["page"], "a", "b", 10.0)
     assert "BroadcastHashJoin" not in met._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_rows_of_windows_stay_dealt(spark):
+    """Adaptive execution joins small parts by their bytes; what sorts and gathers them keeps its number of parts."""
+    from plumbline.operators import overrides, windows
+
+    rows = spark.range(4000).selectExpr("id % 500 as k", "id as a", "id + 3 as b", "cast(id % 5 + 1 as double) as v", "cast(1 as decimal(18,2)) as w")
+    union = windows.interval_union(rows, ["k"], "a", "b")
+    parked = overrides.parked(rows, ["k"], ["a"])
+    flagged = windows.scale_outliers(rows, ["k"], "v", F.col("w"))
+    assert [d.rdd.getNumPartitions() for d in (union, parked, flagged)] == [16, 16, 16]
+    assert union.agg(F.sum("union_length"), F.sum("islands")).first()[:] == (12000, 4000)
+    assert (parked.count(), flagged.count()) == (4000, 4000)
