@@ -182,7 +182,7 @@ def merged_tiles(spark, sf_dir):
     from ..operators.measure import merged_tiles as merged
 
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", F.col("l_discount").cast("decimal(18,2)").alias("d"))
-    sums = rows.groupBy("l_partkey", "l_suppkey", "l_returnflag").agg((F.sum("d").cast("double") / F.count(F.lit(1))).alias("p"))
+    sums = windows.dealt(rows, ["l_partkey", "l_suppkey"]).groupBy("l_partkey", "l_suppkey", "l_returnflag").agg((F.sum("d").cast("double") / F.count(F.lit(1))).alias("p"))
     return merged(sums, ["l_partkey", "l_suppkey"], "l_returnflag", "p").withColumn("p", F.round("p", 6))
 
 
