@@ -6,6 +6,8 @@ Each runs in a pandas function over pages' boxes as they stream; pages are dealt
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,44 @@ def _grouped(rows: DataFrame, keys: list[str], order: list, step, schema: str) -
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInPandas(each, schema)
 
 
+#: Rows that a task gathers before it works on the groups that are whole: many small groups share a step.
+BATCH = 100_000
+
+
+def _tables(rows: DataFrame, keys: list[str], order: list, step, schema) -> DataFrame:
+    """_grouped with Arrow tables, so columns of any type pass as they are: step(table, bounds) gives a table."""
+
+    def bounds(table: pa.Table) -> list[int]:
+        new = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            column = table[k].combine_chunks()
+            a, b = column.slice(0, len(new)), column.slice(1)
+            new |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+        return [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+
+    def each(batches):
+        held: list[pa.Table] = []
+        n, enough = 0, BATCH
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n < enough:
+                continue
+            whole = pa.concat_tables(held).combine_chunks()
+            at = bounds(whole)
+            if len(at) > 2:
+                yield from step(whole.slice(0, at[-2]), at[:-1]).to_batches()
+            held = [whole.slice(at[-2])]
+            n = held[0].num_rows
+            enough = max(BATCH, 2 * n)
+        if n:
+            whole = pa.concat_tables(held).combine_chunks()
+            yield from step(whole, bounds(whole)).to_batches()
+
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
+
+
 def _one_by_one(run):
     """A step of _grouped from one that takes the frame of a group."""
 
