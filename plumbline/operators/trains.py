@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.folds import nearest_rank, upper_median
 from ..sources.folder import keep
 from . import regions
-from .folds import _grouped
+from .folds import _grouped, _tables
 from .spatial import box_join
 
 # Fixed values of trains: gap and overlap that link lines, broken courses, ends, density, extent, grids, margins of the sheet, clipping.
@@ -178,10 +180,110 @@ def plausible_trains(trains: DataFrame, ft_per_pt: Column) -> DataFrame:
     return kept.withColumn("material", F.when(F.col("axis") == "v", up).otherwise(level))
 
 
-def hatched(segments: DataFrame, taken: DataFrame, pages: DataFrame, keys: list[str], tile: int = regions.TILE, grid: int = GRID) -> DataFrame:
+def _grown(mask: np.ndarray, radius: int) -> np.ndarray:
+    """All places within `radius` of one, both ways."""
+    for turned in (False, True):
+        mask, own = (mask.T, mask.T) if turned else (mask, mask)
+        mask = own.copy()
+        for d in range(1, radius + 1):
+            mask[:, d:] |= own[:, :-d]
+            mask[:, :-d] |= own[:, d:]
+        mask = mask.T if turned else mask
+    return mask
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the runs of a mask's rows, in scan order."""
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    y, a = np.nonzero(edge == 1)
+    return y, a, np.nonzero(edge == -1)[1]
+
+
+def _met(y: np.ndarray, a: np.ndarray, z: np.ndarray, slack: int) -> np.ndarray:
+    """The first run of the region of each run; runs of neighbouring rows meet along a side, or at a corner with a slack of 1."""
+    wide = int(z.max(initial=0)) + 4
+    low = np.searchsorted(y * wide + z, (y + 1) * wide + a - slack, "right")
+    many = np.maximum(np.searchsorted(y * wide + a, (y + 1) * wide + z + slack, "left") - low, 0)
+    p = np.repeat(np.arange(len(y)), many)
+    return regions._merged(len(y), p, np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many))
+
+
+def _painted(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """regions.filled on one mask: the number of each place's region, or -1, and the first places (y, x) by number."""
+    y, a, z = _runs(mask)
+    root = _met(y, a, z, 1)
+    first, name = np.unique(root, return_inverse=True)
+    out = np.full(mask.shape, -1)
+    # a rim of one place around the mask is the outside: its first run is the corner's
+    hy, ha, hz = _runs(~np.pad(mask, 1))
+    hole = _met(hy, ha, hz, 0)
+    wide = mask.shape[1] + 4
+    around = name[np.searchsorted(y * wide + z, (hy[hole] - 1) * wide + ha[hole] - 1).clip(0, len(y) - 1)]
+    inner = np.flatnonzero(hole != hole[0])
+    for y_, a_, z_, n_ in ((y, a, z, name), (hy[inner] - 1, ha[inner] - 1, hz[inner] - 1, around[inner])):
+        size = z_ - a_
+        out.ravel()[np.repeat(y_ * mask.shape[1] + a_ - (np.cumsum(size) - size), size) + np.arange(size.sum())] = np.repeat(n_, size)
+    return out, np.stack([y[first], a[first]], 1)
+
+
+def _patches(table: pa.Table, at: list[int], keys: list[str], grid: int) -> pa.Table:
+    """The regions of pages' hatches that hold enough ink of their own family: strokes and taken cells come as rows of a page."""
+    stroke, family = table["stroke"].to_numpy().astype(bool), table["family"].to_numpy()
+    u0, v0, u1, v1, ink, cell, most = (table[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "ink", "cell", "rows"))
+    group, found = [], []
+    for n, (i, j) in enumerate(zip(at, at[1:], strict=False)):
+        own = i + np.flatnonzero(stroke[i:j])
+        if not len(own):
+            continue
+        rows, per = int(most[own[0]]), float(cell[own[0]])
+        held = i + np.flatnonzero(~stroke[i:j])
+        tx, ty = u0[held].astype(np.int64), v0[held].astype(np.int64)
+        on = (tx >= 0) & (tx < grid) & (ty >= 0) & (ty < rows)
+        taken = np.zeros((rows, grid), bool)
+        taken[ty[on], tx[on]] = True
+        mx, my = (np.minimum(np.floor((p[own] + q[own]) / 2 * per).astype(np.int64), top - 1) for p, q, top in ((u0, u1, grid), (v0, v1, rows)))
+        mids = (mx >= 0) & (my >= 0)
+        for f in table["strong"][int(own[0])].as_py():
+            k = own[family[own] == f]
+            a, b, c, d = (v[k] * per for v in (u0, v0, u1, v1))
+            steps = np.maximum(np.ceil(np.maximum(np.abs(c - a), np.abs(d - b))), 1).astype(np.int64)
+            part = np.arange(steps.sum() + len(steps)) - np.repeat(np.cumsum(steps + 1) - steps - 1, steps + 1)
+            a, b, c, d, steps = (np.repeat(v, steps + 1) for v in (a, b, c, d, steps))
+            x, y = (np.floor(p + (q - p) * part / steps).astype(np.int64) for p, q in ((a, c), (b, d)))
+            use = (x >= -1) & (x < grid) & (y >= -1) & (y < rows)
+            spot = np.zeros((rows + 1, grid + 1), bool)
+            spot[y[use] + 1, x[use] + 1] = True
+            mask = spot[1:, 1:] | spot[1:, :-1] | spot[:-1, 1:] | spot[:-1, :-1]
+            rim = CLOSE + OPEN
+            mask = ~_grown(~_grown(np.pad(mask, rim), CLOSE), CLOSE)
+            mask = _grown(~_grown(~mask, OPEN), OPEN)[rim:-rim, rim:-rim]
+            if not mask.any():
+                continue
+            label, first = _painted(mask)
+            y, x = np.nonzero(label >= 0)
+            of = label[y, x]
+            where = label[my[mids], mx[mids]]
+            weight, mine = ink[own][mids], family[own][mids] == f
+            sums = [np.bincount(where[w], weight[w], len(first)) for w in (where >= 0, (where >= 0) & mine)]
+            box = [np.full(len(first), m) for m in (grid, rows, -1, -1)]
+            for k, (least, v) in enumerate(((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y))):
+                least.at(box[k], of, v)
+            good = (sums[0] >= LEAST_INK) & (sums[1] >= PURITY * sums[0])
+            columns = (np.full(len(first), f), *first.T, np.bincount(of, minlength=len(first)), np.bincount(of, taken[y, x], len(first)), *box)
+            found.append(np.stack(columns, 1)[good].astype(np.int64))
+            group += [at[n]] * int(good.sum())
+    found = np.concatenate(found) if found else np.zeros((0, 9), np.int64)
+    out = table.select(keys).take(pa.array(group, pa.int64()))
+    for k, name in enumerate(("family", "__ry", "__rx", "size", "taken", "x0", "y0", "x1", "y1")):
+        out = out.append_column(name, pa.array(found[:, k].astype(np.int64 if name in ("size", "taken") else np.int32)))
+    return out
+
+
+def hatched(segments: DataFrame, taken: DataFrame, pages: DataFrame, keys: list[str], tile: int = regions.TILE, grid: int = GRID) -> DataFrame:  # noqa: ARG001 - a grid is one tile
     """(keys, family, region, size, area_sf, x0, y0, x1, y1): areas hatched by parallel slanting strokes of one angle family, in cells of a `grid` so
     many cells wide.
 
+    A page's grid has a fixed size, however many strokes it has, and a task draws one at a time: no cell is written.
     segments: (keys, x0, y0, x1, y1) in points; taken: (keys, x, y) cells that pieces hold already; pages: (keys, width, height, ft_per_pt).
     1. Strokes from 7 points to 0.22 of the page, at 24 to 66 degrees either way, by families of 8 degrees of the half turn. A page needs 40 of
        them; a family 400 points of ink and 25 strokes, and is one of the three with most ink.
@@ -197,17 +299,16 @@ def hatched(segments: DataFrame, taken: DataFrame, pages: DataFrame, keys: list[
     ink = s.groupBy(*keys, "family").agg(F.sum("ink").alias("ink"), F.count(F.lit(1)).alias("n")).filter(F.col("ink") > FAMILY_INK)
     # the strongest of a page's at most 12 families; one with few strokes still takes its place
     best = ink.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("ink", (-F.col("family")).alias("f"), "n")), asc=False), 1, FAMILIES).alias("b")).select(*keys, F.explode("b").alias("b")).filter(F.col("b.n") >= LEAST_IN_FAMILY).select(*keys, (-F.col("b.f")).alias("family"))
-    strong = best.join(enough, keys, "left_semi")
-    page = [*keys, "family"]
-    mask = regions.stroked(s.join(strong, page, "left_semi"), page, "cell", "rows", grid)
-    firm = keep(regions.opened(regions.closed(mask, page, CLOSE), page, OPEN), "hatch")
-    found = keep(regions.filled(firm, page, tile), "hatched")
-    share = found.join(taken.select(*keys, "x", "y").distinct().withColumn("taken", F.lit(1)), [*keys, "x", "y"], "left").groupBy(*page, "region").agg(F.count(F.lit(1)).alias("size"), F.count("taken").alias("taken"), *[f(c).alias(c + k) for k, f in (("0", F.min), ("1", F.max)) for c in ("x", "y")])
-    mid = lambda a, b, most: F.least(F.floor((F.col(a) + F.col(b)) / 2 * F.col("cell")).cast("int"), most - 1)
-    inks = s.select(*keys, F.col("family").alias("own"), "ink", mid("x0", "x1", F.lit(grid)).alias("x"), mid("y0", "y1", F.col("rows")).alias("y"))
-    purity = found.join(inks, [*keys, "x", "y"]).groupBy(*page, "region").agg(F.sum("ink").alias("all"), F.sum(F.when(F.col("own") == F.col("family"), F.col("ink")).otherwise(0.0)).alias("own")).filter((F.col("all") >= LEAST_INK) & (F.col("own") >= PURITY * F.col("all")))
-    out = share.join(purity, [*page, "region"]).join(pages.select(*keys, "width", "height", "ft_per_pt"), keys)
+    strong = best.join(enough, keys, "left_semi").groupBy(*keys).agg(F.collect_list("family").alias("strong"))
+    none = F.lit(None).cast("double")
+    ends = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "ink", "cell")]
+    drawn = s.join(strong, keys).select(*keys, F.lit(True).alias("stroke"), *ends, "family", "rows", "strong")
+    held = taken.join(strong, keys, "left_semi").select(*keys, F.lit(False).alias("stroke"), F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"), *[none.alias(c) for c in ("x1", "y1", "ink", "cell")], *[F.lit(None).cast(k).alias(c) for c, k in (("family", "int"), ("rows", "int"), ("strong", "array<int>"))])
+    schema = regions._with(s.select(*keys).schema, family=regions.INT, __ry=regions.INT, __rx=regions.INT, size=LongType(), taken=LongType(), x0=regions.INT, y0=regions.INT, x1=regions.INT, y1=regions.INT)
+    share = _tables(drawn.unionByName(held), keys, [], lambda table, at: _patches(table, at, keys, grid), schema)
+    share = share.withColumn("region", F.struct(F.col("__ry").alias("y"), F.col("__rx").alias("x")))
+    out = share.join(pages.select(*keys, "width", "height", "ft_per_pt"), keys)
     area = F.col("size") * F.pow(F.col("width") / grid * F.col("ft_per_pt"), F.lit(2))
     sprawl = (F.col("x1") - F.col("x0") + 1 > HATCH_SPREAD * grid) & (F.col("y1") - F.col("y0") + 1 > HATCH_SPREAD * F.floor(F.lit(grid) * F.col("height") / F.col("width")))
     kept = out.withColumn("area_sf", F.round(area, 1)).filter((area >= LEAST_SF) & ~sprawl & (F.col("taken") <= HATCH_CLAIMED * F.col("size")))
-    return kept.select(*page, "region", "size", "area_sf", "x0", "y0", "x1", "y1")
+    return kept.select(*keys, "family", "region", "size", "area_sf", "x0", "y0", "x1", "y1")

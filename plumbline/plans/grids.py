@@ -126,5 +126,5 @@ def hatch_areas(spark, sf_dir):
     lean = F.when(g % 3 == 0, 18.0).when(g % 3 == 1, -18.0).otherwise((F.col("l_quantity") - 25).cast("double"))
     strokes = rows.select(page, x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + lean).cast("double").alias("x1"), (y + 18).cast("double").alias("y1"))
     pages = rows.select(page).distinct().select("page", F.lit(900.0).alias("width"), F.lit(600.0).alias("height"), F.lit(0.125).alias("ft_per_pt"))
-    taken = rows.filter("l_suppkey % 10 = 3").select(page, F.explode(F.sequence(F.lit(170), F.lit(220))).alias("x"), (F.col("l_partkey") % 60).cast("int").alias("y")).distinct()
+    taken = rows.filter("l_suppkey % 10 = 3").select(page, (F.col("l_partkey") % 60).cast("int").alias("y")).distinct().select("page", F.explode(F.sequence(F.lit(170), F.lit(220))).alias("x"), "y")
     return _named(trains.hatched(strokes, taken, pages, ["page"], tile=64, grid=300), "region")
