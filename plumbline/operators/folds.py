@@ -5,6 +5,8 @@ Each runs in a pandas function over pages' boxes as they stream; pages are dealt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -172,50 +174,103 @@ def outermost(boxes: DataFrame, keys: list[str], slack: float = 2.0) -> DataFram
     return _fold(boxes, keys, step, ", nested int")
 
 
+#: Cells of polygons' boxes that are drawn at once.
+DRAWN = 1 << 20
+
+
+def drawn(x: np.ndarray, y: np.ndarray, at: np.ndarray, width: int, height: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, column, mask) for each of several polygons, in order: the cells that it covers, within its own box. They are its inside by the
+    even-odd rule, and every cell that its outline runs through. x, y are cells of corners; polygon k has those from at[k] to at[k + 1], and a page
+    of width by height[k] cells. Many polygons share a step; one without corners on the page has an empty mask."""
+    n = np.diff(at)
+    some = np.flatnonzero(n)
+    left, right, top, bottom = (np.zeros(len(n), np.int64) for _ in range(4))
+    right[:] = bottom[:] = -1
+    if len(some):
+        first = at[:-1][some]
+        left[some], top[some] = np.maximum(0, np.minimum.reduceat(x, first)), np.maximum(0, np.minimum.reduceat(y, first))
+        right[some], bottom[some] = np.minimum(width - 1, np.maximum.reduceat(x, first)), np.minimum(height[some] - 1, np.maximum.reduceat(y, first))
+    w, h = np.maximum(0, right - left + 1), np.maximum(0, bottom - top + 1)
+    whose, to = np.repeat(np.arange(len(n)), n), np.arange(1, len(x) + 1)
+    to[at[1:][some] - 1] = at[:-1][some]
+    dx, dy = x[to] - x, y[to] - y
+    steps = np.maximum(np.maximum(abs(dx), abs(dy)), 1)
+    size = np.cumsum(h * (w + 1) + np.bincount(whose, steps, len(n)).astype(np.int64))
+    begin = 0
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + DRAWN, "right")))
+        e = np.arange(at[begin], at[end])
+        offset = np.concatenate([[0], np.cumsum((h * (w + 1))[begin:end])])
+        # where edges cross the middles of rows: between the first and second, third and fourth, .. of a row is inside
+        low, high = np.maximum(np.minimum(y[e], y[to[e]]), top[whose[e]]), np.minimum(np.maximum(y[e], y[to[e]]) - 1, bottom[whose[e]])
+        count = np.maximum(0, high - low + 1)
+        c = np.repeat(e, count)
+        row = np.arange(len(c)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        k = whose[c]
+        cross = x[c] + (row - y[c]) * dx[c] / dy[c]
+        order = np.lexsort((cross, row, k))
+        k, row, cross = k[order][::2], row[order][::2], cross[order]
+        start = np.clip(np.ceil(cross[::2]).astype(np.int64) - left[k], 0, w[k])
+        stop = np.maximum(start, np.clip(np.floor(cross[1::2]).astype(np.int64) + 1 - left[k], 0, w[k]))
+        line = offset[k - begin] + (row - top[k]) * (w[k] + 1)
+        cells = np.cumsum(np.bincount(line + start, minlength=offset[-1] + 1) - np.bincount(line + stop, minlength=offset[-1] + 1)) > 0
+        # the outline's cells: steps along the longer side of each edge, both ends among them
+        points = steps[e] + 1
+        o = np.repeat(e, points)
+        i = np.arange(len(o)) - np.repeat(np.cumsum(points) - points, points)
+        last, k = i == steps[o], whose[o]
+        ox = np.round(np.where(last, x[to[o]], i * (dx[o] / steps[o]) + x[o])).astype(np.int64) - left[k]
+        oy = np.round(np.where(last, y[to[o]], i * (dy[o] / steps[o]) + y[o])).astype(np.int64) - top[k]
+        on = (ox >= 0) & (ox < w[k]) & (oy >= 0) & (oy < h[k])
+        cells[(offset[k - begin] + oy * (w[k] + 1) + ox)[on]] = True
+        for k in range(begin, end):
+            yield int(top[k]), int(left[k]), cells[offset[k - begin] : offset[k - begin + 1]].reshape(h[k], w[k] + 1)[:, :-1]
+        begin = end
+
+
 def filled(outline: list, width: int, height: int) -> np.ndarray:
-    """The cells of a grid that a polygon covers: its inside by the even-odd rule, and every cell that its outline runs through.
-    outline: (x, y) in shares of the grid."""
+    """The cells of a grid that a polygon covers, as `drawn` has them. outline: (x, y) in shares of the grid."""
     p = np.array([(int(x * width), int(y * height)) for x, y in outline], np.int64).reshape(-1, 2)
     out = np.zeros((height, width), bool)
-    q = np.roll(p, -1, 0)
-    for row in range(max(0, int(p[:, 1].min())), min(height - 1, int(p[:, 1].max())) + 1):
-        cross = (p[:, 1] > row) != (q[:, 1] > row)
-        x = np.sort(p[cross, 0] + (row - p[cross, 1]) * (q[cross, 0] - p[cross, 0]) / (q[cross, 1] - p[cross, 1]))
-        for a, b in zip(x[::2], x[1::2]):
-            out[row, max(0, int(np.ceil(a))) : max(0, min(width, int(np.floor(b)) + 1))] = True
-    for (ax, ay), (bx, by) in zip(p.tolist(), q.tolist(), strict=True):
-        n = max(abs(bx - ax), abs(by - ay), 1)
-        xs, ys = np.round(np.linspace(ax, bx, n + 1)).astype(int), np.round(np.linspace(ay, by, n + 1)).astype(int)
-        on = (xs >= 0) & (xs < width) & (ys >= 0) & (ys < height)
-        out[ys[on], xs[on]] = True
+    for top, left, own in drawn(p[:, 0], p[:, 1], np.array([0, len(p)]), width, np.array([height])):
+        out[top : top + own.shape[0], left : left + own.shape[1]] = own
     return out
 
 
 def shaved(pieces: DataFrame, keys: list[str], first: str = "Panel wall", drop: float = 0.55, low: float = 0.05, width: int = 900) -> DataFrame:
     """Pieces (id, material, points in shares of the page, area_sf, patch, aspect: height over width) claim the cells that they
     cover: filled walls first, then the largest. A piece over 55% claimed goes; one over 5% loses the claimed share of area_sf; a
-    patch stays whole, as its host was shaved for it; one that covers no cell goes."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-
-    def run(pdf):
-        order = sorted(range(len(pdf)), key=lambda k: (not str(pdf["material"].iloc[k]).startswith(first), -pdf["area_sf"].iloc[k], pdf["id"].iloc[k]))
+    patch stays whole, as its host was shaved for it; one that covers no cell goes. Pieces are drawn many at once, each within its own box."""
+
+    def step(table: pa.Table, at: list[int]) -> pa.Table:
+        points = table["points"].combine_chunks()
+        corners = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        x, y = (pc.struct_field(points.flatten(), c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+        if not (np.isfinite(x).all() and np.isfinite(y).all()):
+            raise ValueError("a corner of a piece has no place")
+        aspects = table["aspect"].to_numpy()
+        heights = np.repeat([max(1, int(width * float(aspects[a]))) for a in at[:-1]], np.diff(at))
+        cells = drawn((x * width).astype(np.int64), (y * np.repeat(heights, np.diff(corners))).astype(np.int64), corners, width, heights)
+        area = table["area_sf"].to_numpy().tolist()
+        patch = pc.fill_null(table["patch"], False).to_pylist()
         kept, areas = [], []
-        height = max(1, int(width * float(pdf["aspect"].iloc[0])))
-        claimed = np.zeros((height, width), bool)
-        for k in order:
-            own = filled([(q["x"], q["y"]) for q in pdf["points"].iloc[k]], width, height)
-            cells = int(own.sum())
-            share = int((own & claimed).sum()) / cells if cells else 1.0
-            patch = bool(pdf["patch"].iloc[k])
-            if not cells or (share > drop and not patch):
-                continue
-            claimed |= own
-            kept.append(k)
-            area = float(pdf["area_sf"].iloc[k])
-            areas.append(round(area * (1 - share), 1) if share > low and not patch else area)
-        return pdf.iloc[kept].assign(area_sf=areas)
+        for a, z in zip(at, at[1:]):
+            claimed = np.zeros((heights[a], width), bool)
+            for k in range(a, z):
+                top, left, own = next(cells)
+                there = claimed[top : top + own.shape[0], left : left + own.shape[1]]
+                n = int(np.count_nonzero(own))
+                share = int(np.count_nonzero(own & there)) / n if n else 1.0
+                if not n or (share > drop and not patch[k]):
+                    continue
+                there |= own
+                kept.append(k)
+                areas.append(round(area[k] * (1 - share), 1) if share > low and not patch[k] else area[k])
+        place = table.schema.get_field_index("area_sf")
+        return table.take(pa.array(kept, pa.int64())).set_column(place, table.schema.field(place), pa.array(areas, pa.float64(), from_pandas=True).cast(table.schema.field(place).type))
 
-    return _grouped(pieces, keys, [], _one_by_one(run), schema)
+    order = [~F.coalesce(F.col("material").startswith(first), F.lit(False)), F.col("area_sf").desc(), F.col("id")]
+    return _tables(pieces, keys, order, step, pieces.schema)
 
 
 def spread_points(points: DataFrame, keys: list[str], gap: float = 6.0, most: int = 1500) -> DataFrame:
