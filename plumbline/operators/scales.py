@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import on_rung
+from ..sources.folder import keep
 
 # Points between elevations, least rise of a pair, width of a group of slopes, least agreement, and plausible scales.
 ELEVATION_GAP, LEAST_RISE, SLOPE_SHARE, AGREEMENT, FEET_PER_INCH = 250.0, 8.0, 0.06, 0.94, (0.5, 40)
@@ -17,30 +18,36 @@ def consensus(votes: DataFrame, keys: list[str], tolerance: float = 0.03) -> Dat
     dimensions, unless a rival more than 6% away is nearly as strong and has at least 1.6 times as many dimensions that reach it
     alone; then the rival wins if it has three of them, and nothing does if neither side leads.
 
-    Anchors and candidates of one page meet by bands of the logarithm, so the join is an equi join."""
+    Dimensions with the same candidates are one row with their number: ids go no further than that, and votes that are dealt by keys already are not
+    moved for it. Anchors and candidates of one page meet by bands of the logarithm, so the join is an equi join."""
     import math
 
+    sets = votes.groupBy(*keys, "id").agg(F.array_sort(F.collect_set("ft_per_pt")).alias("__s"))
+    sets = keep(sets.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__c"), F.count("id").alias("__d")), "votes")
     band = -math.log1p(-tolerance) * 1.01  # the low side is the wider one
     b = F.floor(F.log("ft_per_pt") / band).cast("bigint")
-    anchors = votes.select(*keys, F.col("ft_per_pt").alias("a")).distinct().withColumn("__b", F.explode(F.sequence(F.floor(F.log("a") / band).cast("bigint") - 1, F.floor(F.log("a") / band).cast("bigint") + 1)))
-    pairs = anchors.join(votes.withColumn("__b", b), [*keys, "__b"]).filter(F.abs(F.col("ft_per_pt") - F.col("a")) / F.col("a") <= tolerance)
-    reach = pairs.groupBy(*keys, "a", "id").agg(F.min_by("ft_per_pt", F.abs(F.col("ft_per_pt") - F.col("a"))).alias("v"))
-    support = reach.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("n"))
-    total = votes.groupBy(*keys).agg(F.countDistinct("id").alias("dims"))
+    anchors = sets.select(*keys, F.explode("__s").alias("a")).distinct().withColumn("__b", F.explode(F.sequence(F.floor(F.log("a") / band).cast("bigint") - 1, F.floor(F.log("a") / band).cast("bigint") + 1)))
+    pairs = anchors.join(sets.select(*keys, "__s", "__c", F.explode("__s").alias("ft_per_pt")).withColumn("__b", b), [*keys, "__b"]).filter(F.abs(F.col("ft_per_pt") - F.col("a")) / F.col("a") <= tolerance)
+    reach = pairs.groupBy(*keys, "a", "__s").agg(F.min_by("ft_per_pt", F.struct(F.abs(F.col("ft_per_pt") - F.col("a")), "ft_per_pt")).alias("v"), F.first("__c").alias("__c"))
+    support = reach.groupBy(*keys, "a").agg(F.sum("__c").alias("n"))
+    total = sets.groupBy(*keys).agg(F.sum("__d").alias("dims"))
     best = support.groupBy(*keys).agg(F.min_by(F.struct("a", "n"), F.struct(-F.col("n"), F.col("a"))).alias("b")).select(*keys, F.col("b.a").alias("best"), F.col("b.n").alias("best_n"))
     best = best.join(total, keys).filter((F.col("dims") >= 3) & (F.col("best_n") >= 4) & (F.col("best_n") >= 0.35 * F.col("dims")))
     rival = support.join(best, keys).filter(F.abs(F.col("a") - F.col("best")) / F.col("best") > 0.06)
     rival = rival.groupBy(*keys).agg(F.min_by(F.struct("a", "n"), F.struct(-F.col("n"), F.col("a"))).alias("r")).select(*keys, F.col("r.a").alias("rival"), F.col("r.n").alias("rival_n"))
     both = best.join(rival, keys, "left")
-    flags = reach.join(both, keys).groupBy(*keys, "id").agg(F.bool_or(F.col("a") == F.col("best")).alias("p"), F.bool_or(F.col("a") == F.col("rival")).alias("q"))
-    alone = flags.groupBy(*keys).agg(F.count_if(F.col("p") & ~F.coalesce("q", F.lit(False))).alias("own"), F.count_if(F.coalesce("q", F.lit(False)) & ~F.col("p")).alias("other"))
+    flags = reach.join(both, keys).groupBy(*keys, "__s").agg(F.bool_or(F.col("a") == F.col("best")).alias("p"), F.coalesce(F.bool_or(F.col("a") == F.col("rival")), F.lit(False)).alias("q"), F.first("__c").alias("__c"))
+    dims = lambda of: F.sum(F.when(of, F.col("__c")).otherwise(0))
+    alone = flags.groupBy(*keys).agg(dims(F.col("p") & ~F.col("q")).alias("own"), dims(F.col("q") & ~F.col("p")).alias("other"))
     j = both.join(alone, keys)
     close = F.coalesce(F.col("rival_n") * 1.6 > F.col("best_n"), F.lit(False))
     win = F.when(~close, F.col("best")).when((F.col("other") >= 3) & (F.col("other") >= 1.6 * F.col("own")), F.col("rival")).when((F.col("own") >= 3) & (F.col("own") >= 1.6 * F.col("other")), F.col("best"))
     chosen = j.select(*keys, win.alias("a")).filter("a is not null").join(reach, [*keys, "a"])
     w = Window.partitionBy(*keys)
-    ranked = chosen.withColumns({"__r": F.row_number().over(w.orderBy("v", "id")), "n": F.count(F.lit(1)).over(w)})
-    return ranked.filter(F.col("__r") == F.floor(F.col("n") / 2) + 1).select(*keys, F.col("v").alias("ft_per_pt"), F.col("n").alias("support"))
+    counts = chosen.groupBy(*keys, "v").agg(F.sum("__c").alias("__c"))
+    ranked = counts.withColumns({"__to": F.sum("__c").over(w.orderBy("v")), "n": F.sum("__c").over(w)})
+    middle = F.floor(F.col("n") / 2)
+    return ranked.filter((F.col("__to") > middle) & (F.col("__to") - F.col("__c") <= middle)).select(*keys, F.col("v").alias("ft_per_pt"), F.col("n").alias("support"))
 
 
 def two_frames(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
