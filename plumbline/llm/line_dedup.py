@@ -91,22 +91,29 @@ def _all_shingles() -> Column:
 
 
 def rarity(hashed: DataFrame) -> Column:
-    """Literal array: rank of each cell by how many shingles of all lines fall in it, against the mean; 16 ranks double it."""
+    """Literal array: rank of each cell by how many shingles of all lines fall in it, against the mean; 16 ranks double it. Ranks stand in the
+    high bits, where tokens have them."""
     at = hashed.select("h", F.explode(F.sequence(F.lit(0), F.size("h") - SHINGLE)).alias("i"))
     cell = _shingle(F.col("h"), F.col("i")).bitwiseAND(F.lit(CELLS - 1)).cast("int")
     counts = at.groupBy(cell.alias("cell")).count().collect()  # at most CELLS rows
     mean = sum(r["count"] for r in counts) / CELLS
     rank = ["0"] * CELLS
     for r in counts:
-        rank[r["cell"]] = str(max(0, min(255, round(64 + 16 * math.log2(r["count"] / mean)))))
-    return F.split(F.lit(",".join(rank)), ",").cast("array<int>")
+        rank[r["cell"]] = str(max(0, min(255, round(64 + 16 * math.log2(r["count"] / mean)))) << 55)
+    return F.split(F.lit(",".join(rank)), ",").cast("array<bigint>")
+
+
+def _tokens(each: DataFrame) -> DataFrame:
+    """(x, t): the distinct tokens of each line, in order."""
+    return each.select("x", F.sort_array(F.array_distinct("t")).alias("t"))
 
 
 def _prefix(hashed: DataFrame, rank: Column) -> DataFrame:
     """(x, token, m): the prefix of each line's tokens; m packs how many tokens the line has, and how many come before."""
-    token = lambda v: F.shiftleft(F.get(rank, v.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(v, 9))
-    each = hashed.select("x", F.explode(F.array(F.transform(_all_shingles(), token))).alias("t"))
-    t = each.select("x", F.sort_array(F.array_distinct("t")).alias("t"))
+    # a token is never null, so that arrays of them are told apart and sorted as plain numbers
+    high = lambda v: F.coalesce(F.get(rank, v.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0).cast("bigint"))
+    token = lambda v: high(v).bitwiseOR(F.shiftrightunsigned(v, 9))
+    t = _tokens(hashed.select("x", F.explode(F.array(F.transform(_all_shingles(), token))).alias("t")))
     n = F.size("t")
     at = t.select("x", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), n - needed(n) + 1)).alias("p", "token"))
     return at.select("x", "token", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("p")).alias("m"))

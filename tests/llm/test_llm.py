@@ -62,6 +62,21 @@ def test_line_dedup_is_native(docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_line_tokens_are_plain_numbers(spark, monkeypatch):
+    """op1: arrays of tokens hold no nulls by their type, so they are sorted without boxes; ranks are the tokens' high bits, 255 among them."""
+    from plumbline.llm import line_dedup as L
+
+    seen = []
+    monkeypatch.setattr(L, "_tokens", lambda each, tokens=L._tokens: seen.append(each.schema["t"].dataType.containsNull) or tokens(each))
+    hashed = spark.createDataFrame([(1, list(range(12)))], "x long, h array<long>")
+    for rank in (0, 64, 255):
+        ranks = F.split(F.lit(",".join([str(rank << 55)] * L.CELLS)), ",").cast("array<bigint>")
+        rows = L._prefix(hashed, ranks).collect()
+        assert [r["m"] for r in sorted(rows, key=lambda r: r["token"])] == [(8 << 32) + p for p in range(2)]
+        assert {(r["token"] >> 55) & 511 for r in rows} == {rank}
+    assert seen == [False] * 3
+
+
 def test_line_dedup_of_near_copies(spark):
     """A group of near copies of one line, where many match each other but not the first."""
     from plumbline.llm import line_dedup as L
