@@ -554,6 +554,20 @@ def test_framed_openings(spark):
     assert got == [(100.0, 120.0, 220.0, 200.0), (230.0, 65.0, 299.0, 199.0), (10.0, 10.0, 60.0, 60.0), (100.0, 10.0, 150.0, 60.0)]
 
 
+def test_framed_openings_takes_every_frame_of_a_wall(spark):
+    """A wall of 60 windows with frames keeps all that fit into its share, not the first 24."""
+    from plumbline.operators import openings
+
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    wall = spark.createDataFrame([(1, 5, [(0.0, 0.0), (1000.0, 0.0), (1000.0, 600.0), (0.0, 600.0)], (0.0, 0.0, 1000.0, 600.0))], f"page int, id int, points array<struct<x:double,y:double>>, box {box}")
+    windows = [(2 * k, 20.0 + k % 12 * 80, 20.0 + k // 12 * 100, 60.0 + k % 12 * 80, 60.0 + k // 12 * 100) for k in range(60)]
+    frames = [(i + 1, x0 + 3, y0 + 3, x1 - 3, y1 - 3) for i, x0, y0, x1, y1 in windows]
+    r = spark.createDataFrame([(1, i, tuple(b)) for i, *b in windows + frames], f"page int, id int, box {box}")
+    none = spark.createDataFrame([], "page int, x1 double, y1 double, x2 double, y2 double")
+    got = [tuple(x)[2:] for x in openings.framed_openings(wall, r, none, ["page"], 0.1).orderBy("position").collect()]
+    assert got == [(n, *b) for n, (_, *b) in enumerate(windows)]  # 60 of 1600 each, of at most 240000
+
+
 def test_loose_schedule_by_the_rule(spark):
     """One row is enough; a second key of a row counts; numbers out of reach do not; the material is the legend's."""
     rows = [("d", 0, 1, "12A 75 sq FC-PL 1,240 SF".split()), ("d", 1, 1, "x FC1 METAL 300 s.f. y".split()), ("d", 2, 1, "FC1 A B 900 SF".split()), ("d", 2, 2, "FC1 310 EA".split()), ("d", 3, 1, "T2 80 SF".split()), ("d", 3, 2, "THE 80 SF".split()), ("e", 0, 1, "FC1 49 SF".split())]
