@@ -5,7 +5,8 @@ least T = ceil(t n) of its own. DivideSkip: of a document's n inverted lists the
 partner must still stand in one of the others. Those short lists are merged first, over the whole corpus; the long
 lists are then probed by binary search, for the documents that the short ones name.
 
-1. Whole shingle sets, once for each distinct set; equal sets are one class.
+1. Whole shingle sets, once for each distinct set; equal sets are one class: a task posts a set once, rows of one set from several
+   tasks are one where they meet, and only the class's first document is compared.
 2. A frequency sketch of fixed size over all shingles orders a set by rarity, so that long lists are the ones set
    aside. It only orders: any order gives the same links.
 3. Short-list rows (shingle, document) meet by shingle; LEAST - 1 more lists than must be are merged, so that a partner stands
@@ -41,6 +42,8 @@ from .components import connected_components
 from .shared import drop, identified, keep, salted_join
 
 CELLS = 1 << 18
+#: Bits of the table that tells which texts move.
+BITS = 1 << 24
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,16 +220,16 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
                     extra[by[at : at + c]] = held.get(t, 0)
                     held[t] = held.get(t, 0) + c
                 over, last = nth + extra > short, nth + extra == short  # rows may follow the last one, so it marks its list
-                m = len(token)
+                m, named = len(token), k1[owner]  # a set goes by its signature
                 kind = np.concatenate([np.zeros(len(size), np.int8), np.where(over, 2, 1).astype(np.int8)])
                 key = np.concatenate([k1, token.view(np.int64)])
                 yield pa.RecordBatch.from_pydict({
                     "kind": pa.array(kind), "spread": pa.array(np.concatenate([ids, np.where(over, ids[owner], token.view(np.int64))])), "key": pa.array(key),
-                    "key2": pa.array(np.concatenate([k2, last.astype(np.int64)])), "doc": pa.array(np.concatenate([ids, ids[owner]])), "n": pa.array(np.concatenate([size, size[owner]]).astype(np.int32)),
+                    "key2": pa.array(np.concatenate([k2, last.astype(np.int64)])), "doc": pa.array(np.concatenate([ids, named])), "n": pa.array(np.concatenate([size, size[owner]]).astype(np.int32)),
                 })
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Short lists as pairs (kind 1: key, doc), long ones as members (kind 2: shingle, doc); document rows (0) pass."""
+        """Short lists as pairs (kind 1: key, doc), long ones as members (kind 2: shingle, doc), of sets; document rows (0) pass."""
         names = ("kind", "key", "key2", "doc", "n")
         parts: list[list[np.ndarray]] = []
         for batch in batches:
@@ -239,7 +242,10 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
             return
         key, mark, doc, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.lexsort((doc, size, key))
+        order = np.lexsort((-mark, doc, size, key))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (key, size, doc)], axis=0)
+        order = order[new]  # a set that several tasks posted is one row
         key, mark, doc, size = key[order], mark[order], doc[order], size[order].astype(np.int64)
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(at, len(key)))
@@ -269,9 +275,13 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     dealt = rows.mapInArrow(postings, "kind tinyint, spread bigint, key bigint, key2 bigint, doc bigint, n int").repartition(F.col("spread")).drop("spread")
     found = keep(dealt.mapInArrow(meet, "kind tinyint, key bigint, key2 bigint, doc bigint, n int"), "lists")
     every = found.filter("kind = 0").select("doc", "n", F.col("key").alias("k1"), F.col("key2").alias("k2"))
+    # sets by their first document from here on
+    reps = keep(every.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep")).select(F.col("k1").alias("set"), "rep"), "sets")
+    first_of = lambda df, c: df.withColumnRenamed(c, "set").join(reps.hint("merge"), "set").drop("set").withColumnRenamed("rep", c)
     # all short lists that two documents share count together; a pair that shares a long list too is compared there anyway
     pairs = found.filter("kind = 1").groupBy(F.col("key").alias("a"), F.col("doc").alias("b")).agg(F.sum("n").alias("n"), F.min("key2").alias("least")).filter("n >= least").select("a", "b")
-    members = found.filter("kind = 2").select(F.col("key").alias("list"), F.col("doc")).distinct()
+    pairs = keep(first_of(first_of(pairs, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    members = first_of(found.filter("kind = 2").select(F.col("key").alias("list"), F.col("doc")).distinct(), "doc").select("list", "doc").distinct()
 
     # Near copies share many long lists, and would send their whole sets once for each. What long lists join, directly or by way
     # of others, is compared as one group where that sends less than the lists do one by one; both compare every pair of a list.
@@ -335,11 +345,12 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
         # The texts of the documents in question move once, and their sets go straight to the units. The ids grow with the corpus:
         # they are merged with the texts at every size, and not broadcast.
         active = units.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("u", "i", "j", "own")).alias("units"))
-        texts = rows
-        if rest:  # few documents: most texts stay where they are, by a table of fixed size that may let others pass, never lose one
-            cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
-            here = active.select(cell("doc_id").alias("cell")).distinct()
-            texts = rows.withColumn("cell", cell("doc_id")).join(F.broadcast(here), "cell", "left_semi").drop("cell")
+        # Most texts stay where they are, by a bitmap of fixed size that may let others pass, never lose one.
+        cell = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+        here = units.select(cell("doc").alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+        at = F.bitmap_bit_position(cell("doc_id")).cast("int")
+        byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        texts = rows.withColumn("bucket", F.bitmap_bucket_number(cell("doc_id"))).join(F.broadcast(here), "bucket").filter(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at % 8)) != 0).select("doc_id", "text")
         sets = texts.join(active.hint("merge"), "doc_id").mapInArrow(whole_sets, "u bigint, i int, j int, own int, doc bigint, s binary")
         return sets.withColumn("rest", F.lit(rest)).groupBy(group.alias("g"), "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
@@ -359,7 +370,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
         rest = keep(left.unionByName(right), "rest")
         links = links.unionByName(keep(compared(rest, True), "links"))
         drop(rest, apart, joined_so_far)
-    drop(members, of, placed)
+    drop(members, of, placed, pairs, reps)
 
     # Nodes are classes of equal sets, by their smallest doc_id; empty sets are in none.
     classes = every.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")

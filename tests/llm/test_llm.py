@@ -397,3 +397,30 @@ def test_lists_of_documents_of_other_sizes_name_nobody(spark, monkeypatch):
     of = {d: c for d, _, c in got}
     assert (of[60], of[61], of[62]) == (of[11], of[4], of[5])
     assert seen["members"] < 1000  # those of lists that mostly hold documents of like size; 2270 when all long lists were groups
+
+
+def test_equal_sets_of_several_tasks_are_compared_once(spark, monkeypatch):
+    """Copies that lie in different tasks stand for one set: they name no pairs, and their texts do not move. Near copies among them are found."""
+    from plumbline.llm import ngram_join
+
+    seen = {}
+
+    def counted(df, name="table", old=ngram_join.keep):
+        out = old(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", counted)
+    rng = random.Random(4)
+    texts = [" ".join(f"d{k}w{rng.randrange(10**6)}" for _ in range(60)) for k in range(5)]
+    rows = [(100 * c + k, t.upper() if c % 2 else t) for c in range(12) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id")
+    for short in (32, 4):
+        got = sorted(map(tuple, ngram_join.similarity_classes(docs, n=4, num=85, den=100, short=short).collect()))
+        assert got == sorted(ngram_join.brute_force(rows, 4, 85, 100))
+        assert seen["units"] == 0
+    rows += [(100 * c + 7, texts[0] + " more") for c in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id")
+    got = sorted(map(tuple, ngram_join.similarity_classes(docs, n=4, num=85, den=100).collect()))
+    assert got == sorted(ngram_join.brute_force(rows, 4, 85, 100))
+    assert {c for d, _, c in got if d % 100 in (0, 7)} == {0} and seen["units"] == 2
